@@ -50,7 +50,8 @@ def running(
 ) -> DataFrame:
     """Add running values per ``keys`` in ``order``.
 
-    Key and order columns must not be null. Each feature is ``name=(kind, value)``. Kinds: ``row_number``; ``sum``, ``max``, ``min``,
+    Key and order columns must not be null. Each feature is ``name=(kind, value)``. Kinds: ``row_number``; ``size`` of the
+    group; ``sum``, ``max``, ``min``,
     ``first``, ``last`` up to and including the row (first/last skip nulls); ``sum_before``,
     ``max_before``, ``last_before`` up to the row before; ``prev`` for the value on the row before;
     ``sum_at_last`` with a pair (value, flag): the running sum of the value on the last flagged
@@ -79,6 +80,10 @@ def running(
             summaries.append(F.count(F.lit(1)).alias(total))
             carries.append(F.sum(total).over(before).alias(carry))
             final = F.row_number().over(inside) + F.coalesce(F.col(carry), F.lit(0))
+        elif kind == "size":
+            summaries.append(F.count(F.lit(1)).alias(total))
+            carries.append(F.sum(total).over(W.partitionBy(*keys)).alias(carry))
+            final = F.col(carry)
         elif kind in ("sum", "sum_before"):
             summaries.append(F.sum(value).alias(total))
             carries.append(F.sum(total).over(before).alias(carry))

@@ -300,3 +300,47 @@ PAIRS_SQL = """fx_pairs AS (
   SELECT doc_id, string_split(text, chr(10))[1] AS sentence, string_split(text, chr(10))[2:] AS corrections
   FROM documents
 )"""
+
+
+# dataset names by label; the last one is not in the task table
+SAMPLE_DATASETS = {
+    "click": "ustc-tfc-2016", "error": "iscx-botnet", "purchase": "dohbrw-2020",
+    "signup": "iscx-tor-2016", "view": "open-captures",
+}
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets with a short data text."""
+    p = packets(spark, sf_dir)
+    name = _pick_text(F.col("label"), SAMPLE_DATASETS)
+    payload = F.when(F.col("proto") == 6, F.concat(F.lit(", tcp.payload: "), "payload_hex")).otherwise("")
+    data = F.concat(
+        F.lit("ip.proto: "), F.col("proto").cast("string"), F.lit(", ip.src: "), "src",
+        F.lit(", ip.dst: "), "dst", payload,
+    )
+    return p.select("packet_id", "label", "super_label", name.alias("dataset"), data.alias("data"))
+
+
+def _pick_text(key: Column, values: dict[str, str]) -> Column:
+    expr = F.lit(None).cast("string")
+    for k, v in values.items():
+        expr = F.when(key == k, F.lit(v)).otherwise(expr)
+    return expr
+
+
+_DATASETS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SAMPLE_DATASETS.items())
+SAMPLES_SQL = PACKETS_SQL + f""", fx_samples AS (
+  SELECT packet_id, label, super_label, CASE label {_DATASETS_SQL} END AS dataset,
+    'ip.proto: ' || proto || ', ip.src: ' || src || ', ip.dst: ' || dst
+      || CASE WHEN proto = 6 THEN ', tcp.payload: ' || payload_hex ELSE '' END AS data,
+    CASE label WHEN 'click' THEN 'EMD' WHEN 'error' THEN 'BND' WHEN 'purchase' THEN 'MDD'
+      WHEN 'signup' THEN 'TBD' ELSE 'EAC' END AS task
+  FROM fx_packets
+)"""
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection samples of all packets, uncut."""
+    from wirecorpus.operators.corpus import detection_samples, dispatch_task
+
+    return detection_samples(dispatch_task(samples(spark, sf_dir)))
