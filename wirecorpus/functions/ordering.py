@@ -51,7 +51,7 @@ def running(
     """Add running values per ``keys`` in ``order``.
 
     Key and order columns must not be null. Each feature is ``name=(kind, value)``. Kinds: ``row_number``; ``size`` of the
-    group; ``sum``, ``max``, ``min``,
+    group, and ``total`` and ``max_all`` over the whole group; ``sum``, ``max``, ``min``,
     ``first``, ``last`` up to and including the row (first/last skip nulls); ``sum_before``,
     ``max_before``, ``last_before`` up to the row before; ``prev`` for the value on the row before;
     ``sum_at_last`` with a pair (value, flag): the running sum of the value on the last flagged
@@ -84,6 +84,11 @@ def running(
             summaries.append(F.count(F.lit(1)).alias(total))
             carries.append(F.sum(total).over(W.partitionBy(*keys)).alias(carry))
             final = F.col(carry)
+        elif kind in ("total", "max_all"):
+            agg = F.sum if kind == "total" else F.max
+            summaries.append(agg(value).alias(total))
+            carries.append(agg(total).over(W.partitionBy(*keys)).alias(carry))
+            final = F.col(carry)
         elif kind in ("sum", "sum_before"):
             summaries.append(F.sum(value).alias(total))
             carries.append(F.sum(total).over(before).alias(carry))
@@ -144,3 +149,18 @@ def hash_rank(
     """1-based rank in stable-key order, per ``keys`` or over the whole dataset."""
     keyed = df.withColumn("_key", stable_key(purpose, F.col(ident), seed))
     return number_rows(keyed, keys or [], ["_key", ident], hash_chunk(F.col("_key")), out).drop("_key")
+
+
+def join_pieces(
+    df: DataFrame, keys: list[str], position: str, text: str, per_part: int = 10_000
+) -> DataFrame:
+    """Concatenate the texts of a group in order, in parts of at most ``per_part`` pieces.
+
+    ``position`` is 0-based and dense. A group within the limit gives one row, part 0; a longer
+    one gives further parts whose concatenation is the whole text.
+    """
+    parted = df.withColumn("part", F.floor(F.col(position) / per_part).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))))
+    return parted.groupBy(*keys, "part").agg(
+        F.array_join(F.transform(listed, lambda x: x["t"]), "").alias(text)
+    )

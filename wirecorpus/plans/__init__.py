@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wirecorpus.plans import corpus_queries, packet_queries
+from wirecorpus.plans import corpus_queries, packet_queries, token_queries
 from wirecorpus.plans.registry import Query
 
-MODULES = [packet_queries, corpus_queries]
+MODULES = [packet_queries, corpus_queries, token_queries]
 
 
 def all_queries() -> dict[str, Query]:

@@ -344,3 +344,28 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wirecorpus.operators.corpus import detection_samples, dispatch_task
 
     return detection_samples(dispatch_task(samples(spark, sf_dir)))
+
+
+# fixed values: role markers of the chat format
+ROLE_IDS = {"system": 151335, "user": 151336, "assistant": 151337}
+
+
+def dialog_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns as a role marker followed by one id per word."""
+    d = dialogs(spark, sf_dir)
+    words = F.transform(
+        F.split("text", " "), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int")
+    )
+    marker = _pick_text(F.col("role"), {k: str(v) for k, v in ROLE_IDS.items()}).cast("int")
+    return d.select("conv_id", "turn", "role", F.concat(F.array(marker), words).alias("ids"))
+
+
+DIALOG_TOKENS_SQL = """fx_dialog_tokens AS (
+  SELECT conv_id, turn, role,
+    list_concat([CASE role WHEN 'system' THEN 151335 WHEN 'user' THEN 151336 ELSE 151337 END],
+      list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 4))::INT)) AS ids
+  FROM conversations
+), fx_stream AS (
+  SELECT conv_id, turn, role, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) + 1 AS pos
+  FROM (SELECT conv_id, turn, role, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM fx_dialog_tokens)
+)"""
