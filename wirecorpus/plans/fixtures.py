@@ -369,3 +369,48 @@ DIALOG_TOKENS_SQL = """fx_dialog_tokens AS (
   SELECT conv_id, turn, role, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) + 1 AS pos
   FROM (SELECT conv_id, turn, role, unnest(ids) AS t, generate_subscripts(ids, 1) AS i FROM fx_dialog_tokens)
 )"""
+
+
+# fixed values: what the fixture asks per label; the last question names no task
+ASKS = {
+    "click": "Find malware in this capture. ", "error": "Is this a botnet? ",
+    "purchase": "Check the web request. ", "signup": "Which Tor behavior is this? ",
+    "view": "Say something nice. ",
+}
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with a data part; every ninth holds a second marker, every tenth no data at all."""
+    s = samples(spark, sf_dir)
+    i = F.col("packet_id")
+    ask = F.when(i % 13 == 0, "Look for an APT attack. ").otherwise(_pick_text(F.col("label"), ASKS))
+    data = F.when(i % 10 == 0, "").otherwise(F.concat(
+        F.lit("<packet>: "), "data", F.when(i % 9 == 0, " <packet>: tail").otherwise("")))
+    return s.select("packet_id", "label", F.concat(ask, data).alias("prompt"))
+
+
+_ASKS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ASKS.items())
+REQUESTS_SQL = SAMPLES_SQL + f""", fx_requests AS (
+  SELECT packet_id, label, (CASE WHEN packet_id % 13 = 0 THEN 'Look for an APT attack. ' ELSE CASE label {_ASKS_SQL} END END)
+    || CASE WHEN packet_id % 10 = 0 THEN '' ELSE '<packet>: ' || data
+       || CASE WHEN packet_id % 9 = 0 THEN ' <packet>: tail' ELSE '' END END AS prompt
+  FROM fx_samples
+), fx_asked AS (
+  SELECT packet_id, label, prompt, split_part(prompt, '<packet>', 1) AS human_instruction,
+    CASE WHEN contains(prompt, '<packet>') THEN substr(prompt, strpos(prompt, '<packet>')) ELSE '<packet>' END AS traffic_data
+  FROM fx_requests
+)"""
+
+
+def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as references, and an altered copy with one word repeated as responses."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id", F.col("text").alias("target"),
+        F.concat(F.translate(F.replace("text", F.lit("en"), F.lit("on")), ".", "!"), F.lit(" la la")).alias("response"),
+    )
+
+
+TEXT_PAIRS_SQL = """fx_text_pairs AS (
+  SELECT doc_id, text AS target, translate(replace(text, 'en', 'on'), '.', '!') || ' la la' AS response FROM documents
+)"""

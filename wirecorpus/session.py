@@ -6,8 +6,14 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import wirecorpus
+
+# workers get the few Python functions by value, so the package need not be installed there
+cloudpickle.register_pickle_by_value(wirecorpus)
+
 # Runtime SQL settings. None of them fixes a partition count: that belongs to the cluster.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
