@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def quotient(value: Column, divisor: Column | int) -> Column:
+    """Integer division in BIGINT; ``/`` would go through DOUBLE."""
+    return F.call_function("div", value, divisor if isinstance(divisor, Column) else F.lit(divisor))
+
+
 def uint_at(hex_text: Column, start: Column | int, octets: int) -> Column:
     """Unsigned integer of ``octets`` octets at a 0-based octet offset; the text must reach that far."""
     start = start if isinstance(start, Column) else F.lit(start)
@@ -65,9 +70,10 @@ def udp_checksum(total: Column) -> Column:
 
 def seconds_text(micros: Column) -> Column:
     """Microseconds as decimal seconds with nine digits after the point."""
-    whole = F.floor(micros / F.lit(1_000_000)).cast("string")
-    part = F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0")
-    return F.concat(whole, F.lit("."), part, F.lit("000"))
+    size = F.abs(micros)
+    whole = quotient(size, 1_000_000).cast("string")
+    part = F.lpad((size % 1_000_000).cast("string"), 6, "0")
+    return F.concat(F.when(micros < 0, "-").otherwise(""), whole, F.lit("."), part, F.lit("000"))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wirecorpus.functions.octets import quotient
+
 # frames per chunk when a dense frame number is the order
 FRAMES_PER_CHUNK = 65_536
 # leading hex digits of an md5 key used as its chunk
@@ -32,7 +34,7 @@ def hash_chunk(key: Column, digits: int = HASH_CHUNK_DIGITS) -> Column:
 
 
 def frame_chunk(frame_no: Column, size: int = FRAMES_PER_CHUNK) -> Column:
-    return F.floor(frame_no / F.lit(size)).cast("bigint")
+    return quotient(frame_no, size)
 
 
 def _ordered(order: list[Column], value: Column) -> Column:
@@ -159,7 +161,7 @@ def join_pieces(
     ``position`` is 0-based and dense. A group within the limit gives one row, part 0; a longer
     one gives further parts whose concatenation is the whole text.
     """
-    parted = df.withColumn("part", F.floor(F.col(position) / per_part).cast("int"))
+    parted = df.withColumn("part", quotient(F.col(position), per_part).cast("int"))
     listed = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(text).alias("t"))))
     return parted.groupBy(*keys, "part").agg(
         F.array_join(F.transform(listed, lambda x: x["t"]), "").alias(text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wirecorpus.functions.octets import quotient
 from wirecorpus.functions.ordering import hash_chunk, running, stable_key
 from wirecorpus.operators.catalog import IGNORE_ID
 
@@ -73,11 +74,11 @@ def pack_tokens(
     """
     rows = running(
         df.filter(F.size(ids) > 0).withColumn("_n", F.size(ids).cast("bigint")), [], [order],
-        F.floor(F.col(order) / rows_per_chunk),
+        quotient(F.col(order), rows_per_chunk),
         _start=("sum_before", F.col("_n")), _total=("total", F.col("_n")),
     )
-    first = F.floor(F.col("_start") / size)
-    last = F.floor((F.col("_start") + F.col("_n") - 1) / size)
+    first = quotient(F.col("_start"), size)
+    last = quotient(F.col("_start") + F.col("_n") - 1, size)
     cut = rows.select("*", F.explode(F.sequence(first, last)).alias("piece"))
     begin = F.greatest(F.col("piece") * size - F.col("_start"), F.lit(0))
     end = F.least((F.col("piece") + 1) * size - F.col("_start"), F.col("_n"))
@@ -104,7 +105,7 @@ def pad_batches(
     """Right-pad to the longest of the batch, rounded up to a multiple."""
     longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_longest"))
     step = multiple or 1
-    size = F.floor((F.col("_longest") + step - 1) / step) * step
+    size = quotient(F.col("_longest") + step - 1, step) * step
     return df.join(longest, batch).withColumn(ids, _padded(F.col(ids), size, pad_id)).drop("_longest")
 
 
@@ -140,13 +141,13 @@ def assign_batches(
     if pad:
         missing = F.pmod(-F.col("_size"), F.lit(shards))
         # a dataset smaller than the shard count is repeated more than once
-        copies = F.sequence(F.lit(0), F.floor((missing - 1 - F.col("_rank")) / F.col("_size")))
+        copies = F.sequence(F.lit(0), quotient(missing - 1 - F.col("_rank"), F.col("_size")))
         again = ranked.filter(F.col("_rank") < missing).select("*", F.explode(copies).alias("_copy"))
         again = again.withColumn("_rank", F.col("_size") * (F.col("_copy") + 1) + F.col("_rank")).drop("_copy")
         ranked = ranked.unionByName(again).withColumn("_size", F.col("_size") + missing)
     shard = F.pmod(F.col("_rank"), F.lit(shards))
-    in_shard = F.floor((F.col("_size") - shard + shards - 1) / shards)
-    batch = F.floor(F.floor(F.col("_rank") / shards) / batch_size)
+    in_shard = quotient(F.col("_size") - shard + shards - 1, shards)
+    batch = quotient(quotient(F.col("_rank"), shards), batch_size)
     return ranked.withColumns({"shard": shard, "batch": batch}).filter(
-        F.col("batch") < F.floor(in_shard / batch_size)
+        F.col("batch") < quotient(in_shard, batch_size)
     ).drop("_rank", "_size")

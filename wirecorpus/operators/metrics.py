@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from wirecorpus.functions.octets import quotient
 from wirecorpus.functions.ordering import running
 from wirecorpus.functions.strings import drop_last_char, last_word
 from wirecorpus.operators.catalog import FULL_STOP
@@ -235,14 +236,14 @@ def generated_by_label(
     """
     labelled = df.withColumn("label", prompt_label(F.col(prompt), pattern)).filter(F.col("label").isNotNull())
     rows = running(
-        labelled, ["label"], [ident], F.floor(F.col(ident) / rows_per_chunk), _n=("row_number", None)
+        labelled, ["label"], [ident], quotient(F.col(ident), rows_per_chunk), _n=("row_number", None)
     )
     return rows.select("label", (F.col("_n") - 1).cast("bigint").alias("position"), F.col(response).alias("text"))
 
 
 def generation_lists(generated: DataFrame, per_row: int = 1000) -> DataFrame:
     """(label, part, texts): the lists in order, in parts of at most ``per_row`` texts."""
-    parted = generated.withColumn("part", F.floor(F.col("position") / per_row))
+    parted = generated.withColumn("part", quotient(F.col("position"), per_row))
     texts = F.array_sort(F.collect_list(F.struct("position", "text")))
     return parted.groupBy("label", "part").agg(F.transform(texts, lambda x: x["text"]).alias("texts"))
 

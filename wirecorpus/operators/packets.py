@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirecorpus.functions.octets import bit, ipv4_text, mac_text, once, seconds_text, uint_at
+from wirecorpus.functions.octets import bit, ipv4_text, mac_text, once, quotient, seconds_text, uint_at
 from wirecorpus.functions.ordering import frame_chunk, number_rows, running
 from wirecorpus.functions.strings import fill
 from wirecorpus.session import stage
@@ -391,7 +391,7 @@ def layer_summary(df: DataFrame, out: str = "layers") -> DataFrame:
     )
     ip = F.when(F.col("ip_version").isNotNull(), fill(
         " |<IP version={v} ihl={i} tos=0x{t} len={l} id={id} ttl={ttl} proto={p} src={s} dst={d}",
-        v=F.col("ip_version").cast("string"), i=F.floor(F.col("ip_hdr_len") / 4).cast("string"),
+        v=F.col("ip_version").cast("string"), i=quotient(F.col("ip_hdr_len"), 4).cast("string"),
         t=F.lower(F.hex("ip_dsfield")), l=F.col("ip_len").cast("string"),
         id=F.col("ip_id").cast("string"), ttl=F.col("ip_ttl").cast("string"),
         p=F.when(F.col("ip_proto") == TCP, "tcp").when(F.col("ip_proto") == UDP, "udp")

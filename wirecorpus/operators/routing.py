@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wirecorpus.functions.octets import quotient
 from wirecorpus.functions.strings import lookup, present, replace_all, strip
 from wirecorpus.operators.catalog import (
     CUTOFF_PLACEHOLDER, CUTOFF_TEXT, DATA_MARK, EMPTY_PROMPT_STATUS, PROMPT_VARIANTS,
@@ -179,7 +180,7 @@ def infill(text: Column, produced: Column, mark: str = "<FILL_ME>") -> Column:
 # --- screening ---------------------------------------------------------------------------------
 
 def _centred(text: Column, width: int = 10) -> Column:
-    left = F.floor((F.greatest(F.lit(width) - F.length(text), F.lit(0))) / 2).cast("int")
+    left = quotient(F.greatest(F.lit(width) - F.length(text), F.lit(0)), 2).cast("int")
     padded = F.concat(F.repeat(F.lit(" "), left), text)
     return F.rpad(padded, F.greatest(F.lit(width), F.length(padded)), F.lit(" "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirecorpus.functions.octets import (
-    address_words, halves, hex_of, internet_checksum, ipv4_hex, once, udp_checksum, words_sum,
+    address_words, halves, hex_of, internet_checksum, ipv4_hex, once, quotient, udp_checksum, words_sum,
 )
 from wirecorpus.operators.flows import split_flow
 
@@ -50,8 +50,8 @@ def build_frames(
     bare = ~F.col("proto").isin(TCP, UDP) & F.lit(other == "raw")
     has_options = "options_hex" in df.columns
     options = F.coalesce(F.col("options_hex"), F.lit("")) if has_options else F.lit("")
-    option_octets = F.floor(F.length(options) / 2).cast("int")
-    octets = F.floor(F.length("payload_hex") / 2).cast("int")
+    option_octets = quotient(F.length(options), 2).cast("int")
+    octets = quotient(F.length("payload_hex"), 2).cast("int")
     header_len = (
         F.when(tcp, F.lit(TCP_HEADER) + option_octets)
         .when(bare, F.lit(0))
@@ -63,7 +63,7 @@ def build_frames(
         _ip_proto=F.when(tcp | bare, F.col("proto")).otherwise(F.lit(UDP)).cast("bigint"),
         _ip_len=(F.lit(16) + octets if compat_len else F.lit(IP_HEADER) + header_len + octets).cast("bigint"),
         _udp_len=(F.lit(UDP_HEADER) if compat_len else F.lit(UDP_HEADER) + octets).cast("bigint"),
-        _offset_flags=((F.lit(5) + F.floor(option_octets / 4)) * 4096 + _input(df, "flags")).cast("bigint"),
+        _offset_flags=((F.lit(5) + quotient(option_octets, 4)) * 4096 + _input(df, "flags")).cast("bigint"),
         _addresses=address_words(F.col("src")) + address_words(F.col("dst")),
     )
     ip_len, proto = F.col("_ip_len"), F.col("_ip_proto")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wirecorpus.functions.octets import once
+from wirecorpus.functions.octets import once, quotient
 from wirecorpus.functions.ordering import number_rows
 from wirecorpus.operators.packets import decode_headers
 from wirecorpus.operators.synthesis import build_frames
@@ -35,7 +35,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
     numbered = number_rows(
         e, ["event_type", "user_id"], ["ts_us", "event_id"],
-        F.floor(F.col("ts_us") / CHUNK_MICROS), "frame_no",
+        quotient(F.col("ts_us"), CHUNK_MICROS), "frame_no",
     )
     i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     client = F.concat(F.lit("10.0."), (u % 200).cast("string"), F.lit(".5"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wirecorpus.functions.octets import quotient
 from wirecorpus.operators import chat, examples, vocabulary
 from wirecorpus.operators.catalog import SPECIAL_TOKENS
 from wirecorpus.plans import fixtures as fx
@@ -245,7 +246,7 @@ def _(spark, sf):
 @R.add("t16_pad_batches", f"""WITH {fx.TOKENS_SQL}, m AS (SELECT *, doc_id // 8 AS batch, (max(len(ids)) OVER (PARTITION BY doc_id // 8) + 15) // 16 * 16 AS n FROM fx_tokens)
 SELECT doc_id, batch, array_to_string(list_concat(ids, list_transform(range(0, n - len(ids)), lambda i: 0)), ' ') AS ids FROM m""")
 def _(spark, sf):
-    rows = fx.tokens(spark, sf).withColumn("batch", F.floor(F.col("doc_id") / 8))
+    rows = fx.tokens(spark, sf).withColumn("batch", quotient(F.col("doc_id"), 8))
     return examples.pad_batches(rows, PAD, ids="ids", multiple=16).select("doc_id", "batch", joined("ids"))
 
 
