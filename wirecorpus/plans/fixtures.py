@@ -31,12 +31,34 @@ def _pick(key: Column, values: list, default=None) -> Column:
     return expr if default is None else expr.otherwise(F.lit(default))
 
 
+def _with_time(events: DataFrame) -> DataFrame:
+    return events.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
     numbered = number_rows(
-        e, ["event_type", "user_id"], ["ts_us", "event_id"],
+        _with_time(table(spark, sf_dir, "events")), ["event_type", "user_id"], ["ts_us", "event_id"],
         quotient(F.col("ts_us"), CHUNK_MICROS), "frame_no",
     )
+    made = _packet_columns(numbered, ["frame_no"])
+    return made.withColumns({
+        "seq": F.lit(1000) + F.col("frame_no") * 10,
+        "ack": F.when(F.col("flags") == 2, F.lit(0)).otherwise(F.lit(990) + F.col("frame_no") * 5).cast("bigint"),
+        "options_hex": F.when(F.col("flags") == 2, F.lit(SYN_OPTIONS)).otherwise(F.lit("")),
+    })
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets as they arrive, without a place in their capture."""
+    return _packet_columns(_with_time(event_stream(spark, sf_dir)), [])
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _packet_columns(e: DataFrame, extra: list[str]) -> DataFrame:
     i, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     client = F.concat(F.lit("10.0."), (u % 200).cast("string"), F.lit(".5"))
     server = F.concat(F.lit("172.16."), (i % 3).cast("string"), F.lit(".10"))
@@ -46,33 +68,24 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", 22).when(kind == "error", 6667)
     )
     outward = i % 2 == 0
-    proto = F.when(i % 10 == 0, 1).when(i % 10 <= 3, 17).otherwise(6)
     text = F.concat(kind, F.lit(":"), F.col("props"), F.lit(";"))
-    flags = _pick(i % 5, FLAG_CYCLE).cast("int")
-    numbered = once(
-        numbered, proto=proto, src=F.when(outward, client).otherwise(server),
-        dst=F.when(outward, server).otherwise(client),
+    made = once(
+        e, proto=F.when(i % 10 == 0, 1).when(i % 10 <= 3, 17).otherwise(6),
+        src=F.when(outward, client).otherwise(server), dst=F.when(outward, server).otherwise(client),
         sport=F.when(outward, client_port).otherwise(server_port),
-        dport=F.when(outward, server_port).otherwise(client_port), flags=flags,
+        dport=F.when(outward, server_port).otherwise(client_port), flags=_pick(i % 5, FLAG_CYCLE).cast("int"),
         payload_hex=F.when(i % 7 == 0, "").otherwise(
             F.lower(F.hex(F.encode(F.repeat(text, (F.lit(1) + i % 60).cast("int")), "UTF-8")))
         ),
     )
-    flags = F.col("flags")
-    return numbered.select(
+    return made.select(
         i.alias("packet_id"),
         kind.alias("label"),
         F.when(kind == "error", "malware").otherwise("benign").alias("super_label"),
         F.concat(kind, F.lit("/"), u.cast("string"), F.lit(".pcap")).alias("capture"),
-        "frame_no",
-        "ts_us",
-        "proto", "src", "dst", "sport", "dport", "payload_hex",
-        (F.lit(1000) + F.col("frame_no") * 10).alias("seq"),
-        F.when(flags == 2, F.lit(0)).otherwise(F.lit(990) + F.col("frame_no") * 5).cast("bigint").alias("ack"),
-        "flags",
+        *extra, "ts_us", "proto", "src", "dst", "sport", "dport", "payload_hex", "flags",
         (F.lit(1024) + u % 1000).cast("int").alias("window"),
         (i % 65536).cast("int").alias("ip_id"),
-        F.when(flags == 2, F.lit(SYN_OPTIONS)).otherwise(F.lit("")).alias("options_hex"),
     )
 
 
@@ -187,7 +200,10 @@ FRAMES_SQL = WIRE_SQL + ", fx_frames AS " + frame_sql(
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return predictions_of(table(spark, sf_dir, "events"))
+
+
+def predictions_of(e: DataFrame) -> DataFrame:
     h = F.md5(F.concat(F.lit("p|"), F.col("event_id").cast("string")))
     second, first = F.substring(h, 2, 1), F.substring(h, 1, 1)
     kind = F.col("event_type")
@@ -311,7 +327,10 @@ SAMPLE_DATASETS = {
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets with a short data text."""
-    p = packets(spark, sf_dir)
+    return samples_of(packets(spark, sf_dir))
+
+
+def samples_of(p: DataFrame) -> DataFrame:
     name = _pick_text(F.col("label"), SAMPLE_DATASETS)
     payload = F.when(F.col("proto") == 6, F.concat(F.lit(", tcp.payload: "), "payload_hex")).otherwise("")
     data = F.concat(
@@ -381,7 +400,10 @@ ASKS = {
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts with a data part; every ninth holds a second marker, every tenth no data at all."""
-    s = samples(spark, sf_dir)
+    return requests_of(samples(spark, sf_dir))
+
+
+def requests_of(s: DataFrame) -> DataFrame:
     i = F.col("packet_id")
     ask = F.when(i % 13 == 0, "Look for an APT attack. ").otherwise(_pick_text(F.col("label"), ASKS))
     data = F.when(i % 10 == 0, "").otherwise(F.concat(
