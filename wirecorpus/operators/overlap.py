@@ -1,11 +1,13 @@
 """Overlap of generated and reference texts: ROUGE and BLEU over whole texts.
 
-N-gram counts are a grouped aggregate over (row, n-gram), so a long text is spread over tasks
-and hot n-grams are combined map-side.
+A score needs one row only, so nothing is shuffled: n-grams are counted next to the row in Arrow
+batches, and everything after the counts is column arithmetic.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,42 +26,43 @@ def tokens_of(text: Column, level: str = "word") -> Column:
     raise ValueError(f"unknown level {level!r}")
 
 
-def _ngrams(tokens: str, n: int) -> Column:
-    count = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+def _gram_overlap(left: str, right: str, n: int, words: bool, distinct: bool) -> tuple[int, int, int]:
+    """(overlap, n-grams of left, n-grams of right)."""
+    def grams(text: str) -> Counter:
+        if words:
+            tokens = re.findall(r"\S+", text, re.ASCII)
+            return Counter(zip(*(tokens[k:] for k in range(n))))
+        return Counter(text[i:i + n] for i in range(len(text) - n + 1))
+
+    a, b = grams(left), grams(right)
+    if distinct:
+        return len(a.keys() & b.keys()), len(a), len(b)
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(min(c, large[g]) for g, c in small.items() if g in large), a.total(), b.total()
 
 
 def ngram_counts(
-    df: DataFrame, ident: str, orders: list[int], level: str = "word", distinct: bool = False,
+    df: DataFrame, orders: list[int], level: str = "word", distinct: bool = False,
     response: str = "response", target: str = "target",
 ) -> DataFrame:
-    """(ident, n, overlap, response_n, target_n) per row and order; every row is kept.
+    """Add ``overlap_n``, ``response_n`` and ``target_n`` per order ``n``.
 
     Counts clip at the smaller side; ``distinct`` counts each n-gram once.
     """
-    base = df.select(
-        ident, tokens_of(F.coalesce(response, F.lit("")), level).alias("r"),
-        tokens_of(F.coalesce(target, F.lit("")), level).alias("t"),
-    )
-    def counted_side(column: str, n: int) -> Column:
-        mine, other = (1, 0) if column == "r" else (0, 1)
-        return F.transform(_ngrams(column, n), lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("g"), F.lit(mine).alias("in_r"), F.lit(other).alias("in_t")))
-
-    sides = [counted_side(column, n) for column in ("r", "t") for n in orders]
-    # a marker per order keeps rows without any n-gram
-    markers = F.array(*[
-        F.struct(F.lit(n).alias("n"), F.lit("").alias("g"), F.lit(0).alias("in_r"), F.lit(0).alias("in_t"))
-        for n in orders
-    ])
-    grams = base.select(ident, F.inline(F.concat(markers, *sides)))
-    one = (lambda c: F.max(c)) if distinct else (lambda c: F.sum(c))
-    counted = grams.groupBy(ident, "n", "g").agg(one("in_r").alias("in_r"), one("in_t").alias("in_t"))
-    return counted.groupBy(ident, "n").agg(
-        F.sum(F.least("in_r", "in_t")).cast("bigint").alias("overlap"),
-        F.sum("in_r").cast("bigint").alias("response_n"), F.sum("in_t").cast("bigint").alias("target_n"),
-    )
+    if level not in ("word", "char"):
+        raise ValueError(f"unknown level {level!r}")
+    names = [f"{side}_{n}" for n in orders for side in ("overlap", "response", "target")]
+
+    @F.pandas_udf(", ".join(f"{name} BIGINT" for name in names))
+    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for left, right in pairs:
+            yield pd.DataFrame(
+                [[c for n in orders for c in _gram_overlap(a, b, n, level == "word", distinct)]
+                 for a, b in zip(left, right)], columns=names, dtype="int64")
+
+    empty = F.lit("")
+    counted = df.withColumn("_counts", count(F.coalesce(response, empty), F.coalesce(target, empty)))
+    return counted.select(*df.columns, "_counts.*")
 
 
 def f_score(overlap: Column, response_n: Column, target_n: Column) -> Column:
@@ -72,11 +75,9 @@ def f_score(overlap: Column, response_n: Column, target_n: Column) -> Column:
 def rouge_n(df: DataFrame, ident: str, orders: list[int] = [1, 2], level: str = "word",
             distinct: bool = True, **columns: str) -> DataFrame:
     """(ident, rouge_1, rouge_2, ...) per row."""
-    counts = ngram_counts(df, ident, orders, level, distinct, **columns)
-    score = f_score(F.col("overlap"), F.col("response_n"), F.col("target_n"))
-    return counts.groupBy(ident).agg(
-        *[F.max(F.when(F.col("n") == n, score)).alias(f"rouge_{n}") for n in orders]
-    )
+    counts = ngram_counts(df, orders, level, distinct, **columns)
+    score = lambda n: f_score(F.col(f"overlap_{n}"), F.col(f"response_{n}"), F.col(f"target_{n}"))
+    return counts.select(ident, *[score(n).alias(f"rouge_{n}") for n in orders])
 
 
 def _common_subsequence(a: list, b: list) -> int:
@@ -117,22 +118,17 @@ def bleu(df: DataFrame, ident: str, level: str = "char", scaled: bool = True, **
     The k-th order without a match counts 1 / (2^k * its n-grams). No match of single tokens
     gives 0. ``scaled`` gives percent rounded to 4.
     """
-    counts = ngram_counts(df, ident, list(range(1, BLEU_ORDER + 1)), level, False, **columns)
-    pick = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}")
-    wide = counts.groupBy(ident).agg(
-        *[pick(n, "overlap") for n in range(1, BLEU_ORDER + 1)],
-        *[pick(n, "response_n") for n in range(1, BLEU_ORDER + 1)], pick(1, "target_n"),
-    )
+    wide = ngram_counts(df, list(range(1, BLEU_ORDER + 1)), level, False, **columns)
     empty_before = F.lit(0)
     logs = []
     for n in range(1, BLEU_ORDER + 1):
         overlap = F.col(f"overlap_{n}").cast("double")
-        total = F.greatest(F.col(f"response_n_{n}"), F.lit(1)).cast("double")
+        total = F.greatest(F.col(f"response_{n}"), F.lit(1)).cast("double")
         empty_before = empty_before + F.when(overlap == 0, 1).otherwise(0)
         logs.append(F.when(overlap == 0, -F.log(F.pow(F.lit(2.0), empty_before) * total))
                     .otherwise(F.log(F.greatest(overlap, F.lit(1.0)) / total)))
     mean = reduce(lambda a, b: a + b, logs) / BLEU_ORDER
-    length, wanted = F.col("response_n_1"), F.col("target_n_1")
+    length, wanted = F.col("response_1"), F.col("target_1")
     brevity = F.when(length > wanted, F.lit(0.0)).otherwise(F.lit(1.0) - F.try_divide(wanted, length))
     value = F.when(F.col("overlap_1") == 0, F.lit(0.0)).otherwise(F.exp(brevity + mean))
     return wide.select(ident, (F.round(value * 100, 4) if scaled else value).alias("bleu_4"))

@@ -41,13 +41,13 @@ def train_vocabulary(
 ) -> tuple[DataFrame, DataFrame]:
     """Byte-pair merges over word counts: (vocab(piece, id, kind), merges(rank, left, right)).
 
-    One round counts neighbouring pairs over distinct words and applies as many merges as one
-    merge at a time would have made in the same order: going down the ranking, while a pair
-    shares no symbol with one taken before, and its count is above that of the first pair that
-    does. A pair made by a merge is at most as frequent as an old pair with a shared symbol, so
-    it cannot come before any of those taken. The driver sees the top of the ranking only, and
-    at most ``vocab_size`` merges. ``exact=False`` takes every pair of the top that shares no
-    symbol with a taken one: far fewer rounds for a large vocabulary, in a slightly other order.
+    One round counts neighbouring pairs over distinct words, and applies as many merges of the
+    top of the ranking as one merge at a time would have made in the same order. A merge (a, b)
+    changes only the counts of pairs that end in a or begin with b, and a pair it makes is at
+    most as frequent as one of those; so a run of the ranking without such pairs, all above the
+    first pair behind it, is safe. The driver sees the top of the ranking only, and at most
+    ``vocab_size`` merges. ``exact=False`` skips such pairs instead of stopping at them: far
+    fewer rounds for a large vocabulary, in a slightly other order.
     """
     spark = corpus.sparkSession
     words = (
@@ -68,11 +68,13 @@ def train_vocabulary(
     wanted = room - len(alphabet)
 
     merges: list[tuple[str, str]] = []
+    symbols = set(alphabet)
     while len(merges) < wanted:
-        batch = _next_merges(words, wanted - len(merges), exact)
+        batch = _next_merges(words, wanted - len(merges), symbols, exact)
         if not batch:
             break
         merges += batch
+        symbols |= {a + b for a, b in batch}
         rewritten = F.col("s")
         for left, right in batch:
             rewritten = F.replace(
@@ -101,24 +103,35 @@ def _symbols(spelled: Column) -> Column:
     return F.split(inner, CLOSE + OPEN)
 
 
-def _next_merges(words: DataFrame, limit: int, exact: bool) -> list[tuple[str, str]]:
+def _next_merges(
+    words: DataFrame, limit: int, symbols: set[str], exact: bool
+) -> list[tuple[str, str]]:
     parts = words.select("n", _symbols(F.col("s")).alias("p")).filter(F.size("p") > 1)
     last = F.size("p") - 1
     pairs = F.arrays_zip(F.slice("p", F.lit(1), last).alias("a"), F.slice("p", F.lit(2), last).alias("b"))
     counts = parts.select("n", F.explode(pairs).alias("q")).groupBy("q.a", "q.b").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.col("n").desc(), "a", "b").limit(TOP_PAIRS).collect()
-    used: set[str] = set()
+    lefts: set[str] = set()
+    rights: set[str] = set()
+    made: set[str] = set()
     taken: list[tuple[str, str, int]] = []
     # the ranking may go on behind what was read
     barrier = top[-1]["n"] if len(top) == TOP_PAIRS else 0
-    for row in top:
-        if {row["a"], row["b"]} & used:
+    for i, row in enumerate(top):
+        a, b = row["a"], row["b"]
+        if a in rights or b in lefts or {a, b} & made:
             if exact:
                 barrier = row["n"]
                 break
             continue
-        used |= {row["a"], row["b"], row["a"] + row["b"]}
-        taken.append((row["a"], row["b"], row["n"]))
+        taken.append((a, b, row["n"]))
+        if a + b in symbols | made:
+            # a symbol that is there already makes its other pairs more frequent: count again
+            barrier = top[i + 1]["n"] if i + 1 < len(top) else barrier
+            break
+        lefts.add(a)
+        rights.add(b)
+        made.add(a + b)
     sure = [(a, b) for i, (a, b, n) in enumerate(taken) if i == 0 or n > barrier or not exact]
     return sure[:limit]
 
