@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wirecorpus.functions.octets import quotient
+from wirecorpus.session import stage
 
 # frames per chunk when a dense frame number is the order
 FRAMES_PER_CHUNK = 65_536
@@ -144,6 +145,16 @@ def number_rows(
     )
 
 
+def number_sorted(df: DataFrame, order: list[str], out: str = "row_no") -> DataFrame:
+    """1-based place of each row in the order of all rows.
+
+    The range partitions are staged, so that a partition number is a fixed chunk of the order
+    whatever the values look like.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return number_rows(stage(ranged), [], order, F.col("_range"), out).drop("_range")
+
+
 def hash_rank(
     df: DataFrame, purpose: str, ident: str, keys: list[str] | None = None, seed: int = 42,
     out: str = "hash_rank",

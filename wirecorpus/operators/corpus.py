@@ -147,7 +147,7 @@ def cap_split(
 
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, id): sorted distinct labels numbered from 0."""
+    """(label, id): sorted distinct labels numbered from 0; one row per class after the distinct."""
     distinct = df.select(label).filter(F.col(label).isNotNull()).distinct()
     numbered = number_rows(distinct, [], [label], F.substring(label, 1, 2), "_n")
     return numbered.select(F.col(label).alias("label"), (F.col("_n") - 1).cast("int").alias("id"))

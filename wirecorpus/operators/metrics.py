@@ -73,10 +73,9 @@ def repair_unknown(df: DataFrame, labels: DataFrame) -> DataFrame:
     The row stays wrong without adding a class; with a single seen class there is none: null.
     """
     n_labels = labels.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    smallest = df.agg(F.min("true_id").alias("a")).scalar()
-    # the smallest class above the smallest one
-    second = df.filter(F.col("true_id") > smallest).agg(F.min("true_id").alias("b")).scalar()
-    other = F.when(F.col("true_id") != smallest, smallest).otherwise(second)
+    # one entry per class
+    seen = df.agg(F.slice(F.array_sort(F.collect_set("true_id")), 1, 2).alias("c")).scalar()
+    other = F.when(F.col("true_id") != F.get(seen, F.lit(0)), F.get(seen, F.lit(0))).otherwise(F.get(seen, F.lit(1)))
     return df.withColumn(
         "predicted_id", F.when(F.col("predicted_id") == n_labels, other).otherwise(F.col("predicted_id"))
     )
@@ -122,10 +121,10 @@ def _ratio(top: Column, bottom: Column, zero: float) -> Column:
     return F.when(bottom == 0, F.lit(float(zero))).otherwise(F.try_divide(top, bottom))
 
 
-def per_class(counts: DataFrame, zero_division: float = 0) -> DataFrame:
+def per_class(counts: DataFrame, zero_division: float = 0, keep: list[str] | None = None) -> DataFrame:
     tp = F.col("tp")
     return counts.select(
-        "cls", _ratio(tp, F.col("predicted"), zero_division).alias("precision"),
+        "cls", *(keep or []), _ratio(tp, F.col("predicted"), zero_division).alias("precision"),
         _ratio(tp, F.col("support"), zero_division).alias("recall"),
         _ratio(2 * tp, F.col("predicted") + F.col("support"), zero_division).alias("f1"), "support",
     )
@@ -182,20 +181,28 @@ def multilabel_metrics(
 
 
 def classification_report(counts: DataFrame, digits: int = 2) -> DataFrame:
-    """Rows per class, then accuracy, macro and weighted averages; one row per class feeds it."""
-    rows = per_class(counts).select(F.col("cls").cast("string").alias("name"), "precision", "recall", "f1", "support")
-    total = F.sum("support")
-    tp = counts.agg(F.try_divide(F.sum("tp"), F.sum("support")).alias("a"), F.sum("support").alias("support"))
-    acc = tp.select(F.lit("accuracy").alias("name"), F.lit(None).cast("double").alias("precision"),
-                    F.lit(None).cast("double").alias("recall"), F.col("a").alias("f1"), "support")
-    macro = rows.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], total.alias("support"))
-    weighted = rows.agg(
-        *[F.try_divide(F.sum(F.col(c) * F.col("support")), total).alias(c) for c in ("precision", "recall", "f1")],
-        total.alias("support"),
+    """Rows per class, then accuracy, macro and weighted averages, from one pass over the counts.
+
+    Every class contributes to its own row and to the three summary rows.
+    """
+    scores = ("precision", "recall", "f1")
+    rows = per_class(counts.withColumn("_tp", F.col("tp")), keep=["_tp"])
+    names = F.array(F.col("cls").cast("string"), F.lit("accuracy"), F.lit("macro avg"), F.lit("weighted avg"))
+    spread = rows.select("*", F.posexplode(names).alias("_part", "name"))
+    support = F.sum("support")
+    sums = spread.groupBy("_part", "name").agg(
+        F.try_divide(F.sum("_tp"), support).alias("accuracy"), support.alias("support"),
+        *[F.avg(c).alias(f"{c}_mean") for c in scores],
+        *[F.try_divide(F.sum(F.col(c) * F.col("support")), support).alias(f"{c}_weighted") for c in scores],
     )
-    report = rows.unionByName(acc).unionByName(macro.withColumn("name", F.lit("macro avg"))).unionByName(
-        weighted.withColumn("name", F.lit("weighted avg")))
-    return report.select("name", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")], "support")
+    part = F.col("_part")
+
+    def shown(c: str) -> Column:
+        accuracy = F.col("accuracy") if c == "f1" else F.lit(None).cast("double")
+        value = F.when(part == 1, accuracy).when(part == 3, F.col(f"{c}_weighted")).otherwise(F.col(f"{c}_mean"))
+        return F.round(value, digits).alias(c)
+
+    return sums.select("name", *[shown(c) for c in scores], "support")
 
 
 def confusion_matrix(

@@ -9,7 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirecorpus.functions.ordering import number_rows
+from wirecorpus.functions.ordering import number_sorted
 from wirecorpus.operators.catalog import SPECIAL_TOKENS
 from wirecorpus.session import stage
 
@@ -211,7 +211,7 @@ def with_specials(vocab: DataFrame, specials: list[str] = SPECIAL_TOKENS) -> Dat
 def number_pieces(df: DataFrame, piece: str = "piece") -> DataFrame:
     """(piece, id) of the distinct pieces in text order."""
     distinct = df.select(F.col(piece).alias("piece")).distinct()
-    numbered = number_rows(distinct, [], ["piece"], F.substring("piece", 1, 2), "id")
+    numbered = number_sorted(distinct, ["piece"], "id")
     return numbered.withColumn("id", F.col("id") - 1)
 
 

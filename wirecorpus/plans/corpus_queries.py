@@ -12,6 +12,7 @@ from wirecorpus.operators.catalog import (
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.packet_queries import WORDS_SOURCE_SQL, _words_sql
 from wirecorpus.plans.registry import Registry, sql_text
+from wirecorpus.session import stage
 
 R = Registry()
 
@@ -158,13 +159,14 @@ def _(spark, sf):
 LABELS_SQL = "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM (SELECT DISTINCT event_type AS label FROM events)"
 
 
-def label_ids(spark, sf):
+@R.add("c10_label_index", LABELS_SQL)
+def label_index(spark, sf):
     return corpus.label_index(fx.table(spark, sf, "events").select(F.col("event_type").alias("label")))
 
 
-@R.add("c10_label_index", LABELS_SQL)
-def _(spark, sf):
-    return label_ids(spark, sf)
+def label_ids(spark, sf):
+    """The label table as later steps read it: a small table of its own."""
+    return stage(label_index(spark, sf))
 
 
 @R.add("c10_label_index_many", "SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS id FROM (SELECT DISTINCT c_name AS label FROM customer)")
@@ -212,7 +214,7 @@ SPACED_SQL = f"SELECT doc_id, {_repair_sql(SPACED.format('text'))} AS text FROM
 
 @R.add("c16_repair_spacing", SPACED_SQL)
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.documents(spark, sf, "doc_id", "text")
     return docs.select("doc_id", corpus.repair_spacing(F.expr(SPACED.format("text"))).alias("text"))
 
 

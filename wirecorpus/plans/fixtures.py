@@ -12,7 +12,7 @@ from wirecorpus.functions.octets import once, quotient
 from wirecorpus.functions.ordering import number_rows
 from wirecorpus.operators.packets import decode_headers
 from wirecorpus.operators.synthesis import build_frames
-from wirecorpus.session import configure
+from wirecorpus.session import configure, spread
 
 # events of one capture are numbered in chunks of ten minutes of event time
 CHUNK_MICROS = 600_000_000
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Document columns for work that is heavy per text."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def _pick(key: Column, values: list, default=None) -> Column:
     expr = None
     for i, v in enumerate(values):
@@ -287,7 +292,7 @@ HTTP_SQL = """fx_http AS (
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as token ids: one id per blank-separated word."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir, "doc_id", "text")
     ids = F.transform(
         F.split("text", " "), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int")
     )
@@ -306,7 +311,7 @@ def dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line of a document as the sentence, the other lines as its corrections."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir, "doc_id", "text")
     lines = F.split("text", "\n")
     return d.select("doc_id", lines[0].alias("sentence"),
                     F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("corrections"))
@@ -426,7 +431,7 @@ REQUESTS_SQL = SAMPLES_SQL + f""", fx_requests AS (
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as references, and an altered copy with one word repeated as responses."""
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir, "doc_id", "text")
     return d.select(
         "doc_id", F.col("text").alias("target"),
         F.concat(F.translate(F.replace("text", F.lit("en"), F.lit("on")), ".", "!"), F.lit(" la la")).alias("response"),

@@ -8,6 +8,7 @@ from wirecorpus.operators import flows, packets, synthesis
 from wirecorpus.operators.catalog import PACKET_FIELDS, SERVER_FIELDS
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.registry import Registry
+from wirecorpus.session import stage
 
 R = Registry()
 
@@ -72,9 +73,10 @@ STREAMS_SQL = fx.WIRE_SQL + """, fx_streams AS (
 SELECT packet_id, CASE WHEN proto = 6 THEN stream END AS tcp_stream, CASE WHEN proto = 17 THEN stream END AS udp_stream
 FROM fx_streams""")
 def _(spark, sf):
-    return packets.stream_ids(packets.keep_tcp_udp(fx.decoded(spark, sf))).select(
-        "packet_id", "tcp_stream", "udp_stream"
-    )
+    rows = packets.keep_tcp_udp(fx.decoded(spark, sf)).select(
+        "packet_id", "capture", "frame_no", "ip_proto", "ip_src", "ip_dst", "tcp_srcport", "tcp_dstport",
+        "udp_srcport", "udp_dstport")
+    return packets.stream_ids(stage(rows)).select("packet_id", "tcp_stream", "udp_stream")
 
 
 STREAM_FEATURES_SQL = STREAMS_SQL + """, fx_tcp AS (

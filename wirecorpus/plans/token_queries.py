@@ -277,14 +277,14 @@ def _(spark, sf):
 # learning a vocabulary is iterative; brute force on a small corpus is the check (tests)
 @R.add("t1_train_vocabulary")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("text")
+    docs = fx.documents(spark, sf, "text")
     vocab, _ = vocabulary.train_vocabulary(docs, vocab_size=240)
     return vocab
 
 
 @R.add("t2_encode")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf, "doc_id", "text")
     vocab, merges = vocabulary.train_vocabulary(docs, vocab_size=160)
     return vocabulary.encode(docs, vocab, merges).select("doc_id", joined("ids"))
 
@@ -292,6 +292,6 @@ def _(spark, sf):
 # decoding what was encoded gives the texts back with single blanks
 @R.add("t3_decode", r"SELECT doc_id, regexp_replace(trim(text), '\s+', ' ', 'g') AS text FROM documents")
 def _(spark, sf):
-    docs = fx.table(spark, sf, "documents").select("doc_id", "text")
+    docs = fx.documents(spark, sf, "doc_id", "text")
     vocab, merges = vocabulary.train_vocabulary(docs, vocab_size=160)
     return vocabulary.decode(vocabulary.encode(docs, vocab, merges).select("doc_id", "ids"), vocab).select("doc_id", "text")

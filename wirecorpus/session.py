@@ -22,6 +22,9 @@ RUNTIME_CONF = {
     # per-class caps go up to 20,000 rows; the default of 1000 would leave them unpruned
     "spark.sql.optimizer.windowGroupLimitThreshold": "20200",
     "spark.sql.python.filterPushdown.enabled": "true",
+    # rows are narrow when they are shuffled and grow afterwards (frames, texts, words), so small
+    # shuffle partitions are worth keeping apart; large ones are not affected
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
@@ -56,6 +59,15 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than task slots, for work that is heavy per row.
+
+    A large table has more splits than slots and stays as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def local_session(name: str = "wirecorpus", cpus: str | None = None) -> SparkSession:
     """A local session for tests and the bench."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")

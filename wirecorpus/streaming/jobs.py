@@ -41,6 +41,8 @@ def score_requests(
 # packets of a task are combined before the shuffle and state stays small for any flow.
 
 def _combine(sessions: list[list], gap_us: int, k: int) -> list[list]:
+    if len(sessions) == 1:
+        return sessions
     merged: list[list] = []
     for first, last, n, pieces in sorted(sessions, key=lambda s: (s[0], s[1])):
         if merged and first - merged[-1][1] < gap_us:
@@ -64,13 +66,15 @@ def stream_flows(
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for key, rows in frame.groupby(KEY_NAMES, sort=False):
-                points = [[t, t, 1, [[t, o, p]]] for t, o, p in zip(
-                    rows.ts_us.tolist(), rows.order_no.tolist(), rows.piece.tolist())]
-                for first, last, n, pieces in _combine(points, gap_us, k):
-                    out.append((*key, first, last, n, json.dumps(pieces)))
-            yield pd.DataFrame(out, columns=KEY_NAMES + ["first_us", "last_us", "n", "pieces"])
+            points: dict[tuple, list] = {}
+            columns = [frame[c].tolist() for c in [*KEY_NAMES, "ts_us", "order_no", "piece"]]
+            for *key, ts, order, piece in zip(*columns):
+                points.setdefault(tuple(key), []).append([ts, ts, 1, [[ts, order, piece]]])
+            yield pd.DataFrame(
+                [(*key, first, last, n, json.dumps(pieces)) for key, own in points.items()
+                 for first, last, n, pieces in _combine(own, gap_us, k)],
+                columns=KEY_NAMES + ["first_us", "last_us", "n", "pieces"],
+            )
 
     def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sessions = json.loads(state.get[0]) if state.exists else []
@@ -87,6 +91,8 @@ def stream_flows(
             state.setTimeoutTimestamp(max(min(map(due, still)), now + 1))
         elif state.exists:
             state.remove()
+        if not closed:
+            return
         yield pd.DataFrame(
             [(*key, f, l, n, PACKET_MARK + PACKET_MARK.join(p[2] for p in pieces)) for f, l, n, pieces in closed],
             columns=KEY_NAMES + ["first_us", "last_us", "n_packets", "flow_text"],
