@@ -171,7 +171,7 @@ def test_text_sinks(spark, data, tmp_path):
     sinks.write_texts(rows, str(tmp_path / "t"))
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
     assert lines == ["a\\nb\\\\n", "c"]
-    pairs = spark.createDataFrame([('say "hi"\nthere, you', "x"), ("plain", "y")], "input STRING, target STRING")
+    pairs = spark.createDataFrame([('say "hi"\nthere, you', "x"), ("plain ", " y")], "input STRING, target STRING")
     sinks.write_pairs(pairs, str(tmp_path / "p"))
     assert sorted(map(tuple, files.read_pairs(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, pairs.collect()))
     preds = spark.createDataFrame([(" a ", "b\n")], "target STRING, response STRING")

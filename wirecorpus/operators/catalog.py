@@ -141,11 +141,8 @@ ROUTED_TEMPLATES = {
 SERVICE_TEMPLATES = {**ROUTED_TEMPLATES, "WAD": HTTP_NORMAL}
 PROMPT_VARIANTS = {"cli": ROUTED_TEMPLATES, "service": SERVICE_TEMPLATES}
 DATA_MARK = "<packet>"
-ROUTER_CODE = "NLP"
 
 # --- fixed values: the published registry -------------------------------------------------
-REGISTRY_MODEL_PATH = "models/chatglm2/chatglm2-6b/"
-REGISTRY_PEFT_PATH = "models/chatglm2/peft/"
 REGISTRY_PATHS = {
     "NLP": ["instruction/checkpoint-8000/"],
     "MTD": ["ustc-tfc-2016-detection-packet/checkpoint-10000/"],

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from wirecorpus.plans import (
-    corpus_queries, metric_queries, packet_queries, routing_queries, stream_queries, token_queries,
+    corpus_queries, file_queries, metric_queries, packet_queries, routing_queries, stream_queries, token_queries,
 )
 from wirecorpus.plans.registry import Query
 
-MODULES = [packet_queries, corpus_queries, token_queries, routing_queries, metric_queries, stream_queries]
+MODULES = [packet_queries, corpus_queries, token_queries, routing_queries, metric_queries, stream_queries, file_queries]
 
 
 def all_queries() -> dict[str, Query]:

@@ -57,8 +57,14 @@ def write_generation_lists(lists: DataFrame, path: str) -> None:
 
 
 def write_pairs(df: DataFrame, path: str) -> None:
-    """(input, target) as CSV with a header."""
-    df.select("input", "target").write.option("header", True).option("escape", '"').csv(path)
+    """(input, target) as CSV with a header; blanks at the ends of a text are kept."""
+    write_csv(df.select("input", "target"), path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_report(path: str, **tables: DataFrame) -> None:
