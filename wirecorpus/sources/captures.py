@@ -1,7 +1,7 @@
 """Capture files as a Spark data source: ``spark.read.format("capture")``.
 
-One input partition per file and per split of a large file, so a capture that holds most frames
-does not become one task. A split that starts inside a file first finds a record boundary;
+Large files are cut into splits and small files share an input partition, so neither a capture
+that holds most frames nor a folder of many tiny captures decides the number of tasks. A split that starts inside a file first finds a record boundary;
 ``read_captures`` checks that the records of all splits join up, so a wrong boundary is an error
 and never a wrong row. Paths are local or any URI that Arrow can open.
 """
@@ -34,6 +34,7 @@ MAX_FRAME_OCTETS = 262_144
 ETHERNET = 1
 ROWS_PER_BATCH = 2048
 DEFAULT_SPLIT_OCTETS = 128 * 1024 * 1024
+OPEN_COST_SHARE = 32
 READ_OCTETS = 4 * 1024 * 1024
 # octets over which records must follow one another before a position counts as a boundary: more
 # than any frame, so that a capture carried inside a frame is not taken for the file's own records
@@ -56,12 +57,33 @@ def _filesystem(root: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), os.path.abspath(root)
 
 
-class FileSplit(InputPartition):
+class FileSplit:
     def __init__(self, path: str, capture: str, label: str, super_label: str | None, start: int, end: int, size: int):
         self.path, self.capture, self.label, self.super_label = path, capture, label, super_label
         self.start, self.end, self.size = start, end, size
 
 
+class SplitGroup(InputPartition):
+    """Splits read one after another by a task."""
+
+    def __init__(self, splits: list[FileSplit]):
+        self.splits = splits
+
+
+def _grouped(splits: list[FileSplit], octets: int) -> list[InputPartition]:
+    """Fill partitions up to ``octets``; opening a file costs as much as a part of that."""
+    groups: list[list[FileSplit]] = []
+    room = 0
+    for split in splits:
+        cost = split.end - split.start + octets // OPEN_COST_SHARE
+        if not groups or cost > room:
+            groups.append([])
+            room = octets
+        groups[-1].append(split)
+        room -= cost
+    return [SplitGroup(g) for g in groups] or [SplitGroup([])]
+
+
 def _record(head: bytes, order: str) -> tuple[int, int, int, int]:
     return struct.unpack(order + "IIII", head)
 
@@ -132,14 +154,14 @@ class CaptureReader(DataSourceReader):
             for start in range(0, max(info.size, 1), self.split_octets):
                 end = min(start + self.split_octets, info.size)
                 splits.append(FileSplit(info.path, capture, label, top, start, end, info.size))
-        return splits or [FileSplit("", "", "", None, 0, 0, 0)]
+        return _grouped(splits, self.split_octets)
 
-    def read(self, partition: FileSplit) -> Iterator[pa.RecordBatch]:
-        if not partition.size:
-            return
+    def read(self, partition: SplitGroup) -> Iterator[pa.RecordBatch]:
         files, _ = _filesystem(self.root)
-        with io.BufferedReader(files.open_input_file(partition.path), READ_OCTETS) as f:
-            yield from self._records(f, partition)
+        for split in partition.splits:
+            if split.size:
+                with io.BufferedReader(files.open_input_file(split.path), READ_OCTETS) as f:
+                    yield from self._records(f, split)
 
     def _records(self, f, partition: FileSplit) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
