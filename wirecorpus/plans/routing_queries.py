@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wirecorpus.operators import corpus, metrics, routing, synthesis
 from wirecorpus.operators.catalog import PROMPT_VARIANTS, REGISTRY_PATHS, REGISTRY_TASKS
 from wirecorpus.plans import fixtures as fx
-from wirecorpus.plans.corpus_queries import CORPUS_SQL, LABELS_SQL, key_sql, label_ids, template_case
+from wirecorpus.plans.corpus_queries import label_ids, template_case
 from wirecorpus.plans.registry import Registry, sql_text
 
 R = Registry()
