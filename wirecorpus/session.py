@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -35,13 +34,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's own, or a local one where none is named."""
+    """Shared folder for cut lineage: the cluster's own, or one in the warehouse where none is named."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="wirecorpus-checkpoint-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoint-{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
