@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wirecorpus.llm import sharding, tokenfiles
+from wirecorpus.llm import packing, sharding, superminhash, tokenfiles
 from wirecorpus.llm.common import table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
@@ -15,11 +15,23 @@ from wirecorpus.session import checkpoint_base
 R = Registry()
 
 
+@R.add("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf_dir):
+    pieces = packing.token_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return packing.pack(pieces, 4096)
+
+
 @R.add("op4_shards")
 def op4_shards(spark, sf_dir):
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+@R.add("op9_superminhash")
+def op9_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 @R.add("op10_token_files")
 def op10_token_files(spark, sf_dir):
     out = f"{checkpoint_base(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
