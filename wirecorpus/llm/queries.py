@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wirecorpus.llm import packing, sharding, superminhash, tokenfiles
+from wirecorpus.llm import licences, packing, sharding, superminhash, tokenfiles
 from wirecorpus.llm.common import table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
@@ -27,6 +27,11 @@ def op4_shards(spark, sf_dir):
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+@R.add("op8_licences", licences.oracle(licences.NOTICES))
+def op8_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents")).drop("hits")
+
+
 @R.add("op9_superminhash")
 def op9_superminhash(spark, sf_dir):
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
