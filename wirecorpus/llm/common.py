@@ -65,3 +65,40 @@ def by_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], col
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 when divided by three."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, doc_id: str = "doc_id", text: str = "text"):
+    """(texts, labels) of at most so many labelled documents with label 0, and with label 1.
+
+    They are the first by md5 of their id, so the choice does not depend on the partitioning, and
+    the two classes are bounded apart. Rows without id, label or text are passed over. Ids are
+    chosen before any text moves; a repeated id counts each of its rows up to the bound.
+    """
+    named = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+    order = [F.md5(F.col("_id").cast("string")), F.col("_id")]
+    picked = None
+    for value in (0, 1):
+        some = named.where(F.col("_label") == value).orderBy(*order).limit(per_class)
+        picked = some if picked is None else picked.union(some)
+    ids = [(r[0], r[1]) for r in picked.collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, "_id long, _label int").distinct()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = texts.join(F.broadcast(chosen), "_id").orderBy(*order, F.xxhash64("_text")).limit(2 * per_class).collect()
+    return [r["_text"] for r in rows], [r["_label"] for r in rows]
+
+
+def logistic(x, y, steps: int = 100, ridge: float = 1e-3):
+    """Weights (with the constant last) of a logistic model fitted by Newton steps."""
+    import numpy as np
+
+    design = np.column_stack([x, np.ones(len(y))])
+    weights = np.zeros(design.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
+        gradient = design.T @ (p - y) + ridge * weights
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(weights))
+        step = np.linalg.solve(hessian, gradient)
+        weights -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+        if np.abs(step).max() < 1e-9:
+            break
+    return weights

@@ -7,14 +7,27 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wirecorpus.llm import licences, packing, sharding, superminhash, tokenfiles
-from wirecorpus.llm.common import table
+from wirecorpus.llm import compression, langid, licences, line_crf, packing, phrases, pieces, sharding, superminhash, tokenfiles
+from wirecorpus.llm.common import held_out, table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
 
 R = Registry()
 
 
+@R.add("op1_line_rules")
+def op1_line_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return line_crf.judge(docs, model).drop("content_spans")
+
+
+@R.add("op2_pieces")
+def op2_pieces(spark, sf_dir):
+    return pieces.encode_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=False)
+
+
 @R.add("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf_dir):
     pieces = packing.token_pieces(
@@ -27,6 +40,29 @@ def op4_shards(spark, sf_dir):
     return sharding.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+@R.add("op5_language")
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model)
+    return found.withColumn("held_out", held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@R.add("op6_compression")
+def op6_compression(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    found = compression.score(docs, compression.fit(docs, labels))
+    return found.withColumn("held_out", held_out(F.col("doc_id"))).select(
+        "doc_id", "held_out", "score", "predicted", "gain")
+
+
+@R.add("op7_phrases")
+def op7_phrases(spark, sf_dir):
+    return phrases.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @R.add("op8_licences", licences.oracle(licences.NOTICES))
 def op8_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents")).drop("hits")

@@ -73,15 +73,16 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, owners: int, places: i
     return signature.reshape(owners, places)
 
 
-def _octet_table() -> np.ndarray:
-    """A fixed random 64-bit value per octet; A-Z have those of a-z."""
+def _octet_table(fold: bool) -> np.ndarray:
+    """A fixed random 64-bit value per octet; folded, A-Z have those of a-z."""
     table = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
-    table[65:91] = table[97:123]
+    if fold:
+        table[65:91] = table[97:123]
     return table
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of the texts and the text it is from; A-Z count as a-z."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts and the text it is from; folded, A-Z count as a-z."""
     raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     white = (raw == 32) | ((raw >= 9) & (raw <= 13))
     inside = ~white
@@ -95,7 +96,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inverse[0] = 1
     np.cumprod(inverse, out=inverse)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_octet_table()[raw] * powers, out=sums[1:])
+    np.cumsum(_octet_table(fold)[raw] * powers, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(begins, starts, side="right") - 1
