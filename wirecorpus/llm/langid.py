@@ -186,6 +186,25 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return train([r["_text"] for r in rows], [r["_lang"] for r in rows])
 
 
+def _judge(column: pa.Array, known: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    lettered = np.array([
+        bool(_PLAIN_LETTER.search(t) or _LETTER.search(t.decode("utf-8", "replace"))) for t in texts], dtype=bool)
+    if known.languages:
+        share = _softmax(_logits(known, texts))
+        names = [known.languages[b] if ok else UNDETERMINED for b, ok in zip(share.argmax(axis=1), lettered)]
+        scores = np.where(lettered, share.max(axis=1), 0.0)
+    else:
+        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    return names, scores, (scores < known.threshold) | ~lettered | (not known.languages)
+
+
+def _shared(docs: DataFrame, model: LanguageModel):
+    """The model's plain parts, sent to each worker once: a table of fixed size per language."""
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.threshold))
+
+
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row, whole texts.
 
@@ -193,23 +212,11 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
     ``und``, score 0 and is rejected, as is a score below the model's threshold. Repeated rows give
     repeated rows; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def make():
-        known = shared.value
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            lettered = np.array([
-                bool(_PLAIN_LETTER.search(t) or _LETTER.search(t.decode("utf-8", "replace"))) for t in texts], dtype=bool)
-            if known.languages:
-                share = _softmax(_logits(known, texts))
-                best = share.argmax(axis=1)
-                names = [known.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered)]
-                scores = np.where(lettered, share.max(axis=1), 0.0)
-            else:
-                names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            rejected = (scores < known.threshold) | ~lettered | (not known.languages)
+            names, scores, rejected = _judge(batch.column(1), LanguageModel(*shared.value))
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
                 ["doc_id", "lang_pred", "score", "rejected"])
@@ -217,3 +224,16 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return picked.mapInArrow(by_slice(make, "text"), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_rows(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows that ``predict`` does not reject, with all their columns."""
+    shared = _shared(docs, model)
+    at = docs.columns.index(text)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(~_judge(batch.column(at), LanguageModel(*shared.value))[2]))
+        return work
+
+    return docs.mapInArrow(by_slice(make, text), docs.schema)

@@ -213,6 +213,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     return train(*labelled_sample(docs, labels, label, per_class))
 
 
+def _verdict(texts: list[str], model: LineField):
+    """Measures of the texts, each one's labels, content share, base rules and verdict."""
+    lines = Lines(texts)
+    scores = lines.scores(model)
+    labels, share = [], np.zeros(len(texts))
+    for i in range(len(texts)):
+        a, b = lines.first[i], lines.first[i + 1]
+        label = np.array(viterbi(scores[a:b], model.move))
+        words = lines.line_words[a:b]
+        share[i] = (words * label).sum() / max(1, words.sum())
+        labels.append(label)
+    failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeated > REPEATED_PERCENT * lines.n_words)
+    return lines, labels, share, failed, ~failed & (share >= CONTENT)
+
+
+def keep_rows(docs: DataFrame, model: LineField, text: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns."""
+    at = docs.columns.index(text)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(_verdict([t or "" for t in batch.column(at).to_pylist()], model)[4]))
+        return work
+
+    return docs.mapInArrow(by_slice(make, text), docs.schema)
+
+
 def judge(docs: DataFrame, model: LineField, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts, base rules and verdict of every row, whole texts.
 
@@ -225,21 +252,14 @@ def judge(docs: DataFrame, model: LineField, doc_id: str = "doc_id", text: str =
     """
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lines = Lines([t or "" for t in batch.column(1).to_pylist()])
-            scores = lines.scores(model)
-            share, spans = [], []
-            for i in range(batch.num_rows):
-                a, b = lines.first[i], lines.first[i + 1]
-                label = np.array(viterbi(scores[a:b], model.move))
-                words = lines.line_words[a:b]
-                share.append(float((words * label).sum() / max(1, words.sum())))
+            lines, labels, share, failed, kept = _verdict([t or "" for t in batch.column(1).to_pylist()], model)
+            spans = []
+            for label in labels:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], label, [0]])))
                 spans.append([{"first": int(f), "last": int(l) - 1} for f, l in zip(edge[::2], edge[1::2])])
-            share = np.array(share)
-            failed = (lines.n_words < MIN_WORDS) | (100 * lines.n_repeated > REPEATED_PERCENT * lines.n_words)
             columns = [
                 batch.column(0), lines.n_words, lines.word_chars, lines.symbols, lines.n_dup, lines.n_repeated,
-                failed, ~failed & (share >= CONTENT), share, lines.per_text,
+                failed, kept, share, lines.per_text,
                 pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
             ]
             return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], NAMES)

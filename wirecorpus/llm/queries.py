@@ -70,7 +70,8 @@ def op8_licences(spark, sf_dir):
 
 @R.add("op9_superminhash")
 def op9_superminhash(spark, sf_dir):
-    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @R.add("op10_token_files")

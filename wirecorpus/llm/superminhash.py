@@ -255,14 +255,16 @@ def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text",
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, key, representative) of every row.
 
     Rows are linked where 100 * intersection >= percent * union of their sets of ``words``-word
     shingles, confirmed on whole sets; ``component_id`` is the least id reachable and ``kept`` tells
     if it is the row's own. Rows without words are linked with nothing: each is its own component,
     also where the text is null. Repeated rows share a component and are all kept, having one id;
     null ids count as larger than all others and a component of null ids has a null id and is kept.
-    No row gives no row; other columns are not read.
+    ``key`` is equal for texts of equal words; one (doc_id, key) of each component is its
+    ``representative``, as is every row without words. No row gives no row; other columns are not
+    read.
     """
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows_ = stage(signed(picked, words, bands, rows).withColumn("uid", F.monotonically_increasing_id()))
@@ -274,10 +276,34 @@ def near_duplicates(
     comps = nodes.select("key", "node").join(links, "node", "left").select(
         "key", F.coalesce("comp", "node").alias("comp"))
     found = rows_.where("n_shingles > 0").select("doc_id", "n_shingles", "key").join(comps, "key")
-    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    grouped = found.join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = rows_.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = found.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("least"))
+    grouped = found.join(least, "comp").select(
+        "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "key",
+        F.col("least.key").alias("first_key"))
+    alone = rows_.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key", F.col("key").alias("first_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return grouped.union(alone).select(
+        "doc_id", "n_shingles", "component_id", kept.alias("kept"), "key",
+        (kept & (F.col("key") == F.col("first_key"))).alias("representative"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document left of each component, all columns kept.
+
+    Rows of one id and equal words are one document. Rows without words are never duplicates of
+    others with another id.
+    """
+    judged = near_duplicates(docs, words, percent, doc_id, text)
+    stay = stage(judged.where("representative").select(F.col("doc_id").alias("_near_id"), F.col("key").alias("_near_key")))
+    named = F.col(doc_id).cast("long")
+    keyed = docs.withColumn("_near_word_key", equal_words_key(F.col(text)))
+    left = keyed.join(
+        stay, named.eqNullSafe(F.col("_near_id")) & (F.col("_near_word_key") == F.col("_near_key")), "left_semi")
+    repeated = stay.groupBy("_near_id", "_near_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        left = left.dropDuplicates([doc_id, "_near_word_key"])
+    return left.drop("_near_word_key")
 
 
 def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
