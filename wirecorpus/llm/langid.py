@@ -93,8 +93,11 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 40.0, seed: int = 7) -> LanguageModel:
-    """Fit on these texts; one of five is kept apart for the temperature and the threshold."""
+def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 40.0, seed: int = 7) -> LanguageModel:
+    """Fit on these texts, in at least so many steps and four rounds over the spans.
+
+    One text of five is kept apart for the temperature and the threshold.
+    """
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
@@ -114,8 +117,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 40
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     marks = np.array(marks, dtype=np.int64)
-    steps, batch = 0, 64
-    total = max(1, epochs * -(-len(spans) // batch))
+    done, batch = 0, 64
+    each = max(1, -(-len(spans) // batch))
+    epochs = max(4, -(-steps // each)) if spans else 0
     for _ in range(epochs):
         order = rng.permutation(len(spans))
         for a in range(0, len(order), batch):
@@ -129,12 +133,12 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 40
             error = _softmax(hidden @ layer + bias)
             error[np.arange(len(chosen)), marks[chosen]] -= 1
             error /= len(chosen)
-            step = rate * (1 - steps / total)
+            step = rate * (1 - done / (epochs * each))
             back = (error @ layer.T / counts[:, None]).astype(np.float32)
             layer -= 0.05 * step * (hidden.T @ error).astype(np.float32)
             bias -= 0.05 * step * error.sum(axis=0)
             np.subtract.at(table, buckets, np.float32(step) * np.repeat(back, counts, axis=0))
-            steps += 1
+            done += 1
     model = LanguageModel(languages, (table @ layer).astype(np.float32), bias.astype(np.float64), 0.0)
     apart = [i for i in range(0, len(raw), 5) if _LETTER.search(texts[i])]
     if apart:

@@ -135,12 +135,12 @@ def pack(pieces: DataFrame, capacity: int, group_tokens: int = GROUP_TOKENS) ->
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset") and not c.startswith("_pack")]
     rows = stage(pieces.select(*names))
     bad = F.raise_error(F.concat(F.lit("length outside the capacity: "), F.col("length").cast("string")))
-    rows = rows.where(F.when(F.col("length").between(1, capacity), True).otherwise(bad.cast("boolean")))
-    full = rows.where(F.col("length") == capacity).withColumns({
+    whole = F.when(F.col("length").between(1, capacity), F.col("length") == capacity).otherwise(bad.cast("boolean"))
+    full = rows.where(whole).withColumns({
         "sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
     })
     done = [full]
-    rest = rows.where(F.col("length") < capacity)
+    rest = rows.where(~whole)
     begin, before = 0, None
     while True:
         tokens = rest.agg(F.sum("length")).first()[0] or 0
