@@ -135,7 +135,9 @@ def test_hash_rank_is_a_permutation(spark, data):
     assert ranks == list(range(1, len(ranks) + 1))
 
 
-def test_label_limit(spark):
-    labels = corpus.label_index(spark.range(12).select(F.col("id").cast("string").alias("label")))
-    with pytest.raises(Exception, match="more than 10 labels"):
-        corpus.label_map_json(labels, max_labels=10).collect()
+def test_label_map_has_every_label(spark):
+    import json
+
+    labels = corpus.label_index(spark.range(1200).select(F.col("id").cast("string").alias("label")))
+    text = corpus.label_map_json(labels).collect()[0].label_map
+    assert json.loads(text) == {label: i for i, label in enumerate(sorted(map(str, range(1200))))}

@@ -96,16 +96,43 @@ def test_empty_capture_gives_the_bare_mark(spark, tmp_path):
     assert got == {"web/empty.pcap": "<pck>", "web/one.pcap": "<pck>" + frames_of(1, 4)[0][1].hex()}
 
 
-@pytest.mark.parametrize("frames_per_file", [1_000_000, 4])
-def test_capture_round_trip(spark, data, tmp_path, frames_per_file):
+@pytest.mark.parametrize("frames_per_part", [None, 4])
+def test_capture_round_trip(spark, data, tmp_path, frames_per_part):
     rows = fx.frames(spark, data)
-    captures.write_captures(rows, str(tmp_path / "out"), frames_per_file=frames_per_file)
-    back = captures.read_captures(spark, str(tmp_path / "out"))
-    key = lambda df: sorted((r.label, r.ts_us, bytes(r.frame)) for r in df.select("label", "ts_us", "frame").collect())
+    captures.write_captures(rows, str(tmp_path / "out"), frames_per_part=frames_per_part)
+    back = captures.read_captures(spark, str(tmp_path / "out"), split_octets=3_000)
+    columns = ["capture", "frame_no", "label", "ts_us", "frame"]
+    key = lambda df: sorted((*tuple(r)[:4], bytes(r.frame)) for r in df.select(*columns).collect())
     assert key(back) == key(rows)
+    listed = captures.list_captures(spark, str(tmp_path / "out"))
+    assert {r.capture for r in listed.collect()} == {r.capture for r in rows.select("capture").distinct().collect()}
     assert decode_headers(back).filter("ip_proto = 6").count() == fx.packets(spark, data).filter("proto = 6").count()
     with pytest.raises(Exception):
-        captures.write_captures(rows, str(tmp_path / "out"), frames_per_file=frames_per_file)
+        captures.write_captures(rows, str(tmp_path / "out"), frames_per_part=frames_per_part)
+    # overwriting leaves nothing of before
+    some = rows.filter("label = 'view'")
+    captures.write_captures(some, str(tmp_path / "out"), mode="overwrite", frames_per_part=frames_per_part)
+    assert key(captures.read_captures(spark, str(tmp_path / "out"))) == key(some)
+    assert not [f for f in (tmp_path / "out").rglob(".*.part")]
+
+
+def test_a_wrong_boundary_fails_for_any_columns(spark, tmp_path):
+    put(tmp_path / "web" / "one.pcap", pcap(frames_of(40), unit=1000))
+    whole = captures.scan_captures(spark, str(tmp_path), split_octets=400)
+    assert captures.split_counts(whole).count() > 2
+    with pytest.raises(Exception, match="do not join up"):  # the end of the file is not reached
+        captures.split_counts(whole.filter("start < 1200"))
+    shifted = whole.withColumn("offset", F.col("offset") + F.when(F.col("start") == 400, 1).otherwise(0))
+    with pytest.raises(Exception, match="do not join up"):
+        captures.split_counts(shifted)
+
+
+def test_frame_limit_is_the_files_own(spark, tmp_path):
+    body = bytearray(pcap([(0, b"x" * 300_000), (1, b"y" * 50)]))
+    body[16:20] = (400_000).to_bytes(4, "little")
+    put(tmp_path / "web" / "big.pcap", bytes(body))
+    rows = captures.read_captures(spark, str(tmp_path), split_octets=100_000).orderBy("frame_no").collect()
+    assert [(r.frame_no, len(r.frame)) for r in rows] == [(1, 300_000), (2, 50)]
 
 
 def test_fields_tsv(spark, tmp_path):
@@ -120,15 +147,23 @@ def test_fields_tsv(spark, tmp_path):
 
 def test_json_sources(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"instruction":"a\\nb","output":"c"}\nbroken\n{"instruction":"d","output":"e"}\n')
-    assert [(r.instruction, r.output) for r in files.read_samples(spark, str(tmp_path / "s.json")).collect()] == [("a\nb", "c"), ("d", "e")]
-    kept = files.read_samples(spark, str(tmp_path / "s.json"), keep_corrupt=True).collect()
+    with pytest.raises(Exception, match="Malformed|MALFORMED"):
+        files.read_samples(spark, str(tmp_path / "s.json")).collect()
+    kept = files.read_samples(spark, str(tmp_path / "s.json"), broken="keep").collect()
+    assert [(r.instruction, r.output) for r in kept] == [("a\nb", "c"), (None, None), ("d", "e")]
+    assert [tuple(r) for r in files.sample_rejects(spark, str(tmp_path / "s.json")).collect()] == [("broken", 1, 0)]
     assert [r[files.CORRUPT] for r in kept] == [None, "broken", None]
     (tmp_path / "l.json").write_text(json.dumps([{"instruction": "i", "input": "", "output": "o"}], indent=4))
     assert files.read_sample_array(spark, str(tmp_path / "l.json")).collect()[0].asDict() == {"instruction": "i", "input": "", "output": "o"}
     (tmp_path / "labels.json").write_text('{\n "a": 0,\n "b": 1\n}')
     assert {r.label: r.id for r in files.read_label_map(spark, str(tmp_path / "labels.json")).collect()} == {"a": 0, "b": 1}
     (tmp_path / "d.json").write_text(json.dumps([[{"role": "user", "content": "x"}, {"role": "assistant", "content": "y"}], [{"role": "user", "content": "z"}]]))
-    assert [tuple(r) for r in files.read_dialogs(spark, str(tmp_path / "d.json")).collect()] == [(0, 0, "user", "x"), (0, 1, "assistant", "y"), (1, 0, "user", "z")]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "d.json").write_text(json.dumps([[{"role": "user", "content": "w"}]]))
+    dialogs = files.read_dialogs(spark, [str(tmp_path / "d.json"), str(tmp_path / "more" / "d.json")]).collect()
+    assert [(r.conv_id.rpartition("#")[2], r.turn, r.role, r.text) for r in dialogs if "more" not in r.file] == [
+        ("0", 0, "user", "x"), ("0", 1, "assistant", "y"), ("1", 0, "user", "z")]
+    assert len({r.conv_id for r in dialogs}) == 3
     with pytest.raises(ValueError):
         files.read_messages(spark, str(tmp_path / "m.json"))
 

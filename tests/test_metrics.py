@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from wirecorpus.plans.keyword_model import KeywordModel
 from wirecorpus.operators import metrics, overlap, routing
 
 
@@ -70,10 +71,10 @@ def test_single_class_repair_gives_null(spark):
     assert sorted((r.response_label, r.predicted_id) for r in fixed) == [("a", 0), ("zzz", None)]
 
 
-def test_matrix_size_is_checked(spark):
+def test_matrix_has_all_pairs(spark):
     df = spark.range(30).select(F.col("id").cast("int").alias("true_id"), F.col("id").cast("int").alias("predicted_id"))
-    with pytest.raises(Exception, match="more than 10 classes"):
-        metrics.confusion_matrix(df, max_classes=10).collect()
+    rows = metrics.confusion_matrix(df).collect()
+    assert len(rows) == 900 and {(r.true_id, r.predicted_id) for r in rows if r.n == 1} == {(i, i) for i in range(30)}
 
 
 def lcs(a, b):
@@ -138,12 +139,20 @@ def test_registry_conflicts(spark):
         routing.register_tasks(registry, again).collect()
     with pytest.raises(Exception, match="task not registered"):
         routing.update_tasks(registry, again.withColumn("name", F.lit("New"))).collect()
+    # the checks do not depend on the columns that are read
+    with pytest.raises(Exception, match="already registered"):
+        routing.register_tasks(registry, again).select("paths").collect()
+    fresh = again.withColumn("name", F.lit("New"))
+    with pytest.raises(Exception, match="already registered"):
+        routing.register_tasks(registry, fresh.union(fresh)).select("name").collect()
+    with pytest.raises(Exception, match="changed twice"):
+        routing.update_tasks(registry, again.union(again)).select("name").collect()
 
 
 def test_dual_stage_reports_empty_prompts(spark):
     rows = spark.createDataFrame([(1, "", "d"), (2, "find malware", ""), (3, "find malware", "<packet>: x")],
                                  "id INT, human_instruction STRING, traffic_data STRING")
-    model = lambda path: routing.KeywordModel([("malware", "Malware Traffic Detection")], path or "?")
+    model = lambda path: KeywordModel([("malware", "Malware Traffic Detection")], path or "?")
     got = routing.dual_stage(rows, routing.published_registry(spark), model, model).orderBy("id").collect()
     assert [r.status for r in got] == ["empty prompt", "empty prompt", "success"]
     # the second stage was answered by the model of the task's own path

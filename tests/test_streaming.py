@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from wirecorpus.plans.keyword_model import KeywordModel
 from wirecorpus.operators import routing
 from wirecorpus.streaming import jobs
 
@@ -15,7 +16,7 @@ def test_requests_from_a_folder(spark, tmp_path):
     asks = [("1", "find malware", "<packet>: a"), ("2", "", "x"), ("3", "sing", "<packet>: b")]
     for i, (r, h, t) in enumerate(asks):
         (tmp_path / f"{i}.json").write_text(json.dumps({"request_id": r, "human_instruction": h, "traffic_data": t}))
-    model = lambda path: routing.KeywordModel([("malware", "Malware Traffic Detection")], "other")
+    model = lambda path: KeywordModel([("malware", "Malware Traffic Detection")], "other")
     registry = routing.published_registry(spark)
     stream = jobs.score_requests(jobs.request_stream(spark, str(tmp_path), 1), registry, model, model)
     batch = jobs.score_requests(spark.read.schema(jobs.REQUEST_SCHEMA).json(str(tmp_path)), registry, model, model)

@@ -105,18 +105,17 @@ DATASET_TASKS = {
 DEFAULT_TASK = "EAC"
 
 # --- fixed values: prompt templates of the routed second stage, by variant and code -------
-HTTP_LEAD = "Classify the given HTTP request into {a} and {b} categories. "
-HTTP_TAIL = (
+HTTP_TEMPLATE = (
+    "Classify the given HTTP request into {good} and {bad} categories. "
     "Each HTTP request will consist of three parts: method, URL, and body, presented in JSON "
     "format. If a web attack is detected in an HTTP request, please output an 'exception'. "
-    "Only output '{c}' or '{a}', no additional output is required. "
+    "Only output '{bad}' or '{good}', no additional output is required. "
     "The given HTTP request is as follows:\n"
 )
-# "{b}" names the category in the lead, "{c}" in the answer rule: the two are the same word
-HTTP_BENIGN = (HTTP_LEAD.format(a="benign", b="malicious")
-               + HTTP_TAIL.format(c="malicious", a="benign"))
-HTTP_NORMAL = (HTTP_LEAD.format(a="normal", b="abnormal")
-               + HTTP_TAIL.format(c="abnormal", a="normal"))
+HTTP_BENIGN = HTTP_TEMPLATE.format(good="benign", bad="malicious")
+HTTP_NORMAL = HTTP_TEMPLATE.format(good="normal", bad="abnormal")
+# the words the second of them asks for
+HTTP_SERVICE_WORDS = {"benign": "normal", "malicious": "abnormal"}
 PROMPT_LEAD = (
     "Given the following traffic data <packet> that contains protocol fields, traffic features, "
     "and payloads. Please conduct the "

@@ -53,16 +53,14 @@ def mask_answers(df: DataFrame, answer: str = MASKED_ANSWER) -> DataFrame:
 def clean_tool_schemas(df: DataFrame, messages: str = "messages") -> DataFrame:
     """Drop null tool parameters in system messages, and tools in any other message.
 
-    Messages are ``ARRAY<STRUCT<role, content, tools: ARRAY<STRUCT<name, properties: MAP>>>>``.
+    Messages carry ``tools: ARRAY<STRUCT<function: STRUCT<parameters: STRUCT<properties: MAP>>>>``;
+    all other fields of messages, tools, functions and parameters stay as they are.
     """
-    cleaned = lambda tools: F.transform(tools, lambda t: F.struct(
-        t["name"].alias("name"),
-        F.map_filter(t["properties"], lambda _, v: v.isNotNull()).alias("properties"),
-    ))
-    return df.withColumn(messages, F.transform(messages, lambda m: F.struct(
-        m["role"].alias("role"), m["content"].alias("content"),
-        F.when(m["role"] == "system", cleaned(m["tools"])).alias("tools"),
-    )))
+    stated = lambda tool: tool.withField(
+        "function.parameters.properties",
+        F.map_filter(tool["function"]["parameters"]["properties"], lambda _, v: v.isNotNull()))
+    return df.withColumn(messages, F.transform(messages, lambda m: m.withField(
+        "tools", F.when(m["role"] == "system", F.transform(m["tools"], stated)))))
 
 
 # --- dialog rows to prompts --------------------------------------------------------------------

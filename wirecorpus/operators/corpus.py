@@ -17,7 +17,6 @@ from wirecorpus.operators.catalog import (
 
 CAP, RATIO = 100, 0.95
 LEGACY_CAP, LEGACY_RATIO = 5000, 0.8
-MAX_LABELS = 100_000
 CLASSIFIER_CHARS = 512
 
 
@@ -153,13 +152,10 @@ def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     return numbered.select(F.col(label).alias("label"), (F.col("_n") - 1).cast("int").alias("id"))
 
 
-def label_map_json(labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """One JSON object label -> id. A label set is one row, so its size is checked."""
-    entry = F.when(F.col("id") < max_labels, F.struct("label", "id"))
-    rows = labels.agg(F.sort_array(F.collect_list(entry)).alias("e"), F.count(F.lit(1)).alias("n"))
-    text = F.to_json(F.map_from_entries("e"))
-    too_many = F.raise_error(F.lit(f"more than {max_labels} labels")).cast("string")
-    return rows.select(F.when(F.col("n") > max_labels, too_many).otherwise(text).alias("label_map"))
+def label_map_json(labels: DataFrame) -> DataFrame:
+    """One JSON object label -> id. It is one text by its nature; ``label_index`` has it as rows."""
+    rows = labels.agg(F.sort_array(F.collect_list(F.struct("label", "id"))).alias("e"))
+    return rows.select(F.to_json(F.map_from_entries("e")).alias("label_map"))
 
 
 def global_shuffle(df: DataFrame, ident: str, seed: int = 42) -> DataFrame:
@@ -251,12 +247,18 @@ def vocabulary_corpus(df: DataFrame, ident: str) -> DataFrame:
     return df.select(ident, F.posexplode(F.array("instruction", "output")).alias("part", "text"))
 
 
-def http_samples(df: DataFrame, template: str, method: str = "GET") -> DataFrame:
-    """Prompt of a web request given as JSON with method, URL and body."""
+def http_samples(
+    df: DataFrame, template: str, method: str = "GET", words: dict[str, str] | None = None
+) -> DataFrame:
+    """Prompt of a web request given as JSON with method, URL and body.
+
+    ``words`` gives the word the template asks for where it is not the label itself.
+    """
     request = F.to_json(F.struct(
         F.lit(method).alias("method"), F.concat("path", "query").alias("URL"), F.lit("").alias("body"),
     ))
-    return df.withColumns({"instruction": F.concat(F.lit(template), request), "output": F.col("label")})
+    answer = F.coalesce(lookup(words, F.col("label")), F.col("label")) if words else F.col("label")
+    return df.withColumns({"instruction": F.concat(F.lit(template), request), "output": answer})
 
 
 # --- statistics ------------------------------------------------------------------------------

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import sys
+import types
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from wirecorpus.functions.octets import quotient
 from wirecorpus.functions.strings import lookup, present, replace_all, strip
@@ -50,23 +54,27 @@ def models_of(registry: DataFrame) -> DataFrame:
 
 
 def register_tasks(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Add tasks; a name that is already there is an error."""
-    known = registry.select("name", F.lit(True).alias("_known"))
-    clash = F.raise_error(F.concat(F.lit("task already registered: "), F.col("name")))
-    checked = new.join(known, "name", "left").withColumn(
-        "code", F.when(F.col("_known"), clash.cast("string")).otherwise(F.col("code"))
-    ).drop("_known")
-    return registry.unionByName(checked)
+    """Add tasks; a name that is already there, or there twice, is an error."""
+    named = registry.select("name", F.lit(True).alias("_known")).union(_repeated(new)).groupBy("name").agg(F.first("_known").alias("_known"))
+    clash = F.raise_error(F.concat(F.lit("task already registered: "), F.col("name"))).cast("boolean")
+    checked = new.join(named, "name", "left").filter(F.when(F.col("_known"), clash).otherwise(True))
+    return registry.unionByName(checked.drop("_known"))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """(name, true) of the names that come more than once."""
+    return df.groupBy("name").count().filter("count > 1").select("name", F.lit(True))
 
 
 def update_tasks(registry: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the entries of known tasks; a name that is not there is an error."""
-    known = registry.select("name", F.lit(True).alias("_known"))
-    missing = F.raise_error(F.concat(F.lit("task not registered: "), F.col("name")))
-    checked = changes.join(known, "name", "left").withColumn(
-        "code", F.when(F.col("_known").isNull(), missing.cast("string")).otherwise(F.col("code"))
-    ).drop("_known")
-    return registry.join(changes.select("name"), "name", "left_anti").unionByName(checked)
+    """Replace the entries of known tasks; a name that is not there, or changed twice, is an error."""
+    known = registry.select("name", F.lit(True).alias("_known")).distinct()
+    twice = _repeated(changes).toDF("name", "_twice")
+    wrong = F.raise_error(F.concat(
+        F.when(F.col("_twice"), "task changed twice: ").otherwise("task not registered: "), F.col("name"))).cast("boolean")
+    checked = changes.join(known, "name", "left").join(twice, "name", "left").filter(
+        F.when(F.col("_known") & F.col("_twice").isNull(), True).otherwise(wrong))
+    return registry.join(changes.select("name"), "name", "left_anti").unionByName(checked.drop("_known", "_twice"))
 
 
 def route(df: DataFrame, registry: DataFrame, answer: str = "task_response") -> DataFrame:
@@ -99,48 +107,45 @@ def task_prompts(df: DataFrame, data: str = "traffic_data", variant: str = "cli"
 
 # --- scoring -----------------------------------------------------------------------------------
 
-class KeywordModel:
-    """Deterministic stand-in for a language model: the first keyword found decides."""
-
-    def __init__(self, rules: Sequence[tuple[str, str]], default: str) -> None:
-        self.rules, self.default = list(rules), default
-
-    def __call__(self, prompts: list[str], settings: dict) -> list[str]:
-        find = lambda p: next((a for k, a in self.rules if k in p), self.default)
-        return [find(p) for p in prompts]
-
-
 def score(
     df: DataFrame, load_model: Callable[[str | None], Model], prompt: str = "prompt",
     out: str = "response", path: str | None = None, batch_size: int = 256,
 ) -> DataFrame:
     """Add a model's answer to every prompt.
 
-    ``load_model`` gets the value of the ``path`` column and is called once per path and task.
+    ``load_model`` gets the value of the ``path`` column. A worker process loads a model once and
+    keeps it for later tasks of the same call. Only prompt, path and settings go to the workers.
     Settings columns that the rows carry (top_p, temperature, max_length) reach the model; rows
     with the same path and settings are answered in batches. Null prompts give null.
     """
     settings = [c for c in SETTINGS if c in df.columns]
-    schema = df.withColumn(out, F.lit(None).cast("string")).schema
-
-    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str | None, Model] = {}
-        for frame in frames:
+    columns = [prompt, *settings, *([path] if path else [])]
+    call = uuid.uuid4().hex
+
+    def answer(batches):
+        # functions reach a worker with fresh globals, so what outlives a task is kept in a module
+        store = sys.modules.setdefault("_wirecorpus_models", types.ModuleType("_wirecorpus_models")).__dict__
+        loaded = store.setdefault(call, {})
+        for batch in batches:
+            batch = batch if isinstance(batch, tuple) else (batch,)
+            frame = pd.concat(batch, axis=1, keys=range(len(batch)))
             answers = pd.Series([None] * len(frame), index=frame.index, dtype=object)
-            asked = frame[frame[prompt].notna()]
-            by = settings + ([path] if path else [])
-            groups = asked.groupby(by, dropna=False, sort=False) if by else [((), asked)]
-            for key, rows in groups:
-                key = dict(zip(by, key if isinstance(key, tuple) else (key,)))
-                where = key.pop(path, None) if path else None
+            asked = frame[frame[0].notna()]
+            by = list(range(1, len(batch)))
+            for key, rows in asked.groupby(by, dropna=False, sort=False) if by else [((), asked)]:
+                values = list(key if isinstance(key, tuple) else (key,))
+                where = values.pop() if path else None
+                where = None if pd.isna(where) else where
                 if where not in loaded:
                     loaded[where] = load_model(where)
                 for at in range(0, len(rows), batch_size):
                     part = rows.iloc[at:at + batch_size]
-                    answers.loc[part.index] = loaded[where](part[prompt].tolist(), key)
-            yield frame.assign(**{out: answers})
+                    answers.loc[part.index] = loaded[where](part[0].tolist(), dict(zip(settings, values)))
+            yield answers
 
-    return df.mapInPandas(answer, schema)
+    ask = F.pandas_udf(answer, "string", PandasUDFType.SCALAR_ITER)
+    # a model may be asked once only, whatever the plan does with the column
+    return df.withColumn(out, ask.asNondeterministic()(*[F.col(c) for c in columns]))
 
 
 def dual_stage(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wirecorpus.operators import corpus, packets
 from wirecorpus.operators.catalog import (
+    HTTP_SERVICE_WORDS,
     ANALYZE_FAMILIES, DETECTION_TEMPLATES, LEGACY_TEMPLATES, PACKET_FIELDS, PROMPT_NO_INPUT,
     PROMPT_VARIANTS, PROMPT_WITH_INPUT, SPACING_REPAIRS, UNDERSTANDING,
 )
@@ -290,17 +291,18 @@ def _(spark, sf):
     return corpus.nonempty(fx.packets(spark, sf), "payload_hex", "options_hex").select("packet_id")
 
 
-def _http(template: str):
+def _http(template: str, words: dict[str, str] | None = None):
+    answer = f"CASE label {' '.join(f'WHEN {sql_text(a)} THEN {sql_text(b)}' for a, b in words.items())} ELSE label END" if words else "label"
     sql = f"""WITH {fx.HTTP_SQL}
-SELECT request_id, {sql_text(template)} || json_object('method', 'GET', 'URL', path || query, 'body', '')::VARCHAR AS instruction, label AS output FROM fx_http"""
+SELECT request_id, {sql_text(template)} || json_object('method', 'GET', 'URL', path || query, 'body', '')::VARCHAR AS instruction, {answer} AS output FROM fx_http"""
 
     def query(spark, sf):
-        return corpus.http_samples(fx.http_requests(spark, sf), template).select("request_id", "instruction", "output")
+        return corpus.http_samples(fx.http_requests(spark, sf), template, words=words).select("request_id", "instruction", "output")
     return sql, query
 
 
 for _variant in ("cli", "service"):
-    _sql, _query = _http(PROMPT_VARIANTS[_variant]["WAD"])
+    _sql, _query = _http(PROMPT_VARIANTS[_variant]["WAD"], HTTP_SERVICE_WORDS if _variant == "service" else None)
     R.add(f"c25_http_samples_{_variant}", _sql)(_query)
 
 

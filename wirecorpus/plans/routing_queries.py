@@ -8,6 +8,7 @@ from wirecorpus.operators import corpus, metrics, routing, synthesis
 from wirecorpus.operators.catalog import PROMPT_VARIANTS, REGISTRY_PATHS, REGISTRY_TASKS
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.corpus_queries import label_ids, template_case
+from wirecorpus.plans.keyword_model import KeywordModel
 from wirecorpus.plans.registry import Registry, sql_text
 
 R = Registry()
@@ -18,8 +19,8 @@ ROUTER_RULES = [
     ("Tor", "Tor Behavior Detection"),
 ]
 EXPERT_RULES = [("tcp.payload", "malicious"), ("ip.proto: 17", "normal")]
-router = lambda path: routing.KeywordModel(ROUTER_RULES, "Small Talk")
-expert = lambda path: routing.KeywordModel(EXPERT_RULES, "benign")
+router = lambda path: KeywordModel(ROUTER_RULES, "Small Talk")
+expert = lambda path: KeywordModel(EXPERT_RULES, "benign")
 
 
 def rules_sql(rules, default: str, text: str) -> str:

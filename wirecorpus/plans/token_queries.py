@@ -201,23 +201,26 @@ def _(spark, sf):
 
 @R.add("t14_clean_tool_schemas", """SELECT event_id,
   CASE WHEN event_id % 2 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'kind=' || event_type ELSE 'kind=' || event_type || ',note=' || props END ELSE '' END AS system_tools,
-  0 AS user_tools FROM events""")
+  0 AS user_tools, CASE WHEN event_id % 2 = 0 THEN 'finds|kind' ELSE '' END AS kept FROM events""")
 def _(spark, sf):
     e = fx.table(spark, sf, "events")
     note = F.when(F.col("event_id") % 3 != 0, F.col("props"))
-    tool = F.array(F.struct(
-        F.lit("lookup").alias("name"),
-        F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), note).alias("properties")))
+    properties = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), note).alias("properties")
+    parameters = F.struct(F.lit("object").alias("type"), properties, F.array(F.lit("kind")).alias("required"))
+    function = F.struct(F.lit("lookup").alias("name"), F.lit("finds").alias("description"), parameters.alias("parameters"))
+    tool = F.array(F.struct(F.lit("function").alias("type"), function.alias("function")))
     role = F.when(F.col("event_id") % 2 == 0, "system").otherwise("observation")
     messages = F.array(
         F.struct(role.alias("role"), F.lit("tools").alias("content"), tool.alias("tools")),
         F.struct(F.lit("user").alias("role"), F.lit("ask").alias("content"), tool.alias("tools")))
     cleaned = chat.clean_tool_schemas(e.select("event_id", messages.alias("messages")))
-    entries = F.map_entries(F.col("messages")[0]["tools"][0]["properties"])
+    called = F.col("messages")[0]["tools"][0]["function"]
+    entries = F.map_entries(called["parameters"]["properties"])
     text = F.array_join(F.transform(F.array_sort(entries), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
     count = F.coalesce(F.size(F.col("messages")[1]["tools"]), F.lit(0))
     return cleaned.select("event_id", F.coalesce(text, F.lit("")).alias("system_tools"),
-                          F.greatest(count, F.lit(0)).alias("user_tools"))
+                          F.greatest(count, F.lit(0)).alias("user_tools"),
+                          F.concat_ws("|", called["description"], called["parameters"]["required"][0]).alias("kept"))
 
 
 INST_SQL = r"""WITH t AS (

@@ -1,28 +1,30 @@
 """Capture files as a Spark data source: ``spark.read.format("capture")``.
 
 Large files are cut into splits and small files share an input partition, so neither a capture
-that holds most frames nor a folder of many tiny captures decides the number of tasks. A split that starts inside a file first finds a record boundary;
-``read_captures`` checks that the records of all splits join up, so a wrong boundary is an error
-and never a wrong row. Paths are local or any URI that Arrow can open.
+that holds most frames nor a folder of many tiny captures decides the number of tasks. A split that
+starts inside a file first finds a record boundary; ``read_captures`` checks that the records of all
+splits join up, so a wrong boundary is an error and never a wrong row. A capture may be a folder of
+parts, which are read as one. Paths are local or any URI that Arrow can open.
 """
 
 from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage,
 )
 
 from wirecorpus.functions.octets import quotient
-from wirecorpus.functions.ordering import running
+from wirecorpus.session import stage
 
 # fixed values: file magic by byte order and time resolution (nanoseconds per unit of the fraction)
 MAGIC = {
@@ -33,20 +35,22 @@ FILE_HEADER, RECORD_HEADER = 24, 16
 MAX_FRAME_OCTETS = 262_144
 ETHERNET = 1
 ROWS_PER_BATCH = 2048
+PART_NAME = re.compile(r"part-(\d+)\.pcap")
 DEFAULT_SPLIT_OCTETS = 128 * 1024 * 1024
 OPEN_COST_SHARE = 32
 READ_OCTETS = 4 * 1024 * 1024
-# octets over which records must follow one another before a position counts as a boundary: more
-# than any frame, so that a capture carried inside a frame is not taken for the file's own records
-BOUNDARY_OCTETS = 2 * MAX_FRAME_OCTETS
+# offsets of the parts of a capture are this far apart
+PART_OCTETS = 1 << 40
+# splits whose counts may be handed to every task; beyond it they are joined like any table
+SHARED_SPLITS = 200_000
 
 RAW_SCHEMA = (
-    "capture STRING, label STRING, super_label STRING, start BIGINT, offset BIGINT, ts_ns BIGINT, "
+    "capture STRING, label STRING, super_label STRING, start BIGINT, offset BIGINT, ordinal BIGINT, file_end BIGINT, ts_ns BIGINT, "
     "cap_len INT, wire_len INT, frame BINARY, truncated BOOLEAN"
 )
 ARROW_SCHEMA = pa.schema([
     ("capture", pa.string()), ("label", pa.string()), ("super_label", pa.string()),
-    ("start", pa.int64()), ("offset", pa.int64()), ("ts_ns", pa.int64()),
+    ("start", pa.int64()), ("offset", pa.int64()), ("ordinal", pa.int64()), ("file_end", pa.int64()), ("ts_ns", pa.int64()),
     ("cap_len", pa.int32()), ("wire_len", pa.int32()), ("frame", pa.binary()), ("truncated", pa.bool_()),
 ])
 
@@ -58,9 +62,13 @@ def _filesystem(root: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 class FileSplit:
-    def __init__(self, path: str, capture: str, label: str, super_label: str | None, start: int, end: int, size: int):
+    """``base`` is the place of the file among the parts of its capture, added to all offsets."""
+
+    def __init__(
+        self, path: str, capture: str, label: str, super_label: str | None, start: int, end: int, size: int, base: int,
+    ):
         self.path, self.capture, self.label, self.super_label = path, capture, label, super_label
-        self.start, self.end, self.size = start, end, size
+        self.start, self.end, self.size, self.base = start, end, size, base
 
 
 class SplitGroup(InputPartition):
@@ -88,13 +96,18 @@ def _record(head: bytes, order: str) -> tuple[int, int, int, int]:
     return struct.unpack(order + "IIII", head)
 
 
+def _frame_limit(snaplen: int) -> int:
+    """Most octets of a frame: what the file declares, and what is usual where it declares less."""
+    return max(snaplen, MAX_FRAME_OCTETS)
+
+
 def _plausible(head: bytes, order: str, unit: int, snaplen: int) -> int | None:
     """Length of the frame behind a record header, or None when it cannot be one."""
     if len(head) < RECORD_HEADER:
         return None
     _, fraction, cap, wire = _record(head, order)
-    limit = min(snaplen or MAX_FRAME_OCTETS, MAX_FRAME_OCTETS)
-    if cap > limit or cap > wire or wire > MAX_FRAME_OCTETS or wire == 0 or fraction * unit >= 1_000_000_000:
+    limit = _frame_limit(snaplen)
+    if cap > (snaplen or limit) or cap > wire or wire > limit or wire == 0 or fraction * unit >= 1_000_000_000:
         return None
     return cap
 
@@ -117,7 +130,9 @@ def _next_boundary(f, start: int, size: int, order: str, unit: int, snaplen: int
 
 
 def _follows(f, at: int, size: int, order: str, unit: int, snaplen: int) -> bool:
-    enough = at + BOUNDARY_OCTETS
+    # over more than any frame, so that a capture carried inside a frame is not taken for the file's
+    # own records
+    enough = at + 2 * _frame_limit(snaplen)
     while at < enough:
         if at == size:
             return True
@@ -146,14 +161,19 @@ class CaptureReader(DataSourceReader):
         for info in sorted(files.get_file_info(arrow_fs.FileSelector(root, recursive=True)), key=lambda i: i.path):
             capture = os.path.relpath(info.path, root)
             parts = capture.split("/")
-            if info.type != arrow_fs.FileType.File or len(parts) != self.levels + 1 or parts[-1].startswith("."):
+            if info.type != arrow_fs.FileType.File or parts[-1].startswith("."):
+                continue
+            part = PART_NAME.fullmatch(parts[-1]) if len(parts) == self.levels + 2 else None
+            if len(parts) != self.levels + 1 and part is None:
                 continue
-            label, top = parts[-2], parts[0].lower() if self.levels == 2 else None
+            base = int(part[1]) * PART_OCTETS if part else 0
+            parts = parts[: self.levels + 1]
+            capture, label, top = "/".join(parts), parts[-2], parts[0].lower() if self.levels == 2 else None
             if self.names is not None and label not in self.names:
                 continue
             for start in range(0, max(info.size, 1), self.split_octets):
                 end = min(start + self.split_octets, info.size)
-                splits.append(FileSplit(info.path, capture, label, top, start, end, info.size))
+                splits.append(FileSplit(info.path, capture, label, top, start, end, info.size, base))
         return _grouped(splits, self.split_octets)
 
     def read(self, partition: SplitGroup) -> Iterator[pa.RecordBatch]:
@@ -165,6 +185,7 @@ class CaptureReader(DataSourceReader):
 
     def _records(self, f, partition: FileSplit) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        ordinal = 0
         head = f.read(FILE_HEADER)
         if head[:4] not in MAGIC or len(head) < FILE_HEADER:
             raise ValueError(f"not a capture file: {partition.capture}")
@@ -176,17 +197,18 @@ class CaptureReader(DataSourceReader):
         while at < partition.end:
             head = f.read(RECORD_HEADER)
             seconds, fraction, cap, wire = _record(head, order) if len(head) == RECORD_HEADER else (0, 0, 0, 0)
-            if len(head) == RECORD_HEADER and cap > MAX_FRAME_OCTETS:
+            if len(head) == RECORD_HEADER and cap > _frame_limit(snaplen):
                 raise ValueError(f"broken record at octet {at} of {partition.capture}")
             frame = f.read(cap) if len(head) == RECORD_HEADER else b""
             broken = len(head) < RECORD_HEADER or len(frame) < cap
             rows.append((
-                partition.capture, partition.label, partition.super_label, partition.start, at,
-                seconds * 1_000_000_000 + fraction * unit, cap, wire, None if broken else frame, broken,
+                partition.capture, partition.label, partition.super_label, partition.base + partition.start,
+                partition.base + at, ordinal, partition.base + partition.size, seconds * 1_000_000_000 + fraction * unit, cap, wire, None if broken else frame, broken,
             ))
             if broken:
                 break
             at += RECORD_HEADER + cap
+            ordinal += 1
             if len(rows) == ROWS_PER_BATCH:
                 yield self._batch(rows)
                 rows = []
@@ -205,10 +227,14 @@ class CommittedFile(WriterCommitMessage):
 
 
 class CaptureWriter(DataSourceWriter):
-    """One capture per value of ``capture`` in a task; temporary names until the job commits."""
+    """One file per value of ``capture`` in a task; temporary names until the job commits.
+
+    Overwriting leaves only the new files. Files of failed attempts carry the job's name and go
+    with the commit or the abort.
+    """
 
     def __init__(self, root: str, overwrite: bool):
-        self.root, self.overwrite = root, overwrite
+        self.root, self.overwrite, self.job = root, overwrite, uuid.uuid4().hex
 
     def write(self, rows) -> CommittedFile:
         store, root = _filesystem(self.root)
@@ -223,7 +249,7 @@ class CaptureWriter(DataSourceWriter):
                     current = row["capture"]
                     if any(name == current for _, name in files):
                         raise ValueError("rows of a capture must be next to each other")
-                    part = f"{root}/.{token}-{len(files)}.part"
+                    part = f"{root}/.{self.job}-{token}-{len(files)}.part"
                     files.append((part, current))
                     out = io.BufferedWriter(store.open_output_stream(part), READ_OCTETS)
                     out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, MAX_FRAME_OCTETS, ETHERNET))
@@ -244,16 +270,29 @@ class CaptureWriter(DataSourceWriter):
         if taken and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(taken[0])
+        # nothing of before may be joined with the new files
+        old = self._files(store, root) if self.overwrite else []
+        for path in old:
+            if not os.path.basename(path).startswith("."):
+                store.delete_file(path)
+        for folder in sorted({os.path.dirname(f"{root}/{capture}") for _, capture in moves}):
+            store.create_dir(folder, recursive=True)
         for part, capture in moves:
-            store.create_dir(os.path.dirname(f"{root}/{capture}"), recursive=True)
             store.move(part, f"{root}/{capture}")
+        self.abort(messages)
+
+    @staticmethod
+    def _files(store: arrow_fs.FileSystem, root: str) -> list[str]:
+        chosen = arrow_fs.FileSelector(root, recursive=True, allow_not_found=True)
+        return [i.path for i in store.get_file_info(chosen) if i.type == arrow_fs.FileType.File]
 
     def abort(self, messages) -> None:
-        store, _ = _filesystem(self.root)
-        for message in messages:
-            for part, _ in message.files if message else []:
-                if store.get_file_info(part).type != arrow_fs.FileType.NotFound:
-                    store.delete_file(part)
+        """Remove the job's temporary files, of failed attempts too."""
+        store, root = _filesystem(self.root)
+        chosen = arrow_fs.FileSelector(root, allow_not_found=True)
+        for info in store.get_file_info(chosen):
+            if info.base_name.startswith(f".{self.job}-"):
+                store.delete_file(info.path)
 
 
 class CaptureSource(DataSource):
@@ -287,26 +326,44 @@ def read_captures(
 ) -> DataFrame:
     """One row per frame under ``root/<label>/``, or ``root/<super label>/<label>/`` with two levels.
 
-    Frame numbers are 1-based per capture, counted per file split and added up, so no capture is
-    numbered in one task.
+    Frame numbers are 1-based per capture. A first pass counts the frames of each file split and
+    checks that splits join up; the second adds the counts of the splits before to the place inside
+    the split. No frame is moved or sorted for it.
     """
-    whole = scan_captures(spark, root, levels, split_octets).filter(~F.col("truncated"))
-    behind = F.col("offset") + RECORD_HEADER + F.col("cap_len")
-    numbered = running(
-        whole, ["capture"], ["offset"], F.col("start"),
-        frame_no=("row_number", None), _expected=("prev", behind),
-    )
-    apart = F.raise_error(F.concat(F.lit("file splits do not join up in "), F.col("capture")))
-    joined = F.col("offset") == F.coalesce("_expected", F.lit(FILE_HEADER))
-    frame = F.when(joined, F.col("frame")).otherwise(apart.cast("binary"))
+    records = scan_captures(spark, root, levels, split_octets)
+    before = split_counts(records)
+    few = before.count() <= SHARED_SPLITS
+    numbered = records.filter(~F.col("truncated")).join(F.broadcast(before) if few else before, ["capture", "start"])
     return numbered.select(
-        "capture", "label", "super_label", F.col("frame_no").cast("bigint").alias("frame_no"),
+        "capture", "label", "super_label", (F.col("_before") + F.col("ordinal") + 1).alias("frame_no"),
         quotient(F.col("ts_ns"), 1000).alias("ts_us"),
         (F.col("ts_ns").cast("decimal(20,0)") / F.lit(1_000_000_000)).cast("decimal(20,9)").alias("ts_epoch"),
-        "cap_len", "wire_len", frame.alias("frame"),
+        "cap_len", "wire_len", "frame",
     )
 
 
+def split_counts(records: DataFrame) -> DataFrame:
+    """(capture, start, _before): frames of the capture before each split.
+
+    An error where the records of splits do not join up, or do not reach the end of their file.
+    """
+    behind = F.when(F.col("truncated"), F.col("file_end")).otherwise(F.col("offset") + RECORD_HEADER + F.col("cap_len"))
+    splits = records.groupBy("capture", "start").agg(
+        F.count_if(~F.col("truncated")).alias("_n"), F.min("offset").alias("_first"), F.max(behind).alias("_end"),
+        F.max("file_end").alias("_file_end"))
+    order = W.partitionBy("capture").orderBy("start")
+    carried = splits.select(
+        "capture", "start", "_first", "_end", "_file_end", F.lag("_end").over(order).alias("_expected"),
+        F.lead("_first").over(order).alias("_following"),
+        F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # the first record of a file stands behind its header
+    joined = (F.col("_first") % PART_OCTETS == FILE_HEADER) | F.coalesce(F.col("_first") == F.col("_expected"), F.lit(False))
+    joined = joined & ((F.col("_end") == F.col("_file_end")) | F.coalesce(F.col("_end") == F.col("_following"), F.lit(False)))
+    apart = F.raise_error(F.concat(F.lit("file splits do not join up in "), F.col("capture"))).cast("boolean")
+    checked = carried.filter(F.when(joined, True).otherwise(apart))
+    return stage(checked.select("capture", "start", "_before"))
+
+
 def truncated_records(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
     """Captures whose last record is cut off."""
     return scan_captures(spark, root, levels).filter("truncated").groupBy("capture").agg(
@@ -315,28 +372,29 @@ def truncated_records(spark: SparkSession, root: str, levels: int = 1) -> DataFr
 
 def list_captures(spark: SparkSession, root: str, levels: int = 1) -> DataFrame:
     """(capture, label) of every file, frames or not."""
-    pattern = "/".join(["*"] * (levels + 1))
-    files = spark.read.format("binaryFile").load(os.path.join(root, pattern)).select("path")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     parts = F.split("path", "/")
-    return files.select(
-        F.array_join(F.slice(parts, -(levels + 1), levels + 1), "/").alias("capture"),
-        F.element_at(parts, -2).alias("label"),
-    )
+    # a part stands one level deeper, in the folder of its capture
+    depth = F.when(F.element_at(parts, -1).rlike(f"^{PART_NAME.pattern}$"), 1).otherwise(0)
+    names = F.slice(parts, -(levels + 1) - depth, F.lit(levels + 1))
+    return found.select(F.array_join(names, "/").alias("capture"), F.element_at(names, -2).alias("label")).distinct()
 
 
 def write_captures(
-    df: DataFrame, root: str, mode: str = "append", frames_per_file: int = 1_000_000
+    df: DataFrame, root: str, mode: str = "append", frames_per_part: int | None = None
 ) -> None:
     """Write ``capture, frame_no, ts_us, frame[, wire_len]`` rows as capture files in frame order.
 
-    A capture of more than ``frames_per_file`` frames becomes several files in order
-    (``name.1.pcap``, ...), so that no capture is written by one task alone.
+    A capture is one file, or with ``frames_per_part`` a folder of its name with parts of so many
+    frames, written by different tasks. ``read_captures`` gives the same captures and numbers back
+    in both forms.
     """
     df.sparkSession.dataSource.register(CaptureSource)
     wire = F.col("wire_len") if "wire_len" in df.columns else F.length("frame")
-    part = quotient(F.col("frame_no") - 1, frames_per_file)
-    stem = F.regexp_replace("capture", r"\.pcap$", "")
-    name = F.when(part == 0, F.col("capture")).otherwise(F.concat(stem, F.lit("."), part.cast("string"), F.lit(".pcap")))
+    name = F.col("capture")
+    if frames_per_part:
+        part = quotient(F.col("frame_no") - 1, frames_per_part)
+        name = F.concat("capture", F.lit("/part-"), F.lpad(part.cast("string"), 7, "0"), F.lit(".pcap"))
     rows = df.select(name.alias("capture"), "frame_no", "ts_us", wire.cast("int").alias("wire_len"), "frame")
     placed = rows.repartition("capture").sortWithinPartitions("capture", "frame_no")
     placed.write.format("capture").mode(mode).save(root)

@@ -37,13 +37,26 @@ def words_of_fields(df: DataFrame, fields: list[str] | None = None, out: str = "
     return df.withColumn(out, F.concat_ws(", ", *pieces))
 
 
-def read_samples(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
-    """Instruction samples, one JSON object per line; broken lines can be kept aside."""
-    schema = SAMPLE_SCHEMA + (f", {CORRUPT} STRING" if keep_corrupt else "")
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE" if keep_corrupt else "DROPMALFORMED")
+def read_samples(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame:
+    """Instruction samples, one JSON object per line.
+
+    A broken line is an error; with ``broken="keep"`` it is a row of nulls with the line in
+    ``_corrupt_record``. ``sample_rejects`` counts and lists them, so nothing is lost unseen.
+    """
+    if broken not in ("fail", "keep"):
+        raise ValueError(f"broken lines fail or are kept, not {broken!r}")
+    schema = SAMPLE_SCHEMA + (f", {CORRUPT} STRING" if broken == "keep" else "")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE" if broken == "keep" else "FAILFAST")
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
+def sample_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line, n, n_partial) of the broken lines of a sample file; partial ones still had an instruction."""
+    broken = read_samples(spark, path, "keep").filter(F.col(CORRUPT).isNotNull())
+    return broken.groupBy(F.col(CORRUPT).alias("line")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("instruction").alias("n_partial"))
+
+
 def read_sample_array(spark: SparkSession, path: str, schema: str = LEGACY_SCHEMA) -> DataFrame:
     """Samples of a file that is one JSON array."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -87,12 +100,18 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dialogs(spark: SparkSession, path: str) -> DataFrame:
-    """Ordered turns of a JSON list of dialogs."""
-    text = spark.read.text(path, wholetext=True)
+    """Ordered turns (file, conv_id, turn, role, text) of JSON lists of dialogs.
+
+    ``conv_id`` is the file and the place of the dialog in it, so dialogs of different files stay
+    apart. A file is parsed by one task; a corpus of dialogs is many files.
+    """
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     kind = "ARRAY<ARRAY<STRUCT<role: STRING, content: STRING>>>"
-    dialogs = text.select(F.posexplode(F.from_json("value", kind)).alias("conv_id", "turns"))
-    turns = dialogs.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.posexplode("turns").alias("turn", "m"))
-    return turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", F.col("m.content").alias("text"))
+    dialogs = text.select("file", F.posexplode(F.from_json("value", kind)).alias("at", "turns"))
+    turns = dialogs.select("file", "at", F.posexplode("turns").alias("turn", "m"))
+    return turns.select(
+        "file", F.concat_ws("#", "file", "at").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+        "m.role", F.col("m.content").alias("text"))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
