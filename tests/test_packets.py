@@ -7,6 +7,7 @@ from wirecorpus.operators import flows, packets, synthesis
 from wirecorpus.operators.catalog import PACKET_FIELDS, SERVER_FIELDS
 from wirecorpus.plans import fixtures as fx
 
+# The published header text and payload, and the frame they make (below).
 HEADER = "{'src': '147.32.84.165', 'dst': '212.117.171.138', 'proto': 6, 'sport': 2167, 'dport': 65500}"
 PAYLOAD = "20" * 136
 
@@ -176,3 +177,21 @@ def test_vendor_names(spark):
     rows = packets.decode_headers(synthesis.build_frames(build(spark)), spark.createDataFrame(
         [("02:00:00", "Lab")], "prefix STRING, vendor STRING")).first()
     assert (rows.eth_src_resolved, rows.eth_dst_resolved) == ("Lab_00:00:01", "ff:ff:ff:ff:ff:ff")
+
+
+def test_ipv6_frames_are_kept(spark):
+    ether, tail = "ff" * 6 + "11" * 6, "0050" "1f90" "000c" "0000" "61626364"
+    fixed = lambda length, following: f"60000000{length:04x}{following}40" + "20010db8" + "00" * 11 + "01" + "20010db8" + "00" * 11 + "02"
+    frames = [
+        ether + "86dd" + fixed(12, "11") + tail,                                          # plain
+        ether + "8100000a" + "86dd" + fixed(20, "00") + "1100010400000000" + tail,         # a tag, hop-by-hop options
+        ether + "86dd" + fixed(20, "2c") + "1100000100000001" + tail,                      # first fragment
+        ether + "86dd" + fixed(20, "2c") + "1100000900000001" + tail,                      # a later one has no ports
+        ether + "86dd" + fixed(12, "3a") + tail,                                          # no TCP or UDP
+    ]
+    rows = packets.decode_headers(frame_rows(spark, frames)).orderBy("frame_no").collect()
+    assert [r.udp_srcport for r in rows] == [80, 80, 80, None, None]
+    assert [r.l4_proto for r in rows] == [17, 17, 17, 17, 58]
+    assert {r.l3_src for r in rows} == {"2001:0db8:0000:0000:0000:0000:0000:0001"} and {r.ip_src for r in rows} == {None}
+    assert [bytes(r.payload or b"") for r in rows] == [b"abcd"] * 3 + [b""] * 2
+    assert rows[1].frame_protocols == "eth:ethertype:vlan:ethertype:ipv6:udp:data"

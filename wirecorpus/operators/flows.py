@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wirecorpus.operators.catalog import FLOW_PACKET_CHARS, FLOW_PACKETS, PACKET_MARK
-from wirecorpus.operators.packets import TCP, UDP, flow_ends, hex_head
+from wirecorpus.operators.packets import TCP, UDP, flow_ends, hex_head, transport
 
 FLOW_KEY = ["capture", "ip_proto", "end_a", "end_b"]
 
 
+def _flow_rows(df: DataFrame, protocols: list[int]) -> DataFrame:
+    """Packets of these protocols with their flow's ends; ``ip_proto`` is the transport of either IP version."""
+    named = flow_ends(df).withColumn("ip_proto", transport(df))
+    return named.filter(F.col("ip_proto").isin(*protocols))
+
+
 def _in_order(value: str) -> Column:
     """Values of a group in frame order; the group is already cut to its first packets."""
     listed = F.array_sort(F.collect_list(F.struct("frame_no", value)))
@@ -49,8 +55,9 @@ def flow_bytes(
 
 def flow_lengths(df: DataFrame, k: int = FLOW_PACKETS, signed: bool = False) -> DataFrame:
     """First ``k`` IP packet lengths per flow; ``signed`` negates the second party's packets."""
-    packets = flow_ends(df.filter(F.col("ip_proto").isin(TCP, UDP)))
-    packets = packets.select(*FLOW_KEY, "label", "frame_no", "from_a", F.col("ip_len").alias("piece"))
+    packets = _flow_rows(df, [TCP, UDP])
+    length = "l3_len" if "l3_len" in df.columns else "ip_len"
+    packets = packets.select(*FLOW_KEY, "label", "frame_no", "from_a", F.col(length).alias("piece"))
     first = _first_packets(packets, k)
     if signed:
         # the party that sent the first packet is positive
@@ -67,7 +74,7 @@ def flow_payload(
 ) -> DataFrame:
     """First ``k`` payloads per flow, cut and marked; flows without payload drop out."""
     protocols = [TCP, UDP] if udp else [TCP]
-    packets = flow_ends(df.filter(F.col("ip_proto").isin(*protocols) & F.col("payload").isNotNull()))
+    packets = _flow_rows(df.filter(F.col("payload").isNotNull()), protocols)
     cut = packets.select(*FLOW_KEY, "label", "frame_no", hex_head(F.col("payload"), width).alias("piece"))
     return _first_packets(cut, k).groupBy(*FLOW_KEY, "label").agg(
         _marked(_in_order("piece")).alias("flow_text")

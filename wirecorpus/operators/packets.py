@@ -17,9 +17,13 @@ from wirecorpus.operators.catalog import (
 )
 
 TCP, UDP, ICMP = 6, 17, 1
-ETHERTYPE_IP, ETHERTYPE_VLAN = 0x0800, 0x8100
-# Ethernet + one VLAN tag + the longest IP and TCP headers
-HEADER_OCTETS = 14 + 4 + 60 + 60
+ETHERTYPE_IP, ETHERTYPE_IPV6 = 0x0800, 0x86DD
+ETHERTYPE_VLANS = (0x8100, 0x88A8)
+# Ethernet, two VLAN tags, the longest IPv4 and TCP headers; of other frames all is looked at
+HEADER_OCTETS = 14 + 8 + 60 + 60
+# IPv6 headers that may stand before the transport header: hop-by-hop, routing, fragment,
+# authentication, destination options (which may come twice)
+EXTENSION_HEADERS, FRAGMENT_HEADER, AUTHENTICATION_HEADER, MOST_EXTENSIONS = (0, 43, 44, 51, 60), 44, 51, 8
 # other well-known TCP options, so that a window-scale option behind them is found
 WINDOW_SCALE = r"^(?:01|0204.{4}|0402|080a.{16}|050a.{16}|0512.{32}|051a.{48}|0522.{64})*0303(..)"
 FLAG_LETTERS = "NCEUAPRSF"
@@ -27,41 +31,86 @@ NO_WINDOW_SCALE = -2
 
 
 def keep_tcp_udp(df: DataFrame, proto: str = "ip_proto") -> DataFrame:
-    """Display filter ``tcp or udp``; apply after frame numbers and deltas are there."""
-    return df.filter(F.col(proto).isin(TCP, UDP))
+    """Display filter ``tcp or udp``; apply after frame numbers and deltas are there.
+
+    Frames of IP version 6 have no ``ip_*`` fields; their transport is in ``l4_proto``.
+    """
+    return df.filter(transport(df, proto).isin(TCP, UDP))
+
+
+def transport(df: DataFrame, proto: str = "ip_proto") -> Column:
+    """Transport protocol of either IP version, where the headers were decoded here."""
+    return F.coalesce(F.col("l4_proto"), F.col(proto)) if "l4_proto" in df.columns else F.col(proto)
+
+
+def _ipv6_transport(head: Column, octets: Column, at: Column, following: Column) -> Column:
+    """(kind, at, first) of the transport header behind the IPv6 header that ends at ``at``."""
+    start = F.struct(following.cast("int").alias("kind"), at.cast("int").alias("at"), F.lit(True).alias("first"))
+
+    def step(state: Column, _: Column) -> Column:
+        known = state["kind"].isin(*EXTENSION_HEADERS) & (octets >= state["at"] + 8)
+        size = uint_at(head, state["at"] + 1, 1)
+        length = (
+            F.when(state["kind"] == FRAGMENT_HEADER, 8).when(state["kind"] == AUTHENTICATION_HEADER, (size + 2) * 4)
+            .otherwise((size + 1) * 8)
+        )
+        part = uint_at(head, state["at"] + 2, 2).bitwiseAND(F.lit(0xFFF8))
+        whole = F.when(state["kind"] == FRAGMENT_HEADER, part == 0).otherwise(F.lit(True))
+        return F.when(known, F.struct(
+            uint_at(head, state["at"], 1).cast("int").alias("kind"), (state["at"] + length).cast("int").alias("at"),
+            (state["first"] & whole).alias("first"))).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_EXTENSIONS)), start, step)
 
 
 def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
-    """Add Ethernet, IPv4, TCP and UDP header columns.
+    """Add Ethernet, IP, TCP and UDP header columns.
+
+    The ``ip_*`` columns are of version 4 and null otherwise. ``l3_src``, ``l3_dst``, ``l3_len`` and
+    ``l4_proto`` are of both versions, and transport columns and payload are decoded behind either.
 
     ``oui(prefix, vendor)`` names vendors for the ``*_resolved`` columns; without it they repeat
     the address.
     """
     wire_len = F.col("wire_len") if "wire_len" in df.columns else F.length("frame")
     base = once(
-        df, _h=F.lower(F.hex(F.substring("frame", 1, HEADER_OCTETS))), _octets=F.length("frame"),
+        df, _octets=F.length("frame"), _kinds=F.hex(F.substring("frame", 13, 10)),
     )
+    # behind up to two tags
+    v6 = F.col("_kinds").rlike("^(?:(?:8100|88A8)....){0,2}86DD")
+    base = once(base, _h=F.lower(F.hex(F.when(v6, F.col("frame")).otherwise(F.substring("frame", 1, HEADER_OCTETS)))))
     head, octets = F.col("_h"), F.col("_octets")
     outer = F.when(octets >= 14, uint_at(head, 12, 2))
-    tagged = (outer == ETHERTYPE_VLAN) & (octets >= 18)
-    l3 = F.when(tagged, 18).otherwise(14)
-    kind = F.when(tagged, uint_at(head, 16, 2)).otherwise(outer)
+    tagged = outer.isin(*ETHERTYPE_VLANS) & (octets >= 18)
+    inner = F.when(tagged, uint_at(head, 16, 2))
+    twice = inner.isin(*ETHERTYPE_VLANS) & (octets >= 22)
+    l3 = F.when(twice, 22).when(tagged, 18).otherwise(14)
+    kind = F.when(twice, uint_at(head, 20, 2)).when(tagged, inner).otherwise(outer)
     base = once(
         base, eth_type=outer.cast("int"), _vlan=F.coalesce(tagged, F.lit(False)), _l3=l3,
         _vihl=F.when((kind == ETHERTYPE_IP) & (octets >= l3 + 20), uint_at(head, l3, 1)).cast("int"),
+        _v6=F.coalesce((kind == ETHERTYPE_IPV6) & (octets >= l3 + 40) & (uint_at(head, l3, 1).between(0x60, 0x6F)), F.lit(False)),
     )
+    base = once(base, _far=F.when(F.col("_v6"), _ipv6_transport(
+        head, octets, F.col("_l3") + 40, uint_at(head, F.col("_l3") + 6, 1))))
     # version 4 and at least the fixed header
     ihl = F.when(F.col("_vihl").between(0x45, 0x4F), F.col("_vihl").bitwiseAND(F.lit(15)) * 4)
     ip = lambda start, n: F.when(ihl.isNotNull(), uint_at(head, F.col("_l3") + start, n)).cast("int")
     base = once(
-        base, _ihl=ihl, ip_len=ip(2, 2), _frag=ip(6, 2), ip_proto=ip(9, 1), _l4=F.col("_l3") + ihl,
+        base, _ihl=ihl, ip_len=ip(2, 2), _frag=ip(6, 2), ip_proto=ip(9, 1),
+        _l4=F.when(F.col("_v6"), F.col("_far.at")).otherwise(F.col("_l3") + ihl),
+        l4_proto=F.when(F.col("_v6"), F.col("_far.kind")).otherwise(ip(9, 1)),
+        l3_len=F.when(F.col("_v6"), (uint_at(head, F.col("_l3") + 4, 2) + 40).cast("int")).otherwise(ip(2, 2)),
     )
     is_ip = F.col("_ihl").isNotNull()
     ip = lambda start, n: F.when(is_ip, uint_at(head, F.col("_l3") + start, n)).cast("int")
     address = lambda start: F.when(is_ip, ipv4_text(F.substr(head, (F.col("_l3") + start) * 2 + 1, F.lit(8))))
-    whole = F.col("_frag").bitwiseAND(F.lit(0x1FFF)) == 0
+    # eight groups of four digits, so that text order is numeric order
+    long_address = lambda start: F.when(F.col("_v6"), F.rtrim(F.regexp_replace(
+        F.substr(head, (F.col("_l3") + start) * 2 + 1, F.lit(32)), "(.{4})(?=.)", "$1:")))
+    whole = F.when(F.col("_v6"), F.col("_far.first")).otherwise(F.col("_frag").bitwiseAND(F.lit(0x1FFF)) == 0)
     has = lambda proto, n: F.coalesce(
-        whole & (F.col("ip_proto") == proto) & (octets >= F.col("_l4") + n), F.lit(False)
+        whole & (F.col("l4_proto") == proto) & (octets >= F.col("_l4") + n), F.lit(False)
     )
     offset_flags = uint_at(head, F.col("_l4") + 12, 2)
     base = once(
@@ -93,6 +142,8 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         "ip_checksum_status": F.when(is_ip, F.lit(2)),
         "ip_src": address(12),
         "ip_dst": address(16),
+        "l3_src": F.coalesce(address(12), long_address(8)),
+        "l3_dst": F.coalesce(address(16), long_address(24)),
         "tcp_srcport": tcp(0, 2).cast("int"),
         "tcp_dstport": tcp(2, 2).cast("int"),
         "tcp_seq_raw": tcp(4, 4),
@@ -125,7 +176,7 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         "tcp_flags_res": F.shiftright("tcp_flags", 9),
         "tcp_len": F.when(
             F.col("_tcp"),
-            F.greatest(F.col("ip_len") - F.col("ip_hdr_len") - F.col("tcp_hdr_len"), F.lit(0)),
+            F.greatest(F.col("l3_len") - (F.col("_l4") - F.col("_l3")) - F.col("tcp_hdr_len"), F.lit(0)),
         ),
     }).withColumns({
         "tcp_flags_str": F.when(F.col("_tcp"), F.concat(*reserved, *letters)),
@@ -146,7 +197,7 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         "data_len": F.when(F.col("_payload_len") > 0, F.col("_payload_len")),
         "frame_protocols": F.concat_ws(
             ":", F.lit("eth:ethertype"), F.when(F.col("_vlan"), F.lit("vlan:ethertype")),
-            F.when(is_ip, F.lit("ip")),
+            F.when(is_ip, F.lit("ip")).when(F.col("_v6"), F.lit("ipv6")),
             F.when(F.col("_tcp"), F.lit("tcp")).when(F.col("_udp"), F.lit("udp"))
             .when(F.col("ip_proto") == ICMP, F.lit("icmp")),
             app,
@@ -186,13 +237,13 @@ def flow_ends(df: DataFrame) -> DataFrame:
     """Direction-insensitive flow key: ``end_a <= end_b``, and ``from_a`` for the direction."""
     port = lambda side: F.coalesce(F.col(f"tcp_{side}port"), F.col(f"udp_{side}port"))
     # fixed width, so that text order is numeric order
-    end = lambda addr, side: F.format_string(
-        "%s:%05d", F.array_join(F.transform(F.split(addr, r"\."), lambda o: F.lpad(o, 3, "0")), "."),
-        port(side),
-    )
-    known = F.col("ip_proto").isin(TCP, UDP) & port("src").isNotNull()
-    ends = df.withColumn("_src", F.when(known, end("ip_src", "src")))
-    ends = ends.withColumn("_dst", F.when(known, end("ip_dst", "dst")))
+    layer = "l3" if "l3_src" in df.columns else "ip"
+    wide = lambda addr: F.when(F.contains(F.col(addr), F.lit(":")), F.col(addr)).otherwise(
+        F.array_join(F.transform(F.split(addr, r"\."), lambda o: F.lpad(o, 3, "0")), "."))
+    end = lambda addr, side: F.format_string("%s:%05d", wide(addr), port(side))
+    known = transport(df).isin(TCP, UDP) & port("src").isNotNull()
+    ends = df.withColumn("_src", F.when(known, end(f"{layer}_src", "src")))
+    ends = ends.withColumn("_dst", F.when(known, end(f"{layer}_dst", "dst")))
     return ends.withColumns({
         "end_a": F.least("_src", "_dst"),
         "end_b": F.greatest("_src", "_dst"),
@@ -206,22 +257,22 @@ def stream_ids(df: DataFrame) -> DataFrame:
     Streams are numbered on the list of streams, and handed back per (stream, frame chunk), so a
     stream or capture holding most frames is neither numbered nor joined in one task.
     """
-    key = ["capture", "ip_proto", "end_a", "end_b"]
-    packets = flow_ends(df).withColumn("_part", frame_chunk(F.col("frame_no")))
+    key = ["capture", "_transport", "end_a", "end_b"]
+    packets = flow_ends(df).withColumns({"_part": frame_chunk(F.col("frame_no")), "_transport": transport(df)})
     parts = (
         packets.filter(F.col("end_a").isNotNull())
         .groupBy(*key, "_part").agg(F.min("frame_no").alias("_first"))
     )
     streams = parts.groupBy(*key).agg(F.min("_first").alias("_first"))
     numbered = number_rows(
-        streams, ["capture", "ip_proto"], ["_first"], frame_chunk(F.col("_first")), "_stream"
+        streams, ["capture", "_transport"], ["_first"], frame_chunk(F.col("_first")), "_stream"
     ).select(*key, (F.col("_stream") - 1).alias("_stream"))
     tags = parts.drop("_first").join(numbered, key)
     tagged = packets.join(tags, [*key, "_part"], "left")
     return tagged.withColumns({
-        "tcp_stream": F.when(F.col("ip_proto") == TCP, F.col("_stream")),
-        "udp_stream": F.when(F.col("ip_proto") == UDP, F.col("_stream")),
-    }).drop("_stream", "_part")
+        "tcp_stream": F.when(F.col("_transport") == TCP, F.col("_stream")),
+        "udp_stream": F.when(F.col("_transport") == UDP, F.col("_stream")),
+    }).drop("_stream", "_part", "_transport")
 
 
 def stream_features(df: DataFrame) -> DataFrame:
@@ -319,7 +370,7 @@ def _field_text(field: str) -> Column:
         )
     if field == "tcp.payload":
         head = F.substring("payload", 1, TCP_PAYLOAD_CHARS // 2)
-        return F.when(F.col("ip_proto") == TCP, F.lower(F.hex(head)))
+        return F.when(F.col("tcp_srcport").isNotNull(), F.lower(F.hex(head)))
     if field in SECONDS_FIELDS:
         return seconds_text(column)
     if field in HEX_FIELDS:
@@ -357,7 +408,7 @@ def five_tuple_text(ip_for_udp: bool = False) -> Column:
     """Dictionary text; the addresses and protocol appear for TCP only unless ``ip_for_udp``."""
     tcp, udp = F.col("tcp_srcport").isNotNull(), F.col("udp_srcport").isNotNull()
     address = fill("'src': '{src}', 'dst': '{dst}', 'proto': {proto}",
-                   src=F.col("ip_src"), dst=F.col("ip_dst"), proto=F.col("ip_proto").cast("string"))
+                   src=F.col("l3_src"), dst=F.col("l3_dst"), proto=F.col("l4_proto").cast("string"))
     ports = fill("'sport': {s}, 'dport': {d}",
                  s=F.coalesce("tcp_srcport", "udp_srcport").cast("string"),
                  d=F.coalesce("tcp_dstport", "udp_dstport").cast("string"))
@@ -367,7 +418,7 @@ def five_tuple_text(ip_for_udp: bool = False) -> Column:
 
 def five_tuple(df: DataFrame, ip_for_udp: bool = False, max_chars: int = PACKET_HEX_CHARS) -> DataFrame:
     columns = {
-        "src": F.col("ip_src"), "dst": F.col("ip_dst"), "proto": F.col("ip_proto"),
+        "src": F.col("l3_src"), "dst": F.col("l3_dst"), "proto": F.col("l4_proto"),
         "sport": F.coalesce("tcp_srcport", "udp_srcport"),
         "dport": F.coalesce("tcp_dstport", "udp_dstport"),
     }
@@ -386,7 +437,7 @@ def five_tuple_hex(df: DataFrame, ip_for_udp: bool = False, max_chars: int = PAC
 def layer_summary(df: DataFrame, out: str = "layers") -> DataFrame:
     """Layers in angle brackets, nested in order, built from the decoded columns."""
     ether = fill("<Ether dst={d} src={s} type=", d=F.col("eth_dst"), s=F.col("eth_src"))
-    kind = F.when(F.col("eth_type") == ETHERTYPE_IP, F.lit("IPv4")).otherwise(
+    kind = F.when(F.col("eth_type") == ETHERTYPE_IP, F.lit("IPv4")).when(F.col("eth_type") == ETHERTYPE_IPV6, F.lit("IPv6")).otherwise(
         F.format_string("0x%x", F.col("eth_type"))
     )
     ip = F.when(F.col("ip_version").isNotNull(), fill(
@@ -398,6 +449,10 @@ def layer_summary(df: DataFrame, out: str = "layers") -> DataFrame:
         .otherwise(F.col("ip_proto").cast("string")),
         s=F.col("ip_src"), d=F.col("ip_dst"),
     ))
+    six = F.when(F.col("l3_src").contains(":"), fill(
+        " |<IPv6 version=6 len={l} src={s} dst={d}",
+        l=(F.col("l3_len") - 40).cast("string"), s=F.col("l3_src"), d=F.col("l3_dst")))
+    ip = F.coalesce(ip, six)
     letters = F.regexp_replace(F.reverse("tcp_flags_str"), "·", "")
     tcp = F.when(F.col("tcp_srcport").isNotNull(), fill(
         " |<TCP sport={s} dport={d} seq={q} ack={a} flags={f} window={w}",
@@ -421,6 +476,6 @@ def layer_summary(df: DataFrame, out: str = "layers") -> DataFrame:
 
 def payload_packets(df: DataFrame, max_chars: int = PACKET_HEX_CHARS, out: str = "payload_hex") -> DataFrame:
     """Cut hex payload of every TCP packet that has one; flows with none drop out."""
-    return df.filter((F.col("ip_proto") == TCP) & F.col("payload").isNotNull()).withColumn(
+    return df.filter((transport(df) == TCP) & F.col("payload").isNotNull()).withColumn(
         out, hex_head(F.col("payload"), max_chars)
     )

@@ -12,7 +12,7 @@ from wirecorpus.plans.corpus_queries import (
     CORPUS_SQL, CORRECTIONS_SQL, LABELS_SQL, LEGACY_TASK, SENTENCE, _split_sql, label_ids, template_case,
 )
 from wirecorpus.operators.catalog import LEGACY_TEMPLATES
-from wirecorpus.plans.metric_queries import ENCODED_SQL, scored
+from wirecorpus.plans.metric_queries import ENCODED_SQL, encoded, six
 from wirecorpus.plans.registry import Registry
 from wirecorpus.plans.token_queries import MESSAGES_SQL, MIXED_SQL, flat
 from wirecorpus.session import checkpoint_base
@@ -137,11 +137,79 @@ def _(spark, sf):
     return spark.read.schema("labels STRING, predict STRING").json(path)
 
 
-@R.add("k10_write_report", f"""WITH {ENCODED_SQL} SELECT cls::VARCHAR AS name, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1, 2) AS f1, support
-FROM fx_classes""")
+REPORT_SQL = f"""WITH {ENCODED_SQL}
+SELECT cls::VARCHAR AS name, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, support FROM fx_classes
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 4), sum(support) FROM fx_counts
+UNION ALL SELECT 'macro avg', round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), sum(support) FROM fx_classes
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 4), round(sum(recall * support) / sum(support), 4),
+  round(sum(f1 * support) / sum(support), 4), sum(support) FROM fx_classes"""
+REPORT_TABLES = {
+    "report": ("name STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support DOUBLE", REPORT_SQL),
+    "matrix": ("true_id INT, predicted_id INT, n BIGINT", f"""WITH {ENCODED_SQL}, c AS (SELECT true_id AS c FROM fx_scored UNION SELECT predicted_id FROM fx_scored)
+SELECT a.c AS true_id, b.c AS predicted_id, (SELECT count(*) FROM fx_scored s WHERE s.true_id = a.c AND s.predicted_id = b.c) AS n FROM c a, c b"""),
+    "mistakes": ("sample_id BIGINT, response_label STRING", f"WITH {ENCODED_SQL} SELECT sample_id, response_label FROM fx_encoded WHERE response_label NOT IN (SELECT label FROM fx_labels)"),
+    "metrics": ("precision DOUBLE, recall DOUBLE, f1 DOUBLE", f"""WITH {ENCODED_SQL} SELECT round(sum(precision * support) / sum(support), 6) AS precision,
+  round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM fx_classes"""),
+}
+
+
+def _report(name: str):
+    def query(spark, sf):
+        path = folder(spark, "report")
+        rows = encoded(spark, sf)
+        good = metrics.scorable(rows)
+        counts = metrics.class_counts(good)
+        sinks.write_report(
+            path, report=metrics.classification_report(counts, 4), matrix=metrics.confusion_matrix(good),
+            mistakes=metrics.mistakes(rows, label_ids(spark, sf), "sample_id"),
+            metrics=six(metrics.precision_recall_f1(counts, "weighted")))
+        return spark.read.schema(REPORT_TABLES[name][0]).json(f"{path}/{name}")
+    return query
+
+
+for _name, (_, _sql) in REPORT_TABLES.items():
+    R.add(f"k10_write_{_name}", _sql)(_report(_name))
+
+
+# one JSON array per class, each in a file of its own
+@R.add("a5_read_sample_array", f"""WITH {CORPUS_SQL} SELECT instruction, '' AS input, output FROM fx_corpus""")
+def _(spark, sf):
+    root = folder(spark, "arrays")
+    sample = F.struct("instruction", F.lit("").alias("input"), "output")
+    arrays = fx.corpus(spark, sf).groupBy("label").agg(F.to_json(F.collect_list(sample)).alias("value"))
+    arrays.write.partitionBy("label").text(root)
+    return files.read_sample_array(spark, root).select("instruction", "input", "output")
+
+
+@R.add("a10_read_dialogs", """WITH d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at_turn FROM conversations),
+p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id) - 1 AS at FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT d.conv_id % 4 AS bucket, p.at, at_turn AS turn, role, text FROM d JOIN p USING (conv_id)""")
+def _(spark, sf):
+    root = folder(spark, "dialogs")
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    dialogs = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+    listed = F.array_sort(F.collect_list(F.struct("conv_id", "turns")))
+    text = F.to_json(F.transform(listed, lambda d: d["turns"]))
+    lists = dialogs.groupBy((F.col("conv_id") % 4).alias("bucket")).agg(text.alias("value"))
+    lists.write.partitionBy("bucket").text(root)
+    return files.read_dialogs(spark, root).select(
+        F.regexp_extract("file", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"),
+        F.substring_index("conv_id", "#", -1).cast("bigint").alias("at"), "turn", "role", "text")
+
+
+@R.add("a11_read_registry", """SELECT n_name AS name, 'N' || n_nationkey AS code,
+  CASE n_nationkey % 3 WHEN 0 THEN 'models/' || n_nationkey WHEN 1 THEN 'head/' || n_nationkey || ',body/' || n_nationkey END AS paths FROM nation""")
 def _(spark, sf):
-    path = folder(spark, "report")
-    counts = metrics.class_counts(scored(spark, sf))
-    sinks.write_report(path, report=metrics.classification_report(counts))
-    rows = spark.read.schema("name STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support DOUBLE").json(f"{path}/report")
-    return rows.filter("name RLIKE '^[0-9]+$'")
+    path = folder(spark, "registry")
+    n = fx.table(spark, sf, "nation")
+    key = F.col("n_nationkey").cast("string")
+    code = F.concat(F.lit('"N'), key, F.lit('": '))
+    one = F.concat(code, F.lit('"models/'), key, F.lit('"'))
+    two = F.concat(code, F.lit('["head/'), key, F.lit('", "body/'), key, F.lit('"]'))
+    model = F.when(F.col("n_nationkey") % 3 == 0, one).when(F.col("n_nationkey") % 3 == 1, two)
+    task = F.concat(F.lit('"'), "n_name", F.lit('": "N'), key, F.lit('"'))
+    joined = lambda c: F.array_join(F.collect_list(c), ", ")
+    text = F.concat(F.lit('{"model_path": "m", "peft_path": "p", "peft_set": {'), joined(model), F.lit('}, "tasks": {'), joined(task), F.lit("}}"))
+    n.agg(text.alias("value")).coalesce(1).write.text(path)
+    return files.read_registry(spark, path).select("name", "code", F.array_join("paths", ",").alias("paths"))

@@ -128,6 +128,25 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("packet_id", "label", "super_label", "capture", "frame_no", "ts_us", "frame")
 
 
+def frames_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TCP and UDP frames carried by IP version 6: tags by packet id, some with extension headers."""
+    h = F.lower(F.hex("frame"))
+    ident = F.col("packet_id")
+    transport = F.substr(h, F.lit(2 * 34 + 1))
+    # hop-by-hop options of 8 and destination options of 16 octets, by turns
+    kind = F.substring(h, 2 * 23 + 1, 2)
+    one = F.concat(kind, F.lit("00010400000000"))
+    two = F.concat(F.lit("3c00010400000000"), kind, F.lit("010104000000000104000000000000"))
+    extension = F.when(ident % 3 == 0, one).when(ident % 3 == 1, two).otherwise("")
+    first = F.when(ident % 3 == 2, kind).otherwise("00")
+    tags = F.when(ident % 4 == 0, "8100000a").when(ident % 4 == 1, "88a8000a8100000b").otherwise("")
+    address = lambda at: F.concat(F.lit("20010db80000000000000000"), F.substring(h, 2 * at + 1, 8))
+    body = F.concat(extension, transport)
+    head = F.concat(F.lit("60000000"), F.lpad(F.lower(F.hex(quotient(F.length(body), 2))), 4, "0"), first, F.lit("40"))
+    whole = F.concat(F.substring(h, 1, 24), tags, F.lit("86dd"), head, address(26), address(30), body)
+    return frames(spark, sf_dir).filter(kind.isin("06", "11")).withColumn("frame", F.unhex(whole))
+
+
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_headers(frames(spark, sf_dir))
 

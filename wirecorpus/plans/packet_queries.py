@@ -291,6 +291,37 @@ def _(spark, sf):
     return flows.flow_payload(fx.decoded(spark, sf))
 
 
+# addresses as eight groups of four digits: a fixed prefix and the version 4 address
+_SIX = "'2001:0db8:0000:0000:0000:0000:' || printf('%02x%02x:%02x%02x', " + ", ".join(
+    "string_split({0}, '.')[" + str(i) + "]::INT" for i in (1, 2, 3, 4)) + ")"
+IPV6_SQL = fx.WIRE_SQL + f""", fx_six AS (
+  SELECT w.* EXCLUDE (src, dst), {_SIX.format('src')} AS src, {_SIX.format('dst')} AS dst FROM fx_wire w WHERE proto IN (6, 17)
+), fx_six_ends AS (
+  SELECT *, least(e_src, e_dst) AS end_a, greatest(e_src, e_dst) AS end_b FROM (
+    SELECT *, src || ':' || lpad(sport::VARCHAR, 5, '0') AS e_src, dst || ':' || lpad(dport::VARCHAR, 5, '0') AS e_dst FROM fx_six)
+)"""
+
+
+@R.add("b1_keep_tcp_udp_ipv6", f"""WITH {IPV6_SQL}
+SELECT packet_id, NULL::INT AS ip_proto, proto AS l4_proto, src AS l3_src, dst AS l3_dst, coalesce(CASE WHEN proto = 6 THEN sport END, -1) AS tcp_srcport,
+  coalesce(CASE WHEN proto = 17 THEN dport END, -1) AS udp_dstport, CASE WHEN payload_hex <> '' THEN payload_hex END AS payload FROM fx_six""")
+def _(spark, sf):
+    kept = packets.keep_tcp_udp(packets.decode_headers(fx.frames_ipv6(spark, sf)))
+    return kept.select(
+        "packet_id", "ip_proto", "l4_proto", "l3_src", "l3_dst", F.coalesce("tcp_srcport", F.lit(-1)).alias("tcp_srcport"),
+        F.coalesce("udp_dstport", F.lit(-1)).alias("udp_dstport"), F.lower(F.hex("payload")).alias("payload"))
+
+
+@R.add("f3_flow_payload_ipv6", f"""WITH {IPV6_SQL}
+SELECT capture, proto AS ip_proto, end_a, end_b, label,
+  '<pck>' || string_agg(substr(payload_hex, 1, 256), '<pck>' ORDER BY frame_no) AS flow_text
+FROM (SELECT *, row_number() OVER (PARTITION BY capture, proto, end_a, end_b ORDER BY frame_no) AS rn
+      FROM fx_six_ends WHERE payload_hex <> '')
+WHERE rn <= 10 GROUP BY ALL""")
+def _(spark, sf):
+    return flows.flow_payload(packets.decode_headers(fx.frames_ipv6(spark, sf)))
+
+
 @R.add("f3_flow_payload_tcp_only", _flow_payload_sql("6"))
 def _(spark, sf):
     return flows.flow_payload(fx.decoded(spark, sf), udp=False)

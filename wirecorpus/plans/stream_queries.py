@@ -52,8 +52,8 @@ def flow_packets(df):
     '<pck>' || string_agg(substr(payload_hex, 1, 256), '<pck>' ORDER BY rn) FILTER (rn <= 10) AS flow_text
   FROM r GROUP BY capture, proto, end_a, end_b, session
 )
-SELECT * FROM closed WHERE (last_us + {GAP_SECONDS}::BIGINT * 1000000) // 1000
-  < (SELECT max(ts_us) // 1000 FROM fx_ends) - {DELAY_SECONDS}::BIGINT * 1000""")
+SELECT * FROM closed WHERE last_us + {GAP_SECONDS}::BIGINT * 1000000
+  <= ((SELECT max(ts_us) // 1000 FROM fx_ends) - {DELAY_SECONDS}::BIGINT * 1000) * 1000""")
 def _(spark, sf):
     arriving = flow_packets(fx.packet_stream(spark, sf))
     return jobs.drain(jobs.stream_flows(arriving, GAP_SECONDS, f"{DELAY_SECONDS} seconds"))
@@ -96,6 +96,17 @@ def _(spark, sf):
 
 @R.add("s5_running_evaluation", f"WITH {ENCODED_SQL} SELECT true_id, predicted_id, count(*) AS n FROM fx_scored GROUP BY ALL")
 def _(spark, sf):
+    return jobs.accumulated_counts(spark, _evaluated(spark, sf))
+
+
+@R.add("s5_running_metrics", f"WITH {ENCODED_SQL} SELECT cls, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM fx_classes")
+def _(spark, sf):
+    rows = jobs.accumulated_metrics(spark, _evaluated(spark, sf))
+    return rows.select("cls", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _evaluated(spark, sf):
+    """Run the stream of predictions into counts per batch; the folder of the counts."""
     arriving = fx.predictions_of(fx.event_stream(spark, sf))
     labels = label_ids(spark, sf)
     base = f"{checkpoint_base(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}"
@@ -110,4 +121,4 @@ def _(spark, sf):
         .option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return jobs.accumulated_counts(spark, f"{base}/counts")
+    return f"{base}/counts"

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wirecorpus.operators.catalog import FLOW_PACKETS, PACKET_MARK
+from wirecorpus.operators.metrics import class_counts as metric_counts, precision_recall_f1
 from wirecorpus.operators.routing import Model, dual_stage
 from wirecorpus.session import checkpoint_base
 
 REQUEST_SCHEMA = "request_id STRING, human_instruction STRING, traffic_data STRING"
-FLOW_KEYS = "capture STRING, ip_proto INT, end_a STRING, end_b STRING"
 KEY_NAMES = ["capture", "ip_proto", "end_a", "end_b"]
 
 
@@ -36,76 +33,28 @@ def score_requests(
 
 
 # --- flow assembly -----------------------------------------------------------------------------
-# A session is (first_us, last_us, n, pieces): pieces are the first few of the session as
-# (ts_us, order, text). Sessions of a part of the packets merge into those of all packets, so the
-# packets of a task are combined before the shuffle and state stays small for any flow.
-
-def _combine(sessions: list[list], gap_us: int, k: int) -> list[list]:
-    if len(sessions) == 1:
-        return sessions
-    merged: list[list] = []
-    for first, last, n, pieces in sorted(sessions, key=lambda s: (s[0], s[1])):
-        if merged and first - merged[-1][1] < gap_us:
-            own = merged[-1]
-            own[1] = max(own[1], last)
-            own[2] += n
-            own[3] = sorted(own[3] + pieces)[:k]
-        else:
-            merged.append([first, last, n, sorted(pieces)[:k]])
-    return merged
-
 
 def stream_flows(
     packets: DataFrame, gap_seconds: int, delay: str, k: int = FLOW_PACKETS
 ) -> DataFrame:
     """First ``k`` payload pieces per flow session, emitted once the session has been idle.
 
-    Input: flow key columns, ``ts_us``, ``order_no`` (breaks ties of time) and ``piece``.
+    Input: flow key columns, ``ts_us``, ``order_no`` (breaks ties of time) and ``piece``. The
+    watermark follows the packets' own times, so which packet is too late does not depend on how
+    packets share batches or partitions. State holds the cut pieces of the sessions that are open.
     """
-    gap_us = gap_seconds * 1_000_000
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            points: dict[tuple, list] = {}
-            columns = [frame[c].tolist() for c in [*KEY_NAMES, "ts_us", "order_no", "piece"]]
-            for *key, ts, order, piece in zip(*columns):
-                points.setdefault(tuple(key), []).append([ts, ts, 1, [[ts, order, piece]]])
-            yield pd.DataFrame(
-                [(*key, first, last, n, json.dumps(pieces)) for key, own in points.items()
-                 for first, last, n, pieces in _combine(own, gap_us, k)],
-                columns=KEY_NAMES + ["first_us", "last_us", "n", "pieces"],
-            )
-
-    def merge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sessions = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            arrived = [[f, l, n, json.loads(p)] for f, l, n, p in zip(
-                frame.first_us.tolist(), frame.last_us.tolist(), frame.n.tolist(), frame.pieces.tolist())]
-            sessions = _combine(sessions + arrived, gap_us, k)
-        now = state.getCurrentWatermarkMs()
-        due = lambda s: (s[1] + gap_us) // 1000
-        closed = [s for s in sessions if due(s) < now]
-        still = [s for s in sessions if due(s) >= now]
-        if still:
-            state.update((json.dumps(still),))
-            state.setTimeoutTimestamp(max(min(map(due, still)), now + 1))
-        elif state.exists:
-            state.remove()
-        if not closed:
-            return
-        yield pd.DataFrame(
-            [(*key, f, l, n, PACKET_MARK + PACKET_MARK.join(p[2] for p in pieces)) for f, l, n, pieces in closed],
-            columns=KEY_NAMES + ["first_us", "last_us", "n_packets", "flow_text"],
-        )
-
-    parts = packets.select(*KEY_NAMES, "ts_us", "order_no", "piece").mapInPandas(
-        partial, FLOW_KEYS + ", first_us BIGINT, last_us BIGINT, n BIGINT, pieces STRING"
-    )
-    timed = parts.withColumn("last_ts", F.timestamp_micros("last_us")).withWatermark("last_ts", delay)
-    return timed.groupBy(*KEY_NAMES).applyInPandasWithState(
-        merge, FLOW_KEYS + ", first_us BIGINT, last_us BIGINT, n_packets BIGINT, flow_text STRING",
-        "sessions STRING", "append", GroupStateTimeout.EventTimeTimeout,
+    timed = packets.select(
+        *KEY_NAMES, "ts_us", "order_no", "piece", F.timestamp_micros("ts_us").alias("ts")
+    ).withWatermark("ts", delay)
+    session = F.session_window("ts", f"{gap_seconds} seconds")
+    listed = F.collect_list(F.struct("ts_us", "order_no", "piece"))
+    closed = timed.groupBy(*KEY_NAMES, session).agg(
+        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("n_packets"),
+        F.slice(F.array_sort(listed), 1, k).alias("_first"),
     )
+    pieces = F.transform("_first", lambda p: p["piece"])
+    text = F.concat(F.lit(PACKET_MARK), F.array_join(pieces, PACKET_MARK))
+    return closed.select(*KEY_NAMES, "first_us", "last_us", "n_packets", text.alias("flow_text"))
 
 
 # --- duplicates, counts, running evaluation ----------------------------------------------------
@@ -141,6 +90,11 @@ def accumulated_counts(spark: SparkSession, table: str) -> DataFrame:
     return rows.groupBy("true_id", "predicted_id").agg(F.sum("n").alias("n"))
 
 
+def accumulated_metrics(spark: SparkSession, table: str, average: str | None = None) -> DataFrame:
+    """Precision, recall and F1 over all batches so far; per class with the support by default."""
+    return precision_recall_f1(metric_counts(accumulated_counts(spark, table), weight="n"), average)
+
+
 def running_evaluation(scored: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Start counting a stream of (true_id, predicted_id) rows; stops when the input is drained."""
     return (
