@@ -6,11 +6,13 @@ least offer. Offers of one element are spread over all places, which lowers the
 independent hashes, and a document is done as soon as all its places hold offers of steps gone by.
 Long documents end after the first step or two. Steps run on all elements of many documents at once.
 
-Texts of equal words are one node. Nodes that share a band meet in a bucket. In a round each bucket
-compares its nodes with a few centres of its own, pairs that already lie in one component are left
-out, and what is linked is merged. Centres are then done, and the next round takes twice as many,
-until no bucket holds two components. Groups of copies merge in the first round, so pairs inside
-them are never listed; no bucket is capped, and every pair of a bucket is compared or connected.
+Texts of equal words are one node. Nodes that share a band meet in a bucket. First each bucket
+compares its nodes with a few of them as centres, and what is linked is merged: groups of copies end
+here, and their other pairs are never listed. Buckets that still hold several components are cut
+into blocks of bounded size. Inside a block, and then between the blocks of a bucket, the remaining
+pairs of different components are compared in the task that has the blocks, each pair in the first
+bucket it shares, with a union-find that skips what has become connected. No bucket is capped: every
+pair of a bucket is compared or connected.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ from wirecorpus.session import stage
 BANDS, ROWS = 36, 6
 # elements whose permutations are held at a time
 ELEMENTS = 60_000
+# centres per bucket in the first rounds
+CENTRES = (1, 8)
+# nodes, and shingles in all, of a block
+BLOCK_NODES, BLOCK_SHINGLES = 256, 60_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,30 +185,118 @@ def shingle_set(text: str, words: int) -> set[str]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The (a, b, low, high) of ``pairs`` whose whole shingle sets are as similar as asked for."""
+def _alike(one: set, two, size: int, percent: int) -> bool:
+    both = len(one.intersection(two))
+    return 100 * both >= percent * (len(one) + size - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (low, high) of ``pairs`` (a, b, low, high) whose whole shingle sets are as similar as asked for."""
     def run(batches):
         for batch in batches:
-            sets: dict[int, set] = {}
+            known: dict[int, set] = {}
             keep = []
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 4, 5)]
-            for a, b, ta, tb in zip(*columns):
-                if a not in sets:
-                    if len(sets) > 64:
-                        sets.clear()
-                    sets[a] = shingle_set(ta, words)
-                one, two = sets[a], shingle_set(tb, words)
-                both = len(one & two)
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], ["a", "b", "low", "high"])
-
-    with_texts = (
-        pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "low", "high", "text_a", "text_b")
+            for a, raw_a, raw_b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if a not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[a] = set(np.frombuffer(raw_a, dtype=np.int64).tolist())
+                other = np.frombuffer(raw_b, dtype=np.int64).tolist()
+                keep.append(_alike(known[a], other, len(other), percent))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(chosen) for c in batch.columns[3:5]], ["u", "v"])
+
+    with_sets = (
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
+        .select("a", "shingles_a", "shingles_b", "low", "high")
+    )
+    return with_sets.mapInArrow(run, "u long, v long")
+
+
+class _Block:
+    """Nodes of one bucket: their components, sizes, bands and shingle sets."""
+
+    def __init__(self, rows: list[dict], bucket: int) -> None:
+        rows = sorted(rows, key=lambda r: r["node"])
+        self.comp = [r["comp"] for r in rows]
+        self.size = np.array([r["n"] for r in rows], dtype=np.int64)
+        bands = np.array([r["bands"] for r in rows], dtype=np.int64)
+        at = int(np.flatnonzero(bands[0] == bucket)[0])
+        self.earlier = bands[:, :at]
+        self.raw = [r["shingles"] for r in rows]
+        self.sets: dict[int, set] = {}
+
+    def set_of(self, i: int) -> set:
+        if i not in self.sets:
+            self.sets[i] = set(np.frombuffer(self.raw[i], dtype=np.int64).tolist())
+        return self.sets[i]
+
+
+def _links(one: _Block, two: _Block, percent: int) -> list[tuple[int, int]]:
+    """Links that connect components of two blocks (or of one with itself), found exhaustively."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i in range(len(one.comp)):
+        begin = i + 1 if one is two else 0
+        size = two.size[begin:]
+        fits = (size * 100 >= one.size[i] * percent) & (one.size[i] * 100 >= size * percent)
+        fits &= ~(two.earlier[begin:] == one.earlier[i]).any(axis=1)
+        own = one.set_of(i) if fits.any() else set()
+        for j in (np.flatnonzero(fits) + begin).tolist():
+            a, b = find(one.comp[i]), find(two.comp[j])
+            if a != b and _alike(own, two.set_of(j), int(two.size[j]), percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((one.comp[i], two.comp[j]))
+    return links
+
+
+def _as_links(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
+def _block_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links between components of the nodes inside each block of ``open_``."""
+    def run(key, table):
+        block = _Block(table.to_pylist(), key[0].as_py())
+        return _as_links(_links(block, block, percent))
+
+    filled = open_.join(sets, "node").select("bucket", "block", "node", "comp", "n", "bands", "shingles")
+    return filled.groupBy("bucket", "block").applyInArrow(run, "u long, v long")
+
+
+def _cross_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) links between components of the nodes in different blocks of one bucket."""
+    rows = F.collect_list(F.struct("node", "comp", "n", "bands", "shingles"))
+    packed = (
+        open_.where("blocks > 1").join(sets, "node").groupBy("bucket", "block")
+        .agg(rows.alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    )
+    packed = stage(packed)
+    heads = packed.select("bucket", "block", "lo", "hi")
+    one, two = heads.toDF("bucket", "block", "lo", "hi"), heads.toDF("bucket", "block2", "lo2", "hi2")
+    met = one.join(two, "bucket").where((F.col("block") < F.col("block2")) & (F.least("lo", "lo2") < F.greatest("hi", "hi2")))
+    both = (
+        met.select("bucket", "block", "block2")
+        .join(packed.select("bucket", "block", F.col("rows").alias("one")), ["bucket", "block"])
+        .join(packed.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("two")), ["bucket", "block2"])
+        .select("bucket", "one", "two")
     )
-    return with_texts.mapInArrow(run, "a long, b long, low long, high long")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column(0)[i].as_py()
+                found = _links(_Block(batch.column(1)[i].as_py(), bucket), _Block(batch.column(2)[i].as_py(), bucket), percent)
+                yield from _as_links(found).to_batches()
+
+    return both.mapInArrow(run, "u long, v long")
 
 
 def union_find(edges: DataFrame) -> DataFrame:
@@ -270,7 +364,9 @@ def near_duplicates(
     rows_ = stage(signed(picked, words, bands, rows).withColumn("uid", F.monotonically_increasing_id()))
     nodes = stage(
         rows_.where("n_shingles > 0").groupBy("key")
-        .agg(F.min("uid").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("uid").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+            F.min("doc_id").alias("first_id"))
     )
     links = _components(picked, nodes, words, percent)
     comps = nodes.select("key", "node").join(links, "node", "left").select(
@@ -308,20 +404,14 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
 
 def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, comp) of the nodes that are linked with another one."""
-    spark = docs.sparkSession
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("bucket")
     members = stage(placed.join(shared, "bucket").select("bucket", "node", "n"))
-    wanted = nodes.select("key", "node").join(members.select("node").distinct(), "node", "left_semi")
-    texts = stage(
-        docs.withColumn("key", equal_words_key(F.col("text"))).join(wanted, "key")
-        .groupBy("node").agg(F.first("text").alias("text"))
-    )
-    labels, centres_per_bucket = None, 1
+    sets = stage(_shingle_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), words))
+    labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     open_ = members.withColumn("comp", F.col("node"))
-    while True:
-        salt = F.pmod(F.xxhash64("node", F.lit(centres_per_bucket)), F.lit(centres_per_bucket))
-        salt = F.lit(0) if centres_per_bucket == 1 else salt
+    for many in CENTRES:
+        salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many)) if many > 1 else F.lit(0)
         centres = (
             open_.groupBy("bucket", salt.alias("_salt")).agg(F.min(F.struct("node", "comp", "n")).alias("c"))
             .select("bucket", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("centre_n"))
@@ -334,29 +424,52 @@ def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
                 F.least("comp", "centre_comp").alias("low"), F.greatest("comp", "centre_comp").alias("high"))
             .distinct()
         )
-        verified = stage(_verified(pairs, texts, words, percent))
-        if not verified.isEmpty():
-            merged = union_find(verified.select(F.col("low").alias("u"), F.col("high").alias("v")))
-            if labels is None:
-                labels = merged
-            else:
-                moved = merged.toDF("comp", "to")
-                labels = stage(
-                    labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-                    .union(merged.join(labels.select("node"), "node", "left_anti"))
-                )
-        current = open_.select("bucket", "node", "n")
-        if labels is not None:
-            current = current.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        else:
-            current = current.withColumn("comp", F.col("node"))
-        left = current.join(
-            centres.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        several = left.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-        open_ = stage(left.join(several.select("bucket"), "bucket").select("bucket", "node", "n", "comp"))
-        if open_.isEmpty():
-            break
-        centres_per_bucket *= 2
-    if labels is None:
-        return spark.createDataFrame([], "node long, comp long")
-    return labels
+        labels = _merged(labels, stage(_verified(pairs, sets, percent)))
+        open_ = _still_open(open_, labels)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    sized = open_.groupBy("bucket").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_nodes")).select(
+        "bucket",
+        F.greatest(F.ceil(F.col("_shingles") / BLOCK_SHINGLES), F.ceil(F.col("_nodes") / BLOCK_NODES)).alias("blocks"))
+    open_ = stage(open_.join(sized, "bucket").withColumn("block", block))
+    labels = _merged(labels, stage(_block_links(open_, sets, percent)))
+    open_ = _still_open(open_.where("blocks > 1"), labels)
+    return _merged(labels, stage(_cross_links(open_, sets, percent)))
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, bands, shingles): the whole set of each node's text as packed hashes."""
+    def run(batches):
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            shingle, owner = shingle_hashes(texts, words)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))]).tolist()
+            raw = shingle.tobytes()
+            packed = [raw[8 * a: 8 * b] for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["node", "bands", "shingles"])
+
+    keyed = docs.withColumn("key", equal_words_key(F.col("text")))
+    one = keyed.alias("d").join(
+        wanted.alias("w"), (F.col("d.key") == F.col("w.key")) & F.col("d.doc_id").eqNullSafe(F.col("w.first_id")))
+    # repeated rows give a text twice
+    texts = one.select("node", "bands", "d.text").mapInArrow(run, "node long, bands array<long>, shingles binary")
+    return texts.dropDuplicates(["node"])
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) after the components that the links (u, v) connect are one."""
+    if links.isEmpty():
+        return labels
+    merged = union_find(links)
+    moved = merged.toDF("comp", "_to")
+    return stage(
+        labels.join(moved, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+        .union(merged.join(labels.select("node"), "node", "left_anti"))
+    )
+
+
+def _still_open(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with their components of now, of the buckets that hold several."""
+    current = open_.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = current.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    return stage(current.join(several.select("bucket"), "bucket"))
