@@ -115,7 +115,7 @@ def test_sanitize_removes_markers_from_user_text(spark):
 def test_packing_keeps_every_token(spark, data):
     docs = fx.tokens(spark, data)
     flat = [t for r in docs.orderBy("doc_id").collect() for t in r.ids]
-    kept = examples.pack_tokens(docs, "doc_id", size=100, keep_tail=True, rows_per_chunk=16).orderBy("piece").collect()
+    kept = examples.pack_tokens(docs, "doc_id", size=100, keep_tail=True).orderBy("piece").collect()
     assert [t for r in kept for t in r.input_ids] == flat
     exact = spark.createDataFrame([(0, [1, 2, 3]), (1, [4])], "i BIGINT, ids ARRAY<INT>")
     assert examples.pack_tokens(exact, "i", size=2).count() == 2

@@ -15,6 +15,8 @@ from wirecorpus.session import stage
 
 # frames per chunk when a dense frame number is the order
 FRAMES_PER_CHUNK = 65_536
+# groups whose bounds may be handed to every task; beyond it they are joined like any table
+SHARED_GROUPS = 100_000
 # leading hex digits of an md5 key used as its chunk
 HASH_CHUNK_DIGITS = 4
 
@@ -145,14 +147,34 @@ def number_rows(
     )
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with ``_range``, a chunk of their order of even size whatever the values look like.
+
+    The range partitions are staged, so the number of a row's range is fixed.
+    """
+    return stage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def number_sorted(df: DataFrame, order: list[str], out: str = "row_no") -> DataFrame:
-    """1-based place of each row in the order of all rows.
+    """1-based place of each row in the order of all rows."""
+    return number_rows(in_ranges(df, order), [], order, F.col("_range"), out).drop("_range")
+
+
+def prune_to_cap(df: DataFrame, key: str, group: str, cap: int) -> DataFrame:
+    """Drop rows that cannot be among the first ``cap`` of their group in the order of a hash key.
 
-    The range partitions are staged, so that a partition number is a fixed chunk of the order
-    whatever the values look like.
+    Rows are counted by group and leading digits of the key, combined map-side. The bound of a group
+    is the digits at which its count reaches the cap, so what is left of any group is the cap and
+    the rows of one more prefix, however many tasks read it. The exact rank follows on what is left.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    return number_rows(stage(ranged), [], order, F.col("_range"), out).drop("_range")
+    prefix = hash_chunk(F.col(key))
+    counts = df.groupBy(F.col(group).alias("_group"), prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_group").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1))
+    reached = counts.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < cap)
+    bounds = stage(reached.groupBy("_group").agg(F.max("_prefix").alias("_bound")))
+    few = bounds.count() <= SHARED_GROUPS
+    joined = df.join(F.broadcast(bounds) if few else bounds, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.filter(prefix <= F.col("_bound")).drop("_group", "_bound")
 
 
 def hash_rank(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wirecorpus.functions.ordering import (
-    hash_chunk, hash_rank, number_rows, running, stable_key, stable_pick,
+    hash_chunk, hash_rank, number_sorted, prune_to_cap, running, stable_key, stable_pick,
 )
 from wirecorpus.functions.strings import fill, lookup, present, replace_all
 from wirecorpus.operators.catalog import (
@@ -82,11 +82,11 @@ def understanding_samples(
 def understanding_caps(
     df: DataFrame, ident: str, train_cap: int = 20_000, test_cap: int = 200, seed: int = 42
 ) -> DataFrame:
-    """Keep the first rows of each split in shuffled order; the limit prunes before the shuffle."""
-    order = W.partitionBy("split").orderBy(stable_key("understanding", F.col(ident), seed), ident)
-    ranked = df.withColumn("_rank", F.row_number().over(order)).filter(
-        F.col("_rank") <= max(train_cap, test_cap)
-    )
+    """Keep the first rows of each split in shuffled order; the rest is pruned before the shuffle."""
+    keyed = df.withColumn("_key", stable_key("understanding", F.col(ident), seed))
+    left = prune_to_cap(keyed, "_key", "split", max(train_cap, test_cap))
+    order = W.partitionBy("split").orderBy("_key", ident)
+    ranked = left.withColumn("_rank", F.row_number().over(order)).drop("_key")
     return ranked.filter(
         F.col("_rank") <= F.when(F.col("split") == "train", train_cap).otherwise(test_cap)
     ).drop("_rank")
@@ -135,9 +135,11 @@ def cap_split(
             _rank=("row_number", None), _size=("size", None),
         ).drop("_key")
     else:
-        order = W.partitionBy(label).orderBy(stable_key("split", F.col(ident), seed), ident)
-        # pruned map-side to cap rows per class and task; what is left counts min(cap, n)
-        ranked = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap)
+        keyed = df.withColumn("_key", stable_key("split", F.col(ident), seed))
+        order = W.partitionBy(label).orderBy("_key", ident)
+        # what is left of a class counts min(cap, n)
+        ranked = prune_to_cap(keyed, "_key", label, cap).withColumn("_rank", F.row_number().over(order))
+        ranked = ranked.filter(F.col("_rank") <= cap).drop("_key")
         ranked = ranked.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(label)))
     train = (F.col("_size") * F.lit(ratio)).cast("int")
     test = (F.col("_size") * F.lit(1 - ratio)).cast("int")
@@ -148,7 +150,7 @@ def cap_split(
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
     """(label, id): sorted distinct labels numbered from 0; one row per class after the distinct."""
     distinct = df.select(label).filter(F.col(label).isNotNull()).distinct()
-    numbered = number_rows(distinct, [], [label], F.substring(label, 1, 2), "_n")
+    numbered = number_sorted(distinct, [label], "_n")
     return numbered.select(F.col(label).alias("label"), (F.col("_n") - 1).cast("int").alias("id"))
 
 

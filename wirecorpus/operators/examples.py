@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirecorpus.functions.octets import quotient
-from wirecorpus.functions.ordering import hash_chunk, running, stable_key
+from wirecorpus.functions.ordering import hash_chunk, in_ranges, running, stable_key
 from wirecorpus.operators.catalog import IGNORE_ID
 
 MAX_SOURCE, MAX_TARGET = 1024, 32
 PACK_SIZE, STRICT_PACK_SIZE = 2048, 4096
-ROWS_PER_CHUNK = 65_536
 
 
 def _padded(ids: Column, size: Column | int, fill: int) -> Column:
@@ -65,16 +64,17 @@ def masked_examples(
 
 def pack_tokens(
     df: DataFrame, order: str, ids: str = "ids", size: int = PACK_SIZE, strict: bool = False,
-    keep_tail: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK,
+    keep_tail: bool = False,
 ) -> DataFrame:
     """Concatenate token arrays in order and cut them into full pieces of ``size`` tokens.
 
     Offsets are running sums, so a piece is cut out of the rows that overlap it without a global
-    sort. ``strict`` emits a piece only when more tokens follow it. ``order`` is a whole number.
+    window over all rows. ``strict`` emits a piece only when more tokens follow it. ``order`` need
+    not be dense: rows are dealt into ranges of even size.
     """
+    counted = df.filter(F.size(ids) > 0).withColumn("_n", F.size(ids).cast("bigint"))
     rows = running(
-        df.filter(F.size(ids) > 0).withColumn("_n", F.size(ids).cast("bigint")), [], [order],
-        quotient(F.col(order), rows_per_chunk),
+        in_ranges(counted, [order]), [], [order], F.col("_range"),
         _start=("sum_before", F.col("_n")), _total=("total", F.col("_n")),
     )
     first = quotient(F.col("_start"), size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from wirecorpus.functions.octets import quotient
-from wirecorpus.functions.ordering import running
+from wirecorpus.functions.ordering import in_ranges, running
 from wirecorpus.functions.strings import drop_last_char, last_word
 from wirecorpus.operators.catalog import FULL_STOP
 
@@ -232,17 +232,16 @@ def prompt_label(prompt: Column, pattern: str | None = None) -> Column:
 
 def generated_by_label(
     df: DataFrame, ident: str, prompt: str = "prompt", response: str = "response",
-    pattern: str | None = None, rows_per_chunk: int = 65_536,
+    pattern: str | None = None,
 ) -> DataFrame:
     """(label, position, text): each label's list as rows with their 0-based place in it.
 
     A label may hold a large share of all rows, so the list is not put into one row.
-    ``ident`` is a whole number that gives the order.
+    ``ident`` gives the order; it need not be dense.
     """
     labelled = df.withColumn("label", prompt_label(F.col(prompt), pattern)).filter(F.col("label").isNotNull())
-    rows = running(
-        labelled, ["label"], [ident], quotient(F.col(ident), rows_per_chunk), _n=("row_number", None)
-    )
+    ranged = in_ranges(labelled.select(ident, "label", response), [ident])
+    rows = running(ranged, ["label"], [ident], F.col("_range"), _n=("row_number", None))
     return rows.select("label", (F.col("_n") - 1).cast("bigint").alias("position"), F.col(response).alias("text"))
 
 

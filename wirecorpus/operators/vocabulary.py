@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,21 +138,29 @@ def _next_merges(
 
 
 def _merge_word(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
+    """Apply the merges in the order they were learned, from left to right.
+
+    Pairs wait in a heap by rank and place; a merged pair puts its two new neighbours there. A pair
+    with a merged part was learned later, so it never comes before one that waits already.
+    """
     parts = list(word)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda p: rank.get(p, len(rank)))
-        if best not in rank:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    last = len(parts) - 1
+    before, after = list(range(-1, last)), list(range(1, last + 2))
+    waiting = [(rank[pair], i, pair) for i, pair in enumerate(zip(parts, parts[1:])) if pair in rank]
+    heapq.heapify(waiting)
+    while waiting:
+        _, left, pair = heapq.heappop(waiting)
+        right = after[left]
+        if right > last or (parts[left], parts[right]) != pair:
+            continue  # one of the two has been merged since
+        parts[left], parts[right] = pair[0] + pair[1], ""
+        follow = after[left] = after[right]
+        if follow <= last:
+            before[follow] = left
+        for at, beside in ((left, follow), (before[left], left)):
+            if at >= 0 and beside <= last and (new := (parts[at], parts[beside])) in rank:
+                heapq.heappush(waiting, (rank[new], at, new))
+    return [part for part in parts if part]
 
 
 def encode(
@@ -184,19 +193,20 @@ def encode(
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:
-    """Token ids to text; control pieces, negative and unknown ids give nothing."""
-    table = df.sparkSession.sparkContext.broadcast(
-        {r["id"]: r["piece"] for r in vocab.collect() if r["kind"] not in ("control", "special")}
-    )
-
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = table.value
-        for rows in batches:
-            yield rows.map(lambda r: None if r is None else "".join(pieces.get(i, "") for i in r))
+    """Token ids to text; control pieces, negative and unknown ids give nothing.
 
-    spaced = F.replace(text_of(F.col(ids)), F.lit(SPACE), F.lit(" "))
-    return df.withColumn(out, F.regexp_replace(spaced, "^ ", ""))
+    Ids number the pieces without gaps, so the vocabulary is one array that ids index.
+    """
+    shown = F.when(F.col("kind").isin("control", "special"), "").otherwise(F.col("piece"))
+    gaps = F.raise_error(F.lit("vocabulary ids have gaps")).cast("array<string>")
+    listed = F.array_sort(F.collect_list(F.struct("id", shown.alias("piece"))))
+    pieces = F.when(F.max("id") + 1 == F.count(F.lit(1)), F.transform(listed, lambda p: p["piece"])).otherwise(gaps)
+    table = vocab.agg(pieces.alias("pieces")).scalar()
+    # a lambda cannot hold a subquery, but it can read a column
+    shown_of = lambda i: F.coalesce(F.get(F.col("_pieces"), i.cast("int")), F.lit(""))
+    joined = F.array_join(F.transform(F.col(ids), shown_of), "")
+    text = F.regexp_replace(F.replace(joined, F.lit(SPACE), F.lit(" ")), "^ ", "")
+    return df.withColumn("_pieces", table).withColumn(out, text).drop("_pieces")
 
 
 def with_specials(vocab: DataFrame, specials: list[str] = SPECIAL_TOKENS) -> DataFrame:
