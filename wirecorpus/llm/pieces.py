@@ -25,7 +25,7 @@ from wirecorpus.llm.common import by_slice, kept
 from wirecorpus.llm.memo import Memory
 
 MARK = "▁"
-UNITS = 300_000
+UNITS = 150_000
 
 
 class PieceModel:
