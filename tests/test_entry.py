@@ -29,3 +29,11 @@ def test_corpus_part_may_be_missing():
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert {r.split for r in rows} <= {"train", "test"} and len(rows) == 10
+
+
+def test_staged_tables_can_be_dropped(spark):
+    from wirecorpus import session
+
+    session.drop_staged(spark)
+    rows = session.stage(spark.range(10))
+    assert rows.count() == 10 and session.drop_staged(spark) == 1 and session.drop_staged(spark) == 0

@@ -83,9 +83,9 @@ def _(spark, sf):
     return files.read_label_map(spark, path)
 
 
-def _messages_sql(answer: str) -> str:
+def _messages_sql(answer: str, split: str = "test") -> str:
     return f"""WITH {MESSAGES_SQL}, parts AS (
-  SELECT packet_id FROM {_split_sql('fx_corpus', 'packet_id', 100, 0.8)} WHERE split = 'test')
+  SELECT packet_id FROM {_split_sql('fx_corpus', 'packet_id', 100, 0.8)} WHERE split = '{split}')
 SELECT system, user_text, {answer} AS assistant FROM fx_messages WHERE packet_id IN (SELECT packet_id FROM parts)"""
 
 
@@ -100,6 +100,7 @@ def _messages(part: str):
 
 
 R.add("k4_write_messages", _messages_sql("assistant"))(_messages("test_with_label"))
+R.add("k4_write_messages_train", _messages_sql("assistant", "train"))(_messages("train"))
 R.add("k4_write_messages_masked", _messages_sql("'-'"))(_messages("test"))
 
 

@@ -44,6 +44,20 @@ def checkpoint_base(spark: SparkSession) -> str:
     return base
 
 
+# tables staged by this process and not dropped yet
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; call it when the results that read them are written."""
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        dropped += path.getFileSystem(conf).delete(path, True)
+    return dropped
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
@@ -53,6 +67,7 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_base(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
