@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # octets of text that are handled at a time inside one task
-SLICE_OCTETS = 4 << 20
+SLICE_OCTETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,19 @@ def slices(batch: pa.RecordBatch, column: str, octets: int = SLICE_OCTETS) -> It
     yield batch.slice(start)
 
 
+def runs(texts: list[str], characters: int = SLICE_OCTETS) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters, one text at least."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > characters:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def by_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str, octets: int = SLICE_OCTETS):
     """A ``mapInArrow`` function: ``make()`` once per task, its result on each slice."""
     def run(batches):

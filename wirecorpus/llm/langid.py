@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wirecorpus.llm.common import by_slice
+from wirecorpus.llm.common import by_slice, runs
 from wirecorpus.llm.superminhash import mix
 
 BUCKETS, DIMENSIONS, LONGEST = 1 << 16, 16, 4
@@ -142,7 +142,7 @@ def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 4
     model = LanguageModel(languages, (table @ layer).astype(np.float32), bias.astype(np.float64), 0.0)
     apart = [i for i in range(0, len(raw), 5) if _LETTER.search(texts[i])]
     if apart:
-        logits = _logits(model, [raw[i] for i in apart])
+        logits = np.concatenate([_logits(model, [t.encode() for t in part]) for part in runs([texts[i] for i in apart])])
         truth = np.array([number[labels[i]] for i in apart])
         scale = min(
             (-np.log(np.maximum(_softmax(logits * s)[np.arange(len(truth)), truth], 1e-12)).mean(), s)

@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wirecorpus.llm.common import by_slice, labelled_sample
+from wirecorpus.llm.common import by_slice, labelled_sample, runs
 from wirecorpus.llm.superminhash import mix, word_hashes
 
 # labelled documents per class, and lines of one training sequence
-PER_CLASS, CHAIN = 1500, 32
+PER_CLASS, CHAIN = 1000, 32
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 50, 3, 50
 # share of words in content lines from which a text is kept
 CONTENT = 0.5
@@ -156,17 +156,18 @@ def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 1
     model = LineField()
     if len(set(labels)) < 2:
         return model
-    lines = Lines(texts)
-    active, mark = [], []
-    for i, label in enumerate(labels):  # long texts give several chains, none is cut off
-        a, b = lines.first[i], lines.first[i + 1]
-        for at in range(a, b, CHAIN):
-            active.append(lines.active[at: min(at + CHAIN, b)])
-            mark.append(label)
+    active, mark, given = [], [], iter(labels)
+    for part in runs(texts):
+        lines = Lines(part)
+        for a, b in zip(lines.first, lines.first[1:]):  # long texts give several chains, none is cut off
+            label = next(given)
+            for at in range(a, b, CHAIN):
+                active.append(lines.active[at: min(at + CHAIN, b)].copy())
+                mark.append(label)
     mark = np.array(mark)
     size = np.array([len(x) for x in active])
     n, longest = len(active), int(size.max())
-    padded = np.zeros((n, longest, len(_MEASURES)), dtype=np.int64)
+    padded = np.zeros((n, longest, len(_MEASURES)), dtype=np.int32)
     for i, x in enumerate(active):
         padded[i, : len(x)] = x
     real = np.arange(longest)[None, :] < size[:, None]

@@ -28,7 +28,7 @@ from wirecorpus.session import stage
 
 LEVELS, KEEP = 5, 48
 # octets of text parsed at a time
-PARSE = 2 << 20
+PARSE = 1 << 19
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 # place of the lowest bit of a power of two, by the 64-bit de Bruijn product
