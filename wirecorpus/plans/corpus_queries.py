@@ -342,7 +342,8 @@ def _(spark, sf):
 )
 SELECT label, split, count(*) AS n_samples, sum(length(instruction))::BIGINT AS n_chars FROM built GROUP BY ALL""")
 def packet_corpus_by_class(spark, sf):
-    fields = packets.packet_fields(fx.frames(spark, sf))
+    # read twice: by class and key for the caps, and for what is kept
+    fields = stage(packets.packet_fields(fx.frames(spark, sf)))
     kept = corpus.cap_split(fields, "packet_id")
     words = packets.traffic_words(kept, out="data").withColumn("task", F.lit("EMD"))
     return corpus.detection_samples(words).groupBy("label", "split").agg(
