@@ -13,26 +13,41 @@ from collections import deque
 
 import numpy as np
 
-# distinct pieces one worker remembers; beyond it starts anew
-PIECES = 400_000
+# distinct pieces one worker remembers in each of two generations
+PIECES = 300_000
 # pieces given to the library in one call
 CALL = 5_000
 
 _WHITE_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
+# inside a piece no token reaches from a letter to a mark after it, nor from a line end after a mark
+# to a letter
+_STEM = re.compile(r"(?<=[A-Za-z])(?=[,.;:!?])|(?<=[,.;:!?]\n)(?=[A-Za-z])")
 
 
 class Memory(dict):
-    """What is not there yet is noted in ``pending`` and filled in afterwards."""
+    """Bounded in two generations: what is used again moves on, the rest is forgotten.
+
+    What is not there yet is noted in ``pending`` and filled in afterwards.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.pending: list[str] = []
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        self.pending.append(piece)
-        self[piece] = b""
-        return b""
+        found = self.old.get(piece)
+        if found is None:
+            self.pending.append(piece)
+            found = b""
+        self[piece] = found
+        return found
+
+    def turn(self, limit: int) -> None:
+        if len(self) > limit:
+            self.old = dict(self)
+            self.clear()
 
 
 def cut(text: str) -> list[str]:
@@ -49,23 +64,50 @@ class TokenMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         # a vocabulary that drops white space splits by a pattern of which only the matches stay
         self.drops_white = '"Removed"' in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
-        self.limit, self.inner, self.heads = pieces, Memory(), Memory()
+        self.limit, self.inner, self.heads, self.tails = pieces, Memory(), Memory(), Memory()
+
+    def _library(self, memory: Memory, pieces: list[str], lead: str) -> None:
+        """Encode pieces many at a time, told apart by a special token that none of them contains.
+
+        The library cuts a text at its special tokens first, so each piece is encoded for itself.
+        """
+        plain = [p for p in pieces if "<|" not in p]
+        for at in range(0, len(plain), CALL):
+            call = plain[at: at + CALL]
+            text = self.mark.join([lead + p for p in call]) + self.mark
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            memory.update(zip(call, [raw[a:b] for a, b in zip([0] + [e + 4 for e in ends], ends)]))
+        odd = [p for p in pieces if "<|" in p]
+        for piece, encoded in zip(odd, self.tokenizer.encode_batch([lead + p for p in odd], add_special_tokens=False)):
+            memory[piece] = np.array(encoded.ids, dtype="<u4").tobytes()
 
     def _fill(self, memory: Memory, lead: str) -> None:
         pending, memory.pending = memory.pending, []
-        for at in range(0, len(pending), CALL):
-            call = pending[at: at + CALL]
-            encoded = self.tokenizer.encode([lead + p for p in call], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(encoded.ids, dtype="<u4").tobytes()
-            owner = np.array(encoded.word_ids, dtype=np.int64)
-            ends = (4 * np.searchsorted(owner, np.arange(len(call) + 1))).tolist()
-            memory.update(zip(call, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+        split, joined = _STEM.split, []
+        for piece in pending:
+            parts = split(piece) if "<|" not in piece else ()
+            if len(parts) > 1:
+                joined.append((piece, parts))
+        # stems and tails that are not known either join those that go to the library
+        composed = {piece for piece, _ in joined}
+        alone = [p for p in pending if p not in composed]
+        for _, parts in joined:
+            memory[parts[0]]
+            deque(map(self.tails.__getitem__, parts[1:]), maxlen=0)
+        self._library(memory, alone + memory.pending, lead)
+        self._library(self.tails, self.tails.pending, "")
+        memory.pending, self.tails.pending = [], []
+        for piece, (stem, *rest) in joined:
+            memory[piece] = memory[stem] + b"".join([self.tails[t] for t in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.inner) + len(self.heads) > self.limit:
-            self.inner, self.heads = Memory(), Memory()
+        for memory in (self.inner, self.heads, self.tails):
+            memory.turn(self.limit)
         pieces = [cut(t) for t in texts]
         # the first piece of a text has no space before it
         heads = [None if self.drops_white else ps.pop(0) for ps in pieces]

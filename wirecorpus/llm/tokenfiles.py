@@ -30,7 +30,7 @@ def writer_options(row_group: int = 32 << 20, page: int = 256 << 10) -> dict[str
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": "false",
         "parquet.enable.dictionary#ids.list.element": "true",
-        "compression": "zstd",
+        "compression": "snappy",
     }
 
 
