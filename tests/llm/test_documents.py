@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -250,6 +251,54 @@ def test_no_python_in_the_licence_plan(docs):
     assert not re.search("Python|Arrow|Exchange", plan.split("Project")[1])
 
 
+def brute_passages(text, threshold=0.8):
+    """All runs of words within the bounds, none left out by its edges."""
+    words, found = licences.normal_words(text), []
+    bigrams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    for name, body in licences.NOTICES.items():
+        other = set(licences.bigram_set(body))
+        low, high = threshold * len(other) / (2 - threshold), len(other) * (2 - threshold) / threshold
+        done = []
+        for a in range(len(bigrams)):
+            own, best = set(), None
+            if bigrams[a] not in other:
+                continue
+            for n, b in enumerate(bigrams[a: a + int(high)], 1):
+                own.add(b)
+                dice = 2 * len(own & other) / (len(own) + len(other))
+                if n >= low and dice >= threshold and (best is None or dice > best[0]):
+                    best = (dice, name, a + 1, n + 1)
+            if best and (not done or best[2] > done[-1][2] + done[-1][3] - 2):
+                done.append(best)
+            elif best and best[0] > done[-1][0]:
+                done[-1] = best
+        found += done
+    return sorted(found, key=lambda m: (-m[0], *m[1:]))
+
+
+def test_licence_passages(spark, none):
+    """Notices that are wrapped, in the middle of a line, or both, which no line and no whole text shows."""
+    rnd = random.Random(9)
+    wrapped = {name: "\n".join(" * " + x for x in textwrap.wrap(body, 75)) for name, body in licences.NOTICES.items()}
+    around = lambda t: f"{invented(rnd, 120)}\n{t}\n{invented(rnd, 120)}"
+    names = ["mit-permission", "bsd-clause", "gpl-notice", "apache-2.0-notice"]
+    inline = "Copyright 2020 X. Released under the MIT License. All rights reserved by the authors."
+    cases = [*(around(wrapped[n]) for n in names), inline, around(inline), around(wrapped[names[0]] + "\n" + wrapped[names[2]]),
+             None, "", "...", "word", "Released under the MIT License. " * 50, invented(rnd, 200),
+             around(licences.NOTICES["bsd-clause"].replace("binary", "object or other")), " ".join([licences.NOTICES["gpl-notice"]] * 3)]
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(cases)], "doc_id long, text string, passages int")
+    found = {r.doc_id: r for r in licences.passages(rows).collect()}
+    assert len(found) == len(cases)
+    for i, text in enumerate(cases):
+        want = brute_passages(text or "")
+        assert [tuple(m) for m in found[i].passages] == want, text
+        assert found[i].n_passages == len(want)
+        assert (found[i].licence, found[i].dice) == ((want[0][1], want[0][0]) if want else (None, None))
+    assert all(n in {m.licence for m in found[i].passages} for i, n in enumerate(names)) and found[4].licence == found[5].licence == "mit"
+    assert licences.passages(none).collect() == []
+    assert not re.search("Python|Arrow|Exchange", licences.passages(rows.where("doc_id > 0"))._jdf.queryExecution().executedPlan().toString().split("Project")[1])
+
+
 # op9 -------------------------------------------------------------------------------------------
 
 def brute_components(pairs, words, percent):

@@ -8,6 +8,10 @@ letters and digits of ASCII becomes single spaces. The coefficient of two sets o
   B*(2-t)/t bigrams, so at least the lower number of words plus one.
 * It then shares at least t*B/(2-t) of the template's bigrams, so of any B - that + 1 of them it has
   one. A text without one of these probes as a plain substring is done.
+
+``passages`` also compares every run of words of the text, so a notice that is wrapped over lines or
+stands inside a longer one is found. A run of the best coefficient begins and ends with a bigram of
+the template, since leaving out another at an edge cannot lower it.
 """
 
 from __future__ import annotations
@@ -135,6 +139,88 @@ def scan(
     )
 
 
+def passages(
+    docs: DataFrame, notices: dict[str, str] | None = None, threshold: float = 0.8,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """(doc_id, passages, n_passages, licence, dice) of every row.
+
+    A passage (dice, licence, start, words) is a run of words of the text, lines disregarded, that
+    reaches the threshold; it has between t*B/(2-t) and B*(2-t)/t bigrams, repeated ones counted.
+    ``start`` counts words from 1. Of the runs with one start the best counts, of equals the
+    shortest; of runs of one template that overlap, left to right, the better, of equals the first.
+    ``licence`` and ``dice`` are the best passage's. Nothing is shuffled; other columns are not read.
+    """
+    notices = NOTICES if notices is None else notices
+    sets = {name: bigram_set(body) for name, body in sorted(notices.items())}
+    if not sets or min(map(len, sets.values())) == 0 or not 0 < threshold <= 1:
+        raise ValueError("templates need two words or more, and a threshold above 0")
+    all_probes = sorted({p for bigrams in sets.values() for p in probes(bigrams, threshold)})
+    all_bigrams = sorted({b for bigrams in sets.values() for b in bigrams})
+    found = F.contains("_flat", F.lit(all_probes[0]))
+    for p in all_probes[1:]:
+        found = found | F.contains("_flat", F.lit(p))
+    runs = "array<struct<less: double, words: int, start: int>>"
+
+    def of_template(at: str, bigrams: list[str]) -> Column:
+        """Runs of one template, from the places ``at`` of its bigrams."""
+        needed = math.ceil(threshold * len(bigrams) / (2 - threshold) - 1e-9)
+        most = math.floor(len(bigrams) * (2 - threshold) / threshold + 1e-9)
+        template = F.array(*[F.lit(b) for b in bigrams])
+
+        def best(first: Column, ends: Column) -> Column:
+            cut = F.transform(ends, lambda end: F.struct(
+                (end - first + 1).alias("n"),
+                F.array_distinct(F.slice("_bigrams", first, end - first + 1)).alias("u")))
+            return F.array_min(F.transform(cut, lambda c: F.struct(
+                (-(F.lit(2.0) * F.size(F.array_intersect(c["u"], template)) / (F.size(c["u"]) + len(bigrams)))).alias("less"),
+                (c["n"] + 1).alias("words"), first.alias("start"))))
+
+        # a run with enough of the template holds the needed-th place from its start on
+        begun = F.filter(
+            F.transform(at, lambda first, k: F.struct(
+                first.alias("a"), F.filter(F.slice(at, k + needed, most), lambda end: end - first < most).alias("ends"))),
+            lambda x: F.size(x["ends"]) > 0)
+        good = F.filter(F.transform(begun, lambda x: best(x["a"], x["ends"])), lambda m: m["less"] <= -threshold)
+
+        def joined(done: Column, m: Column) -> Column:
+            last = F.get(done, F.size(done) - 1)
+            apart = last.isNull() | (m["start"] > last["start"] + last["words"] - 2)
+            return (
+                F.when(apart, F.concat(done, F.array(m)))
+                .when(m["less"] < last["less"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(m)))
+                .otherwise(done))
+
+        return F.aggregate(good, F.array().cast(runs), joined)
+
+    def places_of(bigrams: list[str]) -> Column:
+        return F.transform(F.filter("_places", lambda x: x["b"].isin(bigrams)), lambda x: x["i"])
+
+    def named(name: str, found: Column) -> Column:
+        return F.transform(found, lambda m: F.struct(
+            m["less"].alias("less"), F.lit(name).alias("licence"), m["start"].alias("start"), m["words"].alias("words")))
+
+    words = F.split("_flat", " ")
+    count = F.greatest(F.size(words) - 1, F.lit(0))
+    staged = (
+        docs.select(F.col(doc_id).alias("doc_id"), _normal(F.coalesce(F.col(text), F.lit(""))).alias("_flat"))
+        .select("doc_id", F.when(found, F.zip_with(
+            F.slice(words, 1, count), F.slice(words, 2, count), lambda a, b: F.concat_ws(" ", a, b))).alias("_bigrams"))
+        .withColumn("_places", F.filter(
+            F.transform("_bigrams", lambda b, i: F.struct((i + 1).alias("i"), b.alias("b"))),
+            lambda x: x["b"].isin(all_bigrams)))
+        .withColumns({
+            f"_at{k}": places_of(bigrams) for k, bigrams in enumerate(sets.values())})
+    )
+    each = [named(name, of_template(f"_at{k}", bigrams)) for k, (name, bigrams) in enumerate(sets.items())]
+    none = F.array().cast("array<struct<dice: double, licence: string, start: int, words: int>>")
+    listed = F.transform(F.array_sort(F.concat(*each)), lambda m: F.struct(
+        (-m["less"]).alias("dice"), m["licence"].alias("licence"), m["start"].alias("start"), m["words"].alias("words")))
+    return staged.select("doc_id", F.coalesce(listed, none).alias("passages")).select(
+        "doc_id", "passages", F.size("passages").cast("long").alias("n_passages"),
+        F.get("passages", F.lit(0))["licence"].alias("licence"), F.get("passages", F.lit(0))["dice"].alias("dice"))
+
+
 def oracle(notices: dict[str, str], threshold: float = 0.8) -> str:
     """(doc_id, n_hits, licence, dice) as one statement."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"

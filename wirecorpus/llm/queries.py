@@ -68,6 +68,11 @@ def op8_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents")).drop("hits")
 
 
+@R.add("op8_licence_passages")
+def op8_licence_passages(spark, sf_dir):
+    return licences.passages(table(spark, sf_dir, "documents")).drop("passages")
+
+
 @R.add("op9_superminhash")
 def op9_superminhash(spark, sf_dir):
     found = superminhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
