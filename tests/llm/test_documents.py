@@ -156,6 +156,32 @@ def test_compression_on_held_out_documents(corpus, corpus_labels, docs, none, la
     assert {r.score for r in blank} == {0.5}
 
 
+def test_dictionaries_know_what_follows_a_clean_opening(spark):
+    """Good and bad texts open alike; what tells them apart comes after 8 KB."""
+    rnd = random.Random(10)
+    clean = [invented(rnd, 12) + "." for _ in range(200)]
+    junk = [f"buy {invented(rnd, 3)} cheap at shop{k} now now" for k in range(30)]
+
+    def text(bad):
+        opening = " ".join(rnd.choices(clean, k=150))
+        return opening + " " + " ".join(rnd.choices(junk if bad else clean, k=200))
+
+    rows = [(i, text(i % 2), 1 - i % 2) for i in range(240)]
+    assert min(r[1].find("cheap") for r in rows if not r[2]) > 8000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = compression.fit(docs.where("doc_id < 210"), docs.select("doc_id", "quality"))
+    assert b"cheap at shop" in model.bad and b"cheap at shop" not in model.good
+    found = compression.score(docs.where("doc_id >= 210"), model).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in found)
+
+
+def test_dictionary_of_few_texts():
+    assert compression._dictionary([b"a few words"]) == b"a few words" and compression._dictionary([]) == b""
+    same = compression._dictionary([b"x" * 5000] * 200)
+    assert 0 < len(same) <= compression.DICTIONARY
+    compression.Compressors(same, b"a few words").measure(b"x" * 3000)
+
+
 # op7 -------------------------------------------------------------------------------------------
 
 def test_equal_substrings_share_phrases():

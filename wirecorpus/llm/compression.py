@@ -23,6 +23,8 @@ from wirecorpus.llm.common import by_slice, kept, labelled_sample, logistic
 PER_CLASS = 1500
 DICTIONARY = 256 << 10
 PIECE = 1 << 10
+# octets of the runs a dictionary is chosen in
+SEGMENT = 256
 LEVEL = 3
 
 
@@ -36,12 +38,18 @@ class CompressionModel:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content for zstandard: an equal share of each text, so that no long text fills it.
+    """A zstandard dictionary trained on all pieces of all the texts; its size is the only bound.
 
-    Text near the end of a dictionary is cheapest to refer to; the texts come in their given order.
+    Too little text to train on gives raw content, of pieces spread over all texts if not all fit.
     """
-    share = max(64, DICTIONARY // max(1, len(texts)))
-    return b"\n".join(t[:share] for t in texts)[-DICTIONARY:]
+    import zstandard
+
+    pieces = [t[at: at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, pieces, k=SEGMENT, d=8).as_bytes()
+    except zstandard.ZstdError:
+        step = -(-sum(len(p) + 1 for p in pieces) // DICTIONARY)
+        return b"\n".join(pieces[:: max(1, step)])
 
 
 class Compressors:
@@ -50,7 +58,8 @@ class Compressors:
 
         self.each = []
         for content in (good, bad):
-            trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            # trained, or raw content where that is not possible: zstandard tells them apart
+            trained = zstandard.ZstdCompressionDict(content)
             trained.precompute_compress(level=LEVEL)
             self.each.append(zstandard.ZstdCompressor(
                 dict_data=trained, write_checksum=False, write_content_size=False, write_dict_id=False))
