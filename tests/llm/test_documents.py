@@ -128,6 +128,32 @@ def test_language_on_held_out_documents(corpus, docs, none):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(none)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("unlearned", ["es", "de"])
+def test_unlearned_languages_and_gibberish_are_rejected(corpus, unlearned):
+    """By a model of the other languages; clean documents of these stay, and odd labels do not matter."""
+    rnd = random.Random(11)
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"
+    rows = [r for r in corpus.where(held).select("doc_id", "text", "lang").collect() if len(r.text or "") > 200]
+    letters = lambda: " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9))) for _ in range(80))
+    shuffled = ["".join(rnd.sample(r.text, len(r.text))) for r in rows[:60]]
+    spark, schema = corpus.sparkSession, "doc_id long, text string"
+
+    odd = [(-i, letters(), "en") for i in range(1, 4)]
+    training = corpus.where(f"not ({held}) and lang != '{unlearned}'").select("doc_id", "text", "lang")
+    model = langid.fit(training.union(spark.createDataFrame(odd, schema + ", lang string")))
+    assert unlearned not in model.languages
+
+    def kept(texts):
+        some = spark.createDataFrame(list(enumerate(texts)), schema)
+        found = langid.predict(some, model).where("not rejected").count()
+        assert found == langid.keep_rows(some, model).count()
+        return found / len(texts)
+
+    assert kept([r.text for r in rows if r.lang == unlearned]) < 0.1
+    assert kept([letters() for _ in range(60)]) < 0.05 and kept(shuffled) < 0.1
+    assert kept([r.text for r in rows if r.lang != unlearned]) > 0.97
+
+
 def test_subwords_are_those_of_a_plain_loop():
     text = "Ab é, x1y"
     octets = [c if chr(c).isalpha() or c > 127 else 32 for c in b" ab \xc3\xa9, x1y "]

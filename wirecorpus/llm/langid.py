@@ -6,8 +6,11 @@ and a softmax give the language. Tables and layer are trained together by stocha
 descent in numpy on spans of labelled texts. Averaging and the layer are both linear, so for
 prediction the layer is multiplied into the table once, and a text costs one lookup per subword.
 
-The softmax's temperature is fitted on training documents kept apart. A text is rejected if its
-score is lower than that of all but a small share of these documents.
+The softmax's temperature is fitted on training documents kept apart. A softmax is also sure of
+text in no learned language, so rejection has a measure of its own: the fluency of a text is the
+mean log frequency of its subwords in the language told. What a language asks for at least is
+calibrated on the documents kept apart, against the same texts with shuffled letters and against
+texts of the other languages judged as if their own had not been learned.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ BUCKETS, DIMENSIONS, LONGEST = 1 << 16, 16, 4
 # labelled documents used for fitting, per language, and the languages considered at most
 PER_LANGUAGE, LANGUAGES = 800, 200
 SPAN, SPANS = 240, 4
-# share of calibration documents that may score lower than what is rejected
-REJECTED = 0.0005
+# so much worse it is to reject a share of good texts than to keep that share of others
+CARE = 20
+# the middle of all that costs at most so much more than the best is taken
+NEAR = 0.05
+# a short text is given the benefit of so many standard errors of its fluency
+ERRORS = 2
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -39,7 +46,9 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray = field(repr=False)  # (BUCKETS, languages), divided by the temperature
     bias: np.ndarray = field(repr=False)
-    threshold: float = 0.0
+    usual: np.ndarray = field(repr=False)  # (BUCKETS, languages), log2 of the share of subwords
+    spread: np.ndarray = field(repr=False)  # standard deviation of usual over a language's subwords
+    least: np.ndarray = field(repr=False)  # fluency a language asks for
 
 
 def _octet_classes() -> np.ndarray:
@@ -96,11 +105,12 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 40.0, seed: int = 7) -> LanguageModel:
     """Fit on these texts, in at least so many steps and four rounds over the spans.
 
-    One text of five is kept apart for the temperature and the threshold.
+    One text of five is kept apart for the temperature and the fluency asked for.
     """
     languages = sorted(set(labels))
     if not languages:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 0.0)
+        none = np.zeros((BUCKETS, 0), np.float32)
+        return LanguageModel([], none, np.zeros(0), none, np.zeros(0), np.zeros(0))
     rng = np.random.default_rng(seed)
     number = {lang: i for i, lang in enumerate(languages)}
     raw = [t.encode() for t in texts]
@@ -139,7 +149,11 @@ def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 4
             bias -= 0.05 * step * error.sum(axis=0)
             np.subtract.at(table, buckets, np.float32(step) * np.repeat(back, counts, axis=0))
             done += 1
-    model = LanguageModel(languages, (table @ layer).astype(np.float32), bias.astype(np.float64), 0.0)
+    usual, spread = _usual(
+        [t for i, t in enumerate(texts) if i % 5], [number[g] for i, g in enumerate(labels) if i % 5], len(languages))
+    model = LanguageModel(
+        languages, (table @ layer).astype(np.float32), bias.astype(np.float64), usual, spread,
+        np.full(len(languages), -np.inf))
     apart = [i for i in range(0, len(raw), 5) if _LETTER.search(texts[i])]
     if apart:
         logits = np.concatenate([_logits(model, [t.encode() for t in part]) for part in runs([texts[i] for i in apart])])
@@ -149,15 +163,85 @@ def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 4
             for s in np.geomspace(0.05, 20, 61))[1]
         model.table *= np.float32(scale)
         model.bias *= scale
-        best = _softmax(logits * scale).max(axis=1)
-        model.threshold = float(min(0.5, np.quantile(best, REJECTED, method="lower")))
+        model.least = _least(model, [texts[i] for i in apart], truth, np.random.default_rng(seed + 1))
     return model
 
 
-def _logits(model: LanguageModel, texts: list[bytes]) -> np.ndarray:
+def _usual(texts: list[str], marks: list[int], languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log share of each bucket among the subwords of each language, and its standard deviation."""
+    counts = np.full((BUCKETS, languages), 0.5)
+    for k in range(languages):
+        for part in runs([t for t, m in zip(texts, marks) if m == k]):
+            for buckets, _ in subwords([t.encode() for t in part]):
+                counts[:, k] += np.bincount(buckets, minlength=BUCKETS)
+    share = counts / counts.sum(axis=0)
+    usual = np.log2(share)
+    mean = (share * usual).sum(axis=0)
+    return usual.astype(np.float32), np.sqrt((share * (usual - mean) ** 2).sum(axis=0))
+
+
+def _least(model: LanguageModel, texts: list[str], truth: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The fluency each language asks for, which parts its own texts from others best.
+
+    Each text counts whole and as a short span. With no text of its own a language asks for nothing.
+    """
+    own, other = [[] for _ in model.languages], [[] for _ in model.languages]
+
+    def judged(some: list[str], without: list[int] | None, into: list[list[float]], told: list[int] | None = None) -> None:
+        raw = [t.encode() for t in some]
+        parts = _parts(raw)
+        logits = _logits(model, raw, parts)
+        if without is not None:
+            logits[np.arange(len(raw)), without] = -np.inf
+        best = logits.argmax(axis=1) if told is None else np.array(told)
+        for k, f in zip(best, _fluency(model, parts, len(raw), best)):
+            into[k].append(f)
+
+    at = 0
+    for part in runs(texts):
+        marks = truth[at: at + len(part)].tolist()
+        at += len(part)
+        cut = []
+        for t in part:
+            size = int(rng.integers(8, SPAN))
+            start = int(rng.integers(0, max(1, len(t) - size)))
+            cut.append(t[start: start + size])
+        for some in (part, cut):
+            judged(some, None, own, marks)
+            judged(["".join(rng.permutation(list(t))) if t else t for t in some], None, other)
+            if len(model.languages) > 1:
+                judged(some, marks, other)
+    least = np.full(len(model.languages), -np.inf)
+    for k, (good, bad) in enumerate(zip(own, other)):
+        if good and bad:
+            good, bad = np.sort(good), np.sort(bad)
+            tried = np.linspace(min(good[0], bad[0]), max(good[-1], bad[-1]), 1001)
+            # one odd text, whole and as a span, does not count
+            lost = np.maximum(np.searchsorted(good, tried) - 2, 0) / len(good)
+            cost = CARE * lost - np.searchsorted(bad, tried) / len(bad)
+            least[k] = np.median(tried[cost <= cost.min() + NEAR])
+    return least
+
+
+def _parts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The subwords in short types, to be gone over more than once."""
+    return [(buckets.astype(np.uint16), owner.astype(np.int32)) for buckets, owner in subwords(texts)]
+
+
+def _fluency(model: LanguageModel, parts: list[tuple[np.ndarray, np.ndarray]], texts: int, told: np.ndarray) -> np.ndarray:
+    """Mean log frequency of each text's subwords in the language told, and ``ERRORS`` standard errors."""
+    sums, counts = np.zeros(texts), np.zeros(texts)
+    for buckets, owner in parts:
+        counts += np.bincount(owner, minlength=texts)
+        sums += np.bincount(owner, weights=model.usual[buckets, told[owner]], minlength=texts)
+    counts = np.maximum(counts, 1)
+    return sums / counts + ERRORS * model.spread[told] / np.sqrt(counts)
+
+
+def _logits(model: LanguageModel, texts: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     sums = np.zeros((len(texts), len(model.languages)))
     counts = np.zeros(len(texts))
-    for buckets, owner in subwords(texts):
+    for buckets, owner in subwords(texts) if parts is None else parts:
         counts += np.bincount(owner, minlength=len(texts))
         for k in range(len(model.languages)):
             sums[:, k] += np.bincount(owner, weights=model.table[buckets, k], minlength=len(texts))
@@ -196,25 +280,29 @@ def _judge(column: pa.Array, known: LanguageModel) -> tuple[list[str], np.ndarra
     lettered = np.array([
         bool(_PLAIN_LETTER.search(t) or _LETTER.search(t.decode("utf-8", "replace"))) for t in texts], dtype=bool)
     if known.languages:
-        share = _softmax(_logits(known, texts))
-        names = [known.languages[b] if ok else UNDETERMINED for b, ok in zip(share.argmax(axis=1), lettered)]
+        parts = _parts(texts)
+        share = _softmax(_logits(known, texts, parts))
+        told = share.argmax(axis=1)
+        low = _fluency(known, parts, len(texts), told) < known.least[told]
+        names = [known.languages[b] if ok else UNDETERMINED for b, ok in zip(told, lettered)]
         scores = np.where(lettered, share.max(axis=1), 0.0)
     else:
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    return names, scores, (scores < known.threshold) | ~lettered | (not known.languages)
+        names, scores, low = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+    return names, scores, low | ~lettered
 
 
 def _shared(docs: DataFrame, model: LanguageModel):
-    """The model's plain parts, sent to each worker once: a table of fixed size per language."""
-    return docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.threshold))
+    """The model's plain parts, sent to each worker once: two tables of fixed size per language."""
+    return docs.sparkSession.sparkContext.broadcast(
+        (model.languages, model.table, model.bias, model.usual, model.spread, model.least))
 
 
 def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row, whole texts.
 
     ``score`` is the calibrated probability. A null text or one without a letter has the language
-    ``und``, score 0 and is rejected, as is a score below the model's threshold. Repeated rows give
-    repeated rows; other columns are not read.
+    ``und``, score 0 and is rejected, as is one less fluent than the language told asks for. Repeated
+    rows give repeated rows; other columns are not read.
     """
     shared = _shared(docs, model)
 
