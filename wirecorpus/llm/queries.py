@@ -7,7 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wirecorpus.llm import compression, langid, licences, line_crf, packing, phrases, pieces, sharding, superminhash, tokenfiles
+from wirecorpus.llm import (
+    compression, langid, licences, line_crf, packing, periodic, phrases, pieces, sharding, superminhash, tokenfiles)
 from wirecorpus.llm.common import held_out, table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
@@ -84,3 +85,8 @@ def op10_token_files(spark, sf_dir):
     out = f"{checkpoint_base(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return tokenfiles.located(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@R.add("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.measure(table(spark, sf_dir, "documents"), plant=True, keep=False)
