@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wirecorpus.llm import (
-    compression, langid, licences, line_crf, packing, periodic, phrases, pieces, sharding, superminhash, tokenfiles)
+    compression, divergence, langid, licences, line_crf, packing, periodic, phrases, pieces, sharding, superminhash, tokenfiles)
 from wirecorpus.llm.common import held_out, table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
@@ -90,3 +90,8 @@ def op10_token_files(spark, sf_dir):
 @R.add("op12_periodic_runs")
 def op12_periodic_runs(spark, sf_dir):
     return periodic.measure(table(spark, sf_dir, "documents"), plant=True, keep=False)
+
+
+@R.add("op13_source_divergence", divergence.oracle())
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
