@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wirecorpus.llm import (
-    compression, divergence, langid, licences, line_crf, packing, periodic, phrases, pieces, sharding, superminhash, tokenfiles)
+    compression, divergence, langid, licences, line_crf, packing, periodic, phrases, pieces,
+    prefixjoin, sharding, superminhash, tokenfiles)
 from wirecorpus.llm.common import held_out, table
 from wirecorpus.plans.registry import Registry
 from wirecorpus.session import checkpoint_base
@@ -87,6 +88,11 @@ def op10_token_files(spark, sf_dir):
     return tokenfiles.located(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@R.add("op11_prefix_join")
+def op11_prefix_join(spark, sf_dir):
+    return prefixjoin.linked(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 @R.add("op12_periodic_runs")
 def op12_periodic_runs(spark, sf_dir):
     return periodic.measure(table(spark, sf_dir, "documents"), plant=True, keep=False)
