@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirecorpus.plans.keyword_model import KeywordModel
@@ -50,6 +52,42 @@ def test_sessions_over_many_batches(spark, tmp_path):
     ]
 
 
+def batch_flows(rows, gap, k):
+    """(capture, first, last, n, text) of the sessions of (capture, ts, order, piece) rows, by plain loops."""
+    flows = {}
+    for c, t, o, p in sorted(rows, key=lambda r: r[:3]):
+        sessions = flows.setdefault(c, [])
+        if not sessions or t - sessions[-1][-1][0] >= gap:
+            sessions.append([])
+        sessions[-1].append((t, p))
+    return sorted(
+        (c, s[0][0], s[-1][0], len(s), "".join("<pck>" + p for _, p in s[:k])) for c, sessions in flows.items() for s in sessions)
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 32])
+def test_an_endless_flow_keeps_a_bounded_state(spark, tmp_path, partitions):
+    """One flow that never pauses holds a third of all packets; state has k pieces of each session."""
+    gap, k = 1000 * 1_000_000, 3
+    rnd = random.Random(partitions)
+    rows = [("endless", 500_000 * i, i, f"e{i}") for i in range(4000)]
+    rows += [(f"f{rnd.randint(0, 40)}", rnd.randrange(0, 20_000) * 100_000, i, f"p{i}") for i in range(8000)]
+    rows.append(("last", 10 * gap, 1, "x"))
+    schema = "capture STRING, ip_proto INT, end_a STRING, end_b STRING, ts_us BIGINT, order_no BIGINT, piece STRING"
+    rnd.shuffle(rows)
+    spark.createDataFrame(packets(rows), schema).repartition(partitions).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = jobs.drain(jobs.stream_flows(stream, 1000, "0 seconds", k)).collect()
+    want = [r for r in batch_flows(rows, gap, k) if r[0] != "last"]
+    assert sorted((r.capture, r.first_us, r.last_us, r.n_packets, r.flow_text) for r in got) == want
+    # what reaches the state: at most k pieces a session and slice, and k pieces a session once joined
+    parts = jobs.session_parts(spark.createDataFrame(packets(rows), schema).repartition(partitions), gap, k).collect()
+    assert max(len(r.pieces) for r in parts) <= k and sum(r.n_packets for r in parts) == len(rows)
+    endless = [tuple(r)[4:] for r in parts if r.capture == "endless"]
+    assert len(endless) <= max(partitions, 2)
+    (session,) = jobs.joined_sessions(endless, gap, k)
+    assert session[:3] == (0, 500_000 * 3999, 4000) and session[5] == ["e0", "e1", "e2"]
+
+
 def test_a_repeated_batch_replaces_its_counts(spark, tmp_path):
     store = jobs.count_batches(str(tmp_path / "c"))
     rows = spark.createDataFrame([(0, 0), (0, 1), (0, 0)], "true_id INT, predicted_id INT")

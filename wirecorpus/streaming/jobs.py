@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wirecorpus.operators.catalog import FLOW_PACKETS, PACKET_MARK
@@ -34,27 +36,116 @@ def score_requests(
 
 # --- flow assembly -----------------------------------------------------------------------------
 
+PART_SCHEMA = (
+    "capture STRING, ip_proto INT, end_a STRING, end_b STRING, first_us BIGINT, last_us BIGINT, n_packets BIGINT, "
+    "times ARRAY<BIGINT>, orders ARRAY<BIGINT>, pieces ARRAY<STRING>")
+FLOW_SCHEMA = (
+    "capture STRING, ip_proto INT, end_a STRING, end_b STRING, first_us BIGINT, last_us BIGINT, n_packets BIGINT, "
+    "flow_text STRING")
+# an open session: its bounds, its count and its first pieces
+OPEN_SCHEMA = "first_us BIGINT, last_us BIGINT, n_packets BIGINT, times ARRAY<BIGINT>, orders ARRAY<BIGINT>, pieces ARRAY<STRING>"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def joined_sessions(parts: list[tuple], gap_us: int, k: int) -> list[tuple]:
+    """Sessions (``OPEN_SCHEMA``) of one flow, those less than the gap apart joined; k pieces are kept of each."""
+    out: list[list] = []
+    for first, last, n, times, orders, pieces in sorted(parts, key=lambda p: p[0]):
+        listed = list(zip(times, orders, pieces))
+        if out and first - out[-1][1] < gap_us:
+            one = out[-1]
+            one[1], one[2] = max(one[1], last), one[2] + n
+            one[3] = sorted(one[3] + listed, key=lambda p: p[:2])[:k]
+        else:
+            out.append([first, last, n, sorted(listed, key=lambda p: p[:2])[:k]])
+    return [(first, last, n, *(list(x) for x in zip(*listed))) for first, last, n, listed in out]
+
+
+def session_parts(packets: DataFrame, gap_us: int, k: int) -> DataFrame:
+    """``PART_SCHEMA``: the sessions that the packets of one input slice make up by themselves.
+
+    This comes before the shuffle, so a flow that holds most of the packets sends on a few rows per
+    slice, each with at most k pieces.
+    """
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for key, flow in rows.groupby(KEY_NAMES, sort=False, dropna=False):
+                listed = sorted(zip(flow["ts_us"], flow["order_no"], flow["piece"]), key=lambda p: p[:2])
+                start = 0
+                for at in range(1, len(listed) + 1):
+                    if at == len(listed) or listed[at][0] - listed[at - 1][0] >= gap_us:
+                        head = listed[start: min(at, start + k)]
+                        out.append((*key, listed[start][0], listed[at - 1][0], at - start, *(list(x) for x in zip(*head))))
+                        start = at
+            names = [field.split()[0] for field in PART_SCHEMA.split(", ")]
+            yield pd.DataFrame(out, columns=names)
+
+    timed = packets.where("ts_us IS NOT NULL").select(*KEY_NAMES, "ts_us", "order_no", "piece")
+    return timed.mapInPandas(cut, PART_SCHEMA)
+
+
+class FlowSessions(StatefulProcessor):
+    """Open sessions of a flow; a session goes out when the watermark has passed its last packet by the gap."""
+
+    def __init__(self, gap_us: int, k: int) -> None:
+        self.gap_us, self.k = gap_us, k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", OPEN_SCHEMA)
+
+    def _until_ms(self, session: tuple) -> int:
+        return -(-(session[1] + self.gap_us) // 1000)
+
+    def _settle(self, key: tuple, sessions: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Put off what is still open, with a timer, and yield what is closed."""
+        closed = [s for s in sessions if self._until_ms(s) <= watermark_ms]
+        left = [s for s in sessions if self._until_ms(s) > watermark_ms]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.open.put(left)
+            self.handle.registerTimer(min(map(self._until_ms, left)))
+        else:
+            self.open.clear()
+        if closed:
+            names = [field.split()[0] for field in FLOW_SCHEMA.split(", ")]
+            yield pd.DataFrame(
+                [(*key, *s[:3], PACKET_MARK + PACKET_MARK.join(p for p in s[5] if p is not None)) for s in closed], columns=names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sessions = [tuple(s) for s in self.open.get()]
+        for part in rows:
+            columns = (part[field.split()[0]] for field in OPEN_SCHEMA.split(", "))
+            sessions = joined_sessions(sessions + list(zip(*columns)), self.gap_us, self.k)
+        sessions = [(*(int(x) for x in s[:3]), *([*map(int, x)] for x in s[3:5]), list(s[5])) for s in sessions]
+        yield from self._settle(key, sessions, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sessions = [tuple(s) for s in self.open.get()]
+        yield from self._settle(key, sessions, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_flows(
     packets: DataFrame, gap_seconds: int, delay: str, k: int = FLOW_PACKETS
 ) -> DataFrame:
     """First ``k`` payload pieces per flow session, emitted once the session has been idle.
 
-    Input: flow key columns, ``ts_us``, ``order_no`` (breaks ties of time) and ``piece``. The
-    watermark follows the packets' own times, so which packet is too late does not depend on how
-    packets share batches or partitions. State holds the cut pieces of the sessions that are open.
+    Input: flow key columns, ``ts_us``, ``order_no`` (breaks ties of time) and ``piece``; packets
+    without a time are passed over, null pieces are counted but not shown. The watermark
+    follows the packets' own times. A packet is too late when it is older than the watermark and no
+    packet of its session that came with it is in time. State holds, per open session, its bounds,
+    its count and at most k cut pieces, however long it stays open.
     """
-    timed = packets.select(
-        *KEY_NAMES, "ts_us", "order_no", "piece", F.timestamp_micros("ts_us").alias("ts")
-    ).withWatermark("ts", delay)
-    session = F.session_window("ts", f"{gap_seconds} seconds")
-    listed = F.collect_list(F.struct("ts_us", "order_no", "piece"))
-    closed = timed.groupBy(*KEY_NAMES, session).agg(
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("n_packets"),
-        F.slice(F.array_sort(listed), 1, k).alias("_first"),
-    )
-    pieces = F.transform("_first", lambda p: p["piece"])
-    text = F.concat(F.lit(PACKET_MARK), F.array_join(pieces, PACKET_MARK))
-    return closed.select(*KEY_NAMES, "first_us", "last_us", "n_packets", text.alias("flow_text"))
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    gap_us = gap_seconds * 1_000_000
+    timed = session_parts(packets, gap_us, k).withColumn("ts", F.timestamp_micros("last_us")).withWatermark("ts", delay)
+    return timed.groupBy(*KEY_NAMES).transformWithStateInPandas(
+        FlowSessions(gap_us, k), FLOW_SCHEMA, "Append", "EventTime")
 
 
 # --- duplicates, counts, running evaluation ----------------------------------------------------
