@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import struct
 
 import pytest
@@ -12,7 +13,7 @@ from wirecorpus.operators.catalog import PACKET_FIELDS
 from wirecorpus.operators.flows import flow_bytes
 from wirecorpus.operators.packets import decode_headers
 from wirecorpus.plans import fixtures as fx
-from wirecorpus.sources import captures, files, sinks
+from wirecorpus.sources import captures, files, json_arrays, sinks
 
 
 def pcap(frames, order="<", magic=0xA1B2C3D4, unit=1, cut=0):
@@ -233,3 +234,57 @@ def test_report_and_metrics_sinks(spark, data, tmp_path):
     sinks.write_run_metrics(metrics.run_metrics_json(metrics.epoch_losses(fx.train_log(spark, data))), str(tmp_path / "k"))
     one = json.loads(spark.read.text(str(tmp_path / "k")).first().value)
     assert set(one) == {"epochs", "train_losses", "eval_losses", "current_epoch", "timestamp"}
+
+
+def odd_value(rnd, deep=2):
+    texts = ["", "}", '"', "\\", 'a"}],[{"b', "],", "é\\\\", "x" * rnd.randint(0, 40), "{[", "tab\tnew\nline", "日本}"]
+    kind = rnd.randint(0, 5 if deep else 2)
+    if kind < 3:
+        return rnd.choice([rnd.choice(texts), rnd.randint(-9, 9), None, True, 1.5])
+    if kind == 3:
+        return [odd_value(rnd, deep - 1) for _ in range(rnd.randint(0, 3))]
+    return {rnd.choice(texts) + str(i): odd_value(rnd, deep - 1) for i in range(rnd.randint(0, 3))}
+
+
+@pytest.mark.parametrize("part_octets", [7, 64, 1000, 10 ** 7])
+def test_arrays_are_cut_anywhere(spark, tmp_path, part_octets):
+    """Elements of any shape, in byte ranges that end in strings, escapes and between braces."""
+    rnd = random.Random(part_octets)
+    wanted = {}
+    for k, (many, indent) in enumerate([(40, None), (40, 2), (0, None), (1, None), (300, None)]):
+        listed = [odd_value(rnd) for _ in range(many)]
+        (tmp_path / f"f{k}.json").write_text(json.dumps(listed, indent=indent, ensure_ascii=k % 2 == 0))
+        wanted |= {(f"f{k}.json", at): e for at, e in enumerate(listed)}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, part_octets)
+        rows = json_arrays.read_elements(spark, str(tmp_path))
+        got = {(os.path.basename(r.file), r.at): json.loads(r.text) for r in rows.collect()}
+        assert rows.count() == len(got)
+    finally:
+        for c, value in before.items():
+            spark.conf.set(c, value)
+    assert got == wanted
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}', '[{"a": "x}]', '{"a": [1]}', '[1, 2]]', "1"])
+def test_a_file_that_is_no_whole_array_is_an_error(spark, tmp_path, text):
+    (tmp_path / "broken.json").write_text(text)
+    with pytest.raises(Exception, match="broken.json"):
+        json_arrays.read_elements(spark, str(tmp_path)).collect()
+
+
+def test_one_large_array_is_read_by_many_tasks(spark, tmp_path):
+    """One array of one class that holds most samples: parts of a file of 25 MB in several tasks."""
+    listed = [{"instruction": f"i{k} " + "x} " * 60, "input": "", "output": f"o{k}"} for k in range(120_000)]
+    (tmp_path / "big.json").write_text(json.dumps(listed))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4 << 20)
+    try:
+        rows = files.read_sample_array(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 4
+        assert rows.selectExpr("count(*)", "count(distinct output)", "sum(length(instruction))").first() == (
+            120_000, 120_000, sum(len(e["instruction"]) for e in listed))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

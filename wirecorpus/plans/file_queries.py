@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wirecorpus.functions.octets import quotient
+from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_rows, number_sorted
 from wirecorpus.operators import chat, corpus, metrics
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.corpus_queries import (
@@ -172,45 +174,52 @@ for _name, (_, _sql) in REPORT_TABLES.items():
     R.add(f"k10_write_{_name}", _sql)(_report(_name))
 
 
-# one JSON array per class, each in a file of its own
+# samples of an array file, dialogs of a list, and tasks of a registry, so that files stay of bounded size
+PER_FILE = 500
+
+
+# one JSON array per class and so many of its samples, each in a file of its own
 @R.add("a5_read_sample_array", f"""WITH {CORPUS_SQL} SELECT instruction, '' AS input, output FROM fx_corpus""")
 def _(spark, sf):
     root = folder(spark, "arrays")
     sample = F.struct("instruction", F.lit("").alias("input"), "output")
-    arrays = fx.corpus(spark, sf).groupBy("label").agg(F.to_json(F.collect_list(sample)).alias("value"))
-    arrays.write.partitionBy("label").text(root)
+    placed = number_rows(fx.corpus(spark, sf), ["label"], ["packet_id"], quotient(F.col("packet_id"), FRAMES_PER_CHUNK))
+    arrays = placed.groupBy("label", quotient(F.col("row_no") - 1, PER_FILE).alias("part")).agg(
+        F.to_json(F.collect_list(sample)).alias("value"))
+    arrays.write.partitionBy("label", "part").text(root)
     return files.read_sample_array(spark, root).select("instruction", "input", "output")
 
 
-@R.add("a10_read_dialogs", """WITH d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at_turn FROM conversations),
-p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id) - 1 AS at FROM (SELECT DISTINCT conv_id FROM conversations))
-SELECT d.conv_id % 4 AS bucket, p.at, at_turn AS turn, role, text FROM d JOIN p USING (conv_id)""")
+@R.add("a10_read_dialogs", f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS at_turn FROM conversations),
+p AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS at FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT p.at // {PER_FILE} AS bucket, p.at % {PER_FILE} AS at, at_turn AS turn, role, text FROM d JOIN p USING (conv_id)""")
 def _(spark, sf):
     root = folder(spark, "dialogs")
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     dialogs = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("turns"))
+    placed = number_sorted(dialogs, ["conv_id"])
     listed = F.array_sort(F.collect_list(F.struct("conv_id", "turns")))
     text = F.to_json(F.transform(listed, lambda d: d["turns"]))
-    lists = dialogs.groupBy((F.col("conv_id") % 4).alias("bucket")).agg(text.alias("value"))
+    lists = placed.groupBy(quotient(F.col("row_no") - 1, PER_FILE).alias("bucket")).agg(text.alias("value"))
     lists.write.partitionBy("bucket").text(root)
     return files.read_dialogs(spark, root).select(
         F.regexp_extract("file", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"),
         F.substring_index("conv_id", "#", -1).cast("bigint").alias("at"), "turn", "role", "text")
 
 
-@R.add("a11_read_registry", """SELECT n_name AS name, 'N' || n_nationkey AS code,
-  CASE n_nationkey % 3 WHEN 0 THEN 'models/' || n_nationkey WHEN 1 THEN 'head/' || n_nationkey || ',body/' || n_nationkey END AS paths FROM nation""")
+@R.add("a11_read_registry", """SELECT p_name || ' ' || p_partkey AS name, 'N' || p_partkey AS code,
+  CASE p_partkey % 3 WHEN 0 THEN 'models/' || p_partkey WHEN 1 THEN 'head/' || p_partkey || ',body/' || p_partkey END AS paths FROM part""")
 def _(spark, sf):
     path = folder(spark, "registry")
-    n = fx.table(spark, sf, "nation")
-    key = F.col("n_nationkey").cast("string")
+    key = F.col("p_partkey").cast("string")
     code = F.concat(F.lit('"N'), key, F.lit('": '))
     one = F.concat(code, F.lit('"models/'), key, F.lit('"'))
     two = F.concat(code, F.lit('["head/'), key, F.lit('", "body/'), key, F.lit('"]'))
-    model = F.when(F.col("n_nationkey") % 3 == 0, one).when(F.col("n_nationkey") % 3 == 1, two)
-    task = F.concat(F.lit('"'), "n_name", F.lit('": "N'), key, F.lit('"'))
+    model = F.when(F.col("p_partkey") % 3 == 0, one).when(F.col("p_partkey") % 3 == 1, two)
+    task = F.concat(F.lit('"'), F.concat_ws(" ", "p_name", key), F.lit('": "N'), key, F.lit('"'))
     joined = lambda c: F.array_join(F.collect_list(c), ", ")
     text = F.concat(F.lit('{"model_path": "m", "peft_path": "p", "peft_set": {'), joined(model), F.lit('}, "tasks": {'), joined(task), F.lit("}}"))
-    n.agg(text.alias("value")).coalesce(1).write.text(path)
+    registries = fx.table(spark, sf, "part").groupBy(quotient(F.col("p_partkey"), PER_FILE).alias("part")).agg(text.alias("value"))
+    registries.write.partitionBy("part").text(path)
     return files.read_registry(spark, path).select("name", "code", F.array_join("paths", ",").alias("paths"))

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirecorpus.operators.catalog import PACKET_FIELDS
+from wirecorpus.sources.json_arrays import read_elements
 
 SAMPLE_SCHEMA = "instruction STRING, output STRING"
 LEGACY_SCHEMA = "instruction STRING, input STRING, output STRING"
@@ -58,8 +59,9 @@ def sample_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sample_array(spark: SparkSession, path: str, schema: str = LEGACY_SCHEMA) -> DataFrame:
-    """Samples of a file that is one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Samples of files that are one JSON array each; a large file is read by many tasks."""
+    sample = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return read_elements(spark, path).select(sample.alias("s")).select("s.*")
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
@@ -99,17 +101,15 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("escape", '"').option("multiLine", True).csv(path)
 
 
-def read_dialogs(spark: SparkSession, path: str) -> DataFrame:
+def read_dialogs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Ordered turns (file, conv_id, turn, role, text) of JSON lists of dialogs.
 
     ``conv_id`` is the file and the place of the dialog in it, so dialogs of different files stay
-    apart. A file is parsed by one task; a corpus of dialogs is many files.
+    apart. A large file is read by many tasks.
     """
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    kind = "ARRAY<ARRAY<STRUCT<role: STRING, content: STRING>>>"
-    dialogs = text.select("file", F.posexplode(F.from_json("value", kind)).alias("at", "turns"))
-    turns = dialogs.select("file", "at", F.posexplode("turns").alias("turn", "m"))
-    return turns.select(
+    turns = F.from_json("text", "ARRAY<STRUCT<role: STRING, content: STRING>>", {"mode": "FAILFAST"})
+    dialogs = read_elements(spark, path).select("file", "at", F.posexplode(turns).alias("turn", "m"))
+    return dialogs.select(
         "file", F.concat_ws("#", "file", "at").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
         "m.role", F.col("m.content").alias("text"))
 
