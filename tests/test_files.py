@@ -119,15 +119,82 @@ def test_capture_round_trip(spark, data, tmp_path, frames_per_part):
 
 def test_a_wrong_boundary_fails_for_any_columns(spark, tmp_path):
     put(tmp_path / "web" / "one.pcap", pcap(frames_of(40), unit=1000))
-    whole = captures.scan_captures(spark, str(tmp_path), split_octets=400)
+    whole = captures.scan_captures(spark, str(tmp_path), split_octets=400, counts=True)
     assert captures.split_counts(whole).count() > 2
     with pytest.raises(Exception, match="do not join up"):  # the end of the file is not reached
         captures.split_counts(whole.filter("start < 1200"))
-    shifted = whole.withColumn("offset", F.col("offset") + F.when(F.col("start") == 400, 1).otherwise(0))
+    shifted = whole.withColumn("first", F.col("first") + F.when(F.col("start") == 400, 1).otherwise(0))
     with pytest.raises(Exception, match="do not join up"):
         captures.split_counts(shifted)
 
 
+def test_counts_of_splits_are_those_of_their_records(spark, tmp_path):
+    put(tmp_path / "web" / "one.pcap", pcap(frames_of(300), unit=1000))
+    put(tmp_path / "web" / "cut.pcap", pcap(frames_of(50), cut=3))
+    put(tmp_path / "web" / "none.pcap", pcap([]))
+    for octets in (300, 2000, 10 ** 6):
+        rows = captures.scan_captures(spark, str(tmp_path), split_octets=octets)
+        behind = F.when(F.col("truncated"), F.col("file_end")).otherwise(F.col("offset") + 16 + F.col("cap_len"))
+        want = rows.groupBy("capture", "start").agg(
+            F.count_if(~F.col("truncated")).alias("n"), F.min("offset").alias("first"), F.max(behind).alias("behind"), F.max("file_end"))
+        got = captures.scan_captures(spark, str(tmp_path), split_octets=octets, counts=True)
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+IP_PACKET = bytes.fromhex("4500002a00010000400600000a0000010a000002" "0050c350000000010000000250180100000000006869")
+IP6_PACKET = bytes.fromhex("60000000000c1140" + "20010db8000000000000000000000001" + "20010db8000000000000000000000002" + "00351388000c0000" "61626364")
+
+
+def test_link_types(spark, tmp_path):
+    """Ethernet, raw IP and cooked captures give the same packets; another link type is an error that names the file."""
+    def file(link, frames):
+        body = bytearray(pcap([(k, f) for k, f in enumerate(frames)]))
+        body[20:24] = link.to_bytes(4, "little")
+        return bytes(body)
+
+    ethernet = [bytes(12) + b"\x08\x00" + IP_PACKET, bytes(12) + b"\x86\xdd" + IP6_PACKET]
+    cooked = [bytes(14) + b"\x08\x00" + IP_PACKET, bytes(14) + b"\x86\xdd" + IP6_PACKET]
+    forms = {1: ethernet, 101: [IP_PACKET, IP6_PACKET], 12: [IP_PACKET, IP6_PACKET], 113: cooked}
+    for link, frames in forms.items():
+        put(tmp_path / "web" / f"l{link}.pcap", file(link, frames))
+    rows = decode_headers(captures.read_captures(spark, str(tmp_path))).collect()
+    assert len(rows) == 8
+    for r in rows:
+        assert (r.l4_proto, r.tcp_dstport, r.udp_dstport, bytes(r.payload)) in {(6, 50000, None, b"hi"), (17, None, 5000, b"abcd")}
+        assert r.l3_src in {"10.0.0.1", "2001:0db8:0000:0000:0000:0000:0000:0001"}
+        link = int(r.capture.removeprefix("web/l").removesuffix(".pcap"))
+        assert (r.eth_src is not None) == (link == 1) and r.frame_encap_type == {1: 1, 113: 25}.get(link, 7)
+    assert {r.frame_protocols for r in rows if r.tcp_dstport} == {"eth:ethertype:ip:tcp:data", "raw:ip:tcp:data", "sll:ethertype:ip:tcp:data"}
+    put(tmp_path / "web" / "wifi.pcap", file(105, [b"x" * 60]))
+    with pytest.raises(Exception, match="link type 105 of web/wifi.pcap"):
+        captures.read_captures(spark, str(tmp_path)).collect()
+
+
+def test_overwriting_spares_what_no_job_wrote(spark, tmp_path):
+    put(tmp_path / "out" / "notes" / "readme.txt", b"mine")
+    rows = spark.createDataFrame([("web/a.pcap", k, k, b"frame%d" % k) for k in range(1, 4)], "capture STRING, frame_no BIGINT, ts_us BIGINT, frame BINARY")
+    captures.write_captures(rows, str(tmp_path / "out"))
+    put(tmp_path / "out" / "web" / "byhand.pcap", pcap(frames_of(2)))
+    captures.write_captures(rows.limit(1).withColumn("capture", F.lit("web/b.pcap")), str(tmp_path / "out"), mode="overwrite")
+    assert (tmp_path / "out" / "notes" / "readme.txt").read_bytes() == b"mine"
+    assert sorted(p.name for p in (tmp_path / "out" / "web").iterdir()) == ["b.pcap", "byhand.pcap"]
+
+
+def test_a_commit_is_one_rename(spark, tmp_path):
+    """Before the manifest is there the old state is read, after it the new one, renamed or not."""
+    root = tmp_path / "out"
+    rows = spark.createDataFrame([("web/a.pcap", k, k, b"old%d" % k) for k in range(1, 4)], "capture STRING, frame_no BIGINT, ts_us BIGINT, frame BINARY")
+    captures.write_captures(rows, str(root))
+    put(root / ".feed-token-0.part", pcap([(0, b"new")]))
+    read = lambda: sorted(bytes(r.frame) for r in captures.read_captures(spark, str(root)).collect())
+    assert read() == [b"old1", b"old2", b"old3"]
+    store, path = captures._filesystem(str(root))
+    captures.Manifests(store, path).commit("feed", True, [(f"{path}/.feed-token-0.part", "web/a.pcap")])
+    assert read() == [b"new"]
+    os.replace(root / ".feed-token-0.part", root / "web" / "a.pcap")
+    assert read() == [b"new"]
+
+
 def test_frame_limit_is_the_files_own(spark, tmp_path):
     body = bytearray(pcap([(0, b"x" * 300_000), (1, b"y" * 50)]))
     body[16:20] = (400_000).to_bytes(4, "little")

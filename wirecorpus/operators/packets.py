@@ -17,6 +17,9 @@ from wirecorpus.operators.catalog import (
 )
 
 TCP, UDP, ICMP = 6, 17, 1
+# fixed values: link types of captures, and the numbers of their encapsulation
+RAW_IP, COOKED = 101, 113
+ENCAP_RAW_IP, ENCAP_COOKED = 7, 25
 ETHERTYPE_IP, ETHERTYPE_IPV6 = 0x0800, 0x86DD
 ETHERTYPE_VLANS = (0x8100, 0x88A8)
 # Ethernet, two VLAN tags, the longest IPv4 and TCP headers; of other frames all is looked at
@@ -69,23 +72,38 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
     The ``ip_*`` columns are of version 4 and null otherwise. ``l3_src``, ``l3_dst``, ``l3_len`` and
     ``l4_proto`` are of both versions, and transport columns and payload are decoded behind either.
 
+    With a ``link_type`` column, frames of raw IP and of cooked captures are decoded from their own
+    network header on, and have no Ethernet fields; without it, all frames are Ethernet.
+
     ``oui(prefix, vendor)`` names vendors for the ``*_resolved`` columns; without it they repeat
     the address.
     """
+    linked = "link_type" in df.columns
+    raw, cooked = ((F.col("link_type") == t) if linked else None for t in (RAW_IP, COOKED))
+
+    def by_link(ethernet: Column, if_raw: Column, if_cooked: Column) -> Column:
+        return F.when(raw, if_raw).when(cooked, if_cooked).otherwise(ethernet) if linked else ethernet
+
     wire_len = F.col("wire_len") if "wire_len" in df.columns else F.length("frame")
     base = once(
         df, _octets=F.length("frame"), _kinds=F.hex(F.substring("frame", 13, 10)),
     )
     # behind up to two tags
-    v6 = F.col("_kinds").rlike("^(?:(?:8100|88A8)....){0,2}86DD")
+    v6 = by_link(
+        F.col("_kinds").rlike("^(?:(?:8100|88A8)....){0,2}86DD"), F.hex(F.substring("frame", 1, 1)).startswith("6"),
+        F.hex(F.substring("frame", 15, 2)) == "86DD")
     base = once(base, _h=F.lower(F.hex(F.when(v6, F.col("frame")).otherwise(F.substring("frame", 1, HEADER_OCTETS)))))
     head, octets = F.col("_h"), F.col("_octets")
-    outer = F.when(octets >= 14, uint_at(head, 12, 2))
+    outer = by_link(F.when(octets >= 14, uint_at(head, 12, 2)), F.lit(None), F.lit(None))
     tagged = outer.isin(*ETHERTYPE_VLANS) & (octets >= 18)
     inner = F.when(tagged, uint_at(head, 16, 2))
     twice = inner.isin(*ETHERTYPE_VLANS) & (octets >= 22)
-    l3 = F.when(twice, 22).when(tagged, 18).otherwise(14)
-    kind = F.when(twice, uint_at(head, 20, 2)).when(tagged, inner).otherwise(outer)
+    l3 = by_link(F.when(twice, 22).when(tagged, 18).otherwise(14), F.lit(0), F.lit(16))
+    version = F.when(octets >= 1, F.shiftright(uint_at(head, 0, 1), 4))
+    kind = by_link(
+        F.when(twice, uint_at(head, 20, 2)).when(tagged, inner).otherwise(outer),
+        F.when(version == 4, ETHERTYPE_IP).when(version == 6, ETHERTYPE_IPV6),
+        F.when(octets >= 16, uint_at(head, 14, 2)))
     base = once(
         base, eth_type=outer.cast("int"), _vlan=F.coalesce(tagged, F.lit(False)), _l3=l3,
         _vihl=F.when((kind == ETHERTYPE_IP) & (octets >= l3 + 20), uint_at(head, l3, 1)).cast("int"),
@@ -121,11 +139,11 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
     tcp = lambda start, n: F.when(F.col("_tcp"), uint_at(head, F.col("_l4") + start, n))
     udp = lambda start, n: F.when(F.col("_udp"), uint_at(head, F.col("_l4") + start, n)).cast("int")
     base = base.withColumns({
-        "frame_encap_type": F.lit(1),
+        "frame_encap_type": by_link(F.lit(1), F.lit(ENCAP_RAW_IP), F.lit(ENCAP_COOKED)),
         "frame_len": wire_len.cast("int"),
         "frame_marked": F.lit(0),
-        "eth_dst": mac_text(head),
-        "eth_src": mac_text(F.substring(head, 13, 12)),
+        "eth_dst": by_link(mac_text(head), F.lit(None), F.lit(None)),
+        "eth_src": by_link(mac_text(F.substring(head, 13, 12)), F.lit(None), F.lit(None)),
         "ip_version": F.when(is_ip, F.lit(4)),
         "ip_hdr_len": F.col("_ihl"),
         "ip_dsfield": ip(1, 1),
@@ -196,7 +214,7 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         "payload": F.when(F.col("_payload_len") > 0, payload),
         "data_len": F.when(F.col("_payload_len") > 0, F.col("_payload_len")),
         "frame_protocols": F.concat_ws(
-            ":", F.lit("eth:ethertype"), F.when(F.col("_vlan"), F.lit("vlan:ethertype")),
+            ":", by_link(F.lit("eth:ethertype"), F.lit("raw"), F.lit("sll:ethertype")), F.when(F.col("_vlan"), F.lit("vlan:ethertype")),
             F.when(is_ip, F.lit("ip")).when(F.col("_v6"), F.lit("ipv6")),
             F.when(F.col("_tcp"), F.lit("tcp")).when(F.col("_udp"), F.lit("udp"))
             .when(F.col("ip_proto") == ICMP, F.lit("icmp")),

@@ -10,11 +10,13 @@ parts, which are read as one. Paths are local or any URI that Arrow can open.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
@@ -33,9 +35,15 @@ MAGIC = {
 }
 FILE_HEADER, RECORD_HEADER = 24, 16
 MAX_FRAME_OCTETS = 262_144
-ETHERNET = 1
+# fixed values: link types of file headers. Raw IP has three numbers; cooked captures have a header
+# of their own in front of the network header
+ETHERNET, RAW_IP, COOKED = 1, 101, 113
+LINK_TYPES = {1: ETHERNET, 12: RAW_IP, 14: RAW_IP, 101: RAW_IP, 113: COOKED}
 ROWS_PER_BATCH = 2048
 PART_NAME = re.compile(r"part-(\d+)\.pcap")
+MANIFEST_NAME = re.compile(r"\.captures-[0-9a-f]+\.json")
+# files that are renamed at a time when a job is done
+RENAMES = 32
 DEFAULT_SPLIT_OCTETS = 128 * 1024 * 1024
 OPEN_COST_SHARE = 32
 READ_OCTETS = 4 * 1024 * 1024
@@ -46,12 +54,19 @@ SHARED_SPLITS = 200_000
 
 RAW_SCHEMA = (
     "capture STRING, label STRING, super_label STRING, start BIGINT, offset BIGINT, ordinal BIGINT, file_end BIGINT, ts_ns BIGINT, "
-    "cap_len INT, wire_len INT, frame BINARY, truncated BOOLEAN"
+    "cap_len INT, wire_len INT, frame BINARY, truncated BOOLEAN, link_type INT"
 )
+# one row per split, without its frames
+COUNT_SCHEMA = "capture STRING, start BIGINT, n BIGINT, first BIGINT, behind BIGINT, file_end BIGINT"
 ARROW_SCHEMA = pa.schema([
     ("capture", pa.string()), ("label", pa.string()), ("super_label", pa.string()),
     ("start", pa.int64()), ("offset", pa.int64()), ("ordinal", pa.int64()), ("file_end", pa.int64()), ("ts_ns", pa.int64()),
     ("cap_len", pa.int32()), ("wire_len", pa.int32()), ("frame", pa.binary()), ("truncated", pa.bool_()),
+    ("link_type", pa.int32()),
+])
+ARROW_COUNTS = pa.schema([
+    ("capture", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("behind", pa.int64()),
+    ("file_end", pa.int64()),
 ])
 
 
@@ -144,9 +159,42 @@ def _follows(f, at: int, size: int, order: str, unit: int, snaplen: int) -> bool
     return True
 
 
+class Manifests:
+    """Which files of a folder are captures of committed jobs.
+
+    A job's manifest lists its captures and the parts they were written to. It is put in place by one
+    rename, which is the commit; only then are the parts given the names of their captures. A
+    manifest that replaces makes those before it void, and their files are not read any more.
+    """
+
+    def __init__(self, store: arrow_fs.FileSystem, root: str) -> None:
+        chosen = arrow_fs.FileSelector(root, allow_not_found=True)
+        self.store, self.root = store, root
+        self.paths = [i.path for i in store.get_file_info(chosen) if MANIFEST_NAME.fullmatch(i.base_name)]
+        listed = []
+        for path in self.paths:
+            with store.open_input_stream(path) as f:
+                listed.append((json.loads(f.read()), path))
+        listed.sort(key=lambda m: (m[0]["number"], m[1]))
+        self.last = max((m["number"] for m, _ in listed), default=0)
+        since = max((k for k, (m, _) in enumerate(listed) if m["replaces"]), default=0)
+        self.void = [path for _, path in listed[:since]]
+        self.files = {capture: part for m, _ in listed[since:] for part, capture in m["files"]}
+        self.gone = {capture for m, _ in listed[:since] for _, capture in m["files"]} - set(self.files)
+
+    def commit(self, job: str, replaces: bool, files: list[tuple[str, str]]) -> None:
+        body = {"number": self.last + 1, "replaces": replaces, "files": [[os.path.basename(p), c] for p, c in files]}
+        path = f"{self.root}/.captures-{job}.json"
+        with self.store.open_output_stream(f"{path}.new") as f:
+            f.write(json.dumps(body).encode())
+        self.store.move(f"{path}.new", path)
+
+
 class CaptureReader(DataSourceReader):
-    def __init__(self, root: str, levels: int, split_octets: int, names: list[str] | None = None):
-        self.root, self.levels, self.split_octets, self.names = root, levels, split_octets, names
+    def __init__(
+        self, root: str, levels: int, split_octets: int, counts: bool = False, names: list[str] | None = None,
+    ):
+        self.root, self.levels, self.split_octets, self.counts, self.names = root, levels, split_octets, counts, names
 
     def pushFilters(self, filters):
         for f in filters:
@@ -158,10 +206,15 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files, root = _filesystem(self.root)
         splits: list[InputPartition] = []
-        for info in sorted(files.get_file_info(arrow_fs.FileSelector(root, recursive=True)), key=lambda i: i.path):
-            capture = os.path.relpath(info.path, root)
+        manifests = Manifests(files, root)
+        found = {
+            os.path.relpath(i.path, root): i for i in files.get_file_info(arrow_fs.FileSelector(root, recursive=True))
+            if i.type == arrow_fs.FileType.File}
+        # a part that has not been given its name yet stands for its capture
+        waiting = {capture: found[part] for capture, part in manifests.files.items() if part in found}
+        for capture, info in sorted((found | waiting).items()):
             parts = capture.split("/")
-            if info.type != arrow_fs.FileType.File or parts[-1].startswith("."):
+            if parts[-1].startswith(".") or capture in manifests.gone:
                 continue
             part = PART_NAME.fullmatch(parts[-1]) if len(parts) == self.levels + 2 else None
             if len(parts) != self.levels + 1 and part is None:
@@ -181,16 +234,47 @@ class CaptureReader(DataSourceReader):
         for split in partition.splits:
             if split.size:
                 with io.BufferedReader(files.open_input_file(split.path), READ_OCTETS) as f:
-                    yield from self._records(f, split)
+                    yield from (self._counts if self.counts else self._records)(f, split)
 
-    def _records(self, f, partition: FileSplit) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        ordinal = 0
+    def _open(self, f, partition: FileSplit) -> tuple[str, int, int, int]:
+        """Byte order, time unit, snap length and link type of a file."""
         head = f.read(FILE_HEADER)
         if head[:4] not in MAGIC or len(head) < FILE_HEADER:
             raise ValueError(f"not a capture file: {partition.capture}")
         order, unit = MAGIC[head[:4]]
-        snaplen = struct.unpack(order + "I", head[16:20])[0]
+        snaplen, link = struct.unpack(order + "II", head[16:24])
+        # the upper bits tell of a checksum at the end of frames
+        if link & 0xFFFF not in LINK_TYPES:
+            raise ValueError(f"link type {link & 0xFFFF} of {partition.capture} is not decoded")
+        return order, unit, snaplen, LINK_TYPES[link & 0xFFFF]
+
+    def _counts(self, f, partition: FileSplit) -> Iterator[pa.RecordBatch]:
+        """How many records begin in a split, where its first one is and where the last one ends."""
+        order, unit, snaplen, _ = self._open(f, partition)
+        at = FILE_HEADER if partition.start == 0 else _next_boundary(
+            f, max(partition.start, FILE_HEADER), partition.size, order, unit, snaplen)
+        first, n = at, 0
+        f.seek(at)
+        while at < partition.end:
+            head = f.read(RECORD_HEADER)
+            cap = _record(head, order)[2] if len(head) == RECORD_HEADER else 0
+            if cap > _frame_limit(snaplen):
+                raise ValueError(f"broken record at octet {at} of {partition.capture}")
+            if len(head) < RECORD_HEADER or at + RECORD_HEADER + cap > partition.size:
+                at = partition.size  # a record that is cut off reaches the end of the file
+                break
+            f.seek(cap, io.SEEK_CUR)
+            at, n = at + RECORD_HEADER + cap, n + 1
+        if at > first:
+            yield pa.RecordBatch.from_pylist([{
+                "capture": partition.capture, "start": partition.base + partition.start, "n": n,
+                "first": partition.base + first, "behind": partition.base + at, "file_end": partition.base + partition.size,
+            }], schema=ARROW_COUNTS)
+
+    def _records(self, f, partition: FileSplit) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        ordinal = 0
+        order, unit, snaplen, link = self._open(f, partition)
         at = FILE_HEADER if partition.start == 0 else _next_boundary(
             f, max(partition.start, FILE_HEADER), partition.size, order, unit, snaplen)
         f.seek(at)
@@ -203,7 +287,7 @@ class CaptureReader(DataSourceReader):
             broken = len(head) < RECORD_HEADER or len(frame) < cap
             rows.append((
                 partition.capture, partition.label, partition.super_label, partition.base + partition.start,
-                partition.base + at, ordinal, partition.base + partition.size, seconds * 1_000_000_000 + fraction * unit, cap, wire, None if broken else frame, broken,
+                partition.base + at, ordinal, partition.base + partition.size, seconds * 1_000_000_000 + fraction * unit, cap, wire, None if broken else frame, broken, link,
             ))
             if broken:
                 break
@@ -229,8 +313,9 @@ class CommittedFile(WriterCommitMessage):
 class CaptureWriter(DataSourceWriter):
     """One file per value of ``capture`` in a task; temporary names until the job commits.
 
-    Overwriting leaves only the new files. Files of failed attempts carry the job's name and go
-    with the commit or the abort.
+    The commit is the rename of one manifest. Overwriting replaces the captures of earlier jobs, whose
+    files are deleted when the new ones are in place; files that no job has written stay. Files of
+    failed attempts carry the job's name and go with the commit or the abort.
     """
 
     def __init__(self, root: str, overwrite: bool):
@@ -270,22 +355,19 @@ class CaptureWriter(DataSourceWriter):
         if taken and not self.overwrite:
             self.abort(messages)
             raise FileExistsError(taken[0])
-        # nothing of before may be joined with the new files
-        old = self._files(store, root) if self.overwrite else []
-        for path in old:
-            if not os.path.basename(path).startswith("."):
-                store.delete_file(path)
+        before = Manifests(store, root)
+        before.commit(self.job, self.overwrite, moves)
+        after = Manifests(store, root)
         for folder in sorted({os.path.dirname(f"{root}/{capture}") for _, capture in moves}):
             store.create_dir(folder, recursive=True)
-        for part, capture in moves:
-            store.move(part, f"{root}/{capture}")
+        # whoever reads now finds the parts by the manifest, so that the renames need not be one step
+        with ThreadPoolExecutor(RENAMES) as pool:
+            list(pool.map(lambda move: store.move(move[0], f"{root}/{move[1]}"), moves))
+            old = [f"{root}/{capture}" for capture in after.gone]
+            there = [i.path for i in store.get_file_info(old) if i.type != arrow_fs.FileType.NotFound]
+            list(pool.map(store.delete_file, there + after.void))
         self.abort(messages)
 
-    @staticmethod
-    def _files(store: arrow_fs.FileSystem, root: str) -> list[str]:
-        chosen = arrow_fs.FileSelector(root, recursive=True, allow_not_found=True)
-        return [i.path for i in store.get_file_info(chosen) if i.type == arrow_fs.FileType.File]
-
     def abort(self, messages) -> None:
         """Remove the job's temporary files, of failed attempts too."""
         store, root = _filesystem(self.root)
@@ -301,12 +383,12 @@ class CaptureSource(DataSource):
         return "capture"
 
     def schema(self) -> str:
-        return RAW_SCHEMA
+        return COUNT_SCHEMA if self.options.get("counts") == "true" else RAW_SCHEMA
 
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(
             self.options["path"], int(self.options.get("levels", "1")),
-            int(self.options.get("splitOctets", DEFAULT_SPLIT_OCTETS)),
+            int(self.options.get("splitOctets", DEFAULT_SPLIT_OCTETS)), self.options.get("counts") == "true",
         )
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
@@ -314,11 +396,12 @@ class CaptureSource(DataSource):
 
 
 def scan_captures(
-    spark: SparkSession, root: str, levels: int = 1, split_octets: int = DEFAULT_SPLIT_OCTETS
+    spark: SparkSession, root: str, levels: int = 1, split_octets: int = DEFAULT_SPLIT_OCTETS, counts: bool = False,
 ) -> DataFrame:
-    """Records as found in the files, truncated last records included."""
+    """Records as found in the files, truncated last records included; or ``counts`` of each split."""
     spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").option("levels", levels).option("splitOctets", split_octets).load(root)
+    reader = spark.read.format("capture").option("levels", levels).option("splitOctets", split_octets)
+    return reader.option("counts", str(counts).lower()).load(root)
 
 
 def read_captures(
@@ -328,29 +411,29 @@ def read_captures(
 
     Frame numbers are 1-based per capture. A first pass counts the frames of each file split and
     checks that splits join up; the second adds the counts of the splits before to the place inside
-    the split. No frame is moved or sorted for it.
+    the split. No frame is moved or sorted for it, and the first pass hands on no frames at all.
+    ``link_type`` is that of the file; ``decode_headers`` finds the network header by it.
     """
     records = scan_captures(spark, root, levels, split_octets)
-    before = split_counts(records)
+    before = split_counts(scan_captures(spark, root, levels, split_octets, counts=True))
     few = before.count() <= SHARED_SPLITS
     numbered = records.filter(~F.col("truncated")).join(F.broadcast(before) if few else before, ["capture", "start"])
     return numbered.select(
         "capture", "label", "super_label", (F.col("_before") + F.col("ordinal") + 1).alias("frame_no"),
         quotient(F.col("ts_ns"), 1000).alias("ts_us"),
         (F.col("ts_ns").cast("decimal(20,0)") / F.lit(1_000_000_000)).cast("decimal(20,9)").alias("ts_epoch"),
-        "cap_len", "wire_len", "frame",
+        "cap_len", "wire_len", "frame", "link_type",
     )
 
 
-def split_counts(records: DataFrame) -> DataFrame:
-    """(capture, start, _before): frames of the capture before each split.
+def split_counts(counts: DataFrame) -> DataFrame:
+    """(capture, start, _before): frames of the capture before each split, from ``COUNT_SCHEMA`` rows.
 
     An error where the records of splits do not join up, or do not reach the end of their file.
     """
-    behind = F.when(F.col("truncated"), F.col("file_end")).otherwise(F.col("offset") + RECORD_HEADER + F.col("cap_len"))
-    splits = records.groupBy("capture", "start").agg(
-        F.count_if(~F.col("truncated")).alias("_n"), F.min("offset").alias("_first"), F.max(behind).alias("_end"),
-        F.max("file_end").alias("_file_end"))
+    splits = counts.select(
+        "capture", "start", F.col("n").alias("_n"), F.col("first").alias("_first"), F.col("behind").alias("_end"),
+        F.col("file_end").alias("_file_end"))
     order = W.partitionBy("capture").orderBy("start")
     carried = splits.select(
         "capture", "start", "_first", "_end", "_file_end", F.lag("_end").over(order).alias("_expected"),
