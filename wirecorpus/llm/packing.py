@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wirecorpus.llm.common import by_slice, kept
-from wirecorpus.llm.memo import TokenMemo
+from wirecorpus.llm.memo import TOGETHER, TokenMemo
 from wirecorpus.session import stage
 
 # tokens packed in one task: about a thousand sequences of 4096
@@ -98,7 +98,7 @@ def token_pieces(
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             owner, piece, crc, length, ids = [], [], [], [], []
-            for at, raw in enumerate(memo.encode([t or "" for t in batch.column(1).to_pylist()])):
+            for at, raw in enumerate(memo.encode(batch.column(1))):
                 raw += tail
                 for number, begin in enumerate(range(0, len(raw), width)):
                     part = raw[begin: begin + width]
@@ -121,7 +121,7 @@ def token_pieces(
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(by_slice(make, "text"), schema)
+    return picked.mapInArrow(by_slice(make, "text", TOGETHER), schema)
 
 
 def pack(pieces: DataFrame, capacity: int, group_tokens: int = GROUP_TOKENS) -> DataFrame:
