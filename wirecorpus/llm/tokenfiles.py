@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from wirecorpus.llm.common import by_slice, kept
-from wirecorpus.llm.memo import TokenMemo
+from wirecorpus.llm.memo import TOGETHER, TokenMemo
 
 TOKENS = "doc_id long, n_tokens long, ids array<int>"
 
@@ -42,7 +42,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_
         memo = kept(("tokens", path), lambda: TokenMemo(path))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            coded = [raw + tail for raw in memo.encode([t or "" for t in batch.column(1).to_pylist()])]
+            coded = [raw + tail for raw in memo.encode(batch.column(1))]
             ends = np.zeros(len(coded) + 1, dtype=np.int64)
             np.cumsum([len(raw) // 4 for raw in coded], out=ends[1:])
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
@@ -53,7 +53,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_
         return work
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(by_slice(make, "text"), TOKENS)
+    return picked.mapInArrow(by_slice(make, "text", TOGETHER), TOKENS)
 
 
 def write_tokens(
