@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,37 @@ def test_classifier_learns_separable_texts(spark):
         F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma delta").alias("text"))
     model = routing.fit_classifier(rows, features=64, iterations=10)
     assert routing.classify(model, rows).filter("label_id <> predicted_id").count() == 0
+
+
+def test_epochs_go_on_from_one_another(spark):
+    """Loss falls over the epochs, a step is that of the summed gradient, and partitions do not matter."""
+    rows = [(i, f"word{i % 3} other{i % 5} {'x' * (i % 4)}", i % 3) for i in range(200)] + [(900, None, 1), (901, "word1", None)]
+    docs = spark.createDataFrame(rows, "id INT, text STRING, label_id INT")
+    runs = []
+    for many in (1, 6):
+        found = list(routing.fit_epochs(docs.repartition(many), "id", 3, 3, features=64, batches=2))
+        assert [epoch for epoch, _, _ in found] == [1, 2, 3]
+        losses = [loss for _, _, loss in found]
+        assert losses == sorted(losses, reverse=True) and losses[-1] < 0.1 * np.log(3)
+        runs.append(found[-1][1].table)
+    assert np.allclose(runs[0], runs[1])
+    table = routing.epoch_metrics(docs, docs.filter("id < 200"), "id", 3, 2, features=64).orderBy("epoch").collect()
+    assert [(r.epoch, r.f1) for r in table] == [(1, 1.0), (2, 1.0)]
+
+
+def test_gradient_is_that_of_plain_sums(spark):
+    rng = np.random.default_rng(1)
+    model = routing.LinearText(rng.normal(size=(8, 3)), rng.normal(size=3))
+    rows = [([1, 2, 2], 0, 1.0), ([], 2, 0.5), ([7], 1, 2.0), ([0, 3, 5, 5], 2, 1.0)]
+    docs = spark.createDataFrame(rows, "_words ARRAY<INT>, _label INT, _weight DOUBLE").repartition(3)
+    total, loss, weight = routing._gradient(docs, model)
+    want, want_loss = np.zeros((9, 3)), 0.0
+    for words, label, w in rows:
+        scores = model.constant + (sum(model.table[k] for k in words) / len(words) if words else 0)
+        share = np.exp(scores) / np.exp(scores).sum()
+        want_loss -= w * np.log(share[label])
+        error = w * (share - np.eye(3)[label])
+        want[8] += error
+        for k in words:
+            want[k] += error / len(words)
+    assert np.allclose(total, want) and np.isclose(loss, want_loss) and weight == 4.5

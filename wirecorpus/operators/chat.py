@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wirecorpus.functions.ordering import frame_chunk, join_pieces, running
 from wirecorpus.functions.strings import replace_all, strip
@@ -193,17 +193,52 @@ def chat_loss_examples(
 
 
 def multi_turn_examples(df: DataFrame, max_input: int, max_output: int) -> DataFrame:
-    """One example per assistant turn whose context fits, with everything before as context."""
+    """One example per assistant turn whose context fits, with everything before as context.
+
+    The tokens of a conversation, up to the limit, are put together once; a context is their
+    beginning.
+    """
     rows = _token_rows(df, max_input).filter(F.col("_at") < max_input)
-    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
-    context = F.flatten(F.collect_list("_kept").over(before))
+    output = F.slice(F.concat(F.slice("ids", F.lit(2), F.size("ids")), F.array(F.lit(CHAT_EOS_ID))), 1, max_output)
+    turn = F.struct("turn", "_at", F.slice("ids", 1, 1).alias("first"), output.alias("output_ids"))
+    grouped = rows.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "_kept"))).alias("_m"),
+        F.collect_list(F.when(F.col("role") == "assistant", turn)).alias("_turns"))
+    stream = _stream(F.col("_m"))
+    examples = grouped.select("conv_id", stream.alias("_ids"), F.explode("_turns").alias("e"))
+    context = F.slice("_ids", F.lit(1), F.col("e._at").cast("int"))
+    return examples.select(
+        "conv_id", "e.turn", F.concat(context, "e.first").alias("input_ids"), F.col("e.output_ids").alias("output_ids"))
+
+
+def _stream(pieces: Column) -> Column:
     prefix = F.array(*[F.lit(i) for i in CHAT_PREFIX_IDS])
-    output = F.concat(F.slice("ids", F.lit(2), F.size("ids")), F.array(F.lit(CHAT_EOS_ID)))
-    return rows.withColumn("_context", context).filter(F.col("role") == "assistant").select(
-        "conv_id", "turn",
-        F.concat(prefix, F.col("_context"), F.slice("ids", 1, 1)).alias("input_ids"),
-        F.slice(output, 1, max_output).alias("output_ids"),
-    )
+    return F.concat(prefix, F.flatten(F.transform(pieces, lambda m: m["_kept"])))
+
+
+def combined_examples(df: DataFrame, max_input: int, max_output: int) -> DataFrame:
+    """One example per conversation with an assistant marker: what is from the last marker on is the output.
+
+    As published, the input is the whole conversation cut to ``max_input`` with its first token once
+    more behind it, so it holds the output where it fits.
+    """
+    rows = running(
+        _token_rows(df, max_input), ["conv_id"], ["turn"], frame_chunk(F.col("turn")),
+        _last=("max_all", F.col("_marker_at")))
+    at, last = F.col("_at"), F.col("_last")
+    begin = F.greatest(last - at, F.lit(0))
+    wanted = F.least(F.size("ids") - begin, last + max_output - at - begin)
+    piece = F.slice("ids", (begin + 1).cast("int"), F.greatest(wanted, F.lit(0)).cast("int"))
+    # only tokens of the input or of the output are collected
+    needed = rows.filter(last.isNotNull() & ((at < max_input) | ((at + F.size("ids") > last) & (at < last + max_output))))
+    listed = F.array_sort(F.collect_list(F.struct(
+        "turn", F.when(at < max_input, F.col("_kept")).otherwise(F.slice("ids", 1, 0)).alias("_kept"), piece.alias("_out"))))
+    grouped = needed.groupBy("conv_id").agg(listed.alias("_m"))
+    output = F.concat(F.flatten(F.transform("_m", lambda m: m["_out"])), F.array(F.lit(CHAT_EOS_ID)))
+    return grouped.select(
+        "conv_id",
+        F.concat(F.slice(_stream(F.col("_m")), 1, max_input), F.array(F.lit(CHAT_PREFIX_IDS[0]))).alias("input_ids"),
+        F.slice(output, 1, max_output).alias("output_ids"))
 
 
 def multi_turn_dropped(df: DataFrame, max_input: int) -> DataFrame:

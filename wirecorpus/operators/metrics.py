@@ -285,7 +285,7 @@ def run_summary(epochs: DataFrame) -> DataFrame:
 
 
 def epoch_evaluations(predictions: DataFrame, losses: DataFrame, cumulative: bool = True) -> DataFrame:
-    """Accuracy per epoch with the mean evaluation loss, which is 0 without samples.
+    """Accuracy per epoch with the mean evaluation loss, which is 0 without samples; a NaN is none.
 
     ``cumulative`` scores the predictions of all epochs so far, as published.
     """
@@ -295,7 +295,7 @@ def epoch_evaluations(predictions: DataFrame, losses: DataFrame, cumulative: boo
         upto = W.partitionBy().orderBy("epoch").rowsBetween(W.unboundedPreceding, W.currentRow)
         # one row per epoch
         scored = scored.select("epoch", F.sum("hits").over(upto).alias("hits"), F.sum("n").over(upto).alias("n"))
-    loss = losses.groupBy("epoch").agg(F.avg("loss").alias("eval_loss"))
+    loss = losses.groupBy("epoch").agg(F.avg(F.when(~F.isnan("loss"), F.col("loss"))).alias("eval_loss"))
     return scored.join(loss, "epoch", "left").select(
         "epoch", "n", (F.col("hits") / F.col("n")).alias("accuracy"),
         F.coalesce("eval_loss", F.lit(0.0)).alias("eval_loss"),

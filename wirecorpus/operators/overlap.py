@@ -1,20 +1,23 @@
 """Overlap of generated and reference texts: ROUGE and BLEU over whole texts.
 
-A score needs one row only, so nothing is shuffled: n-grams are counted next to the row in Arrow
-batches, and everything after the counts is column arithmetic.
+A score needs one row only, so nothing is shuffled: n-grams of all rows of an Arrow batch are counted
+together as numbers, and everything after the counts is column arithmetic.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 BLEU_ORDER = 4
+# octets of both texts that are counted at a time, one row at least
+SLICE_OCTETS = 2 << 20
 
 
 def tokens_of(text: Column, level: str = "word") -> Column:
@@ -26,19 +29,53 @@ def tokens_of(text: Column, level: str = "word") -> Column:
     raise ValueError(f"unknown level {level!r}")
 
 
-def _gram_overlap(left: str, right: str, n: int, words: bool, distinct: bool) -> tuple[int, int, int]:
-    """(overlap, n-grams of left, n-grams of right)."""
-    def grams(text: str) -> Counter:
-        if words:
-            tokens = re.findall(r"\S+", text, re.ASCII)
-            return Counter(zip(*(tokens[k:] for k in range(n))))
-        return Counter(text[i:i + n] for i in range(len(text) - n + 1))
-
-    a, b = grams(left), grams(right)
-    if distinct:
-        return len(a.keys() & b.keys()), len(a), len(b)
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    return sum(min(c, large[g]) for g, c in small.items() if g in large), a.total(), b.total()
+def _codes(texts: pa.Array, words: bool) -> tuple[pa.Array | np.ndarray, np.ndarray]:
+    """The tokens of all texts, one after the other, and the number of each text's."""
+    import pyarrow.compute as pc
+
+    if not words:
+        count = pc.utf8_length(texts).to_numpy()
+        return np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64), count
+    split = pc.ascii_split_whitespace(texts)
+    flat = split.flatten()
+    some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(some)])[split.offsets.to_numpy()]
+    return flat.filter(pa.array(some)), np.diff(ends)
+
+
+def _gram_overlaps(left: pa.Array, right: pa.Array, orders: list[int], words: bool, distinct: bool) -> list[np.ndarray]:
+    """(overlap, n-grams of left, n-grams of right) of all rows, for each order."""
+    (one, count_one), (two, count_two) = _codes(left, words), _codes(right, words)
+    if words:
+        both = pa.concat_arrays([one, two]).dictionary_encode()
+        base, values = both.indices.to_numpy().astype(np.int64), len(both.dictionary)
+    else:
+        values, base = np.unique(np.concatenate([one, two]), return_inverse=True)
+        values = len(values)
+    rows, count = len(left), np.concatenate([count_one, count_two])
+    owner = np.repeat(np.arange(2 * rows), count)
+    ends = np.repeat(np.cumsum(count), count)
+    at, gram, size, out = np.arange(len(base)), base, max(values, 1), []
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            whole = at + n <= ends[at]
+            at = at[whole]
+            if size * values * rows >= 1 << 62:  # number the n-grams so far anew
+                known, gram = np.unique(gram, return_inverse=True)
+                size = max(len(known), 1)
+            gram = gram[whole] * values + base[at + n - 1]
+            size *= max(values, 1)
+        if n in orders:
+            side, row = owner[at] >= rows, owner[at] % max(rows, 1)
+            sides = [np.unique(row[s] * size + gram[s], return_counts=True) for s in (~side, side)]
+            (a, many_a), (b, many_b) = sides
+            common, in_a, in_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            clipped = np.ones(len(common), np.int64) if distinct else np.minimum(many_a[in_a], many_b[in_b])
+            totals = [
+                np.bincount(keys // size, weights=None if distinct else many, minlength=rows).astype(np.int64)
+                for keys, many in sides]
+            out += [np.bincount(common // size, weights=clipped, minlength=rows).astype(np.int64), *totals]
+    return out
 
 
 def ngram_counts(
@@ -47,22 +84,32 @@ def ngram_counts(
 ) -> DataFrame:
     """Add ``overlap_n``, ``response_n`` and ``target_n`` per order ``n``.
 
-    Counts clip at the smaller side; ``distinct`` counts each n-gram once.
+    Counts clip at the smaller side; ``distinct`` counts each n-gram once. All rows of a slice are
+    counted together.
     """
     if level not in ("word", "char"):
         raise ValueError(f"unknown level {level!r}")
-    names = [f"{side}_{n}" for n in orders for side in ("overlap", "response", "target")]
-
-    @F.pandas_udf(", ".join(f"{name} BIGINT" for name in names))
-    def count(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for left, right in pairs:
-            yield pd.DataFrame(
-                [[c for n in orders for c in _gram_overlap(a, b, n, level == "word", distinct)]
-                 for a, b in zip(left, right)], columns=names, dtype="int64")
-
-    empty = F.lit("")
-    counted = df.withColumn("_counts", count(F.coalesce(response, empty), F.coalesce(target, empty)))
-    return counted.select(*df.columns, "_counts.*")
+    kept = df.columns
+    names = [f"{side}_{n}" for n in sorted(orders) for side in ("overlap", "response", "target")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            texts = [pc.fill_null(batch.column(batch.num_columns - k).cast(pa.large_string()), "") for k in (2, 1)]
+            ends = np.cumsum(sum(pc.binary_length(t).to_numpy() for t in texts))
+            start = 0
+            while start < batch.num_rows:
+                room = (ends[start - 1] if start else 0) + SLICE_OCTETS
+                stop = max(start + 1, int(np.searchsorted(ends, room, side="right")))
+                part = [t.slice(start, stop - start) for t in texts]
+                counts = _gram_overlaps(*part, sorted(orders), level == "word", distinct)
+                columns = batch.slice(start, stop - start).columns[:-2]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, counts)], [*kept, *names])
+                start = stop
+
+    schema = StructType([*df.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return df.select("*", F.col(response).alias("_left"), F.col(target).alias("_right")).mapInArrow(count, schema)
 
 
 def f_score(overlap: Column, response_n: Column, target_n: Column) -> Column:

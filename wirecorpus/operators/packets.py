@@ -363,17 +363,27 @@ def stream_features(df: DataFrame) -> DataFrame:
     }).drop(*[c for c in rows.columns if c.startswith("_")])
 
 
+# what frame and stream features are made from; all else stays where it was decoded
+FEATURE_SOURCES = [
+    "capture", "frame_no", "ts_us", "ip_proto", "l4_proto", "l3_src", "l3_dst", "tcp_srcport", "tcp_dstport", "udp_srcport",
+    "udp_dstport", "tcp_seq_raw", "tcp_ack_raw", "tcp_len", "tcp_flags_syn", "tcp_flags_fin", "tcp_flags_ack", "tcp_flags_push",
+    "tcp_window_shift", "tcp_window_size_value",
+]
+
+
 def packet_fields(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
     """All extracted fields of TCP and UDP frames, with the payload cut to what is rendered.
 
-    Decoded headers and stream numbers are staged as tables: the steps behind them read narrow
-    columns several times, and frames are decoded once.
+    Decoded headers are staged as a table, and frames are decoded once. The features of frames and
+    streams are made from a few narrow columns of it; payload and the other fields meet them at the
+    end, in one join by capture and frame number.
     """
-    decoded = decode_headers(df, oui).withColumn(
-        "payload", F.substring("payload", 1, TCP_PAYLOAD_CHARS // 2)
-    ).drop("frame")
-    timed = keep_tcp_udp(frame_features(stage(decoded)))
-    return stream_features(stage(stream_ids(timed)))
+    decoded = stage(decode_headers(df, oui).withColumn(
+        "payload", F.substring("payload", 1, TCP_PAYLOAD_CHARS // 2)).drop("frame"))
+    timed = keep_tcp_udp(frame_features(decoded.select(*FEATURE_SOURCES)))
+    features = stream_features(stage(stream_ids(timed)))
+    made = [c for c in features.columns if c not in FEATURE_SOURCES]
+    return decoded.join(features.select("capture", "frame_no", *made), ["capture", "frame_no"])
 
 
 def _field_text(field: str) -> Column:
@@ -396,6 +406,11 @@ def _field_text(field: str) -> Column:
     return column.cast("string")
 
 
+def field_texts(fields: list[str] | None = None) -> list[Column]:
+    """The text of each extracted field, empty where there is none."""
+    return [F.coalesce(_field_text(f), F.lit("")).alias(f.replace(".", "_")) for f in fields or PACKET_FIELDS]
+
+
 def traffic_words(df: DataFrame, fields: list[str] | None = None, out: str = "words") -> DataFrame:
     """``"field: value"`` joined by ``", "``; the first field stays even when empty."""
     first, *rest = fields or PACKET_FIELDS

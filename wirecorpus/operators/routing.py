@@ -6,17 +6,24 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import PandasUDFType
 
 from wirecorpus.functions.octets import quotient
+from wirecorpus.functions.ordering import stable_key
 from wirecorpus.functions.strings import lookup, present, replace_all, strip
 from wirecorpus.operators.catalog import (
     CUTOFF_PLACEHOLDER, CUTOFF_TEXT, DATA_MARK, EMPTY_PROMPT_STATUS, PROMPT_VARIANTS,
     REGISTRY_PATHS, REGISTRY_TASKS, SCREEN_MAX_CHARS, SCREEN_WARN_TOKENS, SEVERITIES,
 )
+from wirecorpus.operators.metrics import class_counts, precision_recall_f1
+from wirecorpus.session import stage
 
 Model = Callable[[list[str], dict], list[str]]
 # sampling settings a scored row may carry
@@ -259,3 +266,123 @@ def fit_classifier(
 def classify(model, df: DataFrame) -> DataFrame:
     predicted = model.transform(df)
     return predicted.select(*df.columns, F.col("predicted_id").cast("int").alias("predicted_id"))
+
+
+@dataclass
+class LinearText:
+    """Class scores of a text: the mean of the rows of its hashed words, and a constant."""
+
+    table: np.ndarray  # (words, classes)
+    constant: np.ndarray
+
+    def scores(self, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Scores of texts with ``count`` words each, whose word numbers follow one another."""
+        owner = np.repeat(np.arange(len(count)), count)
+        sums = np.zeros((len(count), len(self.constant)))
+        np.add.at(sums, owner, self.table[words])
+        return sums / np.maximum(count, 1)[:, None] + self.constant
+
+
+def hashed_words(text: Column, features: int) -> Column:
+    """Numbers below ``features`` of the words of a text."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int"))
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _gradient(rows: DataFrame, model: LinearText, summing: int = 8) -> tuple[np.ndarray, float, float]:
+    """Summed gradient and loss over the rows, and their weight.
+
+    A task adds up its rows and sends one matrix of the model's size; these are added up by a few
+    tasks, so the driver gets a few however many tasks there are.
+    """
+    classes = len(model.constant)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, weight = np.zeros((len(model.table) + 1, classes)), 0.0, 0.0
+        for batch in batches:
+            words, count = _listed(batch.column(0))
+            label, each = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            scores = model.scores(words, count)
+            scores -= scores.max(axis=1, keepdims=True)
+            share = np.exp(scores)
+            share /= share.sum(axis=1, keepdims=True)
+            at = np.arange(len(label))
+            loss -= float((each * np.log(np.maximum(share[at, label], 1e-300))).sum())
+            share[at, label] -= 1
+            share *= each[:, None]
+            np.add.at(total, words, np.repeat(share / np.maximum(count, 1)[:, None], count, axis=0))
+            total[-1] += share.sum(axis=0)
+            weight += float(each.sum())
+        yield pa.RecordBatch.from_pylist([{"total": total.tobytes(), "loss": loss, "weight": weight}], schema=parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, weight = np.zeros((len(model.table) + 1, classes)), 0.0, 0.0
+        for batch in batches:
+            for r in batch.to_pylist():
+                total += np.frombuffer(r["total"]).reshape(total.shape)
+                loss, weight = loss + r["loss"], weight + r["weight"]
+        yield pa.RecordBatch.from_pylist([{"total": total.tobytes(), "loss": loss, "weight": weight}], schema=parts)
+
+    parts = pa.schema([("total", pa.binary()), ("loss", pa.float64()), ("weight", pa.float64())])
+    schema = "total BINARY, loss DOUBLE, weight DOUBLE"
+    found = rows.select("_words", "_label", "_weight").mapInArrow(part, schema).repartition(summing).mapInArrow(add, schema).collect()
+    total = sum(np.frombuffer(r["total"]).reshape(len(model.table) + 1, classes) for r in found)
+    return total, sum(r["loss"] for r in found), sum(r["weight"] for r in found)
+
+
+def fit_epochs(
+    train: DataFrame, ident: str, classes: int, epochs: int, text: str = "text", label: str = "label_id",
+    weight: str | None = None, features: int = 4096, batches: int = 4, rate: float = 2.0, seed: int = 42,
+) -> Iterator[tuple[int, LinearText, float]]:
+    """(epoch, model, mean loss) after each round over all rows, from which training goes on.
+
+    A round takes the rows in ``batches`` parts, dealt by a hash of their id, and makes one step for
+    each part. Class ids are 0 to ``classes`` - 1; rows without text or label are passed over.
+    """
+    part = F.conv(F.substring(stable_key("batch", F.col(ident), seed), 1, 8), 16, 10).cast("bigint") % batches
+    each = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = stage(train.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
+        hashed_words(F.col(text), features).alias("_words"), F.col(label).cast("int").alias("_label"),
+        each.alias("_weight"), part.cast("int").alias("_part")))
+    model = LinearText(np.zeros((features, classes)), np.zeros(classes))
+    steps = np.full((features + 1, classes), 1e-8)
+    for epoch in range(1, epochs + 1):
+        loss = weights = 0.0
+        for number in range(batches):
+            total, some, seen = _gradient(rows.where(F.col("_part") == number), model)
+            if seen:
+                gradient = total / seen
+                steps += gradient ** 2
+                moved = rate * gradient / np.sqrt(steps)
+                model = LinearText(model.table - moved[:-1], model.constant - moved[-1])
+            loss, weights = loss + some, weights + seen
+        yield epoch, model, loss / weights if weights else 0.0
+
+
+def classify_linear(model: LinearText, df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``predicted_id``; a null text has none."""
+    @F.pandas_udf("int")
+    def best(words: pd.Series) -> pd.Series:
+        some = words[words.notna()]
+        count = some.map(len).to_numpy(dtype=np.int64)
+        flat = np.concatenate([np.asarray(w, dtype=np.int64) for w in some]) if len(some) else np.zeros(0, np.int64)
+        found = pd.Series(model.scores(flat, count).argmax(axis=1), index=some.index)
+        return found.reindex(words.index).astype("Int32")
+
+    return df.withColumn("predicted_id", best(hashed_words(F.col(text), len(model.table))))
+
+
+def epoch_metrics(
+    train: DataFrame, test: DataFrame, ident: str, classes: int, epochs: int, label: str = "label_id", **options,
+) -> DataFrame:
+    """(epoch, loss, precision, recall, f1): loss on the training rows, macro metrics on the test rows."""
+    found = []
+    for epoch, model, loss in fit_epochs(train, ident, classes, epochs, label=label, **options):
+        judged = classify_linear(model, test, options.get("text", "text"))
+        scores = precision_recall_f1(class_counts(judged, label, "predicted_id"), average="macro")
+        found.append(scores.select(F.lit(epoch).alias("epoch"), F.lit(loss).alias("loss"), "precision", "recall", "f1"))
+    return reduce(DataFrame.union, found)

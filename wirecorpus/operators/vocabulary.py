@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirecorpus.functions.ordering import number_sorted
 from wirecorpus.operators.catalog import SPECIAL_TOKENS
-from wirecorpus.session import stage
+from wirecorpus.session import drop_paths, stage, stage_at
 
 VOCAB_SIZE = 64_794
 USER_SYMBOLS = ["<packet>", "<flow>", "<pck>"]
 BASE_PIECES = ["<unk>", "<s>", "</s>"]
 SPACE = "▁"
-# each symbol of a word has its own opening and closing mark, so that a merge is a literal
-# replacement and neighbouring matches do not share a mark
-OPEN, CLOSE = "\u0002", "\u0003"
 TOP_PAIRS = 256
+# copies of changed words beside the words, before all are written anew
+MOST_COPIES = 16
 CACHED_WORDS = 200_000
 
 
@@ -42,25 +43,25 @@ def train_vocabulary(
 ) -> tuple[DataFrame, DataFrame]:
     """Byte-pair merges over word counts: (vocab(piece, id, kind), merges(rank, left, right)).
 
-    One round counts neighbouring pairs over distinct words, and applies as many merges of the
-    top of the ranking as one merge at a time would have made in the same order. A merge (a, b)
-    changes only the counts of pairs that end in a or begin with b, and a pair it makes is at
-    most as frequent as one of those; so a run of the ranking without such pairs, all above the
-    first pair behind it, is safe. The driver sees the top of the ranking only, and at most
-    ``vocab_size`` merges. ``exact=False`` skips such pairs instead of stopping at them: far
-    fewer rounds for a large vocabulary, in a slightly other order.
+    Symbols are numbers. Pair counts are kept from round to round: a round looks up the words that
+    hold a merged pair in an inverted table, rewrites these, and adds what changed to the counts. One
+    round applies as many merges of the top of the ranking as one merge at a time would have made in
+    the same order. A merge (a, b) changes only the counts of pairs that end in a or begin with b,
+    and a pair it makes is at most as frequent as one of those; so a run of the ranking without such
+    pairs, all above the first pair behind it, is safe. The driver sees the top of the ranking only,
+    and at most ``vocab_size`` merges. ``exact=False`` skips such pairs instead of stopping at them:
+    far fewer rounds for a large vocabulary, in a slightly other order.
     """
     spark = corpus.sparkSession
-    words = (
+    counted = (
         corpus.select(F.explode(words_of(F.col(text), user_symbols)).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         .filter(~F.col("word").isin(*user_symbols))
     )
-    letters = F.filter(F.split("word", ""), lambda c: c != "")
-    spelled = F.array_join(F.transform(letters, lambda c: F.concat(F.lit(OPEN), c, F.lit(CLOSE))), "")
-    words = stage(words.select("n", spelled.alias("s")))
+    counted = stage(counted.withColumn("w", F.monotonically_increasing_id()))
 
-    alphabet_rows = words.select(F.explode(_symbols(F.col("s"))).alias("c")).distinct().orderBy("c")
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    alphabet_rows = counted.select(F.explode(letters).alias("c")).distinct().orderBy("c")
     room = vocab_size - len(BASE_PIECES) - len(user_symbols)
     # the alphabet is part of the vocabulary, so one that does not fit is an error
     alphabet = [r["c"] for r in alphabet_rows.limit(room + 1).collect()]
@@ -69,19 +70,15 @@ def train_vocabulary(
     wanted = room - len(alphabet)
 
     merges: list[tuple[str, str]] = []
-    symbols = set(alphabet)
+    table = _PairTable(counted, alphabet)
     while len(merges) < wanted:
-        batch = _next_merges(words, wanted - len(merges), symbols, exact)
+        batch = _next_merges(table.top(), wanted - len(merges), set(table.pieces), exact)
         if not batch:
             break
         merges += batch
-        symbols |= {a + b for a, b in batch}
-        rewritten = F.col("s")
-        for left, right in batch:
-            rewritten = F.replace(
-                rewritten, F.lit(f"{OPEN}{left}{CLOSE}{OPEN}{right}{CLOSE}"), F.lit(f"{OPEN}{left}{right}{CLOSE}")
-            )
-        words = words.select("n", rewritten.alias("s")).checkpoint()
+        if len(merges) < wanted:
+            table.merge(batch)
+    table.drop()
 
     pieces = [(p, "control") for p in BASE_PIECES] + [(p, "user") for p in user_symbols]
     known = {p for p, _ in pieces}
@@ -99,36 +96,143 @@ def train_vocabulary(
     return vocab, ranks
 
 
-def _symbols(spelled: Column) -> Column:
-    inner = F.substr(spelled, F.lit(2), F.length(spelled) - 2)
-    return F.split(inner, CLOSE + OPEN)
+class _PairTable:
+    """Words as numbers of pieces, the counts of their neighbouring pairs, and the words of each pair.
+
+    What a round changes is written beside the tables of before; when that has grown, all is written
+    anew and the older copies are deleted. An entry of ``holds`` whose word has lost the pair finds
+    nothing to merge.
+    """
+
+    def __init__(self, counted: DataFrame, alphabet: list[str]) -> None:
+        self.spark, self.pieces = counted.sparkSession, list(alphabet)
+        self.number = {p: i for i, p in enumerate(alphabet)}
+        number, self.round = self.number, 0
+        self.paths: list[str] = []
+        self.last: list[str] = []  # the path of the counts
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = [[number[c] for c in word] for word in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32()))], ["w", "n", "s"])
+
+        spelled = counted.select("w", "n", "word").mapInArrow(spell, "w LONG, n LONG, s ARRAY<INT>")
+        self._rewrite(spelled)
+        pairs = self.words[0].select("n", F.explode(_pairs(F.col("s"))).alias("p"))
+        self.counts = self._write(pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")))
+        self.last = [self.paths[-1]]
+
+    def _write(self, df: DataFrame) -> DataFrame:
+        kept, path = stage_at(df)
+        self.paths.append(path)
+        return kept
+
+    def _rewrite(self, words: DataFrame) -> None:
+        """Words and inverted table as one copy each, in place of all there are."""
+        old, self.paths = self.paths, []
+        words = self._write(words)
+        pairs = words.select("w", F.explode(F.array_distinct(_pairs(F.col("s")))).alias("p")).select("p.a", "p.b", "w")
+        # in the order of the pairs, so that a look-up reads few parts of the files
+        self.holds = [self._write(pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b"))]
+        self.words, self.size, self.changed = [words.withColumn("round", F.lit(0))], words.count(), 0
+        drop_paths(self.spark, [p for p in old if p not in self.last])
+        self.paths += self.last
+
+    def _latest(self, words: DataFrame) -> DataFrame:
+        if len(self.words) == 1:
+            return words.drop("round")
+        newest = F.max_by(F.struct("n", "s"), "round").alias("l")
+        return words.groupBy("w").agg(newest).select("w", "l.n", "l.s")
+
+    def top(self) -> list[tuple[str, str, int]]:
+        """The most frequent pairs, ties by the text of their parts."""
+        texts = self.spark.createDataFrame(list(enumerate(self.pieces)), "id INT, t STRING")
+        side = {x: F.broadcast(texts.toDF(x, f"t{x}")) for x in "ab"}  # as many rows as the vocabulary has
+        rows = self.counts.join(side["a"], "a").join(side["b"], "b").orderBy(F.col("n").desc(), "ta", "tb")
+        return [(r["ta"], r["tb"], r["n"]) for r in rows.limit(TOP_PAIRS).select("ta", "tb", "n").collect()]
+
+    def merge(self, batch: list[tuple[str, str]]) -> None:
+        """Apply merges that do not touch each other to the words that hold one of them."""
+        self.round += 1
+        made: dict[tuple[int, int], int] = {}
+        for left, right in batch:
+            if left + right not in self.number:
+                self.number[left + right] = len(self.pieces)
+                self.pieces.append(left + right)
+            made[self.number[left], self.number[right]] = self.number[left + right]
+        chosen = self.spark.createDataFrame(list(made), "a INT, b INT")
+        pruned = F.col("a").isin(*{a for a, _ in made}) & F.col("b").isin(*{b for _, b in made})
+        holds = reduce(DataFrame.union, [h.filter(pruned) for h in self.holds])
+        touched = holds.join(F.broadcast(chosen), ["a", "b"]).select("w").distinct()
+        current = self._latest(reduce(DataFrame.union, self.words).join(touched, "w", "left_semi"))
+        changed = self._write(current.mapInArrow(_apply(made), "w LONG, n LONG, s ARRAY<INT>, changes ARRAY<STRUCT<a: INT, b: INT, d: INT>>"))
+        deltas = changed.select("n", F.explode("changes").alias("c")).select("c.a", "c.b", (F.col("n") * F.col("c.d")).alias("n"))
+        summed = self.counts.union(deltas).groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 0")
+        old, before = self.last, len(self.paths)
+        self.counts = self._write(summed)
+        self.last = self.paths[before:]
+        drop_paths(self.spark, old)
+        self.paths = [p for p in self.paths if p not in old]
+        self.words.append(changed.select("w", "n", "s", F.lit(self.round).alias("round")))
+        self.holds.append(changed.select("w", F.explode("changes").alias("c")).filter("c.d > 0").select("c.a", "c.b", "w"))
+        self.changed += changed.count()
+        if len(self.words) > MOST_COPIES or self.changed > self.size:
+            self._rewrite(self._latest(reduce(DataFrame.union, self.words)))
+
+    def drop(self) -> None:
+        drop_paths(self.spark, self.paths)
+
+
+def _pairs(symbols: Column) -> Column:
+    last = F.greatest(F.size(symbols) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(symbols, F.lit(1), last).alias("a"), F.slice(symbols, F.lit(2), last).alias("b"))
+
+
+def _apply(made: dict[tuple[int, int], int]):
+    """Rewrite words and list how often each pair comes or goes; words without a merge are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, words, changes = [], [], []
+            for row, symbols in enumerate(batch.column(2).to_pylist()):
+                out, i = [], 0
+                while i < len(symbols):
+                    new = made.get((symbols[i], symbols[i + 1])) if i + 1 < len(symbols) else None
+                    out.append(symbols[i] if new is None else new)
+                    i += 1 if new is None else 2
+                if len(out) < len(symbols):
+                    moved = Counter(zip(out, out[1:]))
+                    moved.subtract(Counter(zip(symbols, symbols[1:])))
+                    kept.append(row)
+                    words.append(out)
+                    changes.append([{"a": a, "b": b, "d": d} for (a, b), d in moved.items() if d])
+            change = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("d", pa.int32())])
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(words, pa.list_(pa.int32())),
+                 pa.array(changes, pa.list_(change))], ["w", "n", "s", "changes"])
+    return run
 
 
 def _next_merges(
-    words: DataFrame, limit: int, symbols: set[str], exact: bool
+    top: list[tuple[str, str, int]], limit: int, symbols: set[str], exact: bool
 ) -> list[tuple[str, str]]:
-    parts = words.select("n", _symbols(F.col("s")).alias("p")).filter(F.size("p") > 1)
-    last = F.size("p") - 1
-    pairs = F.arrays_zip(F.slice("p", F.lit(1), last).alias("a"), F.slice("p", F.lit(2), last).alias("b"))
-    counts = parts.select("n", F.explode(pairs).alias("q")).groupBy("q.a", "q.b").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "a", "b").limit(TOP_PAIRS).collect()
     lefts: set[str] = set()
     rights: set[str] = set()
     made: set[str] = set()
     taken: list[tuple[str, str, int]] = []
     # the ranking may go on behind what was read
-    barrier = top[-1]["n"] if len(top) == TOP_PAIRS else 0
-    for i, row in enumerate(top):
-        a, b = row["a"], row["b"]
+    barrier = top[-1][2] if len(top) == TOP_PAIRS else 0
+    for i, (a, b, n) in enumerate(top):
         if a in rights or b in lefts or {a, b} & made:
             if exact:
-                barrier = row["n"]
+                barrier = n
                 break
             continue
-        taken.append((a, b, row["n"]))
+        taken.append((a, b, n))
         if a + b in symbols | made:
             # a symbol that is there already makes its other pairs more frequent: count again
-            barrier = top[i + 1]["n"] if i + 1 < len(top) else barrier
+            barrier = top[i + 1][2] if i + 1 < len(top) else barrier
             break
         lefts.add(a)
         rights.add(b)

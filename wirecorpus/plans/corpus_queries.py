@@ -11,7 +11,7 @@ from wirecorpus.operators.catalog import (
     PROMPT_VARIANTS, PROMPT_WITH_INPUT, SPACING_REPAIRS, UNDERSTANDING,
 )
 from wirecorpus.plans import fixtures as fx
-from wirecorpus.plans.packet_queries import WORDS_SOURCE_SQL, _words_sql
+from wirecorpus.plans.packet_queries import WORDS_SOURCE_SQL, words_sql
 from wirecorpus.plans.registry import Registry, sql_text
 from wirecorpus.session import stage
 
@@ -334,7 +334,7 @@ def _(spark, sf):
 
 # the whole detection build: frames -> fields -> words -> capped split -> samples -> sizes per class
 @R.add("packet_corpus_by_class", f"""WITH {WORDS_SOURCE_SQL}, fx_words AS (
-  SELECT w.packet_id, w.label, {_words_sql(PACKET_FIELDS)} AS data
+  SELECT w.packet_id, w.label, {words_sql(PACKET_FIELDS)} AS data
   FROM fx_all w LEFT JOIN fx_features f ON w.packet_id = f.packet_id WHERE w.proto IN (6, 17)
 ), built AS (
   SELECT label, split, {template_case(DETECTION_TEMPLATES, 'packet', "'EMD'")} || chr(10) || '<packet>: ' || data AS instruction

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from wirecorpus.functions.octets import quotient
 from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_rows, number_sorted
-from wirecorpus.operators import chat, corpus, metrics
+from wirecorpus.operators import chat, corpus, metrics, packets
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.corpus_queries import (
     CORPUS_SQL, CORRECTIONS_SQL, LABELS_SQL, LEGACY_TASK, SENTENCE, _split_sql, label_ids, template_case,
 )
-from wirecorpus.operators.catalog import LEGACY_TEMPLATES
-from wirecorpus.plans.metric_queries import ENCODED_SQL, encoded, six
+from wirecorpus.operators.catalog import LEGACY_TEMPLATES, PACKET_FIELDS
+from wirecorpus.plans.metric_queries import ENCODED_SQL, GENERATED_SQL, encoded, six
+from wirecorpus.plans.packet_queries import WORDS_SOURCE_SQL, words_sql
 from wirecorpus.plans.registry import Registry
 from wirecorpus.plans.token_queries import MESSAGES_SQL, MIXED_SQL, flat
 from wirecorpus.session import checkpoint_base
@@ -44,19 +45,14 @@ def _(spark, sf):
         "capture", "super_label", "label", "frame_no", F.lower(F.hex("frame")).alias("frame_hex"))
 
 
-TSV_FIELDS = ["frame.number", "ip.src", "tcp.dstport", "udp.dstport", "tcp.payload"]
-
-
-@R.add("a3_read_fields_tsv", f"""WITH {fx.PACKETS_SQL}
-SELECT 'frame.number: ' || frame_no || ', ip.src: ' || src || CASE WHEN proto = 6 THEN ', tcp.dstport: ' || dport ELSE '' END
-  || CASE WHEN proto = 17 THEN ', udp.dstport: ' || dport ELSE '' END
-  || CASE WHEN proto = 6 AND payload_hex <> '' THEN ', tcp.payload: ' || substr(payload_hex, 1, 1000) ELSE '' END AS words FROM fx_packets""")
+@R.add("a3_read_fields_tsv", f"""WITH {WORDS_SOURCE_SQL}
+SELECT {words_sql(PACKET_FIELDS)} AS words
+FROM fx_all w LEFT JOIN fx_features f ON w.packet_id = f.packet_id WHERE w.proto IN (6, 17)""")
 def _(spark, sf):
     path = folder(spark, "fields")
-    only = lambda proto, c: F.when(F.col("proto") == proto, F.col(c).cast("string")).otherwise("")
-    line = F.concat_ws("\t", F.col("frame_no").cast("string"), "src", only(6, "dport"), only(17, "dport"), only(6, "payload_hex"))
-    fx.packets(spark, sf).select(line.alias("value")).write.text(path)
-    return files.words_of_fields(files.read_fields_tsv(spark, path, TSV_FIELDS), TSV_FIELDS).select("words")
+    texts = packets.packet_fields(fx.frames(spark, sf)).select(F.concat_ws("\t", *packets.field_texts()).alias("value"))
+    texts.write.text(path)
+    return files.words_of_fields(files.read_fields_tsv(spark, path)).select("words")
 
 
 @R.add("k1_write_corpus", f"WITH {CORPUS_SQL} SELECT split, instruction, output FROM {_split_sql('fx_corpus', 'packet_id', 100, 0.95)}")
@@ -174,6 +170,26 @@ for _name, (_, _sql) in REPORT_TABLES.items():
     R.add(f"k10_write_{_name}", _sql)(_report(_name))
 
 
+@R.add("k8_generation_lists", f"WITH {GENERATED_SQL} SELECT label, position // 1000 AS part, string_agg(text, '|' ORDER BY position) AS texts FROM fx_generated GROUP BY ALL")
+def _(spark, sf):
+    path = folder(spark, "generations")
+    sinks.write_generation_lists(metrics.generation_lists(metrics.generated_by_label(fx.predictions(spark, sf), "sample_id")), path)
+    back = spark.read.schema("label STRING, part BIGINT, texts ARRAY<STRING>").json(path)
+    return back.select("label", "part", F.array_join("texts", "|").alias("texts"))
+
+
+@R.add("k11_run_metrics", f"""WITH {fx.LOG_SQL}, c AS (SELECT run, epoch, max(step) FILTER (phase = 'train')::DOUBLE AS tr, max(step) FILTER (phase = 'eval')::DOUBLE AS ev FROM fx_log GROUP BY 1, 2)
+SELECT run, '{{"epochs":[' || string_agg(epoch::VARCHAR, ',' ORDER BY epoch) || '],"train_losses":[' || string_agg(tr::BIGINT || '.0', ',' ORDER BY epoch)
+  || '],"eval_losses":[' || string_agg(ev::BIGINT || '.0', ',' ORDER BY epoch) || '],"current_epoch":' || max(epoch) || '}}' AS metrics FROM c GROUP BY 1""")
+def _(spark, sf):
+    path = folder(spark, "runs")
+    rows = fx.train_log(spark, sf).groupBy("run", "epoch", "phase").agg(F.max("step").cast("double").alias("loss"))
+    sinks.write_run_metrics(metrics.run_metrics_json(rows), path)
+    # the time a run was written at differs from run to run
+    body = F.regexp_replace("value", r',"timestamp":"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d"\}$', "}")
+    return spark.read.schema("value STRING, run INT").text(path).select("run", body.alias("metrics"))
+
+
 # samples of an array file, dialogs of a list, and tasks of a registry, so that files stay of bounded size
 PER_FILE = 500
 

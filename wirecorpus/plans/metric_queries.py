@@ -241,12 +241,6 @@ def _(spark, sf):
     return metrics.generated_by_label(fx.predictions(spark, sf), "sample_id")
 
 
-@R.add("k8_generation_lists", f"WITH {GENERATED_SQL} SELECT label, position // 1000 AS part, string_agg(text, '|' ORDER BY position) AS texts FROM fx_generated GROUP BY ALL")
-def _(spark, sf):
-    lists = metrics.generation_lists(metrics.generated_by_label(fx.predictions(spark, sf), "sample_id"))
-    return lists.select("label", "part", F.array_join("texts", "|").alias("texts"))
-
-
 EPOCHS_SQL = fx.LOG_SQL + """, fx_epochs AS (
   SELECT run, epoch, phase, sum(CASE WHEN isnan(loss) THEN 0 ELSE loss END) / count(*) AS loss, sum(seconds) AS seconds,
     exp(sum(CASE WHEN isnan(loss) THEN 0 ELSE loss END) / count(*)) AS perplexity
@@ -280,24 +274,16 @@ def _epoch_eval_sql(cumulative: bool) -> str:
     hits, n = ("sum(h) OVER (ORDER BY epoch)", "sum(n) OVER (ORDER BY epoch)") if cumulative else ("h", "n")
     return f"""WITH {ENCODED_SQL}, {fx.LOG_SQL}, s AS (
   SELECT epoch, sum(CASE WHEN true_id = predicted_id THEN 1 ELSE 0 END) AS h, count(*) AS n FROM fx_scored GROUP BY 1
-), l AS (SELECT epoch, avg(loss) AS l FROM fx_log WHERE phase = 'eval' AND NOT isnan(loss) AND epoch < 3 GROUP BY 1)
+), l AS (SELECT epoch, avg(loss) FILTER (NOT isnan(loss)) AS l FROM fx_log WHERE phase = 'eval' GROUP BY 1)
 SELECT epoch, ({n})::BIGINT AS n, round(({hits}) / ({n}), 6) AS accuracy, round(coalesce(l, 0), 6) AS eval_loss FROM s LEFT JOIN l USING (epoch)"""
 
 
 def _epoch_eval(cumulative: bool):
     def query(spark, sf):
-        losses = fx.train_log(spark, sf).filter("phase = 'eval' AND NOT isnan(loss) AND epoch < 3")
+        losses = fx.train_log(spark, sf).filter("phase = 'eval'")
         return six(metrics.epoch_evaluations(scored(spark, sf), losses, cumulative))
     return query
 
 
 R.add("e18_epoch_evaluations", _epoch_eval_sql(True))(_epoch_eval(True))
 R.add("e18_epoch_evaluations_single", _epoch_eval_sql(False))(_epoch_eval(False))
-
-
-@R.add("k11_run_metrics", f"""WITH {fx.LOG_SQL}, c AS (SELECT run, epoch, max(step) FILTER (phase = 'train')::DOUBLE AS tr, max(step) FILTER (phase = 'eval')::DOUBLE AS ev FROM fx_log GROUP BY 1, 2)
-SELECT run, '{{"epochs":[' || string_agg(epoch::VARCHAR, ',' ORDER BY epoch) || '],"train_losses":[' || string_agg(tr::BIGINT || '.0', ',' ORDER BY epoch)
-  || '],"eval_losses":[' || string_agg(ev::BIGINT || '.0', ',' ORDER BY epoch) || '],"current_epoch":' || max(epoch) || '}}' AS metrics FROM c GROUP BY 1""")
-def _(spark, sf):
-    rows = fx.train_log(spark, sf).groupBy("run", "epoch", "phase").agg(F.max("step").cast("double").alias("loss"))
-    return metrics.run_metrics_json(rows)

@@ -129,7 +129,7 @@ def _hex8(x: str) -> str:
     return f"'0x' || lpad(lower(to_hex(({x})::BIGINT)), 8, '0')"
 
 
-def _words_sql(fields: list[str]) -> str:
+def words_sql(fields: list[str]) -> str:
     """Words of a decoded packet, from SQL values by field name."""
     tcp = lambda x: f"CASE WHEN w.proto = 6 THEN ({x})::VARCHAR END"
     udp = lambda x: f"CASE WHEN w.proto = 17 THEN ({x})::VARCHAR END"
@@ -196,14 +196,14 @@ WORDS_SOURCE_SQL = STREAM_FEATURES_SQL + ", fx_frames AS " + fx.frame_sql(
 
 
 @R.add("b6_traffic_words", f"""WITH {WORDS_SOURCE_SQL}
-SELECT w.packet_id, {_words_sql(PACKET_FIELDS)} AS words
+SELECT w.packet_id, {words_sql(PACKET_FIELDS)} AS words
 FROM fx_all w LEFT JOIN fx_features f ON w.packet_id = f.packet_id WHERE w.proto IN (6, 17)""")
 def _(spark, sf):
     return packets.traffic_words(packets.packet_fields(fx.frames(spark, sf))).select("packet_id", "words")
 
 
 @R.add("b7_server_words", f"""WITH {WORDS_SOURCE_SQL}
-SELECT w.capture, {_words_sql(SERVER_FIELDS)} AS words
+SELECT w.capture, {words_sql(SERVER_FIELDS)} AS words
 FROM fx_all w LEFT JOIN fx_features f ON w.packet_id = f.packet_id WHERE w.proto IN (6, 17)
 QUALIFY row_number() OVER (PARTITION BY w.capture ORDER BY w.frame_no) = 1""")
 def _(spark, sf):

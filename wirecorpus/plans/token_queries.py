@@ -194,6 +194,15 @@ def _(spark, sf):
         "conv_id", "turn", joined("input_ids"), joined("output_ids"))
 
 
+@R.add("t13_combined_examples", f"""WITH {TURNS_SQL}, l AS (SELECT conv_id, max(pos) AS last FROM fx_stream WHERE t = 151337 GROUP BY 1)
+SELECT conv_id, array_to_string(list_concat(list_concat([151331, 151333], list(t ORDER BY pos))[:200], [151331]), ' ') AS input_ids,
+  array_to_string(list_concat(coalesce(list(t ORDER BY pos) FILTER (pos >= last), []), [151336])[:40], ' ') AS output_ids
+FROM fx_stream JOIN l USING (conv_id) GROUP BY conv_id""")
+def _(spark, sf):
+    return chat.combined_examples(fx.dialog_tokens(spark, sf), 200, 40).select(
+        "conv_id", joined("input_ids"), joined("output_ids"))
+
+
 @R.add("t13_multi_turn_dropped", f"WITH {TURNS_SQL} SELECT conv_id, turn, first_pos AS context_tokens FROM turns WHERE role = 'assistant' AND first_pos >= 200")
 def _(spark, sf):
     return chat.multi_turn_dropped(fx.dialog_tokens(spark, sf), 200)

@@ -48,27 +48,39 @@ def checkpoint_base(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables staged so far; call it when the results that read them are written."""
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete staged tables that nothing reads any more."""
     conf = spark._jsc.hadoopConfiguration()
     dropped = 0
-    while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         dropped += path.getFileSystem(conf).delete(path, True)
+        if name in _STAGED:
+            _STAGED.remove(name)
     return dropped
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged so far; call it when the results that read them are written."""
+    return drop_paths(spark, list(_STAGED))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read, and read it back.
 
     The steps then scan only the columns they need, nothing is recomputed, and a lost executor
     costs no more than its own tasks.
     """
+    return stage_at(df)[0]
+
+
+def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """A staged table and its path, for ``drop_paths``."""
     spark = df.sparkSession
     path = f"{checkpoint_base(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def spread(df: DataFrame) -> DataFrame:

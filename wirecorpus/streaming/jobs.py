@@ -196,11 +196,25 @@ def running_evaluation(scored: DataFrame, table: str, checkpoint: str) -> Stream
 
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over what is there into a table, and read the table."""
+    return drain_counted(stream)[0]
+
+
+def drain_counted(stream: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The table of a drained stream, and the number of its batches and of rows that came too late.
+
+    Late rows are those that stateful steps passed over as older than the watermark.
+    """
     spark = stream.sparkSession
     base = f"{checkpoint_base(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/rows")
         .option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    late: dict[int, int] = {}
+    done = False
+    while not done:  # progress of the last batches only is kept, so it is looked at on the way
+        done = query.awaitTermination(2)
+        for progress in query.recentProgress:
+            late[progress.batchId] = sum(o.numRowsDroppedByWatermark for o in progress.stateOperators)
+    counts = {"batches": len(late), "late": sum(late.values())}
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows"), counts
