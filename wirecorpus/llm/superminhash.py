@@ -388,31 +388,41 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     """The rows of ``docs`` with one document left of each component, all columns kept.
 
     Rows of one id and equal words are one document. Rows without words are never duplicates of
-    others with another id.
+    others with another id. Columns of any name are handed on as they are.
     """
     judged = near_duplicates(docs, words, percent, doc_id, text)
-    stay = stage(judged.where("representative").select(F.col("doc_id").alias("_near_id"), F.col("key").alias("_near_key")))
+    ident, key, word_key = (_free(docs, name) for name in ("_near_id", "_near_key", "_near_word_key"))
+    stay = stage(judged.where("representative").select(F.col("doc_id").alias(ident), F.col("key").alias(key)))
     named = F.col(doc_id).cast("long")
-    keyed = docs.withColumn("_near_word_key", equal_words_key(F.col(text)))
-    left = keyed.join(
-        stay, named.eqNullSafe(F.col("_near_id")) & (F.col("_near_word_key") == F.col("_near_key")), "left_semi")
-    repeated = stay.groupBy("_near_id", "_near_key").count().where("count > 1")
+    keyed = docs.withColumn(word_key, equal_words_key(F.col(text)))
+    left = keyed.join(stay, named.eqNullSafe(F.col(ident)) & (F.col(word_key) == F.col(key)), "left_semi")
+    repeated = stay.groupBy(ident, key).count().where("count > 1")
     if not repeated.isEmpty():
-        left = left.dropDuplicates([doc_id, "_near_word_key"])
-    return left.drop("_near_word_key")
+        left = left.dropDuplicates([doc_id, word_key])
+    return left.drop(word_key)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the rows do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, comp) of the nodes that are linked with another one."""
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("bucket")
+    shared = stage(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("bucket"))
     members = stage(placed.join(shared, "bucket").select("bucket", "node", "n"))
     sets = stage(_shingle_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), words))
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     open_ = members.withColumn("comp", F.col("node"))
     for many in CENTRES:
         salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many)) if many > 1 else F.lit(0)
-        centres = (
+        # what is joined on the bucket is staged: the join then has two plain sides, and members of a
+        # bucket that holds many are not all sent to one task
+        centres = stage(
             open_.groupBy("bucket", salt.alias("_salt")).agg(F.min(F.struct("node", "comp", "n")).alias("c"))
             .select("bucket", F.col("c.node").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.n").alias("centre_n"))
         )
@@ -427,9 +437,9 @@ def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) ->
         labels = _merged(labels, stage(_verified(pairs, sets, percent)))
         open_ = _still_open(open_, labels)
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    sized = open_.groupBy("bucket").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_nodes")).select(
+    sized = stage(open_.groupBy("bucket").agg(F.sum("n").alias("_shingles"), F.count(F.lit(1)).alias("_nodes")).select(
         "bucket",
-        F.greatest(F.ceil(F.col("_shingles") / BLOCK_SHINGLES), F.ceil(F.col("_nodes") / BLOCK_NODES)).alias("blocks"))
+        F.greatest(F.ceil(F.col("_shingles") / BLOCK_SHINGLES), F.ceil(F.col("_nodes") / BLOCK_NODES)).alias("blocks")))
     open_ = stage(open_.join(sized, "bucket").withColumn("block", block))
     labels = _merged(labels, stage(_block_links(open_, sets, percent)))
     open_ = _still_open(open_.where("blocks > 1"), labels)
@@ -472,4 +482,4 @@ def _still_open(open_: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their components of now, of the buckets that hold several."""
     current = open_.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = current.groupBy("bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    return stage(current.join(several.select("bucket"), "bucket"))
+    return stage(current.join(stage(several.select("bucket")), "bucket"))
