@@ -68,6 +68,53 @@ def test_field_tells_boilerplate_lines():
     assert all(all(x) for x in labels[1:10]) and not any(any(x) for x in labels[10:])
 
 
+def quality_texts(rnd, many):
+    """Texts of lines that are content, or mostly boilerplate of several kinds."""
+    good = ["\n".join(invented(rnd, rnd.randint(8, 40)).capitalize() + "." for _ in range(rnd.randint(3, 12))) for _ in range(many)]
+    odd = [lambda: f"{invented(rnd, 3)} | {invented(rnd, 2)} | {invented(rnd, 1)}", lambda: "$$$ BUY NOW!!! " + invented(rnd, 2).upper(),
+           lambda: f"### {rnd.randint(0, 999)} ### %%%", lambda: "click here click here click here"]
+    bad = ["\n".join(rnd.choice(odd)() for _ in range(rnd.randint(3, 12))) for _ in range(many)]
+    return good, bad
+
+
+def test_lines_of_mixed_documents_are_told_apart():
+    """Runs of boilerplate in documents held out, and of content in boilerplate: single lines are right."""
+    rnd = random.Random(21)
+    good, bad = quality_texts(rnd, 60)
+    model = line_crf.train(good[:40] + bad[:40], [1] * 40 + [0] * 40)
+    texts, marks = line_crf.spliced(good[40:] + bad[40:], [1] * 20 + [0] * 20, seed=3)
+    assert [t.count("\n") + 1 for t in texts] == [len(m) for m in marks] and len(texts) == 40
+    _, labels, share, _, _ = line_crf._verdict(texts, model)
+    assert np.concatenate([a == b for a, b in zip(labels, marks)]).mean() > 0.95
+    assert np.mean((share > 0) & (share < 1)) > 0.9
+    whole = line_crf._verdict(good[40:] + bad[40:], model)[2]
+    assert (whole[:20] > 0.9).all() and (whole[20:] < 0.1).all()
+
+
+def test_shares_and_verdicts_are_those_of_a_plain_loop(spark):
+    """Every labelling of short chains tried, with a fitted model; content words and verdict counted by hand."""
+    rnd = random.Random(22)
+    good, bad = quality_texts(rnd, 30)
+    model = line_crf.train(good + bad, [1] * 30 + [0] * 30)
+    texts = [t for t in line_crf.spliced(good, [1] * 30)[0] + good[:10] + bad[:10]]
+    texts += [g + "\n" + b for g, b in zip(good[10:20], bad[10:20])]
+    texts = ["\n".join(t.split("\n")[:10]) for t in texts]
+    rows = {r.doc_id: r for r in line_crf.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        lines = line_crf.Lines([text])
+        emit = [[sum(model.emit[f][c] for f in features) for c in (0, 1)] for features in lines.active.tolist()]
+
+        def score(path):
+            return sum(e[c] for e, c in zip(emit, path)) + sum(model.move[a][b] for a, b in zip(path, path[1:]))
+
+        paths = [[m >> i & 1 for i in range(len(emit))] for m in range(2 ** len(emit))]
+        best = max(map(score, paths))
+        words = [len(WORD.findall(line)) for line in text.split("\n")]
+        shares = {sum(w * c for w, c in zip(words, p)) / max(1, sum(words)) for p in paths if score(p) > best - 1e-9}
+        assert any(abs(rows[k].content_share - s) < 1e-9 for s in shares)
+        assert rows[k].kept == (not rows[k].base_failed and rows[k].content_share >= 0.5)
+
+
 def test_quality_rules_on_the_corpus(corpus, corpus_labels):
     """Clean documents stay, labelled junk goes."""
     model = line_crf.fit(corpus, corpus_labels)
@@ -79,6 +126,15 @@ def test_quality_rules_on_the_corpus(corpus, corpus_labels):
     assert kept == {r.doc_id for r in line_crf.judge(corpus, model).where("kept").collect()}
 
 
+def test_one_of_each_hands_on_any_columns(spark, docs):
+    """Names that the operator uses itself stay as they are, with their values."""
+    named = docs.selectExpr("*", "doc_id AS _near_id", "text AS _near_key", "'v' AS _near_word_key", "1 AS node", "2 AS comp")
+    rows = superminhash.one_of_each(named).collect()
+    assert superminhash.one_of_each(named).columns == named.columns
+    assert all(r._near_id == r.doc_id and r._near_key == r.text and r._near_word_key == "v" for r in rows)
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in superminhash.one_of_each(docs).collect())
+
+
 # op4 -------------------------------------------------------------------------------------------
 
 def test_shards(docs, none, pairs):
@@ -154,6 +210,62 @@ def test_unlearned_languages_and_gibberish_are_rejected(corpus, unlearned):
     assert kept([r.text for r in rows if r.lang != unlearned]) > 0.97
 
 
+def plain_bucket(octets):
+    """Bucket of a subword, with plain integers."""
+    mask = (1 << 64) - 1
+    x = 0
+    for o in octets:
+        x = (x * 0x100000001B3 + o + 1) & mask
+    x = (x + len(octets)) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return (x ^ (x >> 31)) % langid.BUCKETS
+
+
+def test_predictions_are_those_of_plain_sums(spark, corpus):
+    """Average of the rows of all subwords, constant, softmax, fluency: one text after the other."""
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"
+    model = langid.fit(corpus.where(f"not ({held})"))
+    texts = [r.text for r in corpus.where(held).limit(12).collect()] + ["é", "Été 12 à", "x", "zq qz"]
+    rows = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        octets = [o if o > 127 else ord(chr(o).lower()) if chr(o).isalpha() else 32 for o in b" " + text.encode() + b" "]
+        buckets = []
+        for n in range(1, 5):
+            for a in range(len(octets) - n + 1):
+                part = octets[a: a + n]
+                if 32 not in part[1:-1] and set(part) != {32}:
+                    buckets.append(plain_bucket(part))
+        logits = model.bias + np.mean([model.table[b] for b in buckets], axis=0, dtype=np.float64)
+        share = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        best = int(share.argmax())
+        assert rows[k].lang_pred == model.languages[best] and rows[k].score == pytest.approx(share[best], abs=1e-4)
+        fluency = np.mean([model.usual[b, best] for b in buckets], dtype=np.float64) + 2 * model.spread[best] / np.sqrt(len(buckets))
+        if abs(fluency - model.least[best]) > 1e-3:
+            assert rows[k].rejected == (fluency < model.least[best])
+
+
+def test_training_spans_make_up_the_text():
+    rng = np.random.default_rng(1)
+    for text in ["", "a", "é" * 3000, invented(random.Random(3), 900)]:
+        spans = langid._spans(text.encode(), rng)
+        assert b"".join(spans) == text.encode() and all(s.decode() for s in spans)
+        assert max(map(len, spans), default=0) <= langid.SPANS[1] + 3
+
+
+def test_all_languages_are_learned_from_one_pass(spark):
+    """More labels than any bound of before, one of them a third of all rows."""
+    rnd = random.Random(5)
+    alphabet = {f"l{k}": "".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 6)) for k in range(12)}
+    rows = [(i, " ".join("".join(rnd.choices(alphabet[lang], k=4)) for _ in range(20)), lang)
+            for i, lang in enumerate([f"l{i % 12}" for i in range(240)] + ["l0"] * 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=15)
+    assert model.languages == sorted(alphabet)
+    right = [r.lang_pred == r.lang for r in langid.predict(docs, model).join(docs, "doc_id").collect()]
+    assert np.mean(right) > 0.9
+
+
 def test_subwords_are_those_of_a_plain_loop():
     text = "Ab é, x1y"
     octets = [c if chr(c).isalpha() or c > 127 else 32 for c in b" ab \xc3\xa9, x1y "]

@@ -20,15 +20,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from wirecorpus.llm.common import by_slice, runs
 from wirecorpus.llm.superminhash import mix
 
 BUCKETS, DIMENSIONS, LONGEST = 1 << 16, 16, 4
-# labelled documents used for fitting, per language, and the languages considered at most
-PER_LANGUAGE, LANGUAGES = 800, 200
-SPAN, SPANS = 240, 4
+# labelled documents used for fitting, per language
+PER_LANGUAGE = 800
+# octets of the spans that training texts are cut into, and of a short one that stands for a short text
+SPANS, SPAN = (8, 1024), 240
 # so much worse it is to reject a share of good texts than to keep that share of others
 CARE = 20
 # the middle of all that costs at most so much more than the best is taken
@@ -102,10 +103,21 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _spans(text: bytes, rng: np.random.Generator) -> list[bytes]:
+    """The text in consecutive spans of very different sizes, cut between code points."""
+    cut, low, high = [0], *np.log2(SPANS)
+    while cut[-1] < len(text):
+        end = min(cut[-1] + int(2 ** rng.uniform(low, high)), len(text))
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end += 1
+        cut.append(end)
+    return [text[a:b] for a, b in zip(cut, cut[1:])]
+
+
 def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 40.0, seed: int = 7) -> LanguageModel:
-    """Fit on these texts, in at least so many steps and four rounds over the spans.
+    """Fit on these texts, in at least so many steps and two rounds over the spans.
 
-    One text of five is kept apart for the temperature and the fluency asked for.
+    The spans of a text make up the whole text. One text of five is kept apart for the temperature and the fluency asked for.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -117,11 +129,9 @@ def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 4
     spans, marks = [], []
     for i, (t, lang) in enumerate(zip(raw, labels)):
         if i % 5 and _LETTER.search(texts[i]):
-            for _ in range(SPANS):
-                size = int(rng.integers(8, SPAN))
-                at = int(rng.integers(0, max(1, len(t) - size)))
-                spans.append(t[at: at + size])
-                marks.append(number[lang])
+            cut = _spans(t, rng)
+            spans += cut
+            marks += [number[lang]] * len(cut)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer = np.zeros((DIMENSIONS, len(languages)), dtype=np.float32)
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
@@ -129,7 +139,7 @@ def train(texts: list[str], labels: list[str], steps: int = 640, rate: float = 4
     marks = np.array(marks, dtype=np.int64)
     done, batch = 0, 64
     each = max(1, -(-len(spans) // batch))
-    epochs = max(4, -(-steps // each)) if spans else 0
+    epochs = max(2, -(-steps // each)) if spans else 0
     for _ in range(epochs):
         order = rng.permutation(len(spans))
         for a in range(0, len(order), batch):
@@ -251,20 +261,18 @@ def _logits(model: LanguageModel, texts: list[bytes], parts: list[tuple[np.ndarr
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Train on at most ``per_language`` documents of each label, the first by md5 of their ids.
 
-    Rows without label, id or text are passed over; of more than ``LANGUAGES`` labels the most
-    frequent count. No labelled row gives a model without languages, which rejects everything.
+    Rows without label, id or text are passed over. The rows are chosen from ids and labels alone, in
+    one pass for all languages; one without text still counts as chosen. A model has 0.5 MB per
+    language. No labelled row gives a model without languages, which rejects everything.
     """
-    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(
+    named = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long").alias("_id"), F.col(lang).alias("_lang"))
-    found = named.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    picked = None
     order = [F.md5(F.col("_id").cast("string")), F.col("_id")]
-    for r in sorted(found, key=lambda r: r["_lang"]):
-        some = named.where(F.col("_lang") == r["_lang"]).orderBy(*order).limit(per_language)
-        picked = some if picked is None else picked.union(some)
-    if picked is None:
-        return train([], [])
+    place = F.row_number().over(W.partitionBy("_lang").orderBy(*order))
+    picked = named.withColumn("_place", place).where(F.col("_place") <= per_language).select("_id", "_lang")
     ids = [(r[0], r[1]) for r in picked.collect()]
+    if not ids:
+        return train([], [])
     chosen = docs.sparkSession.createDataFrame(ids, "_id long, _lang string").distinct()
     rows = (
         docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
@@ -319,7 +327,11 @@ def predict(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text:
 
 
 def keep_rows(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows that ``predict`` does not reject, with all their columns."""
+    """The rows that ``predict`` does not reject, with all their columns.
+
+    A null text and one without a letter are rejected; repeated rows are kept or go together; no row
+    gives no row, and columns of any name are handed on as they are.
+    """
     shared = _shared(docs, model)
     at = docs.columns.index(text)
 

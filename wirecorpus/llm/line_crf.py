@@ -5,8 +5,10 @@ scores content and boilerplate for every line and every step from line to line;
 finds the best labelling of the whole text. The share of words that stand in content lines decides
 whether the text is kept, after base rules on its length and its repeated word windows.
 
-The weights are fitted by gradient ascent on the likelihood of labelled documents, whose lines all
-take their document's label, in numpy, with the forward-backward recursion run on many at once.
+The weights are fitted by gradient ascent on the likelihood of labelled lines, in numpy, with the
+forward-backward recursion run on many chains at once. The lines of a labelled document take its
+label. As such chains never change their label, as many are made that do: a run of lines of a
+document of one class, put into a document of the other.
 """
 
 from __future__ import annotations
@@ -151,28 +153,56 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
     return labels[::-1]
 
 
+def spliced(texts: list[str], labels: list[int], seed: int = 5) -> tuple[list[str], list[np.ndarray]]:
+    """Texts with a run of lines of a text of the other class in them, and the label of each line.
+
+    Every text takes in one run, so there are as many as texts; with one class or none there are none.
+    """
+    rng = np.random.default_rng(seed)
+    by_class = {c: [t.split("\n") for t, x in zip(texts, labels) if x == c] for c in (0, 1)}
+    out, marks = [], []
+    if by_class[0] and by_class[1]:
+        for c in (0, 1):
+            for k, lines in enumerate(by_class[c]):
+                other = by_class[1 - c][int(rng.integers(len(by_class[1 - c])))]
+                size = int(rng.integers(1, len(other) + 1))
+                start, at = int(rng.integers(len(other) - size + 1)), int(rng.integers(len(lines) + 1))
+                out.append("\n".join([*lines[:at], *other[start: start + size], *lines[at:]]))
+                marks.append(np.concatenate([np.full(at, c), np.full(size, 1 - c), np.full(len(lines) - at, c)]))
+    return out, marks
+
+
 def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 1.0, ridge: float = 1e-3) -> LineField:
     """Gradient ascent on the mean log-likelihood of the chains. With one class or none: all content."""
     model = LineField()
     if len(set(labels)) < 2:
         return model
-    active, mark, given = [], [], iter(labels)
-    for part in runs(texts):
+    mixed, marks = spliced(texts, labels)
+    marks = [np.full(t.count("\n") + 1, c) for t, c in zip(texts, labels)] + marks
+    # both classes weigh the same, plain texts as much as mixed ones, and each chain once whatever its length
+    kind = np.array([*labels, *(2 + m[0] for m in marks[len(texts):])])
+    share = 1 / (len(set(kind.tolist())) * np.bincount(kind, minlength=4).clip(1))
+    active, label, weight, number = [], [], [], 0
+    for part in runs(texts + mixed):
         lines = Lines(part)
         for a, b in zip(lines.first, lines.first[1:]):  # long texts give several chains, none is cut off
-            label = next(given)
             for at in range(a, b, CHAIN):
                 active.append(lines.active[at: min(at + CHAIN, b)].copy())
-                mark.append(label)
-    mark = np.array(mark)
+                label.append(marks[number][at - a: at - a + CHAIN])
+                weight.append(share[kind[number]])
+            number += 1
+    weight = np.array(weight)
     size = np.array([len(x) for x in active])
     n, longest = len(active), int(size.max())
     padded = np.zeros((n, longest, len(_MEASURES)), dtype=np.int32)
     for i, x in enumerate(active):
         padded[i, : len(x)] = x
     real = np.arange(longest)[None, :] < size[:, None]
-    # both classes weigh the same, and each chain once whatever its length
-    weight = np.where(mark == 1, 0.5 / max(1, (mark == 1).sum()), 0.5 / max(1, (mark == 0).sum()))
+    given = np.zeros((n, longest, 2))  # one at the label of each line
+    observed = np.zeros((2, 2))
+    for i, x in enumerate(label):
+        given[i, np.arange(len(x)), x] = 1
+        np.add.at(observed, (x[:-1], x[1:]), weight[i] / size[i])
     speed = [np.zeros_like(model.emit), np.zeros_like(model.move)]
     for step in range(steps):
         score = model.emit[padded].sum(axis=2)  # (n, longest, 2)
@@ -192,16 +222,12 @@ def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 1
             went = np.logaddexp(model.move[:, 0] + ahead[:, 0, None], model.move[:, 1] + ahead[:, 1, None])
             backward[:, t] = np.where(real[:, t + 1, None], went, 0.0)
         share = np.exp(forward + backward - total[:, None, None]) * real[:, :, None]
-        error = -share
-        error[np.arange(n), :, mark] += real
-        error *= (weight / size)[:, None, None]
+        error = (given - share) * (weight / size)[:, None, None]
         gradient = np.zeros_like(model.emit)
-        for label in (0, 1):
-            flat = np.repeat(error[:, :, label].reshape(-1), len(_MEASURES))
-            gradient[:, label] = np.bincount(padded.reshape(-1), weights=flat, minlength=FEATURES)
-        moves = -expected
-        for label in (0, 1):
-            moves[label, label] += ((size - 1) * weight / size)[mark == label].sum()
+        for c in (0, 1):
+            flat = np.repeat(error[:, :, c].reshape(-1), len(_MEASURES))
+            gradient[:, c] = np.bincount(padded.reshape(-1), weights=flat, minlength=FEATURES)
+        moves = observed - expected
         for value, g, v in ((model.emit, gradient, speed[0]), (model.move, moves, speed[1])):
             v *= 0.9
             v += g - ridge * value
@@ -230,7 +256,11 @@ def _verdict(texts: list[str], model: LineField):
 
 
 def keep_rows(docs: DataFrame, model: LineField, text: str = "text") -> DataFrame:
-    """The rows that ``judge`` keeps, with all their columns."""
+    """The rows that ``judge`` keeps, with all their columns.
+
+    A null or empty text fails the base rules; repeated rows are kept or go together; no row gives no
+    row, and columns of any name are handed on as they are.
+    """
     at = docs.columns.index(text)
 
     def make():

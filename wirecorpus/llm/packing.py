@@ -88,7 +88,8 @@ def token_pieces(
     """(doc_id, piece, start, length, ids_crc32 [, ids]) of each document's tokens and its end id.
 
     Only a document of more tokens than the capacity is cut. A null text counts as empty: its one
-    piece is the end id.
+    piece is the end id. Repeated rows give repeated pieces, no row gives no piece, and other columns
+    are not read.
     """
     tail = np.array([end_id], dtype="<u4").tobytes()
     width = 4 * capacity
