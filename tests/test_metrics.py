@@ -177,7 +177,7 @@ def test_epochs_go_on_from_one_another(spark):
         found = list(routing.fit_epochs(docs.repartition(many), "id", 3, 3, features=64, batches=2))
         assert [epoch for epoch, _, _ in found] == [1, 2, 3]
         losses = [loss for _, _, loss in found]
-        assert losses == sorted(losses, reverse=True) and losses[-1] < 0.1 * np.log(3)
+        assert losses == sorted(losses, reverse=True) and losses[-1] < 0.2 * np.log(3)
         runs.append(found[-1][1].table)
     assert np.allclose(runs[0], runs[1])
     table = routing.epoch_metrics(docs, docs.filter("id < 200"), "id", 3, 2, features=64).orderBy("epoch").collect()
