@@ -7,8 +7,10 @@ same links; a rare-first one keeps n-grams of many documents out of the prefixes
 bound of an n-gram's count over the whole corpus: the lesser of its own counter and that of its
 rarest word, in a table of counters of fixed size that is added up over all tasks.
 
-Of two documents that share a prefix element, the length filter compares their sizes, the positional
-filter what can still be common before and behind the two places, and the suffix filter the sizes of
+Of two documents that share a prefix element, the length filter compares their sizes, and the
+positional filter what can still be common from the two places on, if that element is the first one
+they share. Distinct pairs that are left meet their prefixes: what these share, and what is left
+behind them, has to be enough, and so has what the suffix filter allows, which compares the sizes of
 the two sets range by range. A pair that passes is compared on whole sets, once.
 
 Documents of equal words are one node. An element that many nodes share is not expanded into all of
@@ -151,8 +153,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> D
     return docs.mapInArrow(by_slice(make, "text"), schema)
 
 
-def _gram_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, grams): the whole set of each wanted (node, doc_id, mark) as packed, sorted hashes."""
+def _gram_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
+    """(node, grams): the whole set of each wanted (node, doc_id, mark) as packed, sorted hashes.
+
+    Rows that repeat an id and a text give a set more than once; these are left out before any set
+    is made.
+    """
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
@@ -165,10 +171,16 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([raw[8 * a: 8 * b] for a, b in zip(ends, ends[1:])], pa.binary())], ["node", "grams"])
 
-    found = docs.alias("d").join(
-        wanted.alias("w"), (F.col("d.mark") == F.col("w.mark")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    # repeated rows give a text twice
-    return found.select("w.node", "d.text").mapInArrow(run, "node long, grams binary").dropDuplicates(["node"])
+    def same(x: str, y: str) -> Column:
+        return (F.col(f"{x}.mark") == F.col(f"{y}.mark")) & F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id"))
+
+    once = docs
+    if not repeated.isEmpty():
+        several = docs.alias("d").join(repeated.alias("r"), same("d", "r"), "left_semi")
+        several = several.join(wanted.alias("w"), same("d", "w"), "left_semi").dropDuplicates(["doc_id", "mark"])
+        once = docs.alias("d").join(repeated.alias("r"), same("d", "r"), "left_anti").union(several)
+    found = once.alias("d").join(wanted.alias("w"), same("d", "w"))
+    return found.select("w.node", "d.text").mapInArrow(run, "node long, grams binary")
 
 
 def _fits(n: Column, m: Column, most: Column, percent: int) -> Column:
@@ -176,8 +188,25 @@ def _fits(n: Column, m: Column, most: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (n + m)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v) components of the distinct pairs (a, b, low, high) that are similar enough on whole sets."""
+def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b, low, high) whose prefixes and ranges leave room for enough common elements.
+
+    Common elements up to the end of the prefix that ends first stand in both prefixes; behind it
+    there are at most as many as that set has left.
+    """
+    columns = ("node", "n", "ranges", "prefix")
+    side = {x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"}
+    n, m = F.col("n_a"), F.col("n_b")
+    inside = F.aggregate(
+        F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    left = F.greatest(n - F.size("prefix_a"), m - F.size("prefix_b"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + left
+    met = pairs.join(side["a"], F.col("a") == F.col("node_a")).join(side["b"], F.col("b") == F.col("node_b"))
+    return met.where(_fits(n, m, inside, percent) & _fits(n, m, most, percent)).select("a", "b", "low", "high")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) components of the pairs (a, b, low, high) that are similar enough on whole sets."""
     def run(batches):
         for batch in batches:
             known, keep = (None, None), []
@@ -191,15 +220,8 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(chosen) for c in batch.columns[3:5]], ["u", "v"])
 
-    side = {x: sizes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "ranges"))) for x in "ab"}
-    common = F.aggregate(
-        F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    left = (
-        pairs.join(side["a"], F.col("a") == F.col("node_a")).join(side["b"], F.col("b") == F.col("node_b"))
-        .where(_fits(F.col("n_a"), F.col("n_b"), common, percent)).select("a", "b", "low", "high")
-    )
     with_sets = (
-        left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
         .select("a", "grams_a", "grams_b", "low", "high")
     )
@@ -209,7 +231,8 @@ def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int)
 def _passing(met: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b, low, high) of rows that hold two nodes, after length and positional filters."""
     n, m, i, j = (F.col(c) for c in ("n", "other_n", "pos", "other_pos"))
-    most = F.least(i, j) + F.least(n - i, m - j)  # before the two places, and from them on
+    # at their first common element two sets have nothing in common before
+    most = F.least(n - i, m - j)
     alike = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _fits(n, m, most, percent)
     return met.where((F.col("comp") != F.col("other_comp")) & alike).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
@@ -228,8 +251,9 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with their components of now, of the elements that hold several."""
     current = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = stage(current.groupBy("gram").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("gram"))
-    return stage(current.join(several, "gram").select("gram", "node", "comp", "n", "pos"))
+    several = current.groupBy("gram").agg(
+        F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("early").alias("_early")).where("_lo < _hi AND _early")
+    return stage(current.join(stage(several.select("gram")), "gram").select("gram", "node", "comp", "n", "pos", "early"))
 
 
 OTHER = {"node": "other", "comp": "other_comp", "n": "other_n", "pos": "other_pos"}
@@ -245,31 +269,48 @@ def _centred(rows: DataFrame, many: int, percent: int) -> DataFrame:
 
 
 def _tiled(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share an element, a group of nodes in tiles."""
-    sized = stage(rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("_tiles")))
-    placed = rows.join(sized, "gram").withColumn("_tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
-    one = placed.select("gram", *OTHER, F.col("_tile").alias("lo"), F.explode(F.sequence("_tile", F.col("_tiles") - 1)).alias("hi"))
+    """Pairs of nodes of different components that share an element, a group of nodes in tiles.
+
+    The smaller node of a pair has the element early, so late rows do not meet each other.
+    """
+    many, early = F.count(F.lit(1)), F.count_if("early")
+    sized = stage(rows.groupBy("gram").agg(F.ceil(early / TILE).alias("_one"), F.ceil(many / TILE).alias("_two")))
+    placed = rows.join(sized, "gram")
+    one = placed.where("early").select(
+        "gram", *OTHER, F.pmod(F.xxhash64("node"), F.col("_one")).alias("lo"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_two") - 1)).alias("hi"))
     two = placed.select(
-        "gram", *(F.col(c).alias(o) for c, o in OTHER.items()), F.col("_tile").alias("hi"),
-        F.explode(F.sequence(F.lit(0).cast("long"), "_tile")).alias("lo"))
-    met = stage(one).join(stage(two), ["gram", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("node") < F.col("other")))
-    return _passing(met, percent)
+        "gram", *(F.col(c).alias(o) for c, o in OTHER.items()), F.pmod(F.xxhash64("node"), F.col("_two")).alias("hi"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_one") - 1)).alias("lo"))
+    return _passing(stage(one).join(stage(two), ["gram", "lo", "hi"]).where(F.col("n") <= F.col("other_n")), percent)
 
 
-def _components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, nodes: DataFrame, repeated: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, comp) of the nodes that are linked with another one."""
     elements = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = stage(elements.groupBy("gram").agg(F.count(F.lit(1)).alias("_many")).where("_many > 1").select("gram"))
-    rows = stage(elements.join(shared, "gram").select("gram", "node", F.col("node").alias("comp"), "n", "pos"))
-    met = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark", "n", "ranges")
-    sizes = stage(met)
-    sets = stage(_gram_sets(docs, sizes.select("node", "doc_id", "mark"), words))
+    # of two sets the smaller one has the first element they share among its first n - a + 1, where a
+    # is what two sets of its size have to share; an element that nobody has so early links nothing
+    early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    elements = elements.withColumn("early", early)
+    shared = elements.groupBy("gram").agg(F.count(F.lit(1)).alias("_many"), F.max("early").alias("_early"))
+    shared = stage(shared.where("_many > 1 AND _early").select("gram"))
+    rows = stage(elements.join(shared, "gram").select("gram", "node", F.col("node").alias("comp"), "n", "pos", "early"))
+    # prefixes and sizes of the nodes that may meet another one; later steps do not read the rest
+    nodes = stage(nodes.drop("key").join(rows.select("node").distinct(), "node", "left_semi"))
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+    sets = None
     for make in [*(lambda r, k=k: _centred(r, k, percent) for k in CENTRES), lambda r: _tiled(r, percent)]:
         if rows.isEmpty():
             break
-        links = stage(_verified(stage(make(rows)), sizes, sets, percent))
-        labels = _joined(labels, links)
+        pairs = stage(_candidates(make(rows), nodes, percent))
+        # whole sets of the nodes that a pair asks for, made once
+        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        wanted = stage(wanted.select("node", "doc_id", "mark"))
+        if sets is None or not wanted.isEmpty():
+            made = stage(_gram_sets(docs, wanted, repeated, words))
+            sets = made if sets is None else sets.union(made)
+        labels = _joined(labels, stage(_verified(pairs, sets, percent)))
         rows = _open(rows, labels)
     return labels
 
@@ -296,7 +337,9 @@ def linked(
             F.min("uid").alias("node"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "mark")).alias("_first"),
             F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.first("prefix").alias("prefix"))
         .select("key", "node", "_first.doc_id", "_first.mark", "n", "ranges", "prefix"))
-    labels = _components(picked, nodes, words, percent)
+    # ids that stand more than once with one text, known before any text is fetched
+    repeated = stage(some.groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"))
+    labels = _components(picked, nodes, repeated, words, percent)
     comps = stage(nodes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("comp", "node").alias("comp")))
     rows = some.select("doc_id", F.col("n").alias("n_shingles"), "key").join(comps, "key")
     least = stage(rows.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
