@@ -160,6 +160,15 @@ def test_dual_stage_reports_empty_prompts(spark):
     assert got[2].final_response == "ustc-tfc-2016-detection-packet/checkpoint-10000/"
 
 
+def test_payloads_are_not_sent_to_all_tasks(spark):
+    # both sides look small by their estimates
+    headers = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'b'), (2L, 'c') AS t(packet_id, header)")
+    payloads = spark.sql("SELECT * FROM VALUES (1L, '00'), (2L, '01'), (3L, '02'), (NULL, '03') AS t(packet_id, payload_hex)")
+    joined = routing.two_part_generation(headers, payloads, "packet_id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == [(1, "a", "00"), (2, "b", "01"), (2, "c", "01")]
+
+
 def test_classifier_learns_separable_texts(spark):
     rows = spark.range(200).select(
         "id", (F.col("id") % 2).cast("int").alias("label_id"),

@@ -173,8 +173,12 @@ def dual_stage(
 
 
 def two_part_generation(headers: DataFrame, payloads: DataFrame, ident: str = "sample_id") -> DataFrame:
-    """Join separately produced header and payload texts of the same sample."""
-    return headers.join(payloads, ident)
+    """Join separately produced header and payload texts of the same sample.
+
+    Both sides have a row per sample. Payloads are long and compress well, so the size of their files
+    tells nothing about them; the hint keeps Spark from sending them to all tasks by it.
+    """
+    return headers.join(payloads.hint("merge"), ident)
 
 
 # --- responses ---------------------------------------------------------------------------------
