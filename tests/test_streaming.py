@@ -88,6 +88,32 @@ def test_an_endless_flow_keeps_a_bounded_state(spark, tmp_path, partitions):
     assert session[:3] == (0, 500_000 * 3999, 4000) and session[5] == ["e0", "e1", "e2"]
 
 
+def test_state_is_called_per_bucket_and_not_per_flow(spark, tmp_path):
+    """300 flows in two buckets over three batches: a bucket has one list and one timer for all its flows."""
+    gap = 1000 * 1_000_000
+    rnd = random.Random(5)
+    rows = [(f"f{rnd.randint(0, 299)}", rnd.randrange(0, 30_000) * 100_000, i, f"p{i}") for i in range(3000)]
+    rows.append(("last", 100 * gap, 9000, "x"))
+    rows.sort(key=lambda r: r[1])
+    schema = "capture STRING, ip_proto INT, end_a STRING, end_b STRING, ts_us BIGINT, order_no BIGINT, piece STRING"
+    for i in range(3):
+        part = packets(rows[1000 * i: 1000 * (i + 1) + (i == 2)])
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+        os.utime(next((tmp_path / f"b{i}").glob("*.parquet")), (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "b*"))
+    flows = jobs.stream_flows(stream, 1000, "0 seconds", k=3, buckets=2)
+    query = (
+        flows.writeStream.format("parquet").option("path", str(tmp_path / "rows"))
+        .option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    timers = [p.stateOperators[0].customMetrics["numRegisteredTimers"] for p in query.recentProgress]
+    assert 0 < max(timers) <= 2
+    got = spark.read.schema(jobs.FLOW_SCHEMA).parquet(str(tmp_path / "rows")).collect()
+    want = [r for r in batch_flows(rows, gap, 3) if r[0] != "last"]
+    assert sorted((r.capture, r.first_us, r.last_us, r.n_packets, r.flow_text) for r in got) == want
+
+
 def test_a_repeated_batch_replaces_its_counts(spark, tmp_path):
     store = jobs.count_batches(str(tmp_path / "c"))
     rows = spark.createDataFrame([(0, 0), (0, 1), (0, 0)], "true_id INT, predicted_id INT")

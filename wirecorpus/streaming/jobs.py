@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -44,6 +45,8 @@ FLOW_SCHEMA = (
     "flow_text STRING")
 # an open session: its bounds, its count and its first pieces
 OPEN_SCHEMA = "first_us BIGINT, last_us BIGINT, n_packets BIGINT, times ARRAY<BIGINT>, orders ARRAY<BIGINT>, pieces ARRAY<STRING>"
+# open sessions are kept together in so many buckets of flows, each read and written in one step
+FLOW_BUCKETS = 4096
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,69 +72,89 @@ def session_parts(packets: DataFrame, gap_us: int, k: int) -> DataFrame:
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for key, flow in rows.groupby(KEY_NAMES, sort=False, dropna=False):
-                listed = sorted(zip(flow["ts_us"], flow["order_no"], flow["piece"]), key=lambda p: p[:2])
-                start = 0
-                for at in range(1, len(listed) + 1):
-                    if at == len(listed) or listed[at][0] - listed[at - 1][0] >= gap_us:
-                        head = listed[start: min(at, start + k)]
-                        out.append((*key, listed[start][0], listed[at - 1][0], at - start, *(list(x) for x in zip(*head))))
-                        start = at
-            names = [field.split()[0] for field in PART_SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=names)
+            flow = rows.groupby(KEY_NAMES, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.lexsort((rows["order_no"].to_numpy(), rows["ts_us"].to_numpy(), flow))
+            rows, flow = rows.iloc[order], flow[order]
+            times, orders, pieces = rows["ts_us"].to_numpy(), rows["order_no"].to_numpy(), rows["piece"].to_numpy()
+            opens = np.ones(len(rows), dtype=bool)
+            opens[1:] = (flow[1:] != flow[:-1]) | (times[1:] - times[:-1] >= gap_us)
+            start = np.flatnonzero(opens)
+            end = np.append(start[1:], len(rows))
+            out = rows.iloc[start][KEY_NAMES].reset_index(drop=True)
+            heads = list(zip(start.tolist(), np.minimum(end, start + k).tolist()))
+            lists = {name: [c[i:j] for i, j in heads] for name, c in (("times", times), ("orders", orders), ("pieces", pieces))}
+            bounds = {"first_us": times[start], "last_us": times[end - 1] if len(rows) else times, "n_packets": end - start}
+            yield out.assign(**bounds, **{name: pd.Series(c, dtype=object) for name, c in lists.items()})
 
     timed = packets.where("ts_us IS NOT NULL").select(*KEY_NAMES, "ts_us", "order_no", "piece")
     return timed.mapInPandas(cut, PART_SCHEMA)
 
 
 class FlowSessions(StatefulProcessor):
-    """Open sessions of a flow; a session goes out when the watermark has passed its last packet by the gap."""
+    """Open sessions of a bucket of flows.
+
+    A session goes out when the watermark has passed its last packet by the gap. Calls to the state
+    cost far more than the sessions in it, so a bucket is read, joined with what came, and written as
+    one list, and has one timer, that of its first session to close.
+    """
 
     def __init__(self, gap_us: int, k: int) -> None:
         self.gap_us, self.k = gap_us, k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", OPEN_SCHEMA)
+        self.open = handle.getListState("open", f"capture STRING, ip_proto INT, end_a STRING, end_b STRING, {OPEN_SCHEMA}")
 
     def _until_ms(self, session: tuple) -> int:
         return -(-(session[1] + self.gap_us) // 1000)
 
-    def _settle(self, key: tuple, sessions: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+    def _settle(self, flows: dict[tuple, list[tuple]], watermark_ms: int) -> Iterator[pd.DataFrame]:
         """Put off what is still open, with a timer, and yield what is closed."""
-        closed = [s for s in sessions if self._until_ms(s) <= watermark_ms]
-        left = [s for s in sessions if self._until_ms(s) > watermark_ms]
+        listed = [(key, s, self._until_ms(s)) for key, sessions in flows.items() for s in sessions]
+        closed = [(key, s) for key, s, until in listed if until <= watermark_ms]
+        left = [(*key, *s) for key, s, until in listed if until > watermark_ms]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if left:
             self.open.put(left)
-            self.handle.registerTimer(min(map(self._until_ms, left)))
+            self.handle.registerTimer(min(until for _, _, until in listed if until > watermark_ms))
         else:
             self.open.clear()
         if closed:
             names = [field.split()[0] for field in FLOW_SCHEMA.split(", ")]
             yield pd.DataFrame(
-                [(*key, *s[:3], PACKET_MARK + PACKET_MARK.join(p for p in s[5] if p is not None)) for s in closed], columns=names)
+                [(*key, *s[:3], PACKET_MARK + PACKET_MARK.join(p for p in s[5] if p is not None)) for key, s in closed], columns=names)
+
+    def _kept(self) -> dict[tuple, list[tuple]]:
+        flows: dict[tuple, list[tuple]] = {}
+        for row in self.open.get():
+            flows.setdefault(tuple(row[:4]), []).append((*row[4:7], *map(list, row[7:])))
+        return flows
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        sessions = [tuple(s) for s in self.open.get()]
+        flows = self._kept()
+        came: dict[tuple, list[tuple]] = {}
         for part in rows:
-            columns = (part[field.split()[0]] for field in OPEN_SCHEMA.split(", "))
-            sessions = joined_sessions(sessions + list(zip(*columns)), self.gap_us, self.k)
-        sessions = [(*(int(x) for x in s[:3]), *([*map(int, x)] for x in s[3:5]), list(s[5])) for s in sessions]
-        yield from self._settle(key, sessions, timerValues.getCurrentWatermarkInMs())
+            proto = [None if pd.isna(p) else int(p) for p in part["ip_proto"]]
+            numbers = (part[name].tolist() for name in ("first_us", "last_us", "n_packets"))
+            lists = ([[*map(int, x)] for x in part[name]] for name in ("times", "orders"))
+            each = zip(part["capture"], proto, part["end_a"], part["end_b"], *numbers, *lists, map(list, part["pieces"]))
+            for row in each:
+                came.setdefault(row[:4], []).append(row[4:])
+        for flow, parts in came.items():
+            parts = flows.get(flow, []) + parts
+            flows[flow] = joined_sessions(parts, self.gap_us, self.k) if len(parts) > 1 else parts
+        yield from self._settle(flows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        sessions = [tuple(s) for s in self.open.get()]
-        yield from self._settle(key, sessions, timerValues.getCurrentWatermarkInMs())
+        yield from self._settle(self._kept(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stream_flows(
-    packets: DataFrame, gap_seconds: int, delay: str, k: int = FLOW_PACKETS
+    packets: DataFrame, gap_seconds: int, delay: str, k: int = FLOW_PACKETS, buckets: int = FLOW_BUCKETS
 ) -> DataFrame:
     """First ``k`` payload pieces per flow session, emitted once the session has been idle.
 
@@ -139,12 +162,14 @@ def stream_flows(
     without a time are passed over, null pieces are counted but not shown. The watermark
     follows the packets' own times. A packet is too late when it is older than the watermark and no
     packet of its session that came with it is in time. State holds, per open session, its bounds,
-    its count and at most k cut pieces, however long it stays open.
+    its count and at most k cut pieces, however long it stays open. ``buckets`` is part of the state:
+    a running stream keeps its number.
     """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     gap_us = gap_seconds * 1_000_000
     timed = session_parts(packets, gap_us, k).withColumn("ts", F.timestamp_micros("last_us")).withWatermark("ts", delay)
-    return timed.groupBy(*KEY_NAMES).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(*KEY_NAMES), F.lit(buckets)).cast("int")
+    return timed.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         FlowSessions(gap_us, k), FLOW_SCHEMA, "Append", "EventTime")
 
 
