@@ -150,3 +150,20 @@ def test_token_files_have_their_encodings_and_page_indexes(docs, tmp_path):
             assert column.has_dictionary_page
         else:
             assert "DELTA_BINARY_PACKED" in column.encodings
+
+
+def test_a_worker_gives_memory_back_around_its_work(monkeypatch):
+    import pyarrow as pa
+
+    from wirecorpus.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+
+    def make():
+        seen.append("made")
+        return lambda batch: seen.append(batch.num_rows) or batch
+
+    batch = pa.RecordBatch.from_pylist([{"text": "x" * 700_000}] * 3)
+    assert len(list(common.by_slice(make, "text")([batch, batch]))) == 6
+    assert seen == ["back", "made", 1, 1, 1, 1, 1, 1, "back"]

@@ -35,6 +35,23 @@ def kept(key: tuple, make: Callable):
     return store[key]
 
 
+def give_back() -> None:
+    """Hand memory that is free inside this process back to the machine.
+
+    A worker serves one stage after another, and what the allocators hold from an earlier stage
+    would count on top of what the next one needs.
+    """
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, octets: int = SLICE_OCTETS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows, each of about so many octets of text, one row at least."""
     if batch.num_rows == 0:
@@ -64,14 +81,20 @@ def runs(texts: list[str], characters: int = SLICE_OCTETS) -> Iterator[list[str]
 
 
 def by_slice(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], column: str, octets: int = SLICE_OCTETS):
-    """A ``mapInArrow`` function: ``make()`` once per task, its result on each slice."""
+    """A ``mapInArrow`` function: ``make()`` once per task, its result on each slice.
+
+    Memory is given back before and after, so that a worker starts a stage without what earlier ones left.
+    """
     def run(batches):
         import pyarrow.compute  # noqa: F401  the workers may not have loaded it
 
+        give_back()
         work = make()
         for batch in batches:
             for part in slices(batch, column, octets):
                 yield work(part)
+        del work
+        give_back()
     return run
 
 
