@@ -128,6 +128,21 @@ def test_a_wrong_boundary_fails_for_any_columns(spark, tmp_path):
         captures.split_counts(shifted)
 
 
+def test_small_captures_share_tasks_and_are_read_once(spark, tmp_path):
+    for i in range(300):
+        put(tmp_path / "web" / f"{i}.pcap", pcap(frames_of(1 + i % 3), unit=1000))
+    put(tmp_path / "web" / "long.pcap", pcap(frames_of(200), unit=1000))
+    assert captures.scan_captures(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    counted = captures.scan_captures(spark, str(tmp_path), split_octets=4_000, counts=True, several=True)
+    assert {r.capture for r in counted.collect()} == {"web/long.pcap"}
+    rows = captures.read_captures(spark, str(tmp_path), split_octets=4_000).collect()
+    numbers = {}
+    for r in rows:
+        numbers.setdefault(r.capture, []).append(r.frame_no)
+    want = {f"web/{i}.pcap": list(range(1, 2 + i % 3)) for i in range(300)} | {"web/long.pcap": list(range(1, 201))}
+    assert {c: sorted(n) for c, n in numbers.items()} == want
+
+
 def test_counts_of_splits_are_those_of_their_records(spark, tmp_path):
     put(tmp_path / "web" / "one.pcap", pcap(frames_of(300), unit=1000))
     put(tmp_path / "web" / "cut.pcap", pcap(frames_of(50), cut=3))

@@ -15,6 +15,7 @@ import os
 import re
 import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -45,7 +46,8 @@ MANIFEST_NAME = re.compile(r"\.captures-[0-9a-f]+\.json")
 # files that are renamed at a time when a job is done
 RENAMES = 32
 DEFAULT_SPLIT_OCTETS = 128 * 1024 * 1024
-OPEN_COST_SHARE = 32
+# opening a file counts as this part of a split: many small captures are read one after another by a task
+OPEN_COST_SHARE = 512
 READ_OCTETS = 4 * 1024 * 1024
 # offsets of the parts of a capture are this far apart
 PART_OCTETS = 1 << 40
@@ -193,8 +195,10 @@ class Manifests:
 class CaptureReader(DataSourceReader):
     def __init__(
         self, root: str, levels: int, split_octets: int, counts: bool = False, names: list[str] | None = None,
+        several: bool = False,
     ):
         self.root, self.levels, self.split_octets, self.counts, self.names = root, levels, split_octets, counts, names
+        self.several = several
 
     def pushFilters(self, filters):
         for f in filters:
@@ -227,6 +231,9 @@ class CaptureReader(DataSourceReader):
             for start in range(0, max(info.size, 1), self.split_octets):
                 end = min(start + self.split_octets, info.size)
                 splits.append(FileSplit(info.path, capture, label, top, start, end, info.size, base))
+        if self.several:
+            many = Counter(s.capture for s in splits)
+            splits = [s for s in splits if many[s.capture] > 1]
         return _grouped(splits, self.split_octets)
 
     def read(self, partition: SplitGroup) -> Iterator[pa.RecordBatch]:
@@ -389,6 +396,7 @@ class CaptureSource(DataSource):
         return CaptureReader(
             self.options["path"], int(self.options.get("levels", "1")),
             int(self.options.get("splitOctets", DEFAULT_SPLIT_OCTETS)), self.options.get("counts") == "true",
+            several=self.options.get("several") == "true",
         )
 
     def writer(self, schema, overwrite: bool) -> CaptureWriter:
@@ -397,11 +405,15 @@ class CaptureSource(DataSource):
 
 def scan_captures(
     spark: SparkSession, root: str, levels: int = 1, split_octets: int = DEFAULT_SPLIT_OCTETS, counts: bool = False,
+    several: bool = False,
 ) -> DataFrame:
-    """Records as found in the files, truncated last records included; or ``counts`` of each split."""
+    """Records as found in the files, truncated last records included; or ``counts`` of each split.
+
+    ``several`` leaves out captures that are one split.
+    """
     spark.dataSource.register(CaptureSource)
     reader = spark.read.format("capture").option("levels", levels).option("splitOctets", split_octets)
-    return reader.option("counts", str(counts).lower()).load(root)
+    return reader.option("counts", str(counts).lower()).option("several", str(several).lower()).load(root)
 
 
 def read_captures(
@@ -411,15 +423,17 @@ def read_captures(
 
     Frame numbers are 1-based per capture. A first pass counts the frames of each file split and
     checks that splits join up; the second adds the counts of the splits before to the place inside
-    the split. No frame is moved or sorted for it, and the first pass hands on no frames at all.
+    the split. No frame is moved or sorted for it, and the first pass hands on no frames at all. A
+    capture that is one split is read from its first octet to its last and needs no first pass.
     ``link_type`` is that of the file; ``decode_headers`` finds the network header by it.
     """
     records = scan_captures(spark, root, levels, split_octets)
-    before = split_counts(scan_captures(spark, root, levels, split_octets, counts=True))
+    before = split_counts(scan_captures(spark, root, levels, split_octets, counts=True, several=True))
     few = before.count() <= SHARED_SPLITS
-    numbered = records.filter(~F.col("truncated")).join(F.broadcast(before) if few else before, ["capture", "start"])
+    numbered = records.filter(~F.col("truncated")).join(F.broadcast(before) if few else before, ["capture", "start"], "left")
     return numbered.select(
-        "capture", "label", "super_label", (F.col("_before") + F.col("ordinal") + 1).alias("frame_no"),
+        "capture", "label", "super_label",
+        (F.coalesce("_before", F.lit(0).cast("bigint")) + F.col("ordinal") + 1).alias("frame_no"),
         quotient(F.col("ts_ns"), 1000).alias("ts_us"),
         (F.col("ts_ns").cast("decimal(20,0)") / F.lit(1_000_000_000)).cast("decimal(20,9)").alias("ts_epoch"),
         "cap_len", "wire_len", "frame", "link_type",
