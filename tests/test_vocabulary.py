@@ -96,3 +96,25 @@ def test_inexact_rounds_reach_the_size(spark, corpus):
 def test_alphabet_must_fit(spark, corpus):
     with pytest.raises(ValueError):
         v.train_vocabulary(corpus, vocab_size=10)
+
+
+def test_words_are_looked_up_once_a_slice(spark, trained, monkeypatch):
+    """Texts of many slices, null, empty and with marks of their own, as word by word; words are cut as by the pattern."""
+    import re
+
+    vocab, merges = trained
+    monkeypatch.setattr(v, "ROWS_TOGETHER", 3)
+    odd = [None, "", "  ", "\u2581 \u2581x a\u2581b", "low <packet>low", "é new\t\n low", "lower " * 50]
+    rows = [(i, odd[i % len(odd)] if i % 2 else TEXT[i % len(TEXT)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id INT, text STRING").coalesce(1)
+    ids = {r.piece: r.id for r in vocab.collect()}
+    rank = {(r.left, r.right): r.rank for r in merges.collect()}
+    pattern = re.compile(v._word_pattern(v.USER_SYMBOLS))
+    got = {r.id: r.ids for r in v.encode(df, vocab, merges).collect()}
+    for i, text in rows:
+        if text is None:
+            assert got[i] is None
+            continue
+        words = [w.group(1) for w in pattern.finditer(v.SPACE + re.sub(r"[ \t\n]+", v.SPACE, text.strip(" ")))]
+        want = [ids.get(p, 0) for w in words for p in ([w] if w in v.USER_SYMBOLS else v._merge_word(w, rank))]
+        assert got[i] == want

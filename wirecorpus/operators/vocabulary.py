@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,6 +24,8 @@ TOP_PAIRS = 256
 # copies of changed words beside the words, before all are written anew
 MOST_COPIES = 16
 CACHED_WORDS = 200_000
+# texts whose words are looked up together
+ROWS_TOGETHER = 256
 
 
 def _word_pattern(symbols: list[str]) -> str:
@@ -34,7 +36,10 @@ def _word_pattern(symbols: list[str]) -> str:
 def words_of(text: Column, symbols: list[str]) -> Column:
     """Words with a leading space mark; user symbols stand alone."""
     marked = F.concat(F.lit(SPACE), F.regexp_replace(F.trim(text), r"\s+", SPACE))
-    return F.regexp_extract_all(marked, F.lit(_word_pattern(symbols)), F.lit(1))
+    found = F.regexp_extract_all(marked, F.lit(_word_pattern(symbols)), F.lit(1))
+    # a text without user symbols is cut at its space marks, which is far cheaper
+    some = reduce(lambda a, b: a | b, [F.contains(marked, F.lit(s)) for s in symbols if s], F.lit(False))
+    return F.when(some, found).otherwise(F.split(marked, f"(?={SPACE})"))
 
 
 def train_vocabulary(
@@ -272,7 +277,8 @@ def encode(
     user_symbols: list[str] = USER_SYMBOLS,
 ) -> DataFrame:
     """Add token ids. The vocabulary (bounded by its size) goes to every worker, and a worker
-    merges a word once while it is cached, so no shuffle is needed."""
+    merges a word once while it is cached, so no shuffle is needed. The words of a batch are looked
+    up once each, and no object is made per word of the text."""
     spark = df.sparkSession
     table = spark.sparkContext.broadcast((
         {r["piece"]: r["id"] for r in vocab.collect()},
@@ -280,18 +286,35 @@ def encode(
         frozenset(user_symbols),
     ))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow.compute as pc
+
         ids, rank, symbols = table.value
         unknown = ids[BASE_PIECES[0]]
 
         @lru_cache(maxsize=CACHED_WORDS)
-        def word_ids(word: str) -> tuple[int, ...]:
+        def word_ids(word: str) -> bytes:
             pieces = [word] if word in symbols else _merge_word(word, rank)
-            return tuple(ids.get(p, unknown) for p in pieces)
+            return np.array([ids.get(p, unknown) for p in pieces], dtype=np.int32).tobytes()
+
+        def encoded(words: pa.Array) -> pa.Array:
+            found = words.flatten().dictionary_encode()
+            coded = [word_ids(w) for w in found.dictionary.to_pylist()]
+            many = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+            which = found.indices.to_numpy(zero_copy_only=False)
+            sizes = many[which]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.arange(ends[-1]) + np.repeat((np.cumsum(many) - many)[which] - ends[:-1], sizes)
+            count = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+            offsets = ends[np.concatenate([[0], np.cumsum(count)])]
+            return pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype=np.int32)[place]),
+                mask=words.is_null())
 
         for words in batches:
-            yield words.map(lambda ws: None if ws is None else [i for w in ws for i in word_ids(w)])
+            parts = [encoded(words.slice(at, ROWS_TOGETHER)) for at in range(0, len(words), ROWS_TOGETHER)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return df.withColumn(out, ids_of(words_of(F.col(text), user_symbols)))
 
