@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirecorpus.functions.octets import quotient
+from wirecorpus.functions.octets import once, quotient
 from wirecorpus.functions.ordering import hash_chunk, in_ranges, running, stable_key
 from wirecorpus.operators.catalog import IGNORE_ID
 
@@ -51,15 +51,17 @@ def masked_examples(
     df: DataFrame, eos_id: int, max_words: int, prompt: str = "prompt_ids", example: str = "example_ids"
 ) -> DataFrame:
     """Fixed-length example; no loss over prompt and padding, zeros in ids and mask over padding."""
-    whole = F.slice(F.concat(F.col(example), F.array(F.lit(eos_id))), 1, max_words)
-    n = F.size(whole)
+    cut = F.slice(F.concat(F.slice(example, 1, max_words), F.array(F.lit(eos_id))), 1, max_words)
+    # what is asked for each of the words is made once per row, never inside the function of a word
+    rows = once(df, _whole=cut, _n_prompt=F.size(prompt))
+    rows = once(rows, _n=F.size("_whole"))
     real = F.sequence(F.lit(0), F.lit(max_words - 1))
-    return df.withColumns({
-        "input_ids": _padded(whole, max_words, 0),
-        "labels": F.transform(_padded(whole, max_words, IGNORE_ID), lambda t, i: F.when(
-            (i < F.size(prompt)), F.lit(IGNORE_ID)).otherwise(t)),
-        "attention_mask": F.transform(real, lambda i: F.when(i < n, 1.0).otherwise(0.0).cast("float")),
-    })
+    return rows.withColumns({
+        "input_ids": _padded(F.col("_whole"), max_words, 0),
+        "labels": F.transform(_padded(F.col("_whole"), max_words, IGNORE_ID), lambda t, i: F.when(
+            (i < F.col("_n_prompt")), F.lit(IGNORE_ID)).otherwise(t)),
+        "attention_mask": F.transform(real, lambda i: F.when(i < F.col("_n"), 1.0).otherwise(0.0).cast("float")),
+    }).drop("_whole", "_n_prompt", "_n")
 
 
 def pack_tokens(
