@@ -1,6 +1,8 @@
 """Plans whose work per row must not grow with the length of the row or be done twice."""
 
-from wirecorpus.operators import examples
+from pyspark.sql import functions as F
+
+from wirecorpus.operators import examples, packets
 
 
 def plan(df):
@@ -16,3 +18,26 @@ def test_masked_examples_cut_once_per_row(spark):
     assert got[1].input_ids == [1, 2, 3, 9, 0, 0] and got[1].labels == [-100, -100, 3, 9, -100, -100]
     assert got[1].attention_mask == [1.0] * 4 + [0.0] * 2
     assert got[2].input_ids == long[:6] and got[2].labels == [-100] * 6
+
+
+def test_headers_are_cut_out_of_octets(spark):
+    head = "ffffffffffff0200000000010800" + "4500002c00070000400600000a000105ac100102"
+    tcp = "9c4001bb" + "00000001" + "00000002" + "6002" + "0400" + "0000" + "0000" + "02040506"
+    frames = spark.createDataFrame([("a/1.pcap", 1, bytearray.fromhex(head + tcp))], "capture STRING, frame_no BIGINT, frame BINARY")
+    decoded = packets.decode_headers(frames)
+    text = plan(decoded)
+    assert "substr(lower" not in text and text.count("conv(") < 60
+    ends = packets.flow_ends(decoded)
+    assert "format_string" not in plan(ends) and "transform(" not in plan(ends)
+    row = ends.collect()[0]
+    assert (row.end_a, row.end_b, row.from_a) == ("010.000.001.005:40000", "172.016.001.002:00443", True)
+    assert (row.eth_src, row.ip_id, row.tcp_ack_raw, row.tcp_hdr_len) == ("02:00:00:00:00:01", 7, 2, 24)
+
+
+def test_ends_of_odd_addresses(spark):
+    rows = spark.createDataFrame(
+        [(6, None, "1.2", 80, None), (17, "2001:0db8::1", "", None, None)],
+        "ip_proto INT, ip_src STRING, ip_dst STRING, tcp_srcport INT, tcp_dstport INT").withColumns(
+        {"udp_srcport": F.when(F.col("ip_proto") == 17, 5), "udp_dstport": F.lit(70)})
+    got = [(r.end_a, r.end_b, r.from_a) for r in packets.flow_ends(rows).orderBy("ip_proto").collect()]
+    assert got == [("001.002:00070", "null:00080", False), ("000:00070", "2001:0db8::1:00005", False)]

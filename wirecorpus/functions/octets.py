@@ -1,4 +1,4 @@
-"""Reading and writing big-endian integers in hex text, and the internet checksum."""
+"""Reading big-endian integers in octets, writing them as hex text, and the internet checksum."""
 
 from __future__ import annotations
 
@@ -10,32 +10,51 @@ def quotient(value: Column, divisor: Column | int) -> Column:
     return F.call_function("div", value, divisor if isinstance(divisor, Column) else F.lit(divisor))
 
 
-def uint_at(hex_text: Column, start: Column | int, octets: int) -> Column:
-    """Unsigned integer of ``octets`` octets at a 0-based octet offset; the text must reach that far."""
+def uint_at(binary: Column, start: Column | int, octets: int) -> Column:
+    """Unsigned integer of ``octets`` octets at a 0-based octet offset; the octets must reach that far.
+
+    A cut of octets costs the same at any place, where a cut of text counts its characters first.
+    """
     start = start if isinstance(start, Column) else F.lit(start)
-    return F.conv(F.substr(hex_text, start * 2 + 1, F.lit(octets * 2)), 16, 10).cast("bigint")
+    return F.conv(F.hex(F.substr(binary, start + 1, F.lit(octets))), 16, 10).cast("bigint")
+
+
+def words_at(name: str, binary: Column, start: Column, n: int, given: Column) -> dict[str, Column]:
+    """Columns of ``n`` successive unsigned integers of four octets, null unless ``given``; for ``part_of``."""
+    return {f"{name}{4 * i}": F.when(given, uint_at(binary, start + 4 * i, 4)) for i in range(n)}
+
+
+def part_of(name: str, start: int, octets: int) -> Column:
+    """Unsigned integer of octets that lie in one word of ``words_at``."""
+    word = F.col(f"{name}{start // 4 * 4}")
+    if octets == 4:
+        return word
+    return F.shiftright(word, 8 * (4 - start % 4 - octets)).bitwiseAND(F.lit((1 << 8 * octets) - 1))
 
 
-def hex_of(value: Column, octets: int) -> Column:
-    """Zero-padded lower-case hex of a non-negative integer."""
-    return F.lower(F.lpad(F.hex(value.cast("bigint")), octets * 2, "0"))
+def hex_digits(value: Column, octets: int) -> Column:
+    """Zero-padded hex of a non-negative integer, in upper case."""
+    return F.lpad(F.hex(value.cast("bigint")), octets * 2, "0")
 
 
 def bit(value: Column, position: int) -> Column:
     return F.shiftright(value, position).bitwiseAND(F.lit(1)).cast("int")
 
 
-def ipv4_text(hex8: Column) -> Column:
-    return F.concat_ws(".", *[uint_at(hex8, i, 1).cast("string") for i in range(4)])
+def ipv4_text(word: Column) -> Column:
+    """Dotted text of an address as an unsigned integer."""
+    octet = lambda i: F.shiftright(word, 24 - 8 * i).bitwiseAND(F.lit(255))
+    return F.concat_ws(".", *[octet(i).cast("string") for i in range(4)])
 
 
-def ipv4_hex(dotted: Column) -> Column:
-    parts = F.split(dotted, r"\.")
-    return F.concat(*[hex_of(parts[i].cast("int"), 1) for i in range(4)])
+def ipv4_hex(parts: Column) -> Column:
+    """Hex of an address whose dotted text is split into ``parts``."""
+    return F.concat(*[hex_digits(parts[i].cast("int"), 1) for i in range(4)])
 
 
-def mac_text(hex12: Column) -> Column:
-    return F.concat_ws(":", *[F.substring(hex12, 1 + 2 * i, 2) for i in range(6)])
+def mac_text(octets: Column) -> Column:
+    """Lower-case text of the first six octets."""
+    return F.lower(F.concat_ws(":", *[F.hex(F.substring(octets, 1 + i, 1)) for i in range(6)]))
 
 
 def halves(value: Column) -> Column:
@@ -43,9 +62,9 @@ def halves(value: Column) -> Column:
     return F.shiftright(value, 16) + value.bitwiseAND(F.lit(65535))
 
 
-def address_words(dotted: Column) -> Column:
-    """Sum of the two 16-bit words of an IPv4 address."""
-    octet = lambda i: F.split(dotted, r"\.")[i].cast("bigint")
+def address_words(parts: Column) -> Column:
+    """Sum of the two 16-bit words of an IPv4 address, split as for ``ipv4_hex``."""
+    octet = lambda i: parts[i].cast("bigint")
     return (octet(0) + octet(2)) * 256 + octet(1) + octet(3)
 
 

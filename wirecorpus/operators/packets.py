@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wirecorpus.functions.octets import bit, ipv4_text, mac_text, once, quotient, seconds_text, uint_at
+from wirecorpus.functions.octets import bit, ipv4_text, mac_text, once, part_of, quotient, seconds_text, uint_at, words_at
 from wirecorpus.functions.ordering import frame_chunk, number_rows, running
 from wirecorpus.functions.strings import fill
 from wirecorpus.session import stage
@@ -22,8 +22,6 @@ RAW_IP, COOKED = 101, 113
 ENCAP_RAW_IP, ENCAP_COOKED = 7, 25
 ETHERTYPE_IP, ETHERTYPE_IPV6 = 0x0800, 0x86DD
 ETHERTYPE_VLANS = (0x8100, 0x88A8)
-# Ethernet, two VLAN tags, the longest IPv4 and TCP headers; of other frames all is looked at
-HEADER_OCTETS = 14 + 8 + 60 + 60
 # IPv6 headers that may stand before the transport header: hop-by-hop, routing, fragment,
 # authentication, destination options (which may come twice)
 EXTENSION_HEADERS, FRAGMENT_HEADER, AUTHENTICATION_HEADER, MOST_EXTENSIONS = (0, 43, 44, 51, 60), 44, 51, 8
@@ -85,65 +83,60 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         return F.when(raw, if_raw).when(cooked, if_cooked).otherwise(ethernet) if linked else ethernet
 
     wire_len = F.col("wire_len") if "wire_len" in df.columns else F.length("frame")
-    base = once(
-        df, _octets=F.length("frame"), _kinds=F.hex(F.substring("frame", 13, 10)),
-    )
+    # octets are cut out of the frame itself, and each word of a header is read once
+    head, octets = F.col("frame"), F.col("_octets")
+    outer = by_link(F.when(F.length("frame") >= 14, uint_at(head, 12, 2)), F.lit(None), F.lit(None))
+    base = once(df, _octets=F.length("frame"), eth_type=outer.cast("int"))
     # behind up to two tags
-    v6 = by_link(
-        F.col("_kinds").rlike("^(?:(?:8100|88A8)....){0,2}86DD"), F.hex(F.substring("frame", 1, 1)).startswith("6"),
-        F.hex(F.substring("frame", 15, 2)) == "86DD")
-    base = once(base, _h=F.lower(F.hex(F.when(v6, F.col("frame")).otherwise(F.substring("frame", 1, HEADER_OCTETS)))))
-    head, octets = F.col("_h"), F.col("_octets")
-    outer = by_link(F.when(octets >= 14, uint_at(head, 12, 2)), F.lit(None), F.lit(None))
-    tagged = outer.isin(*ETHERTYPE_VLANS) & (octets >= 18)
-    inner = F.when(tagged, uint_at(head, 16, 2))
-    twice = inner.isin(*ETHERTYPE_VLANS) & (octets >= 22)
-    l3 = by_link(F.when(twice, 22).when(tagged, 18).otherwise(14), F.lit(0), F.lit(16))
+    tagged = F.col("eth_type").isin(*ETHERTYPE_VLANS) & (octets >= 18)
+    base = once(base, _vlan=F.coalesce(tagged, F.lit(False)), _inner=F.when(tagged, uint_at(head, 16, 2)))
+    twice = F.col("_inner").isin(*ETHERTYPE_VLANS) & (octets >= 22)
     version = F.when(octets >= 1, F.shiftright(uint_at(head, 0, 1), 4))
-    kind = by_link(
-        F.when(twice, uint_at(head, 20, 2)).when(tagged, inner).otherwise(outer),
-        F.when(version == 4, ETHERTYPE_IP).when(version == 6, ETHERTYPE_IPV6),
-        F.when(octets >= 16, uint_at(head, 14, 2)))
     base = once(
-        base, eth_type=outer.cast("int"), _vlan=F.coalesce(tagged, F.lit(False)), _l3=l3,
-        _vihl=F.when((kind == ETHERTYPE_IP) & (octets >= l3 + 20), uint_at(head, l3, 1)).cast("int"),
+        base, _l3=by_link(F.when(twice, 22).when(F.col("_vlan"), 18).otherwise(14), F.lit(0), F.lit(16)),
+        _kind=by_link(
+            F.when(twice, uint_at(head, 20, 2)).when(F.col("_vlan"), F.col("_inner")).otherwise(F.col("eth_type")),
+            F.when(version == 4, ETHERTYPE_IP).when(version == 6, ETHERTYPE_IPV6),
+            F.when(octets >= 16, uint_at(head, 14, 2))),
+    )
+    l3, kind = F.col("_l3"), F.col("_kind")
+    base = once(
+        base, _vihl=F.when((kind == ETHERTYPE_IP) & (octets >= l3 + 20), uint_at(head, l3, 1)).cast("int"),
         _v6=F.coalesce((kind == ETHERTYPE_IPV6) & (octets >= l3 + 40) & (uint_at(head, l3, 1).between(0x60, 0x6F)), F.lit(False)),
     )
-    base = once(base, _far=F.when(F.col("_v6"), _ipv6_transport(
-        head, octets, F.col("_l3") + 40, uint_at(head, F.col("_l3") + 6, 1))))
+    base = once(base, _far=F.when(F.col("_v6"), _ipv6_transport(head, octets, l3 + 40, uint_at(head, l3 + 6, 1))))
     # version 4 and at least the fixed header
     ihl = F.when(F.col("_vihl").between(0x45, 0x4F), F.col("_vihl").bitwiseAND(F.lit(15)) * 4)
-    ip = lambda start, n: F.when(ihl.isNotNull(), uint_at(head, F.col("_l3") + start, n)).cast("int")
+    base = once(base, _ihl=ihl, **words_at("_ip", head, l3, 5, ihl.isNotNull()))
+    ip = lambda start, n: part_of("_ip", start, n).cast("int")
     base = once(
-        base, _ihl=ihl, ip_len=ip(2, 2), _frag=ip(6, 2), ip_proto=ip(9, 1),
-        _l4=F.when(F.col("_v6"), F.col("_far.at")).otherwise(F.col("_l3") + ihl),
+        base, ip_len=ip(2, 2), _frag=ip(6, 2), ip_proto=ip(9, 1),
+        _l4=F.when(F.col("_v6"), F.col("_far.at")).otherwise(l3 + F.col("_ihl")),
         l4_proto=F.when(F.col("_v6"), F.col("_far.kind")).otherwise(ip(9, 1)),
-        l3_len=F.when(F.col("_v6"), (uint_at(head, F.col("_l3") + 4, 2) + 40).cast("int")).otherwise(ip(2, 2)),
+        l3_len=F.when(F.col("_v6"), (uint_at(head, l3 + 4, 2) + 40).cast("int")).otherwise(ip(2, 2)),
     )
     is_ip = F.col("_ihl").isNotNull()
-    ip = lambda start, n: F.when(is_ip, uint_at(head, F.col("_l3") + start, n)).cast("int")
-    address = lambda start: F.when(is_ip, ipv4_text(F.substr(head, (F.col("_l3") + start) * 2 + 1, F.lit(8))))
+    address = lambda start: F.when(is_ip, ipv4_text(part_of("_ip", start, 4)))
     # eight groups of four digits, so that text order is numeric order
     long_address = lambda start: F.when(F.col("_v6"), F.rtrim(F.regexp_replace(
-        F.substr(head, (F.col("_l3") + start) * 2 + 1, F.lit(32)), "(.{4})(?=.)", "$1:")))
+        F.lower(F.hex(F.substr(head, l3 + start + 1, F.lit(16)))), "(.{4})(?=.)", "$1:")))
     whole = F.when(F.col("_v6"), F.col("_far.first")).otherwise(F.col("_frag").bitwiseAND(F.lit(0x1FFF)) == 0)
     has = lambda proto, n: F.coalesce(
         whole & (F.col("l4_proto") == proto) & (octets >= F.col("_l4") + n), F.lit(False)
     )
-    offset_flags = uint_at(head, F.col("_l4") + 12, 2)
     base = once(
         base, _tcp=has(TCP, 20), _udp=has(UDP, 8),
-        _offset_flags=F.when(has(TCP, 20), offset_flags).cast("int"),
-        udp_length=F.when(has(UDP, 8), uint_at(head, F.col("_l4") + 4, 2)).cast("int"),
+        **words_at("_in_tcp", head, F.col("_l4"), 5, has(TCP, 20)), **words_at("_in_udp", head, F.col("_l4"), 2, has(UDP, 8)),
     )
-    tcp = lambda start, n: F.when(F.col("_tcp"), uint_at(head, F.col("_l4") + start, n))
-    udp = lambda start, n: F.when(F.col("_udp"), uint_at(head, F.col("_l4") + start, n)).cast("int")
+    tcp = lambda start, n: part_of("_in_tcp", start, n)
+    udp = lambda start, n: part_of("_in_udp", start, n).cast("int")
+    base = once(base, _offset_flags=tcp(12, 2).cast("int"), udp_length=udp(4, 2), _src=address(12), _dst=address(16))
     base = base.withColumns({
         "frame_encap_type": by_link(F.lit(1), F.lit(ENCAP_RAW_IP), F.lit(ENCAP_COOKED)),
         "frame_len": wire_len.cast("int"),
         "frame_marked": F.lit(0),
         "eth_dst": by_link(mac_text(head), F.lit(None), F.lit(None)),
-        "eth_src": by_link(mac_text(F.substring(head, 13, 12)), F.lit(None), F.lit(None)),
+        "eth_src": by_link(mac_text(F.substring(head, 7, 6)), F.lit(None), F.lit(None)),
         "ip_version": F.when(is_ip, F.lit(4)),
         "ip_hdr_len": F.col("_ihl"),
         "ip_dsfield": ip(1, 1),
@@ -158,10 +151,10 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
         "ip_ttl": ip(8, 1),
         "ip_checksum": ip(10, 2),
         "ip_checksum_status": F.when(is_ip, F.lit(2)),
-        "ip_src": address(12),
-        "ip_dst": address(16),
-        "l3_src": F.coalesce(address(12), long_address(8)),
-        "l3_dst": F.coalesce(address(16), long_address(24)),
+        "ip_src": F.col("_src"),
+        "ip_dst": F.col("_dst"),
+        "l3_src": F.coalesce(F.col("_src"), long_address(8)),
+        "l3_dst": F.coalesce(F.col("_dst"), long_address(24)),
         "tcp_srcport": tcp(0, 2).cast("int"),
         "tcp_dstport": tcp(2, 2).cast("int"),
         "tcp_seq_raw": tcp(4, 4),
@@ -186,9 +179,7 @@ def decode_headers(df: DataFrame, oui: DataFrame | None = None) -> DataFrame:
     reserved = [
         F.when(bit(F.col("tcp_flags"), p) == 1, F.lit("R")).otherwise(F.lit("·")) for p in (11, 10, 9)
     ]
-    options = F.substr(
-        head, (F.col("_l4") + 20) * 2 + 1, F.greatest((F.col("tcp_hdr_len") - 20) * 2, F.lit(0))
-    )
+    options = F.lower(F.hex(F.substr(head, F.col("_l4") + 21, F.greatest(F.col("tcp_hdr_len") - 20, F.lit(0)))))
     base = base.withColumns({
         **flags,
         "tcp_flags_res": F.shiftright("tcp_flags", 9),
@@ -256,17 +247,24 @@ def flow_ends(df: DataFrame) -> DataFrame:
     port = lambda side: F.coalesce(F.col(f"tcp_{side}port"), F.col(f"udp_{side}port"))
     # fixed width, so that text order is numeric order
     layer = "l3" if "l3_src" in df.columns else "ip"
-    wide = lambda addr: F.when(F.contains(F.col(addr), F.lit(":")), F.col(addr)).otherwise(
-        F.array_join(F.transform(F.split(addr, r"\."), lambda o: F.lpad(o, 3, "0")), "."))
-    end = lambda addr, side: F.format_string("%s:%05d", wide(addr), port(side))
+    # an address of version 4 has four parts; missing ones are left out
+    part = lambda parts, i: F.lpad(F.get(F.col(parts), i), 3, "0")
+    wide = lambda addr, parts: F.when(F.col(parts).isNull(), F.col(addr)).otherwise(
+        F.concat_ws(".", *[part(parts, i) for i in range(4)]))
+    digits = lambda side: F.lpad(port(side).cast("string"), 5, "0")
+    end = lambda addr, parts, side: F.concat(
+        F.coalesce(wide(addr, parts), F.lit("null")), F.lit(":"), F.coalesce(digits(side), F.lit(" null")))
     known = transport(df).isin(TCP, UDP) & port("src").isNotNull()
-    ends = df.withColumn("_src", F.when(known, end(f"{layer}_src", "src")))
-    ends = ends.withColumn("_dst", F.when(known, end(f"{layer}_dst", "dst")))
+    split = lambda addr: F.when(known & ~F.contains(F.col(addr), F.lit(":")), F.split(addr, r"\."))
+    ends = once(df, _src_parts=split(f"{layer}_src"), _dst_parts=split(f"{layer}_dst"))
+    ends = once(
+        ends, _src=F.when(known, end(f"{layer}_src", "_src_parts", "src")),
+        _dst=F.when(known, end(f"{layer}_dst", "_dst_parts", "dst")))
     return ends.withColumns({
         "end_a": F.least("_src", "_dst"),
         "end_b": F.greatest("_src", "_dst"),
         "from_a": F.col("_src") <= F.col("_dst"),
-    }).drop("_src", "_dst")
+    }).drop("_src", "_dst", "_src_parts", "_dst_parts")
 
 
 def stream_ids(df: DataFrame) -> DataFrame:

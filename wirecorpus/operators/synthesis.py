@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirecorpus.functions.octets import (
-    address_words, halves, hex_of, internet_checksum, ipv4_hex, once, quotient, udp_checksum, words_sum,
+    address_words, halves, hex_digits, internet_checksum, ipv4_hex, once, quotient, udp_checksum, words_sum,
 )
 from wirecorpus.operators.flows import split_flow
 
@@ -57,14 +57,19 @@ def build_frames(
         .when(bare, F.lit(0))
         .otherwise(F.lit(UDP_HEADER))
     )
+    parted = df
+    if has_options:
+        # on its own: a generator with a function over an array is interpreted, whatever else it makes
+        parted = once(df, _option_sum=F.when(options == "", F.lit(0).cast("bigint")).otherwise(words_sum(options)))
+    parted = once(parted, _src=F.split("src", r"\."), _dst=F.split("dst", r"\."))
     base = once(
-        df,
+        parted,
         _octets=octets,
         _ip_proto=F.when(tcp | bare, F.col("proto")).otherwise(F.lit(UDP)).cast("bigint"),
         _ip_len=(F.lit(16) + octets if compat_len else F.lit(IP_HEADER) + header_len + octets).cast("bigint"),
         _udp_len=(F.lit(UDP_HEADER) if compat_len else F.lit(UDP_HEADER) + octets).cast("bigint"),
         _offset_flags=((F.lit(5) + quotient(option_octets, 4)) * 4096 + _input(df, "flags")).cast("bigint"),
-        _addresses=address_words(F.col("src")) + address_words(F.col("dst")),
+        _addresses=address_words(F.col("_src")) + address_words(F.col("_dst")),
     )
     ip_len, proto = F.col("_ip_len"), F.col("_ip_proto")
     ip_id, ttl = _input(df, "ip_id").cast("bigint"), _input(df, "ttl").cast("bigint")
@@ -74,21 +79,23 @@ def build_frames(
     pseudo = F.col("_addresses") + proto + ip_len - IP_HEADER + ports
     tcp_sum = pseudo + halves(seq.cast("bigint")) + halves(ack.cast("bigint")) + F.col("_offset_flags") + window
     if has_options:
-        tcp_sum = tcp_sum + words_sum(options)
+        tcp_sum = tcp_sum + F.col("_option_sum")
     udp_sum = pseudo + F.col("_udp_len")
 
-    port_hex = F.concat(hex_of(F.col("sport"), 2), hex_of(F.col("dport"), 2))
+    port_hex = F.concat(hex_digits(F.col("sport"), 2), hex_digits(F.col("dport"), 2))
     tcp_head = F.concat(
-        port_hex, hex_of(seq, 4), hex_of(ack, 4), hex_of(F.col("_offset_flags"), 2), hex_of(window, 2),
-        hex_of(internet_checksum(tcp_sum), 2), F.lit("0000"), options,
+        port_hex, hex_digits(seq, 4), hex_digits(ack, 4), hex_digits(F.col("_offset_flags"), 2), hex_digits(window, 2),
+        hex_digits(internet_checksum(tcp_sum), 2), F.lit("0000"), options,
     )
-    udp_head = F.concat(port_hex, hex_of(F.col("_udp_len"), 2), hex_of(udp_checksum(udp_sum), 2))
+    udp_head = F.concat(port_hex, hex_digits(F.col("_udp_len"), 2), hex_digits(udp_checksum(udp_sum), 2))
     frame_hex = F.concat(
-        F.lit(ETH_DST + eth_src + "08004500"), hex_of(ip_len, 2), hex_of(ip_id, 2), F.lit("0000"),
-        hex_of(ttl, 1), hex_of(proto, 1), hex_of(internet_checksum(ip_sum), 2),
-        ipv4_hex(F.col("src")), ipv4_hex(F.col("dst")),
+        F.lit(ETH_DST + eth_src + "08004500"), hex_digits(ip_len, 2), hex_digits(ip_id, 2), F.lit("0000"),
+        hex_digits(ttl, 1), hex_digits(proto, 1), hex_digits(internet_checksum(ip_sum), 2),
+        ipv4_hex(F.col("_src")), ipv4_hex(F.col("_dst")),
         F.when(tcp, tcp_head).when(bare, F.lit("")).otherwise(udp_head),
-        F.substr("payload_hex", F.lit(1), F.col("_octets") * 2),
+        # whole octets; a text of even length needs no cut, which would count its characters
+        F.when(F.length("payload_hex") % 2 == 0, F.col("payload_hex")).otherwise(
+            F.substr("payload_hex", F.lit(1), F.col("_octets") * 2)),
     )
     return once(base, frame=F.unhex(frame_hex)).select(*df.columns, "frame")
 
