@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wirecorpus.operators import examples, packets
+from wirecorpus.plans import fixtures as fx
 
 
 def plan(df):
@@ -41,3 +42,16 @@ def test_ends_of_odd_addresses(spark):
         {"udp_srcport": F.when(F.col("ip_proto") == 17, 5), "udp_dstport": F.lit(70)})
     got = [(r.end_a, r.end_b, r.from_a) for r in packets.flow_ends(rows).orderBy("ip_proto").collect()]
     assert got == [("001.002:00070", "null:00080", False), ("000:00070", "2001:0db8::1:00005", False)]
+
+
+def test_samples_are_not_numbered_by_capture(spark, tmp_path):
+    events = spark.range(40).selectExpr(
+        "id AS event_id", "CASE WHEN id <> 3 THEN timestamp_micros(id) END AS ts", "CASE WHEN id <> 5 THEN id % 4 END AS user_id",
+        "CASE WHEN id <> 7 THEN 'click' END AS event_type", "0.5D AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    made = fx.samples(spark, str(tmp_path))
+    assert "Join" not in plan(made) and "Window" not in plan(made)
+    numbered = fx.samples_of(fx.packets(spark, str(tmp_path)))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, numbered.collect()))
+    places = [r.row_no for r in fx.numbered_samples(spark, str(tmp_path)).orderBy("packet_id").collect()]
+    assert places == list(range(1, 38))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wirecorpus.functions.octets import quotient
-from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_rows, number_sorted
+from wirecorpus.functions.ordering import number_sorted
 from wirecorpus.operators import chat, corpus, metrics, packets
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.plans.corpus_queries import (
@@ -199,7 +199,7 @@ PER_FILE = 500
 def _(spark, sf):
     root = folder(spark, "arrays")
     sample = F.struct("instruction", F.lit("").alias("input"), "output")
-    placed = number_rows(fx.corpus(spark, sf), ["label"], ["packet_id"], quotient(F.col("packet_id"), FRAMES_PER_CHUNK))
+    placed = fx.corpus_of(fx.numbered_samples(spark, sf))
     arrays = placed.groupBy("label", quotient(F.col("row_no") - 1, PER_FILE).alias("part")).agg(
         F.to_json(F.collect_list(sample)).alias("value"))
     arrays.write.partitionBy("label", "part").text(root)

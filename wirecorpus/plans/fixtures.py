@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wirecorpus.functions.octets import once, quotient
-from wirecorpus.functions.ordering import number_rows
+from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_rows
 from wirecorpus.operators.packets import decode_headers
 from wirecorpus.operators.synthesis import build_frames
 from wirecorpus.session import configure, spread
@@ -349,19 +349,36 @@ SAMPLE_DATASETS = {
 }
 
 
+def known_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that ``packets`` numbers: those with a capture and a time.
+
+    Texts are made per row and are many times as long as an event, so the events are dealt out
+    first, whatever row groups their file has.
+    """
+    known = _with_time(table(spark, sf_dir, "events")).dropna(subset=["event_type", "user_id", "ts_us"])
+    return known.repartition("event_id")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets with a short data text."""
-    return samples_of(packets(spark, sf_dir))
+    """Packets with a short data text. No place in the capture is in it, so nothing is numbered for it."""
+    return samples_of(_packet_columns(known_events(spark, sf_dir), []))
+
+
+def numbered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with ``row_no``, their place in the class; numbered before the long texts are made."""
+    numbered = number_rows(
+        known_events(spark, sf_dir), ["event_type"], ["event_id"], quotient(F.col("event_id"), FRAMES_PER_CHUNK))
+    return samples_of(_packet_columns(numbered, ["row_no"]), "row_no")
 
 
-def samples_of(p: DataFrame) -> DataFrame:
+def samples_of(p: DataFrame, *extra: str) -> DataFrame:
     name = _pick_text(F.col("label"), SAMPLE_DATASETS)
     payload = F.when(F.col("proto") == 6, F.concat(F.lit(", tcp.payload: "), "payload_hex")).otherwise("")
     data = F.concat(
         F.lit("ip.proto: "), F.col("proto").cast("string"), F.lit(", ip.src: "), "src",
         F.lit(", ip.dst: "), "dst", payload,
     )
-    return p.select("packet_id", "label", "super_label", name.alias("dataset"), data.alias("data"))
+    return p.select("packet_id", "label", "super_label", name.alias("dataset"), data.alias("data"), *extra)
 
 
 def _pick_text(key: Column, values: dict[str, str]) -> Column:
@@ -384,9 +401,13 @@ SAMPLES_SQL = PACKETS_SQL + f""", fx_samples AS (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection samples of all packets, uncut."""
+    return corpus_of(samples(spark, sf_dir))
+
+
+def corpus_of(s: DataFrame) -> DataFrame:
     from wirecorpus.operators.corpus import detection_samples, dispatch_task
 
-    return detection_samples(dispatch_task(samples(spark, sf_dir)))
+    return detection_samples(dispatch_task(s))
 
 
 # fixed values: role markers of the chat format
