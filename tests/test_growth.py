@@ -1,9 +1,13 @@
 """Plans whose work per row must not grow with the length of the row or be done twice."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from wirecorpus.operators import examples, packets
 from wirecorpus.plans import fixtures as fx
+from wirecorpus.sources import json_arrays
 
 
 def plan(df):
@@ -53,5 +57,25 @@ def test_samples_are_not_numbered_by_capture(spark, tmp_path):
     assert "Join" not in plan(made) and "Window" not in plan(made)
     numbered = fx.samples_of(fx.packets(spark, str(tmp_path)))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, numbered.collect()))
+    # dealt out after the numbering, so that texts are made in many tasks
+    assert "RepartitionByExpression" in plan(fx.numbered_samples(spark, str(tmp_path))).split("Window")[0]
     places = [r.row_no for r in fx.numbered_samples(spark, str(tmp_path)).orderBy("packet_id").collect()]
     assert places == list(range(1, 38))
+
+
+def test_a_long_string_is_scanned_in_one_loop():
+    text = '[{"a": "' + "0a, 1b" * 300_000 + '"}]'
+
+    def least(work):
+        times = []
+        for _ in range(5):
+            begin = time.perf_counter()
+            work()
+            times.append(time.perf_counter() - begin)
+        return min(times)
+
+    plain = re.compile(r'[^"\\]*')
+    assert least(lambda: list(json_arrays.Scanner().commas(text))) < 8 * least(lambda: plain.match(text, 8))
+    # a string that does not end in the piece, begun in it or before
+    assert least(lambda: list(json_arrays.Scanner().commas(text[:-3]))) < 8 * least(lambda: plain.match(text, 8))
+    assert least(lambda: list(json_arrays.Scanner(True, 2).commas(text[8:-3]))) < 8 * least(lambda: plain.match(text, 8))

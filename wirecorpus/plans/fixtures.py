@@ -350,25 +350,25 @@ SAMPLE_DATASETS = {
 
 
 def known_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events that ``packets`` numbers: those with a capture and a time.
+    """The events that ``packets`` numbers: those with a capture and a time."""
+    return _with_time(table(spark, sf_dir, "events")).dropna(subset=["event_type", "user_id", "ts_us"])
 
-    Texts are made per row and are many times as long as an event, so the events are dealt out
-    first, whatever row groups their file has.
-    """
-    known = _with_time(table(spark, sf_dir, "events")).dropna(subset=["event_type", "user_id", "ts_us"])
-    return known.repartition("event_id")
+
+def _dealt(events: DataFrame) -> DataFrame:
+    """Events dealt out before texts many times as long are made of them, however few tasks they came from."""
+    return events.repartition("event_id")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets with a short data text. No place in the capture is in it, so nothing is numbered for it."""
-    return samples_of(_packet_columns(known_events(spark, sf_dir), []))
+    return samples_of(_packet_columns(_dealt(known_events(spark, sf_dir)), []))
 
 
 def numbered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples with ``row_no``, their place in the class; numbered before the long texts are made."""
     numbered = number_rows(
         known_events(spark, sf_dir), ["event_type"], ["event_id"], quotient(F.col("event_id"), FRAMES_PER_CHUNK))
-    return samples_of(_packet_columns(numbered, ["row_no"]), "row_no")
+    return samples_of(_packet_columns(_dealt(numbered), ["row_no"]), "row_no")
 
 
 def samples_of(p: DataFrame, *extra: str) -> DataFrame:
