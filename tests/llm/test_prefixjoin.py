@@ -107,3 +107,61 @@ def test_rarity_counts_the_whole_corpus(spark):
     slots = (gram % np.uint64(prefixjoin.COUNTERS)).astype(int)
     assert table[slots].tolist() == [int(8 * np.log2(51)), 8, 8]
     assert set(table[(word % np.uint64(prefixjoin.COUNTERS)).astype(int) + prefixjoin.COUNTERS].tolist()) == {int(8 * np.log2(51)), 8}
+
+
+def shuffled(frame):
+    """Rows that the exchanges of a plan wrote when the frame was collected."""
+    frame.collect()
+    total, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_only_texts_asked_for_are_shuffled(spark):
+    rows = [(k, f"text {k} of some words", k + 7) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark long")
+    wanted = docs.where("doc_id % 500 = 3").selectExpr("doc_id + 9000 AS node", "doc_id", "mark")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sets = prefixjoin._gram_sets(docs, wanted, docs.where("false").select("doc_id", "mark"), 2)
+        assert shuffled(sets) < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.node for r in sets.collect()) == [9003, 9503, 10003, 10503]
+
+
+def test_no_wanted_row_is_left_out(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("IF(id % 50 = 0, NULL, id) AS doc_id", "-id AS mark")
+    wanted = rows.where("mark % 3 = 0")
+    some = prefixjoin._perhaps(rows, ["doc_id", "mark"], wanted)
+    assert some.columns == ["doc_id", "mark"] and wanted.exceptAll(some).isEmpty()
+    assert 1000 <= some.count() < 1100
+    assert prefixjoin._perhaps(rows, ["doc_id", "mark"], rows.where("false")).isEmpty()
+    monkeypatch.setattr(prefixjoin, "BITS", 64)
+    assert prefixjoin._perhaps(rows, ["doc_id", "mark"], wanted).count() == 3000
+
+
+def test_pairs_of_few_nodes_are_asked_for_once(spark, monkeypatch):
+    """Pairs that pass the filters of prefixes and fail on whole sets are not compared round by round."""
+    asked, real = [], prefixjoin._verified
+
+    def spy(pairs, sets, percent):
+        asked.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(prefixjoin, "_verified", spy)
+    rows = []
+    for pair in range(10):
+        own = [f"p{pair}w{k}" for k in range(352)]
+        # 352 of 448: the rare words are common to both, what differs is in all texts
+        rows += [(2 * pair + i, " ".join(own + [f"{pool}{k}" for k in range(48)])) for i, pool in enumerate("xy")]
+    got = prefixjoin.linked(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 1, 80)
+    assert asked and len(asked) == len(set(asked))

@@ -13,11 +13,15 @@ they share. Distinct pairs that are left meet their prefixes: what these share,
 behind them, has to be enough, and so has what the suffix filter allows, which compares the sizes of
 the two sets range by range. A pair that passes is compared on whole sets, once.
 
-Documents of equal words are one node. An element that many nodes share is not expanded into all of
-their pairs: its nodes first meet one centre, then a few more, and what is linked is one component,
-inside which no pair is asked for again. Only then do the pairs of different components that are
-left meet, a group of many nodes in tiles. So a group of near copies costs a few pairs per node, and
-no group is capped.
+Documents of equal words are one node. The nodes of an element that few share all meet in the first
+round, and the element is done. An element that many nodes share is not expanded into all of their
+pairs: its nodes first meet one centre, then a few more, and what is linked is one component, inside
+which no pair is asked for again. Only then do the pairs of different components that are left meet,
+a group of many nodes in tiles. So a group of near copies costs a few pairs per node, and no group
+is capped.
+
+Texts, prefixes and whole sets are wide, and a round asks for some of them only. Rows that nobody asks
+for are left out by a table of bits before the others are shuffled.
 """
 
 from __future__ import annotations
@@ -35,12 +39,16 @@ from wirecorpus.session import stage
 # counters of n-grams, and as many of words; 64 parts of each are added up apart
 COUNTERS = 1 << 21
 PART = 1 << 15
-# centres that the nodes of an element meet, round by round
+# nodes of an element that all meet in the first round
+FEW = 8
+# centres that the nodes of an element of more nodes meet, round by round
 CENTRES = (1, 4, 16)
 # nodes of an element whose pairs meet in one tile
 TILE = 256
 # ranges of the suffix filter
 RANGES = 16
+# bits of the table that tells which keys are asked for, 4 MB; each of its rows holds 1 << ROW_BITS
+BITS, ROW_BITS = 1 << 25, 15
 
 
 def _grams(texts: list[bytes], words: int) -> tuple[np.ndarray, ...]:
@@ -153,11 +161,24 @@ def _prefixes(docs: DataFrame, words: int, percent: int, table: np.ndarray) -> D
     return docs.mapInArrow(by_slice(make, "text"), schema)
 
 
+def _perhaps(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose keys are among the wanted ones, and some others whose bits are the same.
+
+    Only the table of bits moves. More keys than bits leave all rows in, which a join then drops.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(BITS))
+    part, place = F.shiftright(slot, ROW_BITS), slot.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    bits = wanted.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    octet = F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))
+    there = F.getbit(F.conv(F.hex(octet), 16, 10).cast("int"), place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (part == F.col("_part")) & there, "left_semi")
+
+
 def _gram_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: int) -> DataFrame:
     """(node, grams): the whole set of each wanted (node, doc_id, mark) as packed, sorted hashes.
 
-    Rows that repeat an id and a text give a set more than once; these are left out before any set
-    is made.
+    Texts that nobody asks for are not shuffled. Rows that repeat an id and a text give a set more
+    than once; these are left out before any set is made.
     """
     def run(batches):
         import pyarrow.compute  # noqa: F401
@@ -174,6 +195,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, words: i
     def same(x: str, y: str) -> Column:
         return (F.col(f"{x}.mark") == F.col(f"{y}.mark")) & F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id"))
 
+    docs = _perhaps(docs, ["doc_id", "mark"], wanted)
     once = docs
     if not repeated.isEmpty():
         several = docs.alias("d").join(repeated.alias("r"), same("d", "r"), "left_semi")
@@ -192,15 +214,19 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b, low, high) whose prefixes and ranges leave room for enough common elements.
 
     Common elements up to the end of the prefix that ends first stand in both prefixes; behind it
-    there are at most as many as that set has left.
+    there are at most as many as that set has left. Prefixes are cut to 31 bits here: of elements of
+    one set that have become equal, each but one may be common on top of those that are counted.
     """
     columns = ("node", "n", "ranges", "prefix")
-    side = {x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"}
+    side = {
+        x: _perhaps(nodes, ["node"], pairs.select(F.col(x).alias("node"))).select(*(F.col(c).alias(f"{c}_{x}") for c in columns))
+        for x in "ab"}
     n, m = F.col("n_a"), F.col("n_b")
     inside = F.aggregate(
         F.zip_with("ranges_a", "ranges_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     left = F.greatest(n - F.size("prefix_a"), m - F.size("prefix_b"))
-    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + left
+    equal = F.size("prefix_a") - F.size(F.array_distinct("prefix_a"))
+    most = F.size(F.array_intersect("prefix_a", "prefix_b")) + equal + left
     met = pairs.join(side["a"], F.col("a") == F.col("node_a")).join(side["b"], F.col("b") == F.col("node_b"))
     return met.where(_fits(n, m, inside, percent) & _fits(n, m, most, percent)).select("a", "b", "low", "high")
 
@@ -220,23 +246,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(chosen) for c in batch.columns[3:5]], ["u", "v"])
 
+    side = {x: _perhaps(sets, ["node"], pairs.select(F.col(x).alias("node"))).toDF(x, f"grams_{x}") for x in "ab"}
     with_sets = (
-        pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
+        pairs.join(side["b"], "b").join(side["a"], "a")
         .select("a", "grams_a", "grams_b", "low", "high")
     )
     return with_sets.mapInArrow(run, "u long, v long")
 
 
 def _passing(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, low, high) of rows that hold two nodes, after length and positional filters."""
+    """Pairs (a, b, low, high) of rows that hold two nodes, after length and positional filters."""
     n, m, i, j = (F.col(c) for c in ("n", "other_n", "pos", "other_pos"))
     # at their first common element two sets have nothing in common before
     most = F.least(n - i, m - j)
     alike = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _fits(n, m, most, percent)
     return met.where((F.col("comp") != F.col("other_comp")) & alike).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
-        F.least("comp", "other_comp").alias("low"), F.greatest("comp", "other_comp").alias("high")).distinct()
+        F.least("comp", "other_comp").alias("low"), F.greatest("comp", "other_comp").alias("high"))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,6 +285,12 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
 OTHER = {"node": "other", "comp": "other_comp", "n": "other_n", "pos": "other_pos"}
 
 
+def _paired(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the nodes of each element."""
+    others = rows.select("gram", *(F.col(c).alias(o) for c, o in OTHER.items()))
+    return _passing(rows.join(others, "gram").where("node < other"), percent)
+
+
 def _centred(rows: DataFrame, many: int, percent: int) -> DataFrame:
     """Pairs of the nodes of each element with up to so many of them."""
     salt = F.pmod(F.xxhash64("node", F.lit(many)), F.lit(many)) if many > 1 else F.lit(0)
@@ -292,26 +324,33 @@ def _components(docs: DataFrame, nodes: DataFrame, repeated: DataFrame, words: i
     early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
     elements = elements.withColumn("early", early)
     shared = elements.groupBy("gram").agg(F.count(F.lit(1)).alias("_many"), F.max("early").alias("_early"))
-    shared = stage(shared.where("_many > 1 AND _early").select("gram"))
-    rows = stage(elements.join(shared, "gram").select("gram", "node", F.col("node").alias("comp"), "n", "pos", "early"))
+    shared = stage(shared.where("_many > 1 AND _early").select("gram", (F.col("_many") <= FEW).alias("few")))
+    rows = stage(elements.join(shared, "gram").select("gram", "node", F.col("node").alias("comp"), "n", "pos", "early", "few"))
     # prefixes and sizes of the nodes that may meet another one; later steps do not read the rest
-    nodes = stage(nodes.drop("key").join(rows.select("node").distinct(), "node", "left_semi"))
+    short = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    nodes = stage(_perhaps(nodes.drop("key"), ["node"], rows).withColumn("prefix", short))
+    few, rows = rows.where("few"), rows.where("NOT few")
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     sets = None
     for make in [*(lambda r, k=k: _centred(r, k, percent) for k in CENTRES), lambda r: _tiled(r, percent)]:
-        if rows.isEmpty():
-            break
-        pairs = stage(_candidates(make(rows), nodes, percent))
+        if sets is None:
+            met = make(rows).union(_paired(few, percent))
+        else:
+            rows = _open(rows, labels)
+            if rows.isEmpty():
+                break
+            met = make(rows)
+        pairs = stage(_candidates(stage(met.distinct()), nodes, percent))
         # whole sets of the nodes that a pair asks for, made once
-        wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        wanted = _perhaps(nodes.select("node", "doc_id", "mark"), ["node"], asked).join(asked, "node", "left_semi")
         if sets is not None:
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        wanted = stage(wanted.select("node", "doc_id", "mark"))
+        wanted = stage(wanted)
         if sets is None or not wanted.isEmpty():
             made = stage(_gram_sets(docs, wanted, repeated, words))
             sets = made if sets is None else sets.union(made)
         labels = _joined(labels, stage(_verified(pairs, sets, percent)))
-        rows = _open(rows, labels)
     return labels
 
 
