@@ -2,9 +2,11 @@
 
 import json
 import os
+import pickle
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +212,56 @@ def test_a_commit_is_one_rename(spark, tmp_path):
     assert read() == [b"new"]
 
 
+def written(spark, root, n, job=None, overwrite=False):
+    """A task's message after writing ``n`` captures of two frames."""
+    names = [f"web/{k // 2}.pcap" for k in range(2 * n)]
+    rows = pa.RecordBatch.from_pydict({
+        "capture": names, "frame_no": [1 + k % 2 for k in range(2 * n)], "ts_us": list(range(2 * n)), "wire_len": [5] * (2 * n), "frame": [b"frame"] * (2 * n)})
+    writer = captures.CaptureWriter(str(root), overwrite, job)
+    return writer, writer.write(iter([rows]))
+
+
+def test_the_driver_gets_no_names_of_captures(spark, tmp_path):
+    """Neither what a writing task tells the driver nor the partitions of a scan grow with the captures."""
+    root = tmp_path / "out"
+    writer, message = written(spark, root, 2_000)
+    assert len(pickle.dumps(message)) < 1_000
+    writer.commit([message])
+    lists = captures.list_splits(spark, str(root), 1, 128 << 20)
+    made = captures.CaptureReader(str(root), 1, 128 << 20, lists=lists).partitions()
+    assert len(pickle.dumps(made)) < 2_000
+    rows = captures.read_captures(spark, str(root))
+    assert rows.count() == 4_000 and rows.select("capture").distinct().count() == 2_000
+
+
+def test_small_captures_share_batches(spark, tmp_path):
+    for i in range(300):
+        put(tmp_path / "web" / f"{i}.pcap", pcap(frames_of(1 + i % 3), unit=1000))
+    reader = captures.CaptureReader(str(tmp_path), 1, 128 << 20)
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(batches) == 1 and batches[0].num_rows == 600
+
+
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_parts_are_read_before_and_after_they_get_their_names(spark, tmp_path, overwrite):
+    root = tmp_path / "out"
+    before = spark.createDataFrame([("web/old.pcap", 1, 1, b"old"), ("web/0.pcap", 1, 1, b"old")], "capture STRING, frame_no BIGINT, ts_us BIGINT, frame BINARY")
+    captures.write_captures(before if overwrite else before.limit(1), str(root))
+    put(root / "web" / "byhand.pcap", pcap(frames_of(1)))
+    read = lambda: sorted((r.capture, r.frame_no) for r in captures.read_captures(spark, str(root)).collect())
+    old = read()
+    job = "a" * 32
+    writer, message = written(spark, root, 3, job, overwrite)
+    assert read() == old  # not committed yet
+    writer.commit([message])
+    want = sorted([(f"web/{k}.pcap", n) for k in range(3) for n in (1, 2)] + [("web/byhand.pcap", 1)] + [("web/old.pcap", 1)] * (not overwrite))
+    assert read() == want and not (root / "web" / "1.pcap").exists()
+    captures.settle(spark, str(root), job)
+    assert read() == want and (root / "web" / "1.pcap").exists()
+    assert (root / "web" / "old.pcap").exists() == (not overwrite)
+    assert not [f for f in root.rglob(".*.part")] and len([f for f in root.glob(".captures-*.json")]) == 2 - overwrite
+
+
 def test_frame_limit_is_the_files_own(spark, tmp_path):
     body = bytearray(pcap([(0, b"x" * 300_000), (1, b"y" * 50)]))
     body[16:20] = (400_000).to_bytes(4, "little")

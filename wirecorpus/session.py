@@ -74,12 +74,18 @@ def stage(df: DataFrame) -> DataFrame:
     return stage_at(df)[0]
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, dropped with the staged tables."""
+    path = f"{checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage_at(df: DataFrame) -> tuple[DataFrame, str]:
     """A staged table and its path, for ``drop_paths``."""
     spark = df.sparkSession
-    path = f"{checkpoint_base(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = staged_path(spark, "staged")
     df.write.parquet(path)
-    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
