@@ -5,6 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from wirecorpus.functions import ordering
+from wirecorpus.functions.octets import quotient
 from wirecorpus.operators import examples, packets
 from wirecorpus.plans import fixtures as fx
 from wirecorpus.sources import json_arrays
@@ -79,3 +81,20 @@ def test_a_long_string_is_scanned_in_one_loop():
     # a string that does not end in the piece, begun in it or before
     assert least(lambda: list(json_arrays.Scanner().commas(text[:-3]))) < 8 * least(lambda: plain.match(text, 8))
     assert least(lambda: list(json_arrays.Scanner(True, 2).commas(text[8:-3]))) < 8 * least(lambda: plain.match(text, 8))
+
+
+def test_only_long_groups_are_numbered_by_chunks(spark, tmp_path, monkeypatch):
+    """Short captures are numbered whole: no chunks are summed up and joined back, and texts are repeated as hex."""
+    rows = [(k, f"{k % 5}", None if k % 11 == 0 else k % 2, None if k % 13 == 0 else k * 7 % 40) for k in range(120)]
+    df = spark.createDataFrame(rows + rows[:9], "id INT, kind STRING, user INT, at INT").replace("4", None, ["kind"])
+    given = df, ["kind", "user"], ["at", "id"], quotient(F.col("at"), 10)
+    want = sorted(ordering.number_rows(*given).collect())
+    made = ordering.number_by_size(*given)
+    assert "Join" not in plan(made) and made.columns == ["id", "kind", "user", "at", "row_no"]
+    assert sorted(made.collect()) == want and made.schema["row_no"].dataType.simpleString() == "bigint"
+    monkeypatch.setattr(ordering, "FRAMES_PER_CHUNK", 11)
+    mixed = ordering.number_by_size(*given)
+    assert "Join" in plan(mixed) and sorted(mixed.collect()) == want
+    spark.sql("SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' AS ts, id AS user_id, 'view' AS event_type, 1.0D AS value, '{}' AS props FROM range(9)").write.parquet(f"{tmp_path}/events.parquet")
+    text = plan(fx.packets(spark, str(tmp_path)))
+    assert "Join" not in text and "hex(encode(repeat" not in text

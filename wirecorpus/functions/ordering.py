@@ -147,6 +147,32 @@ def number_rows(
     )
 
 
+def number_by_size(
+    df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str = "row_no"
+) -> DataFrame:
+    """``number_rows`` that cuts into chunks only the groups that are longer than a chunk of frames.
+
+    Groups of a few rows are sorted whole: chunks of them would be as many as the rows. Those that are
+    longer are found in a pass of their own, combined map-side, and are few by their size.
+    """
+    rows = df.withColumn("_chunk", chunk)
+    for key in keys:
+        rows = rows.filter(F.col(key).isNotNull())
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = stage(sizes.filter(F.col("_n") > FRAMES_PER_CHUNK).select(*keys))
+    few = long.count()
+    if few:
+        long = F.broadcast(long) if few <= SHARED_GROUPS else long
+    short = rows.join(long, keys, "left_anti") if few else rows
+    # as among chunks: rows without one come first, and are left out once they are counted
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_chunk").isNotNull(), *order)).cast("bigint").alias(out)
+    kept = [c for c in df.columns if c != out]
+    short = short.select(*kept, "_chunk", place).filter(F.col("_chunk").isNotNull()).drop("_chunk")
+    if not few:
+        return short
+    return short.unionByName(number_rows(rows.join(long, keys, "left_semi").drop("_chunk"), keys, order, chunk, out))
+
+
 def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
     """Rows with ``_range``, a chunk of their order of even size whatever the values look like.
 

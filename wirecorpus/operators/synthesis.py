@@ -51,7 +51,7 @@ def build_frames(
     has_options = "options_hex" in df.columns
     options = F.coalesce(F.col("options_hex"), F.lit("")) if has_options else F.lit("")
     option_octets = quotient(F.length(options), 2).cast("int")
-    octets = quotient(F.length("payload_hex"), 2).cast("int")
+    octets = quotient(F.col("_digits"), 2).cast("int")
     header_len = (
         F.when(tcp, F.lit(TCP_HEADER) + option_octets)
         .when(bare, F.lit(0))
@@ -61,7 +61,8 @@ def build_frames(
     if has_options:
         # on its own: a generator with a function over an array is interpreted, whatever else it makes
         parted = once(df, _option_sum=F.when(options == "", F.lit(0).cast("bigint")).otherwise(words_sum(options)))
-    parted = once(parted, _src=F.split("src", r"\."), _dst=F.split("dst", r"\."))
+    # digits are counted once, which takes as long as the text
+    parted = once(parted, _digits=F.length("payload_hex"), _src=F.split("src", r"\."), _dst=F.split("dst", r"\."))
     base = once(
         parted,
         _octets=octets,
@@ -94,7 +95,7 @@ def build_frames(
         ipv4_hex(F.col("_src")), ipv4_hex(F.col("_dst")),
         F.when(tcp, tcp_head).when(bare, F.lit("")).otherwise(udp_head),
         # whole octets; a text of even length needs no cut, which would count its characters
-        F.when(F.length("payload_hex") % 2 == 0, F.col("payload_hex")).otherwise(
+        F.when(F.col("_digits") % 2 == 0, F.col("payload_hex")).otherwise(
             F.substr("payload_hex", F.lit(1), F.col("_octets") * 2)),
     )
     return once(base, frame=F.unhex(frame_hex)).select(*df.columns, "frame")

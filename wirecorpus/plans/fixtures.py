@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wirecorpus.functions.octets import once, quotient
-from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_rows
+from wirecorpus.functions.ordering import FRAMES_PER_CHUNK, number_by_size, number_rows
 from wirecorpus.operators.packets import decode_headers
 from wirecorpus.operators.synthesis import build_frames
 from wirecorpus.session import configure, spread
@@ -41,7 +41,7 @@ def _with_time(events: DataFrame) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = number_rows(
+    numbered = number_by_size(
         _with_time(table(spark, sf_dir, "events")), ["event_type", "user_id"], ["ts_us", "event_id"],
         quotient(F.col("ts_us"), CHUNK_MICROS), "frame_no",
     )
@@ -80,7 +80,7 @@ def _packet_columns(e: DataFrame, extra: list[str]) -> DataFrame:
         sport=F.when(outward, client_port).otherwise(server_port),
         dport=F.when(outward, server_port).otherwise(client_port), flags=_pick(i % 5, FLAG_CYCLE).cast("int"),
         payload_hex=F.when(i % 7 == 0, "").otherwise(
-            F.lower(F.hex(F.encode(F.repeat(text, (F.lit(1) + i % 60).cast("int")), "UTF-8")))
+            F.repeat(F.lower(F.hex(F.encode(text, "UTF-8"))), (F.lit(1) + i % 60).cast("int"))
         ),
     )
     return made.select(
