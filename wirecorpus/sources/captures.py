@@ -54,7 +54,7 @@ RENAMES = 4096
 LISTING_TASKS = 1024
 DEFAULT_SPLIT_OCTETS = 128 * 1024 * 1024
 # opening a file counts as this part of a split: many small captures are read one after another by a task
-OPEN_COST_SHARE = 512
+OPEN_COST_SHARE = 2048
 READ_OCTETS = 4 * 1024 * 1024
 # offsets of the parts of a capture are this far apart
 PART_OCTETS = 1 << 40
@@ -278,29 +278,51 @@ def _folders(store: arrow_fs.FileSystem, root: str, levels: int, manifests: Mani
     return sorted(waiting.union(found))
 
 
+def _files_in(store: arrow_fs.FileSystem, folder: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the files of a folder and of those below; a local one is never held whole."""
+    if not isinstance(store, arrow_fs.LocalFileSystem):
+        chosen = arrow_fs.FileSelector(folder, allow_not_found=True, recursive=True)
+        yield from ((i.path, i.size) for i in store.get_file_info(chosen) if i.type == arrow_fs.FileType.File)
+        return
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:
+        return
+    with entries:
+        for entry in entries:
+            if entry.is_dir():
+                yield from _files_in(store, entry.path)
+            elif entry.is_file():
+                try:
+                    yield entry.path, entry.stat().st_size
+                except FileNotFoundError:  # it went meanwhile
+                    continue
+
+
 def _captures_in(
     store: arrow_fs.FileSystem, root: str, folder: str, levels: int, octets: int, manifests: Manifests,
 ) -> Iterator[list[FileSplit]]:
     """Splits of each capture of a folder, whose name ends in a slash."""
     # a part that has not been given its name yet stands for its capture; looked for first, since it may get it now
     waiting, gone = manifests.waiting(folder), manifests.gone(folder)
-    chosen = arrow_fs.FileSelector(f"{root}/{folder}".rstrip("/"), allow_not_found=True, recursive=True)
-    found = {i.path[len(root):].lstrip("/"): i for i in store.get_file_info(chosen) if i.type == arrow_fs.FileType.File}
-    files = []
-    for name, info in sorted((found | waiting).items()):
-        parts = name.split("/")
-        if parts[-1].startswith(".") or name in gone:
-            continue
-        part = PART_NAME.fullmatch(parts[-1]) if len(parts) == levels + 2 else None
-        if len(parts) != levels + 1 and part is None:
-            continue
-        files.append(("/".join(parts[: levels + 1]), info, int(part[1]) * PART_OCTETS if part else 0))
-    for capture, group in groupby(files, lambda x: x[0]):
-        parts = capture.split("/")
-        label, top = parts[-2], parts[0].lower() if levels == 2 else None
-        yield [
-            FileSplit(info.path, capture, label, top, start, min(start + octets, info.size), info.size, base)
-            for _, info, base in group for start in range(0, max(info.size, 1), octets)]
+    named = ((path[len(root):].lstrip("/"), size) for path, size in _files_in(store, f"{root}/{folder}".rstrip("/")))
+    found = [(name, size) for name, size in named if name not in waiting] + [(name, i.size) for name, i in waiting.items()]
+    found.sort()
+    for capture, files in groupby(found, lambda f: "/".join(f[0].split("/")[: levels + 1])):
+        splits = []
+        for name, size in files:
+            parts = name.split("/")
+            if parts[-1].startswith(".") or name in gone:
+                continue
+            part = PART_NAME.fullmatch(parts[-1]) if len(parts) == levels + 2 else None
+            if len(parts) != levels + 1 and part is None:
+                continue
+            path, base = waiting[name].path if name in waiting else f"{root}/{name}", int(part[1]) * PART_OCTETS if part else 0
+            label, top = parts[levels - 1], parts[0].lower() if levels == 2 else None
+            for start in range(0, max(size, 1), octets):
+                splits.append(FileSplit(path, capture, label, top, start, min(start + octets, size), size, base))
+        if splits:
+            yield splits
 
 
 class CaptureReader(DataSourceReader):
@@ -592,14 +614,25 @@ def list_splits(spark: SparkSession, root: str, levels: int, split_octets: int)
     manifests = Manifests(files, top)
 
     def work(within: str) -> Iterator[tuple]:
-        found = list(_captures_in(files, top, within, levels, split_octets, manifests))
-        for several in (False, True):
-            splits = ((s, _cost(s, split_octets)) for c in found if (len(c) > 1) == several for s in c)
-            for group in _grouped(splits, split_octets):
-                name = uuid.uuid4().hex
-                _write_json(lists, name, [
-                    [s.path, s.capture, s.label, s.super_label, s.start, s.end, s.size, s.base] for s in group])
-                yield name, group[0].label, sum(_cost(s, split_octets) for s in group), several
+        pending: dict[bool, list[FileSplit]] = {False: [], True: []}
+        costs = {False: 0, True: 0}
+
+        def listed(several: bool) -> tuple:
+            splits, cost, name = pending[several], costs[several], uuid.uuid4().hex
+            _write_json(lists, name, [
+                [s.path, s.capture, s.label, s.super_label, s.start, s.end, s.size, s.base] for s in splits])
+            pending[several], costs[several] = [], 0
+            return name, splits[0].label, cost, several
+
+        for found in _captures_in(files, top, within, levels, split_octets, manifests):
+            several = len(found) > 1
+            for split in found:
+                cost = _cost(split, split_octets)
+                if pending[several] and costs[several] + cost > split_octets:
+                    yield listed(several)
+                pending[several].append(split)
+                costs[several] += cost
+        yield from (listed(several) for several in (False, True) if pending[several])
 
     folders = [(f,) for f in _folders(files, top, levels, manifests)]
     index = _in_tasks(spark, folders, work, "name STRING, label STRING, cost BIGINT, several BOOLEAN", INDEX_SCHEMA)
